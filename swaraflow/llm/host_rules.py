@@ -84,10 +84,9 @@ def host_rates(tested: DataFrame, host: str = "host") -> DataFrame:
         .otherwise(F.lit(1000.0))
         .alias("strength"),
     )
-    # one row, so the join isn't a product of tables
-    return counts.join(F.broadcast(overall)).select(
-        host, "docs", "failed_docs", ((F.col("failed_docs") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))).alias("host_rate")
-    )
+    prior = overall.first()
+    mean, strength = F.lit(prior["mean"]).cast("double"), F.lit(prior["strength"]).cast("double")
+    return counts.withColumn("host_rate", (F.col("failed_docs") + mean * strength) / (F.col("docs") + strength))
 
 
 def judge(docs: DataFrame, host: str = "host", text: str = "text", max_rate: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules
+from . import host_rules, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,12 @@ def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(docs).select("doc_id", *host_rules.MEASURES, "base_failed", "kept", "host", "host_rate", "failed_rules")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_quality_rules,)}
+    return {f.__name__: f for f in (op2_host_quality_rules, op8_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
