@@ -107,3 +107,18 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     mixed = mixed.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("goal", F.least(F.col("shard_blocks") * block, most * F.col("shard_size")))
     taken = F.when(F.col("shard_size") > 0, F.expr("goal div shard_size * size + greatest(0L, least(size, goal % shard_size - before))")).otherwise(F.lit(0)).cast("long")
     return mixed.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"), "shard", "shard_blocks")
+
+
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: ``docs`` with a row for each whole copy taken and one, cut after its last word taken, for a part.
+
+    All columns stay; a document of which nothing is taken goes.  Rows that share
+    id and text take the same number of words, the mean of theirs.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
+    takes = mix(docs.select(key.alias("__id"), text, source), "__id", text, source, **how).groupBy("__id").agg(F.first("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken"))
+    takes = materialize(takes.filter("__taken > 0"), "mix-takes")
+    rows = docs.withColumn("__id", key).join(takes, "__id").withColumn("__part", F.col("__taken") % F.col("__size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORDS), F.lit(0)), 1, F.col("__part").cast("int")), "")
+    texts = F.concat(F.array_repeat(F.col(text), F.expr("cast(__taken div __size as int)")), F.when(F.col("__part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn("__texts", texts).withColumn(text, F.explode("__texts")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -235,3 +235,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
         )
         .withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))
     )
+
+
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
+    """``docs`` with one document of each component, the one of the least id; all columns stay.
+
+    Rows are told apart by id and text, so an id that has several texts loses
+    only those that are near copies; of rows that share id and text one stays.
+    """
+    checksum = F.xxhash64(text)
+    named = docs.select(F.struct(F.col(id).alias("id"), checksum.alias("sum")).alias("key"), F.col(text).alias("text"))
+    judged = near_duplicates(named, "key", "text", threshold)
+    judged = materialize(judged.groupBy("key", "kept").agg(F.count("*").alias("rows")), "near-duplicates")
+    key = F.struct(F.col(id).alias("id"), checksum.alias("sum"))
+    left = docs.join(judged.filter("not kept").select("key"), key.eqNullSafe(F.col("key")), "left_anti")
+    often = judged.filter("kept and rows > 1").select("key")
+    if often.isEmpty():
+        return left
+    repeated = left.join(often, key.eqNullSafe(F.col("key")), "left_semi").dropDuplicates([id, text])
+    return left.join(often, key.eqNullSafe(F.col("key")), "left_anti").unionByName(repeated)
