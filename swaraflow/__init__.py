@@ -1,0 +1 @@
+"""Spark-native preparation and evaluation of speech and text corpora."""
