@@ -51,9 +51,9 @@ def chosen(candidates: DataFrame, sizes: Mapping[str, int] | None = None, seed:
     most = F.element_at(F.create_map(*(x for n, k in sizes.items() for x in (F.lit(n), F.lit(k)))), F.col("bucket"))
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("clip_key")), 256)
     order = Window.partitionBy("bucket").orderBy(draw, "clip_key")
-    ranked = candidates.filter(F.col("bucket").isNotNull()).withColumn("pos", F.row_number().over(order) - 1)
+    ranked = candidates.filter(F.col("bucket").isNotNull()).withColumn("nth", F.row_number().over(order))
     # the constant bound lets Spark keep only so many rows a bucket before the shuffle
-    ranked = ranked.filter(F.col("pos") < max(sizes.values())).filter(F.col("pos") < most)
+    ranked = ranked.filter(F.col("nth") <= max(sizes.values())).withColumn("pos", F.col("nth") - 1).drop("nth").filter(F.col("pos") < most)
     return ranked.withColumn("id", F.format_string("%s_%03d", "bucket", "pos"))
 
 

@@ -1,0 +1,204 @@
+import math
+import random
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from swaraflow.functions import arrays, signal
+from swaraflow.functions import text as T
+from swaraflow.functions import tokens as K
+
+C = K.Contract()
+BASE = C.snac_base
+
+
+def one(spark, column, **values):
+    """The value of an expression over one row."""
+    kinds = {str: "string", int: "int", float: "double"}
+    names = ", ".join(f"{n} {kinds.get(type(v), None) or ('array<int>' if not v or isinstance(v[0], int) else 'array<double>' if isinstance(v[0], float) else 'array<string>')}" for n, v in values.items())
+    return spark.createDataFrame([tuple(values.values())], names).select(column.alias("x")).first()["x"]
+
+
+CASES = [
+    ("  हे   एक   वाक्य आहे।  ", "हे एक वाक्य आहे।", "Deva", 0, []),
+    ("मला Machine Learning आवडते.", "मला Machine Learning आवडते.", "Deva", 0, [(4, 11, "Machine"), (12, 20, "Learning")]),
+    ("मी १० वाजता येईन.", "मी १० वाजता येईन.", "Deva", 2, []),
+    ("H2O हे पाणी आहे.", "H2O हे पाणी आहे.", "Deva", 1, [(0, 1, "H"), (2, 3, "O")]),
+    ("a\tb", "ab", "Latn", 0, [(0, 2, "ab")]),
+    ("x  y", "x y", "Latn", 0, [(0, 1, "x"), (2, 3, "y")]),
+    ("line1\n\n line2", "line1\n\n line2", "Latn", 2, [(0, 4, "line"), (8, 12, "line")]),
+    ("café e-mail it's U.S.A.", "café e-mail it's U.S.A.", "Latn", 0, [(0, 3, "caf"), (5, 11, "e-mail"), (12, 16, "it's"), (17, 23, "U.S.A.")]),
+    ("क‍ष 9", "कष 9", "Deva", 1, []),
+    ("", "", "Latn", 0, []),
+    ("😀 ab", "😀 ab", "Latn", 0, [(2, 4, "ab")]),
+]
+
+
+def test_normalization(spark):
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, raw string").withColumn("clean", T.cleaned("raw"))
+    got = rows.select("i", T.normalization_record(F.col("clean")).alias("n")).orderBy("i").collect()
+    for r, (_, clean, script, digits, spans) in zip(got, CASES, strict=True):
+        n = r["n"]
+        assert (n["text_normalized"], n["script"], n["num_digits"], n["normalizer_version"]) == (clean, script, digits, "mr-norm-v1")
+        assert [tuple(s) for s in n["code_switch_spans"]] == spans and n["num_english_words"] == len(spans)
+        assert n["todos"] == (["expand_numbers"] if any(c in "0123456789" for c in clean) else [])
+
+
+def test_number_expansion_keeps_failures(spark):
+    def backend(run, language):
+        if run == "13":
+            raise ValueError
+        return f"<{language}{run}>"
+
+    rows = spark.createDataFrame([("a 12 b 13 १४",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.expanded_numbers(backend, "mr")("t")).collect()] == ["a <mr12> b 13 १४", None]
+
+
+def test_keys_and_names(spark):
+    key = lambda s, p, i: one(spark, T.clip_key(F.col("s"), F.col("p"), F.col("i")), s=s, p=p, i=i)
+    assert key("src0", "", 1) == "64a861a4b8b9147e" and key("ai4bharat/Rasa", "a.wav", 3) == "0a5735180f3f0598"
+    assert one(spark, T.slug(F.col("s")), s="  Hello, wörld! " + "x" * 40) == ("hello_w_rld_" + "x" * 40)[:32]
+    assert one(spark, T.slug(F.col("s")), s="!!!") == "utt" and one(spark, T.basename(F.col("s")), s="a/b/c.parquet") == "c.parquet"
+    assert one(spark, T.shown(F.col("v")), v=0.12345) == "0.123" and one(spark, T.shown(F.col("v")), v=math.nan) == "—"
+
+
+def interleaved(c0, c1, c2, dedup=True):
+    out = []
+    for i, x in enumerate(c0):
+        if dedup and i and c0[i - 1] == x:
+            continue
+        codes = [x, c1[2 * i], c2[4 * i], c2[4 * i + 1], c1[2 * i + 1], c2[4 * i + 2], c2[4 * i + 3]]
+        out += [BASE + p * 4096 + c for p, c in enumerate(codes)]
+    return out
+
+
+def test_interleave_known(spark):
+    col = lambda d: K.interleaved(F.col("a"), F.col("b"), F.col("c"), BASE, d)
+    args = {"a": [5, 5, 9], "b": list(range(6)), "c": list(range(12))}
+    got = one(spark, col(True), **args)
+    assert got[:7] == [128271, 132362, 136458, 140555, 144651, 148748, 152845] and len(got) == 14
+    assert len(one(spark, col(False), **args)) == 21 and one(spark, col(True), a=[], b=[], c=[]) == []
+    with pytest.raises(Exception, match="1:2:4"):
+        one(spark, col(True), a=[1, 2], b=[1, 2, 3], c=list(range(8)))
+
+
+def test_streams_round_trip(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        n = rng.randrange(1, 9)
+        rows.append((i, [rng.randrange(3) for _ in range(n)], [rng.randrange(4096) for _ in range(2 * n)], [rng.randrange(4096) for _ in range(4 * n)]))
+    df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>, c array<int>").withColumn("ids", K.interleaved(F.col("a"), F.col("b"), F.col("c"), BASE))
+    plain = K.interleaved(F.col("a"), F.col("b"), F.col("c"), BASE, False)
+    got = df.select("i", "ids", K.deinterleaved(plain, BASE).alias("back"), K.run_deduplicated(F.col("a")).alias("runs")).orderBy("i").collect()
+    for r, (_, a, b, c) in zip(got, rows, strict=True):
+        assert r["ids"] == interleaved(a, b, c) and tuple(r["back"]) == (a, b, c)
+        assert r["runs"] == [x for k, x in enumerate(a) if not k or a[k - 1] != x]
+
+
+def test_deinterleave_drops_bad_and_partial(spark):
+    frame = interleaved([1], [2, 3], [4, 5, 6, 7])
+    col = K.deinterleaved(F.col("x"), BASE)
+    assert tuple(one(spark, col, x=frame + [BASE] * 7 + frame[:3])) == ([1], [2, 3], [4, 5, 6, 7])
+    assert one(spark, col, x=frame[:5]) is None and one(spark, col, x=[]) is None
+
+
+def test_band_prefix_codes(spark):
+    inside = lambda i: one(spark, K.in_band(F.col("i"), BASE), i=i)
+    assert [inside(BASE + d) for d in (-1, 0, 28671, 28672)] == [False, True, True, False]
+    prefix = K.audio_prefix(F.col("x"), BASE)
+    assert one(spark, prefix, x=[BASE, BASE + 9, 128258, BASE]) == [BASE, BASE + 9]
+    assert one(spark, prefix, x=[BASE, BASE]) == [BASE, BASE] and one(spark, prefix, x=[7, BASE]) == []
+    assert tuple(one(spark, K.from_token(F.col("i"), BASE), i=BASE + 3 * 4096 + 17)) == (3, 17) and one(spark, K.from_token(F.col("i"), BASE), i=5) is None
+    assert one(spark, K.to_token(F.col("p"), F.col("c"), BASE), p=3, c=17) == BASE + 3 * 4096 + 17
+    with pytest.raises(Exception, match="out of range"):
+        one(spark, K.to_token(F.col("p"), F.col("c"), BASE), p=7, c=0)
+
+
+def test_sequences(spark):
+    audio = interleaved(list(range(12)), [1] * 24, [2] * 48)
+    seq = lambda stop=True: K.training_sequence(F.col("p"), F.col("a"), C, stop)
+    got = one(spark, seq(), p=[9] * 50, a=audio)
+    assert got["labels"] == [-100] * 50 + audio + [128258] and got["input_ids"] == [9] * 50 + audio + [128258] and got["prompt_len"] == 50
+    assert one(spark, seq(False), p=[9], a=audio)["labels"][-1] == -100
+    with pytest.raises(Exception, match="whole frames"):
+        one(spark, seq(), p=[9], a=audio[:6])
+    with pytest.raises(Exception, match="out of the band"):
+        one(spark, seq(), p=[9], a=[1] * 7)
+
+
+def test_prompt(spark):
+    col = K.prompt(F.col("t"), F.col("s"), F.col("y"), F.col("n"), C)
+    assert one(spark, col, t=[1, 2], s=[3], y=[4], n=[10]) == [128259, 128000, 156938, 3, 156939, 10, 156940, 4, 156941, 10, 1, 2, 128009, 128260, 128261, 128257]
+    assert one(spark, col, t=[1], s=[], y=[], n=[10]) == [128259, 128000, 1, 128009, 128260, 128261, 128257]
+
+
+def test_weights_and_padding(spark):
+    labels = [-100, *interleaved([1], [2, 3], [4, 5, 6, 7]), 128258, 77]
+    assert one(spark, K.token_weights(F.col("x"), C), x=labels) == [0.0, 1.0, 0.7, 0.4, 0.4, 0.7, 0.4, 0.4, 1.0, 1.0]
+    assert one(spark, K.weighted_mean(F.col("v"), F.col("w")), v=[1.0, 3.0, 9.0], w=[1.0, 0.5, 0.0]) == pytest.approx(2.5 / 1.5)
+    assert one(spark, K.padded(F.col("x"), F.lit(4), 0), x=[1, 2]) == [1, 2, 0, 0]
+
+
+def test_contract(spark):
+    words = [(t, i) for t, i in zip(K.NAMES.values(), C.as_dict().values(), strict=True)]
+    vocabulary = spark.createDataFrame(words + [(f"<|snac_{n}|>", BASE + n) for n in range(1, 28672)], "token string, id int")
+    assert K.resolve(vocabulary) == C and K.contract_violations(vocabulary, C).count() == 0
+    assert C.band == (128266, 156938) and C.position_bases[-1] == 152842
+    with pytest.raises(ValueError, match="style"):
+        K.resolve(vocabulary.filter("token <> '<|style>'"))
+    shifted = vocabulary.withColumn("id", F.when(F.col("token") == "<|snac_5|>", 1).otherwise(F.col("id")))
+    assert K.contract_violations(shifted, C).count() == 1
+    assert K.contract_violations(vocabulary.filter("token <> '<|snac_28671|>'"), C).count() == 1
+
+
+def test_array_metrics(spark):
+    rate = lambda n, x: one(spark, arrays.repetition_rate(F.col("x"), n), x=x)
+    assert rate(2, [1, 2, 3, 4, 5]) == 0.0 and rate(2, [7, 7, 7, 7]) == pytest.approx(2 / 3) and rate(3, [1]) == 0.0 and rate(3, []) == 0.0
+    cos = lambda a, b: one(spark, arrays.cosine_similarity(F.col("a"), F.col("b")), a=a, b=b)
+    assert cos([1.0, 0.0, 0.0], [1.0, 0.0, 0.0]) == 1.0 and cos([1.0, 0.0], [0.0, 1.0]) == 0.0 and cos([0.0, 0.0], [1.0, 1.0]) == 0.0
+    assert one(spark, arrays.fraction_unique(F.col("x")), x=[1, 1, 2, 3]) == 0.75 and one(spark, arrays.fraction_unique(F.col("x")), x=[]) == 0.0
+
+
+def test_edit_counts():
+    assert arrays.edit_counts("the cat on mat".split(), "the dog on".split()) == (0, 1, 1, 2)
+    assert sum(arrays.edit_counts("a b c d".split(), "b c d e e".split())[:3]) == 3
+    assert arrays.edit_counts([], ["x", "y"]) == (2, 0, 0, 0) and arrays.edit_counts(["x"], []) == (0, 1, 0, 0)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in "ab")
+        row = list(range(len(b) + 1))
+        for x in a:
+            row = [row[0] + 1, *row[1:]] if not b else row
+            new = [row[0] + 1] if b else row
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        found = arrays.edit_counts(a, b)
+        assert sum(found[:3]) == row[-1] and found[1] + found[2] + found[3] == len(a) and found[0] + found[2] + found[3] == len(b)
+
+
+def test_signals():
+    t = np.arange(8000) / 8000
+    half = np.where(t < 0.5, 0, 0.5 * np.sin(2 * np.pi * 200 * t))
+    duration, snr, clipping, rolloff, wide = signal.quality(half, 8000)
+    assert (duration, clipping, wide) == (1.0, 0.0, False) and snr == pytest.approx(110.969, abs=1e-2) and rolloff == pytest.approx(1857, abs=1)
+    assert signal.quality(np.resize([1.0, -1.0], 8000), 8000)[1:4] == (pytest.approx(0.0, abs=1e-9), 1.0, pytest.approx(4000.0))
+    assert signal.quality([], 8000) == (0.0, -np.inf, 1.0, 0.0, False)
+    std, pause = signal.energy_pause(half, 8000)
+    assert std > 0 and 0.3 < pause < 0.7
+    mean, _ = signal.pitch(0.5 * np.sin(2 * np.pi * 220 * t), 8000)
+    assert mean == pytest.approx(220, rel=0.03) and signal.pitch(np.zeros(8000), 8000) == (None, None)
+
+
+def test_decode_resample(spark):
+    x = (0.5 * np.sin(np.arange(4800) / 20)).astype(np.float32)
+    data = signal.encode(x, 48000)
+    back, rate = signal.decode(data)
+    assert rate == 48000 and np.abs(back - x).max() < 1e-3 and len(signal.resample(x, 48000, 24000)) == 2400
+    with pytest.raises((wave.Error, EOFError)):
+        signal.decode(b"none")
+    got = spark.createDataFrame([(bytearray(data),), (bytearray(b"none"),), (None,)], "b binary").select(signal.decoded(24000)("b").alias("d")).collect()
+    assert [r["d"]["samples"] and len(r["d"]["samples"]) for r in got] == [2400, None, None] and got[0]["d"]["native_rate"] == 48000
