@@ -117,9 +117,9 @@ class Scanner:
 
     def retrieved(self, run: np.ndarray, step: int = 16_384) -> Iterator[tuple[int, int, int]]:
         """Template, start and end of each window that shares a band with the template."""
-        longest = max(self.classes, default=0)
-        step = max(longest, step // max(1, longest) * longest)
-        for base in range(0, len(run) if longest else 0, step):
+        longest = max(self.classes, default=1)
+        step = max(longest, step // longest * longest)
+        for base in range(0, len(run) if self.classes else 0, step):
             # the blocks at the base of the next part close this part's last windows
             blocks, length = _slices()[_positions(run[base : base + step + longest])], 1
             while True:
