@@ -48,7 +48,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) > 300_000:
+            if len(self) > 100_000:
                 self.clear()
             self[piece] = ids
         return ids
@@ -87,6 +87,12 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: results leave the worker as they are made."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
 def trusted(bounds: list[int], end: int, last: bool) -> list[int]:
     """The boundaries of a chunk that what follows its cut can't move."""
     return bounds if last else [b for b in bounds if b <= end - LOOK_AHEAD]
@@ -104,23 +110,40 @@ def _digest(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``id, ids`` with ``ids`` as binary: little-endian unsigned 32-bit integers."""
+    return _encoded(docs, vocabulary, pattern, id, text, chunk, overlap, False)
+
+
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes and digests in one Python pass."""
+    return _encoded(docs, vocabulary, pattern, id, text, chunk, overlap, True)
+
+
+def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     if not 2 * LOOK_AHEAD < overlap <= chunk:
         raise ValueError("the overlap must exceed the look-ahead and be a chunk at most")
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    results = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids binary"
+    names = [x.split()[0] for x in results.split(", ")]
+
+    def emitted(c: Codec, key: pa.Array, name: str, found: Iterator[bytes]) -> pa.RecordBatch:
+        if not digest:
+            return pa.RecordBatch.from_arrays([key, pa.array(list(found), pa.binary())], names=[name, *names])
+        columns = list(zip(*(_digest(ids, c.decode(ids)) for ids in found), strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([key, *(pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=[name, *names])
+
+    def whole(batches: Iterator[pa.RecordBatch], name: str = "id") -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
-            ids = [c.encode(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        for batch in sliced(batches):
+            yield emitted(c, batch.column(0), name, (c.encode(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)))
 
     def whole_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (b.rename_columns(["key", "ids"]) for b in whole(batches))
+        return whole(batches, "key")
 
     def pretokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 16):
             rows = [batch.column(i) for i in range(batch.num_columns)]
             texts = [t.decode("utf-8", "replace") for t in rows[3].to_pylist()]
             bounds = [trusted(c.boundaries(t), len(t), last) for t, last in zip(texts, rows[2].to_pylist(), strict=True)]
@@ -128,7 +151,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id: str = "
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 16):
             out = []
             for part, bounds, before, after in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 first = 0 if before is None else resynchronised(before, bounds, chunk)
@@ -141,12 +164,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "k", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [b"".join(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+        c = codec(vocabulary, pattern)
+        for batch in sliced(batches, 16):
+            yield emitted(c, batch.column(0), "key", (b"".join(x.as_py()) for x in batch.column(1)))
 
     length = F.length("text")
-    short = docs.filter(length <= chunk).select("id", F.col("text").cast("binary")).mapInArrow(whole, f"id {kind}, ids binary")
+    short = docs.filter(length <= chunk).select("id", F.col("text").cast("binary")).mapInArrow(whole, f"id {kind}, {results}")
 
     long = docs.filter(length > chunk).withColumn("key", F.sha2("text", 256))
     contents = long.groupBy("key").agg(F.first("text").alias("text"))  # equal keys have equal texts
@@ -161,26 +184,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id: str = "
     pieces = parts.mapInArrow(encoded, "key string, k int, ids binary")
     found = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("ids", F.lit(b"")).alias("ids"))))["ids"].alias("ids"), F.bool_or(F.col("ids").isNull()).alias("open"))
     found = materialize(found, "long-texts")
-    stitched = found.filter("not open").select("key", "ids").mapInArrow(joined, "key string, ids binary")
+    stitched = found.filter("not open").select("key", "ids").mapInArrow(joined, f"key string, {results}")
     unresolved = found.filter("open").select("key")
     if not unresolved.isEmpty():
         rest = contents.join(unresolved, "key", "left_semi").select("key", F.col("text").cast("binary"))
-        stitched = stitched.union(rest.mapInArrow(whole_by_key, "key string, ids binary"))
-    return short.unionByName(long.select("id", "key").join(stitched, "key").select("id", "ids"))
+        stitched = stitched.union(rest.mapInArrow(whole_by_key, f"key string, {results}"))
+    return short.unionByName(long.select("id", "key").join(stitched, "key").select("id", *names)).withColumnRenamed("id", id)
 
-
-def digests(encoded: DataFrame, vocabulary: str, pattern: str, id: str = "doc_id") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents."""
-    kind = encoded.schema["id"].dataType.simpleString()
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary, pattern)
-        for batch in batches:
-            rows = [_digest(ids, c.decode(ids)) for ids in batch.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
-                names=[id, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.select("id", "ids").mapInArrow(digested, f"`{id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -56,7 +56,7 @@ def _scored(scored: DataFrame, limit: float) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary, pattern)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
