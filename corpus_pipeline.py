@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode_documents(docs, vocabulary, pattern), vocabulary, pattern)
+    return bpe.encode_digests(docs, vocabulary, pattern)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
