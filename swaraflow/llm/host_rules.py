@@ -11,9 +11,8 @@
 
 Defined results: a null text has no words, so it fails ``words``; a null host
 is a host of its own; repeated rows count and are returned one by one; an
-empty table gives an empty table; further columns of the input pass through
-(a clash with a measured column's name is an error of the caller, who selects
-the columns to keep).
+empty table gives an empty table; further columns of the input pass through,
+but a column with the name of one that is added here gives way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from . import words as W
 from .store import materialize
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = ("failed_rules", "host_rate", "base_failed", "kept")
 
 #: Rule name -> whether a document fails it.  The first two are the base rules.
 RULES: dict[str, str] = {
@@ -57,7 +57,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures in place of the text."""
-    rest = docs.drop(text)
+    rest = docs.drop(text, *MEASURES, *ADDED)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), *(f"{m} bigint" for m in MEASURES)])
     return docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text).cast("binary").alias("__text")).mapInArrow(_measured, schema)
 

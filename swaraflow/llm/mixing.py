@@ -23,6 +23,7 @@ than id, text and source are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     facts = targets.agg(F.sum("rows").alias("rows"), F.sum("source_size").alias("size")).first()
     total, words = facts["rows"] or 0, facts["size"] or 0
     wanted = max(SHARDS, -(-total // SHARD_ROWS))
-    quotas = sainte_lague(targets, round(share * words / block))
+    quotas = sainte_lague(targets, math.floor(share * words / block + 0.5))
     shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("rows") * wanted / max(1, total)), F.ceil(F.col("rows") / LEAST_SHARD_ROWS))).cast("int")
     quotas = materialize(quotas.select(F.col("source").alias("of"), "source_size", "target", "blocks", shards.alias("shards")), "mix-quotas")
 

@@ -49,6 +49,9 @@ def test_host_verdicts(spark, empty):
     rate = {r["host"]: r["host_rate"] for r in got}
     assert 0.5 < rate["bad"] < 0.95 and rate["new"] < 1 and rate["good0"] > 0  # shrunk towards the corpus
     assert host_rules.judge(empty.withColumnRenamed("source", "host")).count() == 0
+    clash = spark.createDataFrame([("h", good, "x", "y", "z")], "host string, text string, kept string, n_words string, other string")
+    row = host_rules.judge(clash).first()
+    assert (row["kept"], row["n_words"], row["other"]) == (True, 30, "z")
 
 
 # -- op3: URL rules -----------------------------------------------------------------------------------
