@@ -1,13 +1,17 @@
 """License notices found by MinHash bands over overlapping windows.
 
 Templates of n shingles (five words each) are grouped into classes by the next
-power of two L >= n.  A text's shingles are cut into blocks of L, and every two
+power of two L >= n.  Texts' shingles are cut into blocks of L, and every two
 neighbouring blocks form a window of 2L, so any run of L shingles lies within
-one window.  A window that holds 80 % of a template therefore has a similarity
-of at least 0.8 n / (2L + 0.2 n) > 0.19 to it (n > L/2), and with 96 bands of one
-circulant MinHash coordinate each, 1 - (1 - 0.19)^96 > 0.999999998 of such windows
-share a band with the template.  Windows retrieved so are verified exactly: the
-share of the template's shingles that the window holds.
+one window.  A window that holds 80 % of a template, k = ceil(0.8 n) shingles, is
+similar to it by J >= k / (2L + n - k).  Each class gets so many bands of one
+circulant MinHash coordinate that (1 - J) ** bands <= 1e-9 for its templates
+(30 to 120 bands): windows that matter share a band with their template but for
+one in a thousand million.  What is retrieved is verified exactly, within one
+text: the share of the template's shingles that the window holds.
+
+The texts of a batch are laid end to end, so that NumPy works on long arrays; a
+window over the seam of two texts is verified for each of them.
 
 Words are runs of letters, digits and bytes beyond ASCII, lower-cased, so that
 punctuation and line breaks don't matter.
@@ -20,8 +24,9 @@ table, or no templates, gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -34,7 +39,8 @@ from pyspark.sql import functions as F
 from .words import LOWER
 
 SHINGLE = 5
-BANDS = 96
+MOST_BANDS = 128
+MISS = 1e-9
 UNIVERSE_BITS = 20
 SEED = 47
 THRESHOLD = 0.8
@@ -75,7 +81,7 @@ def _memo() -> _Hashes:
 def _slices() -> np.ndarray:
     """Row x: the coordinates of universe position x, a shift of one permutation."""
     universe = np.random.default_rng(SEED).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return sliding_window_view(np.concatenate([universe, universe[: BANDS - 1]]), BANDS)
+    return sliding_window_view(np.concatenate([universe, universe[: MOST_BANDS - 1]]), MOST_BANDS)
 
 
 def shingle_run(text: bytes | None) -> np.ndarray:
@@ -95,57 +101,76 @@ def _positions(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
 
 
+def bands_needed(n: int, length: int, threshold: float) -> int:
+    """Bands that retrieve a window with ``threshold`` of a template's n shingles, but for a chance of ``MISS``."""
+    held = math.ceil(threshold * n - 1e-9)
+    return min(MOST_BANDS, math.ceil(math.log(MISS) / math.log1p(-held / (2 * length + n - held))))
+
+
 class Scanner:
     """The templates' bands and shingle sets, by class."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.names = sorted(templates)
         self.sets = [np.unique(shingle_run(templates[n].encode())) for n in self.names]
         classes = defaultdict(list)
         for t, s in enumerate(self.sets):
             if len(s):
                 classes[1 << (len(s) - 1).bit_length()].append(t)
-        self.classes: dict[int, tuple[list[int], np.ndarray]] = {}
+        #: Of each class: its templates, their signatures, and a table of marks of the values that any of them has.
+        self.classes: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
         for length, members in sorted(classes.items()):
-            signatures = np.stack([_slices()[_positions(self.sets[t])].min(axis=0) for t in members])
-            self.classes[length] = (members, signatures)
-        #: Values of any band of any template of a class, as a table of marks.
-        self.marks = {}
-        for length, (_, signatures) in self.classes.items():
-            self.marks[length] = np.zeros(1 << UNIVERSE_BITS, bool)
-            self.marks[length][signatures.reshape(-1)] = True
-
-    def retrieved(self, run: np.ndarray, step: int = 16_384) -> Iterator[tuple[int, int, int]]:
+            bands = max(bands_needed(len(self.sets[t]), length, threshold) for t in members)
+            signatures = np.stack([_slices()[_positions(self.sets[t]), :bands].min(axis=0) for t in members])
+            marks = np.zeros(1 << UNIVERSE_BITS, bool)
+            marks[signatures.reshape(-1)] = True
+            self.classes[length] = (members, signatures, marks)
+        self.width = max((s.shape[1] for _, s, _ in self.classes.values()), default=1)
+
+    def retrieved(self, run: np.ndarray, step: int = 8_192) -> Iterator[tuple[int, int, int]]:
         """Template, start and end of each window that shares a band with the template."""
         longest = max(self.classes, default=1)
         step = max(longest, step // longest * longest)
         for base in range(0, len(run) if self.classes else 0, step):
             # the blocks at the base of the next part close this part's last windows
-            blocks, length = _slices()[_positions(run[base : base + step + longest])], 1
+            blocks, length = _slices()[_positions(run[base : base + step + longest]), : self.width], 1
             while True:
                 if length in self.classes:
-                    members, signatures = self.classes[length]
-                    windows = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
-                    for w in np.flatnonzero(self.marks[length][windows].any(axis=1)).tolist():
+                    members, signatures, marks = self.classes[length]
+                    own = blocks[:, : signatures.shape[1]]
+                    windows = np.minimum(own[:-1], own[1:]) if len(own) > 1 else own
+                    for w in np.flatnonzero(marks[windows].any(axis=1)).tolist():
                         for t in np.flatnonzero((signatures == windows[w]).any(axis=1)).tolist():
                             start = base + w * length
                             yield members[t], start, min(len(run), start + 2 * length)
                 if length == longest:
                     break
-                blocks, length = np.minimum.reduceat(blocks, np.arange(0, len(blocks), 2), axis=0), 2 * length
-
-    def scan(self, text: bytes | None, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
-        """Name, containment, first word and number of words of each template's best window."""
-        run = shingle_run(text)
-        best: dict[int, tuple[float, int, int]] = {}
-        for t, start, end in self.retrieved(run):
+                odd = blocks[len(blocks) // 2 * 2 :]
+                blocks, length = np.concatenate([np.minimum(blocks[0:-1:2], blocks[1::2]), odd]), 2 * length
+
+    def scan_all(self, texts: Sequence[bytes | None]) -> list[list[tuple[str, float, int, int]]]:
+        """Per text the name, containment, first word and number of words of each template's best window."""
+        runs = [shingle_run(t) for t in texts]
+        ends = np.cumsum([len(r) for r in runs])
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        for t, start, end in self.retrieved(np.concatenate(runs) if runs else np.empty(0, np.uint64)):
             wanted = self.sets[t]
-            held = np.isin(run[start:end], wanted)
-            share = len(np.unique(run[start:end][held])) / len(wanted)
-            if share >= threshold and (t not in best or (-share, start) < (-best[t][0], best[t][1])):
-                at = np.flatnonzero(held)
-                best[t] = (share, start + int(at[0]), int(at[-1] - at[0]) + SHINGLE)
-        return [(self.names[t], *best[t]) for t in sorted(best)]
+            i = int(np.searchsorted(ends, start, side="right"))
+            while i < len(runs) and ends[i] - len(runs[i]) < end:
+                offset = int(ends[i]) - len(runs[i])
+                first = max(start - offset, 0)
+                part = runs[i][first : end - offset]
+                held = np.isin(part, wanted)
+                share = len(np.unique(part[held])) / len(wanted)
+                if share >= self.threshold and (t not in best[i] or (-share, first) < (-best[i][t][0], best[i][t][1])):
+                    at = np.flatnonzero(held)
+                    best[i][t] = (share, first + int(at[0]), int(at[-1] - at[0]) + SHINGLE)
+                i += 1
+        return [[(self.names[t], *b[t]) for t in sorted(b)] for b in best]
+
+    def scan(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
+        return self.scan_all([text])[0]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -154,9 +179,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id:
     kind = docs.schema[id].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
-        for batch in batches:
-            rows = [(i, *hit) for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for hit in scanner.scan(t, threshold)]
+        scanner = Scanner(templates, threshold)
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, len(b), 64)):
+            found = scanner.scan_all(batch.column(1).to_pylist())
+            rows = [(i, *hit) for i, hits in zip(batch.column(0), found, strict=True) for hit in hits]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (batch.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64())
             values = [[x.as_py() for x in columns[0]], *columns[1:]]
