@@ -31,6 +31,8 @@ PIECE = r"[^\n.!?]{1,32}[\n.!?]*|[\n.!?]+"
 SECTION_BREAK = r"\n\n+"
 #: Quantiles of the ids, and even cuts between two of them at least; rows of a bucket at most, about.
 QUANTILES, CUTS, BUCKET_ROWS = 64, 16, 4096
+#: Up to so many buckets, of two numbers each, their first rows are found by a broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _short(value: Column) -> Column:
@@ -92,6 +94,8 @@ def with_next(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     firsts = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("id").alias("first"))
     every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select(F.col("first"), F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(every)).alias("bucket"))
+    if QUANTILES * (fine + 1) <= BROADCAST_ROWS:  # else the texts would be shuffled for a few rows; beyond the bound they are
+        firsts = F.broadcast(firsts)
     heads = docs.join(firsts, docs["id"].eqNullSafe(firsts["first"])).select("id", "text", "bucket", F.lit(True).alias("head"))
     rows = docs.select("id", "text", bucket.alias("bucket"), F.lit(False).alias("head")).unionByName(heads)
     order = Window.partitionBy("bucket").orderBy("head", "id", "text")
