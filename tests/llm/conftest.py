@@ -49,4 +49,6 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def labels(spark, rows):
-    return spark.createDataFrame([(i, 0 if i % 12 in (4, 5) else 1, int(i % 12 == 3)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    # copies and near copies take after documents of any kind, so their number doesn't tell their class
+    own = [i for i, *_ in rows if i > 11 and i % 12 not in (1, 2)]
+    return spark.createDataFrame([(i, 0 if i % 12 in (4, 5) else 1, int(i % 12 == 3)) for i in own], "doc_id long, quality int, toxic int")
