@@ -5,9 +5,11 @@ a first permutation; a second permutation of the universe, shifted circularly by
 k, gives coordinate k of the signature.  With the permuted universe laid out as
 one wrapped array, all coordinates of a shingle are one contiguous slice, so
 the signature is the minimum over slices.  768 coordinates are kept as two bits
-each (the *sketch*); the first 288 form 36 bands of 8.  At a similarity of 0.85
-a pair misses all bands with probability 1.1e-5, and is under the sketch's limit
-of 0.79 by chance about as rarely (four standard deviations).
+each (the *sketch*); the first of them form the bands.  Bands and the sketch's
+limit follow from the threshold: a pair at it misses all bands with probability
+``MISS`` at most, and is beyond the limit with ``SKETCH_MISS`` at most (taking
+coordinates as independent).  Bands have 8 rows (36 bands at 0.85, 63 at 0.8);
+under 0.76, where 96 of them don't do, fewer rows, which makes more candidates.
 
 Links.  Documents with equal shingle sets are one *node*.  Nodes that share a
 band are candidates.  Emitting all pairs of a band would grow with the square of
@@ -28,6 +30,7 @@ the input are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,15 +48,40 @@ from .words import LOWER
 SHINGLE = 5
 UNIVERSE_BITS = 20
 COORDINATES = 768
-BANDS, ROWS = 36, 8
+MOST_ROWS = 8
+MISS, SKETCH_MISS = 1.1e-5, 1e-4
 PLANE = COORDINATES // 64
 SEED = 20240229
-#: A pair at the threshold is under this estimate once in tens of thousands.
-SKETCH_SLACK = 0.06
 _M64 = (1 << 64) - 1
 _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands, and rows of each, that a pair at ``threshold`` misses with a chance of ``MISS`` at most."""
+    for rows in range(MOST_ROWS, 0, -1):
+        share = min(threshold, 0.99) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-share)) if share > 0 else COORDINATES + 1
+        if bands * rows <= COORDINATES:
+            return bands, rows
+    raise ValueError(f"{COORDINATES} coordinates are too few for a threshold of {threshold}")
+
+
+def sketch_limit(threshold: float) -> int:
+    """As many coordinates of two sketches differ at most, but for a chance of ``SKETCH_MISS`` at ``threshold``."""
+    p = 0.75 * (1 - min(threshold, 0.99))
+    ways = math.lgamma(COORDINATES + 1)
+    tail, most = 0.0, COORDINATES
+    while most > 0:
+        tail += math.exp(ways - math.lgamma(most + 1) - math.lgamma(COORDINATES - most + 1) + most * math.log(p) + (COORDINATES - most) * math.log1p(-p))
+        if tail > SKETCH_MISS:
+            break
+        most -= 1
+    return most
+
+
+BANDS, ROWS = banding(0.85)
+
+
 class _WordHashes(dict):
     """Word -> 64-bit hash; a bounded memo, refilled when full."""
 
@@ -76,10 +104,10 @@ def _slices() -> np.ndarray:
 
 
 @cache
-def _band_factors() -> tuple[np.ndarray, np.ndarray]:
+def _band_factors(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED + 1)
-    odd = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd, rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, rng.integers(0, 1 << 63, bands, dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -114,10 +142,10 @@ def signature(sets: np.ndarray, step: int = 256) -> np.ndarray:
     return least
 
 
-def _keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(signatures: np.ndarray, n_bands: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and sketches of some signatures, as 64-bit integers."""
-    odd, salt = _band_factors()
-    rows = signatures[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    odd, salt = _band_factors(n_bands, n_rows)
+    rows = signatures[:, : n_bands * n_rows].reshape(-1, n_bands, n_rows).astype(np.uint64)
     bands = _mixed(_mixed(rows * odd).sum(axis=2, dtype=np.uint64) + salt)
     planes = [np.packbits(((signatures >> b) & 1).astype(np.uint8), axis=1).view(np.uint64) for b in (0, 1)]
     return bands.view(np.int64), np.concatenate(planes, axis=1).view(np.int64)
@@ -128,20 +156,20 @@ def _listed(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1), pa.int64()))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for start in range(0, len(batch), 256):
             sets = [shingles(t.as_py()) for t in texts[start : start + 256]]
             signatures = np.stack([signature(s) if len(s) else np.zeros(COORDINATES, np.uint32) for s in sets])
-            bands, sketch = _keys(signatures)
+            bands, sketch = _keys(signatures, n_bands, n_rows)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids[start : start + 256],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(prints, pa.binary()),
-                    _listed(bands, BANDS),
+                    _listed(bands, n_bands),
                     _listed(sketch, 2 * PLANE),
                 ],
                 names=["id", "n", "fp", "bands", "sketch"],
@@ -166,9 +194,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(a: str, b: str, threshold: float) -> Column:
     """The length bound and the sketch's estimate allow ``threshold``."""
     apart = " + ".join(f"bit_count(({a}.sketch[{i}] ^ {b}.sketch[{i}]) | ({a}.sketch[{i + PLANE}] ^ {b}.sketch[{i + PLANE}]))" for i in range(PLANE))
-    most = COORDINATES * 0.75 * (1 - threshold + SKETCH_SLACK)
     percent = round(100 * threshold)
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {apart} <= {most:.3f}")
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {apart} <= {sketch_limit(percent / 100)}")
 
 
 def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -190,8 +217,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     """One row per document: ``id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
+    n_bands, n_rows = banding(round(100 * threshold) / 100)
     sketches = materialize(
-        docs.mapInArrow(_sketched, f"id {kind}, n bigint, fp binary, bands array<bigint>, sketch array<bigint>"), "sketches"
+        docs.mapInArrow(lambda batches: _sketched(batches, n_bands, n_rows), f"id {kind}, n bigint, fp binary, bands array<bigint>, sketch array<bigint>"), "sketches"
     )
     # equal sets have equal bands and sketches, so first() is the same whichever row it takes
     nodes = materialize(

@@ -282,6 +282,32 @@ def test_near_duplicates_in_dense_groups(spark):
     check_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
+def test_near_duplicates_at_a_low_threshold(spark):
+    """Pairs just above 0.70, of which 36 bands of 8 would miss a tenth."""
+    rng = random.Random(12)
+    texts = {}
+    for i in range(0, 400, 2):
+        words = [f"w{i}x{k}" for k in range(90)]
+        texts[i], at = " ".join(words), rng.randrange(8, 20)
+        for k in range(3):
+            words[at + 25 * k] = "changed"
+        texts[i + 1] = " ".join(words)  # 71 of 101 shingles
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), threshold=0.7).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in texts}
+
+
+def test_bands_and_sketches_follow_the_threshold():
+    assert neardup.banding(0.85) == (36, 8)
+    for percent in range(5, 101):
+        t = percent / 100
+        bands, rows = neardup.banding(t)
+        assert bands * rows <= neardup.COORDINATES and (1 - t**rows) ** bands <= neardup.MISS
+    with pytest.raises(ValueError):
+        neardup.banding(0.0)
+    differ = np.random.default_rng(1).binomial(neardup.COORDINATES, 0.75 * 0.2, 10**6)
+    assert (differ > neardup.sketch_limit(0.8)).mean() < 1.5 * neardup.SKETCH_MISS
+
+
 def test_near_duplicates_of_odd_tables(spark, empty, docs):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.without_near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, None), (4, " "), (5, "a b c"), (None, "a b"), (6, "x"), (6, "x")], "doc_id long, text string")
