@@ -17,6 +17,9 @@ from swaraflow.llm import bpe, mixing, neardup, quality, toxicity
 from swaraflow.llm.queries import GOOD_FROM, TOXIC_FROM, VOCABULARY, table
 from swaraflow.llm.store import materialize
 
+#: Least similarity of the 5-word shingle sets of near copies; ``op8_minhash_near_dedup`` has its own, 0.85.
+NEAR_FROM = 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.without_near_duplicates(docs)
+    return neardup.without_near_duplicates(docs, threshold=NEAR_FROM)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

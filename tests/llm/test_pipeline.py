@@ -43,6 +43,16 @@ def test_stages_keep_the_columns(spark, docs, labels, tmp_path):
         assert stage(spark, docs, folder).columns == docs.columns
 
 
+def test_near_copies_from_four_fifths_on_are_dropped(spark, tmp_path):
+    base = [f"w{k}" for k in range(104)]
+    edited = lambda *at: " ".join("changed" if k in at else f"w{k}" for k in range(104))
+    other = " ".join(f"v{k}" for k in range(100))
+    texts = [" ".join(base), edited(30, 60), other, other.replace("v30 ", "x ").replace("v50 ", "x ").replace("v70 ", "x ")]  # 90 of 110; 81 of 111
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3]
+
+
 def test_stages_of_an_empty_table(spark, empty, labels, tmp_path):
     folder = write(tmp_path, empty, labels)
     assert corpus_pipeline.run(spark, folder).count() == 0
