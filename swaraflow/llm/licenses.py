@@ -6,7 +6,7 @@ neighbouring blocks form a window of 2L, so any run of L shingles lies within
 one window.  A window that holds 80 % of a template, k = ceil(0.8 n) shingles, is
 similar to it by J >= k / (2L + n - k).  Each class gets so many bands of one
 circulant MinHash coordinate that (1 - J) ** bands <= 1e-9 for its templates
-(30 to 120 bands): windows that matter share a band with their template but for
+(30 to 89 bands for the templates below): windows that matter share a band with their template but for
 one in a thousand million.  What is retrieved is verified exactly, within one
 text: the share of the template's shingles that the window holds.
 
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from .words import LOWER
 
 SHINGLE = 5
-MOST_BANDS = 128
 MISS = 1e-9
 UNIVERSE_BITS = 20
 SEED = 47
@@ -78,10 +77,10 @@ def _memo() -> _Hashes:
 
 
 @cache
-def _slices() -> np.ndarray:
+def _slices(width: int) -> np.ndarray:
     """Row x: the coordinates of universe position x, a shift of one permutation."""
     universe = np.random.default_rng(SEED).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return sliding_window_view(np.concatenate([universe, universe[: MOST_BANDS - 1]]), MOST_BANDS)
+    return sliding_window_view(np.concatenate([universe, universe[: width - 1]]), width)
 
 
 def shingle_run(text: bytes | None) -> np.ndarray:
@@ -104,7 +103,7 @@ def _positions(hashes: np.ndarray) -> np.ndarray:
 def bands_needed(n: int, length: int, threshold: float) -> int:
     """Bands that retrieve a window with ``threshold`` of a template's n shingles, but for a chance of ``MISS``."""
     held = math.ceil(threshold * n - 1e-9)
-    return min(MOST_BANDS, math.ceil(math.log(MISS) / math.log1p(-held / (2 * length + n - held))))
+    return math.ceil(math.log(MISS) / math.log1p(-held / (2 * length + n - held)))
 
 
 class Scanner:
@@ -122,7 +121,7 @@ class Scanner:
         self.classes: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
         for length, members in sorted(classes.items()):
             bands = max(bands_needed(len(self.sets[t]), length, threshold) for t in members)
-            signatures = np.stack([_slices()[_positions(self.sets[t]), :bands].min(axis=0) for t in members])
+            signatures = np.stack([_slices(bands)[_positions(self.sets[t])].min(axis=0) for t in members])
             marks = np.zeros(1 << UNIVERSE_BITS, bool)
             marks[signatures.reshape(-1)] = True
             self.classes[length] = (members, signatures, marks)
@@ -134,7 +133,7 @@ class Scanner:
         step = max(longest, step // longest * longest)
         for base in range(0, len(run) if self.classes else 0, step):
             # the blocks at the base of the next part close this part's last windows
-            blocks, length = _slices()[_positions(run[base : base + step + longest]), : self.width], 1
+            blocks, length = _slices(self.width)[_positions(run[base : base + step + longest])], 1
             while True:
                 if length in self.classes:
                     members, signatures, marks = self.classes[length]

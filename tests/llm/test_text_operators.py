@@ -126,6 +126,14 @@ def test_licenses_are_found_anywhere(spark, rows):
     assert "GPL-3.0-header" in share(len(words) - 5) and "GPL-3.0-header" not in share(len(words) // 2)
 
 
+def test_license_bands_keep_the_miss_rate_at_any_threshold():
+    for threshold in (0.3, 0.5, 0.8):
+        template = " ".join(f"w{k}" for k in range(33 + 4))
+        _, signatures, _ = licenses.Scanner({"T": template}, threshold).classes[64]
+        held = -(-33 * round(10 * threshold) // 10)
+        assert (1 - held / (128 + 33 - held)) ** signatures.shape[1] <= licenses.MISS
+
+
 def test_license_scan(spark, docs, empty, rows):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty).count() == 0
     tagged = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat_ws("\n", "text", F.lit(licenses.TEMPLATES["MIT"]))).otherwise(F.col("text")))
