@@ -1,19 +1,33 @@
 """URL filtering: explicit rules, and association rules mined by FP-growth.
 
 Explicit rules name a host (with its subdomains) and the start of a path; the
-longest that fits wins.  For all other URLs the verdict is the mined one: URLs
-are turned into tokens, FP-growth finds the token combinations that go with the
-label ``block``, combinations are pruned by support and confidence, and a URL is
-blocked if it holds one of them.  Matching is by inverted index: each rule is
-filed under its rarest token, and a URL looks up only the rules of its own
-tokens.
-
-What FP-growth returns is bounded by the support it is asked for, whatever the
-size of the input, so the rules are a constant of the plan.
+longest that fits wins.  All other URLs are judged by mined rules:
+
+1. A URL becomes tokens in *strata* of bounded size: the top-level domain, the
+   name before it and what is left of it, with three segments of the path a
+   stratum.  A combination lies within one stratum, so it has ``DEPTH`` tokens at
+   most, and a URL of any depth gives one basket for each three segments.
+2. FP-growth over the baskets of labelled URLs finds frequent combinations that
+   go with the label ``block``.  They are pruned by support, by confidence on
+   balanced classes (as if both labels were equally frequent, since explicit rules
+   name far more of one kind), and by lift over *all* URLs: the share of blocked
+   ones among all that hold the combination, against the share among all URLs, so
+   that what is common everywhere isn't blocked for want of a counterexample.
+3. A URL is blocked if it holds one of the combinations.  Matching is by inverted
+   index: each combination is filed under its rarest token, and a URL looks up
+   only those of its own tokens.
+
+A basket has 2^DEPTH combinations, and each of them that is found is in
+``min_support`` of the labelled URLs, so there are at most 2^DEPTH / min_support of
+them for each stratum that an average URL has (12,800 at the defaults), whatever
+the size of the input.  Only combinations that pass all pruning reach the driver.
 
 Defined results: a null URL and one without ``://`` have an empty host and path,
-fit no explicit rule, have no tokens and are allowed; repeated rows are judged
-each; further columns pass through; an empty table gives an empty table.
+fit no explicit rule, have no tokens and are allowed; of two rules of equal length
+the one given last wins; without labels of both kinds nothing is mined; repeated
+rows count as often as they occur and are judged each; further columns pass
+through, but a column with the name of one that is added (``ADDED``) gives way to
+it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,8 +39,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_TOKENS = 0.005, 0.9, 2
+from .store import materialize
+
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_TOKENS = 0.005, 0.9, 1.5, 2
+#: Segments of the path in a stratum, and tokens in one at most.
+SEGMENTS, DEPTH = 3, 6
 BLOCK, ALLOW = "=block", "=allow"
+ADDED = ("host", "path", "rule", "verdict", "mined")
 
 # fixed values: verdict, host, start of the path
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -55,30 +74,67 @@ def explicit_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return text, verdict
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """Host labels (``h:``) and path segments (``p:``), numbers as their first digit and length."""
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
-    segments = F.transform(
-        F.split(path, "/"),
-        lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("n:"), F.substring(x, 1, 1), F.lit("*"), F.length(F.regexp_extract(x, "^[0-9]+", 0)).cast("string"))).otherwise(F.concat(F.lit("p:"), x)),
-    )
-    return F.array_distinct(F.filter(F.concat(labels, segments), lambda x: ~x.isin("h:", "p:")))
+def strata(host: Column, path: Column) -> Column:
+    """The tokens of a URL, an array for each stratum; none without a host.
+
+    A token begins with the number of its stratum.  Segments that begin with a
+    digit count by that digit and their number of digits.
+    """
+    labels = F.reverse(F.split(host, r"\."))
+    sub = F.array_join(F.reverse(F.slice(labels, 3, 1_000_000)), ".")
+    names = F.array(F.concat(F.lit("t:"), F.get(labels, 0)), F.concat(F.lit("d:"), F.coalesce(F.get(labels, 1), F.lit(""))), F.concat(F.lit("s:"), sub))
+    shape = lambda x: F.concat(F.lit("n:"), F.substring(x, 1, 1), F.lit("*"), F.length(F.regexp_extract(x, "^[0-9]+", 0)).cast("string"))
+    segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]"), shape(x)).otherwise(F.concat(F.lit("p:"), x)))
+    of = F.struct(F.filter(names, lambda x: ~x.isin("t:", "d:", "s:")).alias("names"), segments.alias("segments"))
+
+    def cut(s: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(s["segments"]) - 1, F.lit(0)), F.lit(SEGMENTS))
+        one = lambda i: F.concat(s["names"], F.slice(s["segments"], i + 1, SEGMENTS))
+        return F.transform(numbers, lambda i: F.array_distinct(F.transform(one(i), lambda t: F.concat((i / SEGMENTS).cast("int").cast("string"), F.lit("|"), t))))
+
+    return F.when(host == "", F.array().cast("array<array<string>>")).otherwise(F.transform(F.array(of), cut)[0])
+
+
+def _indexed(rules: DataFrame) -> DataFrame:
+    """``rules`` (``no, tokens``, the rarest token first) as an index ``token, no, rest``; its size has the bound of the module."""
+    return F.broadcast(rules.select(F.get("tokens", 0).alias("token"), "no", F.slice("tokens", 2, DEPTH).alias("rest")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_tokens: int = MIN_TOKENS) -> list[tuple[str, ...]]:
-    """Token combinations (of ``tokens, label``) that go with the label ``block``; none contains another.
+def mine(
+    labelled: DataFrame, everything: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_tokens: int = MIN_TOKENS
+) -> list[tuple[str, ...]]:
+    """Token combinations that go with the label ``block``; none contains another.
 
-    Each is filed under its first token, the rarest.
+    ``labelled`` holds ``strata, label``, ``everything`` the ``strata`` of all URLs.
+    Each combination begins with its rarest token.
     """
-    baskets = labelled.select(F.array_append("tokens", F.when(F.col("label") == "block", F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    if baskets.filter(F.array_contains("items", BLOCK)).isEmpty():
+    count = labelled.agg(F.count_if(F.col("label") == "block").alias("block"), F.count_if(F.col("label") == "allow").alias("allow"), F.sum(F.size("strata")).alias("baskets")).first()
+    blocked, allowed = count["block"], count["allow"]
+    if not blocked or not allowed or not count["baskets"]:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & ~F.array_contains("antecedent", ALLOW) & (F.size("antecedent") >= min_tokens)).select("antecedent").collect()
+    label = F.when(F.col("label") == "block", F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    baskets = materialize(labelled.filter(F.col("label").isNotNull()).select(F.explode("strata").alias("items"), label.alias("label")).select(F.array_append("items", F.col("label")).alias("items")), "url-baskets")
+    # a rule's confidence c has the odds c / (1 - c) = balanced odds * blocked / allowed
+    odds = min_confidence / max(1e-9, 1 - min_confidence) * blocked / allowed
+    model = FPGrowth(itemsCol="items", minSupport=min_support * (blocked + allowed) / count["baskets"], minConfidence=odds / (1 + odds)).fit(baskets)
+    found = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & ~F.array_contains("antecedent", ALLOW) & (F.size("antecedent") >= min_tokens)).select("antecedent")
+    # frequent tokens: at most 1 / min_support a stratum; as a map they order each rule by rarity
     counts = {r["item"]: r["freq"] for r in model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq").collect()}
-    found = {frozenset(r["antecedent"]) for r in rules}
-    least = [x for x in found if not any(frozenset(y) in found for k in range(1, len(x)) for y in combinations(x, k))]
-    return sorted(tuple(sorted(x, key=lambda t: (counts.get(t, 0), t))) for x in least)
+    rarest = F.create_map(*(F.lit(x) for kv in sorted(counts.items()) for x in kv))
+    ordered = F.transform(F.array_sort(F.transform("antecedent", lambda t: F.struct(F.element_at(rarest, t).alias("n"), t.alias("t")))), lambda x: x["t"])
+    rules = materialize(found.select(F.xxhash64(ordered).alias("no"), ordered.alias("tokens")), "url-rules")
+
+    held = everything.select(F.flatten("strata").alias("tokens"))
+    total = everything.count()
+    hits = held.select(F.explode("tokens").alias("token"), "tokens").join(_indexed(rules), "token").filter(F.size(F.array_except("rest", "tokens")) == 0)
+    totals = hits.groupBy("no").agg(F.count("*").alias("holders"))
+    block_hits = labelled.filter(F.col("label") == "block").select(F.flatten("strata").alias("tokens"))
+    block_hits = block_hits.select(F.explode("tokens").alias("token"), "tokens").join(_indexed(rules), "token").filter(F.size(F.array_except("rest", "tokens")) == 0)
+    lifted = block_hits.groupBy("no").agg(F.count("*").alias("blocked")).join(totals, "no")
+    lifted = lifted.filter(F.col("blocked") * total >= min_lift * blocked * F.col("holders")).join(rules, "no").select("tokens").collect()
+    known = {frozenset(r["tokens"]): tuple(r["tokens"]) for r in lifted}
+    least = [t for x, t in known.items() if not any(frozenset(y) in known for k in range(1, len(x)) for y in combinations(x, k))]
+    return sorted(least)
 
 
 def matches(tokens: Column, rules: Sequence[tuple[str, ...]]) -> Column:
@@ -88,23 +144,27 @@ def matches(tokens: Column, rules: Sequence[tuple[str, ...]]) -> Column:
     index: dict[str, list[tuple[str, ...]]] = {}
     for rule in rules:
         index.setdefault(rule[0], []).append(rule[1:])
-    filed = F.create_map(*(x for t, rest in sorted(index.items()) for x in (F.lit(t), F.array(*(F.array(*(F.lit(w) for w in r)) for r in rest)))))
+    filed = F.create_map(*(x for t, rest in sorted(index.items()) for x in (F.lit(t), F.array(*(F.array(*(F.lit(w) for w in r)).cast("array<string>") for r in rest)))))
     return F.exists(tokens, lambda t: F.coalesce(F.exists(F.element_at(filed, t), lambda rest: F.size(F.array_except(rest, tokens)) == 0), F.lit(False)))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, **limits) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, mined``.
 
-    ``labels`` (``url, label``) are what is mined.  Without them the explicit
-    rules label all of the pages themselves, those that no rule names counting
-    as allowed, so that a combination must be rare outside the blocked pages.
+    ``labels`` (``url, label``) are what is mined; without them it is the pages
+    that an explicit rule names, with its verdict.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
-    judged = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "__explicit": verdict, "__tokens": tokens(F.col("host"), F.col("path"))})
+    rule, verdict = explicit_rule(F.col("__host"), F.col("__path"), rules)
+    added = {"__host": host, "__path": path}
+    judged = pages.withColumns(added).withColumns({"__rule": rule, "__explicit": verdict, "__strata": strata(F.col("__host"), F.col("__path"))})
+    facts = materialize(judged.select(F.col("__strata").alias("strata"), F.col("__explicit").alias("label")), "url-strata")
     if labels is None:
-        learned = judged.select(F.col("__tokens").alias("tokens"), F.col("__explicit").alias("label"))
+        learned = facts.filter(F.col("label").isNotNull())
     else:
-        learned = labels.select(tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label")
-    mined = matches(F.col("__tokens"), mine(learned, **limits))
-    return judged.withColumn("mined", mined).withColumn("verdict", F.coalesce("__explicit", F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow")))).drop("__explicit", "__tokens")
+        learned = labels.select(strata(host_of(F.col("url")), path_of(F.col("url"))).alias("strata"), "label")
+    mined = matches(F.flatten("__strata"), mine(learned, facts, **limits))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ADDED]
+    judged = judged.withColumn("__mined", mined)
+    final = F.coalesce("__explicit", F.when(F.col("__mined"), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), final.alias("verdict"), F.col("__mined").alias("mined"))
