@@ -17,15 +17,24 @@ its group, so links are found in two steps that lose no component:
 
 1. each band's nodes are compared with the band's most central node (the one
    with most company in all its bands), and components are formed;
-2. in bands that still hold several components, pairs of *different* components
-   that pass the sketch and length bounds are compared, once per pair.
+2. in bands that still hold several components, the nodes outside the band's
+   largest one are compared with all nodes of *other* components that pass the
+   sketch and length bounds, once per pair.  Both sides of a band are cut into
+   tiles of ``TILE`` nodes, so that a hot band is many tasks.
 
-Every link is confirmed on the full shingle sets before it counts.
+Every link is confirmed on the full shingle sets before it counts.  Only the
+texts of candidates are shuffled: a table of bits of fixed size (``SLOTS``),
+broadcast at any size of the input, drops nearly all others in the scan, and an
+exact join drops the rest.
+
+What stays quadratic: nodes of one band that all lie in different components, as
+each of them may link with each; they are compared by sketch, tile by tile.
 
 Defined results: null or word-less texts have no shingles, link with nothing and
 are kept; null ids are kept apart from the minimum unless all ids of a component
 are null; rows with equal ids and texts are each returned; further columns of
-the input are ignored; an empty table gives an empty table.
+the input, whatever their names, are ignored (``without_near_duplicates`` keeps
+them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,11 +55,15 @@ from .store import materialize
 from .words import LOWER
 
 SHINGLE = 5
+#: Least similarity of near copies; ``op8_minhash_near_dedup`` asks for 0.85.
+THRESHOLD = 0.8
 UNIVERSE_BITS = 20
 COORDINATES = 768
 MOST_ROWS = 8
 MISS, SKETCH_MISS = 1.1e-5, 1e-4
 PLANE = COORDINATES // 64
+#: Words of the table of bits (64 each), and nodes on a side of a tile of the second step.
+SLOTS, TILE = 1 << 20, 1024
 SEED = 20240229
 _M64 = (1 << 64) - 1
 _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -80,6 +93,7 @@ def sketch_limit(threshold: float) -> int:
 
 
 BANDS, ROWS = banding(0.85)
+KEY = "__near_key"
 
 
 class _WordHashes(dict):
@@ -198,12 +212,24 @@ def _alike(a: str, b: str, threshold: float) -> Column:
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {apart} <= {sketch_limit(percent / 100)}")
 
 
+def _maybe_among(rows: DataFrame, wanted: DataFrame, name: str = "id") -> DataFrame:
+    """``rows`` without most of those whose ``name`` isn't in ``wanted``.
+
+    Ids are hashed to one of ``64 * SLOTS`` bits; the broadcast side is at most
+    ``SLOTS`` words, whatever the number of ids.
+    """
+    slot, bit = F.pmod(F.xxhash64(name), F.lit(SLOTS)), F.pmod(F.shiftright(F.xxhash64(name), 32), F.lit(64)).cast("int")
+    bits = wanted.select(slot.alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
+    hit = rows.withColumn("__slot", slot).join(F.broadcast(bits), "__slot").filter(F.call_function("getbit", F.col("__bits"), bit) == 1)
+    return hit.drop("__slot", "__bits")
+
+
 def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The edges whose full shingle sets reach ``threshold``."""
     edges = materialize(edges, "candidates")
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    wanted = ends.join(nodes.select("fp", "rep"), "fp").select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    wanted = materialize(ends.join(nodes.select("fp", "rep"), "fp").select(F.col("rep").alias("id")).distinct(), "wanted")
+    texts = _maybe_among(docs, wanted).join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     sets = texts.mapInArrow(_full_sets, "fp binary, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "shingle-sets")
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
@@ -213,7 +239,29 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: f
     return materialize(both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
+def _tiled(open_: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs ``a, b`` of ``open_`` (``band, fp, root, n, sketch, bands, nth``) whose roots differ.
+
+    Of two roots one isn't the band's largest; that node is on the left.  A tile
+    is a part of the left nodes against a part of all; a pair meets in one tile.
+    """
+    sizes = open_.groupBy("band", "root").agg(F.count("*").alias("size"))
+    bands = sizes.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("top"))
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / TILE)).cast("int")
+    bands = bands.select("band", F.col("top.root").alias("top"), parts(F.col("all")).alias("rights"), parts(F.col("all") - F.col("top.size")).alias("lefts"))
+    placed = materialize(open_.join(bands, "band"), "open-bands")
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = placed.filter("root <> top").withColumn("left", part("lefts")).withColumn("right", every("rights")).alias("x")
+    y = placed.withColumn("right", part("rights")).withColumn("left", every("lefts")).alias("y")
+    first_shared = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.nth")
+    tile = (F.col("x.band") == F.col("y.band")) & (F.col("x.left") == F.col("y.left")) & (F.col("x.right") == F.col("y.right"))
+    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.fp") < F.col("y.fp"))
+    pairs = x.join(y, tile & (F.col("x.root") != F.col("y.root")) & once & _alike("x", "y", threshold) & first_shared)
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -241,12 +289,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 
     placed = shared.select("band", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = placed.join(mixed, "band").join(nodes.select("fp", "n", "sketch", "bands"), "fp")
-    open_ = materialize(open_.withColumn("nth", F.array_position("bands", F.col("band"))), "open-bands")
-    x, y = open_.alias("x"), open_.alias("y")
-    first_shared = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.nth")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y", threshold) & first_shared)
-    more = _confirmed(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")), nodes, docs, threshold)
+    open_ = placed.join(mixed, "band").join(nodes.select("fp", "n", "sketch", "bands"), "fp").withColumn("nth", F.array_position("bands", F.col("band")))
+    more = _confirmed(_tiled(open_, threshold), nodes, docs, threshold)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 
@@ -265,20 +309,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     )
 
 
-def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component, the one of the least id; all columns stay.
 
     Rows are told apart by id and text, so an id that has several texts loses
     only those that are near copies; of rows that share id and text one stays.
     """
-    checksum = F.xxhash64(text)
-    named = docs.select(F.struct(F.col(id).alias("id"), checksum.alias("sum")).alias("key"), F.col(text).alias("text"))
-    judged = near_duplicates(named, "key", "text", threshold)
+    key = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("sum"))
+    judged = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", threshold)
     judged = materialize(judged.groupBy("key", "kept").agg(F.count("*").alias("rows")), "near-duplicates")
-    key = F.struct(F.col(id).alias("id"), checksum.alias("sum"))
-    left = docs.join(judged.filter("not kept").select("key"), key.eqNullSafe(F.col("key")), "left_anti")
-    often = judged.filter("kept and rows > 1").select("key")
-    if often.isEmpty():
-        return left
-    repeated = left.join(often, key.eqNullSafe(F.col("key")), "left_semi").dropDuplicates([id, text])
-    return left.join(often, key.eqNullSafe(F.col("key")), "left_anti").unionByName(repeated)
+    of = lambda rows: rows.select(F.col("key").alias(KEY))
+    keyed = docs.drop(KEY).withColumn(KEY, key)
+    left = keyed.join(of(judged.filter("not kept")), KEY, "left_anti")
+    often = of(judged.filter("kept and rows > 1"))
+    if not often.isEmpty():
+        repeated = left.join(often, KEY, "left_semi").dropDuplicates([KEY])
+        left = left.join(often, KEY, "left_anti").unionByName(repeated)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
