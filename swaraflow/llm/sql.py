@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import merkle, mixing
+from . import host_rules, merkle, mixing
 
-_SECTION = "list_transform(list_filter(regexp_split_to_array({t}, '\\n\\n+'), lambda s: s <> ''), lambda s: list_transform(regexp_extract_all(s, '" + merkle.PIECE + "'), lambda p: substr(md5(p), 1, 8)))"
-_DIGESTS = "list_transform({x}, lambda s: substr(md5(array_to_string(s, '')), 1, 8))"
-_PRINT = "md5(coalesce(array_to_string(" + _DIGESTS + ", ''), '') || '|' || md5({t})) || coalesce(array_to_string(list_transform({x}, lambda s: ' ' || substr(md5(array_to_string(s, '')), 1, 8) || ':' || array_to_string(s, '')), ''), '')"
+_PIECES = "regexp_extract_all({t}, '" + merkle.PIECE + "')"
+_ENDS = "list_filter(range(1, len({p}) + 1), lambda i: contains({p}[i], chr(10) || chr(10)) or i = len({p}))"
+_LEAVES = "list_transform(range(1, len({e}) + 1), lambda k: list_transform({p}[(case when k = 1 then 1 else {e}[k - 1] + 1 end):{e}[k]], lambda x: md5(x)))"
+_SECTIONS = "list_transform({l}, lambda x: md5('section' || array_to_string(x, '')))"
+_PRINT = (
+    "md5('root' || coalesce(array_to_string({s}, ''), '')) || coalesce(array_to_string(list_transform(range(1, len({s}) + 1), "
+    "lambda k: ' ' || substr({s}[k], 1, 8) || ':' || array_to_string(list_transform({l}[k], lambda x: substr(x, 1, 8)), '')), ''), '')"
+)
 _NEAR = "case when len({a}) + len({b}) = 0 then 1.0::double else 2.0::double * len(list_intersect({a}, {b})) / (len({a}) + len({b})) end"
 
 
-
 def _fill(pattern: str, **values: str) -> str:
     for name, value in values.items():
         pattern = pattern.replace("{" + name + "}", value)
@@ -19,13 +23,15 @@ def _fill(pattern: str, **values: str) -> str:
 
 FINGERPRINTS = f"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
-pairs as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as after from texts window w as (order by doc_id nulls first, text)),
+pairs as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as after from texts window w as (order by doc_id nulls first, md5(text))),
 edits as (select *, substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2) as edited from pairs),
-trees as (select *, {_fill(_SECTION, t="text")} as own, {_fill(_SECTION, t="edited")} as changed, {_fill(_SECTION, t="after")} as next_tree from edits),
-sets as (select *, list_distinct(flatten(own)) as a, list_distinct(flatten(changed)) as b, list_distinct(flatten(next_tree)) as c from trees)
-select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_fill(_PRINT, t="text", x="own")} as fingerprint, {_fill(_PRINT, t="edited", x="changed")} as edited_fingerprint,
+cut as (select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_fill(_PIECES, t="text")} as p1, {_fill(_PIECES, t="edited")} as p2, {_fill(_PIECES, t="after")} as p3 from edits),
+ends as (select *, {_fill(_ENDS, p="p1")} as e1, {_fill(_ENDS, p="p2")} as e2, {_fill(_ENDS, p="p3")} as e3 from cut),
+leaves as (select doc_id, n_chars, edited_sha256, {_fill(_LEAVES, p="p1", e="e1")} as l1, {_fill(_LEAVES, p="p2", e="e2")} as l2, {_fill(_LEAVES, p="p3", e="e3")} as l3 from ends),
+trees as (select *, {_fill(_SECTIONS, l="l1")} as s1, {_fill(_SECTIONS, l="l2")} as s2, list_distinct(flatten(l1)) as a, list_distinct(flatten(l2)) as b, list_distinct(flatten(l3)) as c from leaves)
+select doc_id, n_chars, edited_sha256, {_fill(_PRINT, s="s1", l="l1")} as fingerprint, {_fill(_PRINT, s="s2", l="l2")} as edited_fingerprint,
   {_fill(_NEAR, a="a", b="b")} as near_edited, {_fill(_NEAR, a="a", b="c")} as near_next
-from sets"""
+from trees"""
 
 MIX = f"""
 with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORDS}')) as size, md5('1:' || coalesce(doc_id::varchar, '')) as draw from documents),
@@ -45,3 +51,57 @@ lines as (select d.*, p.shard_size, p.shard_blocks, least(p.shard_blocks * {mixi
   from dealt d join split p on d.source is not distinct from p.source and d.shard = p.shard)
 select doc_id, size, source_size, round(target, 6) as target, (case when shard_size > 0 then goal // shard_size * size + greatest(0, least(size, goal % shard_size - before)) else 0 end)::bigint as taken, source, shard, shard_blocks
 from lines"""
+
+_MEASURED = """
+texts as (select doc_id, source as host, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+runs as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as run from texts, lateral (select unnest(range(1, len(w) - 3)) as i)),
+often as (select doc_id, i from runs qualify count(*) over (partition by doc_id, run) > 1),
+covered as (select doc_id, count(distinct i + k) as n from often, (select unnest(range(5)) as k) group by 1),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from texts),
+doubled as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+measured as (
+  select t.doc_id, host, len(w) as n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(d.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+  from texts t left join doubled d on t.doc_id = d.doc_id left join covered c on t.doc_id = c.doc_id)"""
+
+
+def _prior(x: str) -> str:
+    """Mean and strength of one rule's prior over the table ``counts``."""
+    most, least = host_rules.MOST_STRENGTH, host_rules.LEAST_STRENGTH
+    return f"""{x}_sums as (select sum({x}) / sum(n) as mean, sum(n) as docs, count(*) as hosts, sum(n * n)::double as squared, sum({x} * {x} / n) as spread from counts),
+{x}_share as (select mean, mean * (1 - mean) as noise, docs - squared / docs - (hosts - 1) as room, spread - docs * mean * mean - mean * (1 - mean) * (hosts - 1) as excess from {x}_sums),
+{x}_prior as (select mean, case when noise * room > 1e-9 and excess / (noise * room) > 1 / (1 + {most}) then greatest({least}, (1 - excess / (noise * room)) / (excess / (noise * room))) else {most} end as strength from {x}_share)"""
+
+
+def _host_rules() -> str:
+    rules, base = host_rules.RULES, " or ".join(host_rules.BASE.values())
+    names = ["any_failed", *(f"soft_{r}" for r in rules)]
+    tests = [f"({base} or {' or '.join(f'{x.score} > {x.hard}' for x in rules.values())}) as any_failed", *(f"({x.score} > {x.soft}) as soft_{r}" for r, x in rules.items())]
+    rate = lambda x: f"(({x} + (select mean * strength from {x}_prior)) / (n + (select strength from {x}_prior)))"
+    spread = lambda x: f"sqrt(rate_{x} * (1 - rate_{x}) / (n + (select strength from {x}_prior) + 1))"
+    limit = lambda r, x: f"{x.hard} - ({x.hard} - {x.soft}) * case when {spread('soft_' + r)} > 0 then 1 / (1 + exp(-{host_rules.SLOPE} * (rate_soft_{r} - (select mean from soft_{r}_prior)) / {spread('soft_' + r)})) else 0.5 end as limit_{r}"
+    return f"""
+with {_MEASURED},
+tested as (select *, ({base}) as base_failed, {", ".join(tests)} from measured),
+counts as (select host, count(*) as n, {", ".join(f"sum({x}::int) as {x}" for x in names)} from tested group by 1),
+{", ".join(map(_prior, names))},
+rates as (select *, {", ".join(f"{rate(x)} as rate_{x}" for x in names)} from counts),
+verdicts as (select *, rate_any_failed - {host_rules.SURE} * {spread("any_failed")} > 0.5 as host_dropped, {", ".join(limit(r, x) for r, x in rules.items())} from rates)
+select t.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_dropped and not ({" or ".join(f"{x.score} > limit_{r}" for r, x in rules.items())}) as kept,
+  t.host, round(rate_any_failed, 6) as host_rate, {", ".join(f"round(limit_{r}, 6) as limit_{r}" for r in rules)}
+from tested t join verdicts v on t.host is not distinct from v.host"""
+
+
+HOST_RULES = _host_rules()
+
+NEAR = """
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common c join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c.n >= 85 * (p.n + q.n - c.n)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ways union select r.x, b.y from reach r join both_ways b on r.y = b.x),
+roots as (select x, min(y) as root from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id, coalesce(root, d.doc_id) >= d.doc_id as kept
+from documents d left join sizes s on d.doc_id = s.doc_id left join roots r on d.doc_id = r.x"""
