@@ -12,9 +12,9 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import gates, metrics, mixture, monitor, panel, parameters, voices
 from ..sources import manifests
+from ..sources.shared import shared_dir
 from ..streaming import ingest
 from .registry import query, table
-from .text_queries import work_dir
 
 CONTRACT = K.Contract()
 BASE = CONTRACT.snac_base
@@ -426,7 +426,7 @@ def target_voices(spark, folder):
 @query("select count(*) as n, sum(n_chars) as chars, count(*) filter (where lang = 'en') as english from documents where n_chars between 360 and 7200")
 def stream_ingest_gate(spark, folder):
     docs = table(spark, folder, "documents")
-    place = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs.repartition(4).write.parquet(f"{place}/in")
 
     def gate(rows: DataFrame) -> DataFrame:

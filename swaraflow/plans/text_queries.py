@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import gates, lookups, routing, voices
 from ..sources import manifests, scan
+from ..sources.shared import shared_dir
 from .registry import query, table
 
 LATIN_SQL = T.LATIN_WORD.replace("'", "''")
@@ -266,7 +267,7 @@ def ordinal_scan(spark, folder):
 def manifest_roundtrip(spark, folder):
     items = chosen(spark, folder).select("bucket", "id", "clip_key", F.sha2("text", 256).alias("text_sha256"))
     header = spark.createDataFrame([(n, retained) for n, (_, _, retained) in routing.catalogue().items()], "bucket string, is_retention boolean")
-    path = f"{work_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
     manifests.write(items, header, path)
     return manifests.read(spark, path).select("manifest", "id", "clip_key", "text_sha256")
 
@@ -287,15 +288,3 @@ def greedy_pack_longform(spark, folder):
     speaker = F.when(F.col("source_hf_path") == ANCHOR, F.lit("Anagha")).otherwise(F.lit("Chinmay"))
     prompts = routing.longform(rows.select(speaker.alias("speaker"), F.col("clip_key").alias("ord"), F.col("text").alias("text_normalized")))
     return prompts.select("id", "speaker", F.sha2("text", 256).alias("text_sha256"), "target_seconds")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's checkpoints; a new one where none is set."""
-    import tempfile
-
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="swaraflow-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
