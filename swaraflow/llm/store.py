@@ -3,33 +3,47 @@
 An operator that uses a costly intermediate result twice writes it here as
 Parquet and reads it back: the lineage ends at files that outlive executors,
 and Catalyst can prune the columns of the result and knows its size.
+
+An operator's result reads such tables until it is written itself; whoever
+writes it does so within :func:`scratch`, which then removes them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from ..sources.shared import shared_dir
 
+_scopes: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new one."""
-    context = spark.sparkContext
-    path = context.getConf().get(SETTING) or spark.conf.get(SETTING, None)
-    if not path:
-        path = context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="swaraflow-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
 
+def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns it as read back.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it as read back."""
+    The table goes with the innermost scope of :func:`scratch`, or the one around it if it is to outlive that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/swaraflow/{name}-{uuid.uuid4().hex}"
+    around = _scopes[:-1] if outlive else _scopes
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are written inside, at the end."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
