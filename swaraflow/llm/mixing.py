@@ -7,18 +7,21 @@
 2. The mix is a number of blocks of equally many words.  They go to sources by the
    highest quotients target / (2k + 1).  The threshold quotient is narrowed by
    counting seats over the table of sources; only seats around it are listed.
-3. A source's documents are dealt to shards by a hash of the id, and its blocks are
-   split over its shards in proportion (cumulative rounding, so nothing is lost).
+3. A source's documents are dealt to shards by a hash of id and text, and its blocks
+   are split over its shards in proportion (cumulative rounding, so nothing is lost).
 4. In a shard, documents in seeded order form a line of words; whole rounds of it
    are taken first, then blocks from its start.  Only the document where the last
    block ends is taken in part.
 
 No source or shard meets in one task: a hot source has as many shards as its rows
-call for.  Tables of sources and shards are small beside the documents.
+call for, and rows that share id, text and source are one group, cut into chunks
+that are dealt apart.  The table of sources, a row for each, is ordered in one
+task: that is meant for sources up to some millions, not for hosts of the web.
 
 Defined results: null or word-less texts have size 0 and nothing is taken of them;
-a null source comes last; repeated rows are documents of their own; columns other
-than id, text and source are ignored; an empty table gives an empty table.
+a null source comes last; repeated rows are documents of their own, next to each
+other in the line; ties of quotients go to the first source; columns other than
+id, text and source are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``source, rows, source_size, weight, target`` of ``source, size`` rows."""
-    sources = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
+    """``source, rows, source_size, weight, target`` of ``source, size, copies`` rows."""
+    sources = sizes.groupBy("source").agg(F.sum("copies").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
     sources = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(nth - 1, F.lit(len(weights))) + 1))
     everything = Window.partitionBy()
@@ -84,11 +87,15 @@ def sainte_lague(targets: DataFrame, seats: int, grid: int = 32, passes: int = 1
     return held.join(won, F.col("source").eqNullSafe(F.col("winner")), "left").withColumn("blocks", F.col("sure") + F.coalesce("more", F.lit(0))).drop("winner", "more", "sure", "possible")
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = 1, chunk: int = SHARD_ROWS) -> DataFrame:
     """``id, source, size, source_size, target, taken, shard, shard_blocks``; ``taken`` is at most ``most`` times ``size``."""
     count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
-    rows = materialize(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), count.alias("size"), draw.alias("draw")), "mix-sizes")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), count.alias("size"), draw.alias("draw")).groupBy("id", "source", "size", "draw").agg(F.count("*").alias("copies"))
+    # a chunk of equal rows is dealt as one; the first chunk by the draw itself
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(chunk).cast("long")))
+    rows = rows.withColumn("from", starts).withColumn("copies", F.least(F.lit(chunk).cast("long"), F.col("copies") - F.col("from")))
+    rows = materialize(rows.withColumn("draw", F.when(F.col("from") > 0, F.md5(F.concat("draw", F.col("from").cast("string")))).otherwise(F.col("draw"))), "mix-sizes")
     targets = materialize(source_targets(rows, weights, share, most), "mix-targets")
     facts = targets.agg(F.sum("rows").alias("rows"), F.sum("source_size").alias("size")).first()
     total, words = facts["rows"] or 0, facts["size"] or 0
@@ -98,14 +105,15 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     quotas = materialize(quotas.select(F.col("source").alias("of"), "source_size", "target", "blocks", shards.alias("shards")), "mix-quotas")
 
     dealt = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.expr("cast(pmod(cast(conv(substring(draw, 1, 8), 16, 10) as bigint), shards) as int)"))
-    parts = dealt.groupBy("of", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
+    parts = dealt.groupBy("of", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
     so_far = F.sum("shard_size").over(Window.partitionBy("of").orderBy("shard"))
     upto = lambda words: F.when(F.col("source_size") > 0, F.floor(F.col("blocks") * (words / F.col("source_size")) + 0.5)).otherwise(0).cast("long")
     parts = parts.withColumn("upto", so_far).select(F.col("of").alias("part_of"), F.col("shard").alias("part"), "shard_size", (upto(F.col("upto")) - upto(F.col("upto") - F.col("shard_size"))).alias("shard_blocks"))
 
-    line = Window.partitionBy("source", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "shard").orderBy("draw", "id", "size", "from").rowsBetween(Window.unboundedPreceding, -1)
     mixed = dealt.join(parts, F.col("source").eqNullSafe(F.col("part_of")) & (F.col("shard") == F.col("part")))
-    mixed = mixed.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("goal", F.least(F.col("shard_blocks") * block, most * F.col("shard_size")))
+    mixed = mixed.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(line), F.lit(0))).withColumn("goal", F.least(F.col("shard_blocks") * block, most * F.col("shard_size")))
+    mixed = mixed.withColumn("nth", F.explode(F.expr("sequence(0L, copies - 1)"))).withColumn("before", F.col("before") + F.col("nth") * F.col("size"))
     taken = F.when(F.col("shard_size") > 0, F.expr("goal div shard_size * size + greatest(0L, least(size, goal % shard_size - before))")).otherwise(F.lit(0)).cast("long")
     return mixed.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"), "shard", "shard_blocks")
 
