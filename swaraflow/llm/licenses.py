@@ -1,14 +1,18 @@
 """License notices found by MinHash bands over overlapping windows.
 
 Templates of n shingles (five words each) are grouped into classes by the next
-power of two L >= n.  Texts' shingles are cut into blocks of L, and every two
-neighbouring blocks form a window of 2L, so any run of L shingles lies within
-one window.  A window that holds 80 % of a template, k = ceil(0.8 n) shingles, is
-similar to it by J >= k / (2L + n - k).  Each class gets so many bands of one
-circulant MinHash coordinate that (1 - J) ** bands <= 1e-9 for its templates
-(30 to 89 bands for the templates below): windows that matter share a band with their template but for
-one in a thousand million.  What is retrieved is verified exactly, within one
-text: the share of the template's shingles that the window holds.
+power of two L >= n.  Texts' shingles are cut into blocks of L, and every three
+neighbouring blocks form a window of 3L, so any run of 2L + 1 shingles lies within
+one window: a notice may be stretched by insertions to twice its length.  A window
+that holds 80 % of a template, k = ceil(0.8 n) shingles, is similar to it by
+J >= k / (3L + n - k).  Each class gets so many bands of one circulant MinHash
+coordinate that (1 - J) ** bands <= 1e-9 for its templates, so windows that matter
+share a band with their template but for one in a thousand million.  What is
+retrieved is verified exactly, within one text: the share of the template's
+shingles that the window holds.
+
+A template of fewer than five words is one shingle of as many words, and every
+place where a text has these words is looked up exactly.
 
 The texts of a batch are laid end to end, so that NumPy works on long arrays; a
 window over the seam of two texts is verified for each of them.
@@ -16,15 +20,20 @@ window over the seam of two texts is verified for each of them.
 Words are runs of letters, digits and bytes beyond ASCII, lower-cased, so that
 punctuation and line breaks don't matter.
 
-Defined results: null, empty and short texts give no rows; a text gives one row
-per template, for its best window (ties: the first); repeated rows give repeated
-results; the columns of the input other than id and text are ignored; an empty
-table, or no templates, gives an empty table.
+Defined results: null and empty texts give no rows; a text gives one row for each
+occurrence of a template, in order of their first words; of verified windows whose
+occurrences overlap the one with the higher containment counts (ties: the first);
+occurrences that lie in one window are told apart where the template's order
+starts again, and one whose order is mixed up counts as a whole; a template
+without words never matches; repeated rows give repeated results; the columns of
+the input other than id and text are ignored; an empty table, or no templates,
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -43,6 +52,8 @@ MISS = 1e-9
 UNIVERSE_BITS = 20
 SEED = 47
 THRESHOLD = 0.8
+#: Blocks of a window.
+WINDOW = 3
 
 # fixed values: standard notices of public licenses
 TEMPLATES: dict[str, str] = {
@@ -83,19 +94,28 @@ def _slices(width: int) -> np.ndarray:
     return sliding_window_view(np.concatenate([universe, universe[: width - 1]]), width)
 
 
-def shingle_run(text: bytes | None) -> np.ndarray:
-    """The hashes of the text's shingles, in order."""
+def word_run(text: bytes | None) -> np.ndarray:
+    """The hashes of the text's words, in order."""
     words = (text or b"").translate(LOWER).translate(_WORDS).split()
-    if len(words) < SHINGLE:
+    return np.array(list(map(_memo().__getitem__, words)), np.uint64)
+
+
+def grams(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The hashes of all runs of ``n`` words."""
+    last = len(h) - n + 1
+    if last < 1:
         return np.empty(0, np.uint64)
-    h = np.array(list(map(_memo().__getitem__, words)), np.uint64)
-    last = len(h) - SHINGLE + 1
     out = h[:last].copy()
-    for i in range(1, SHINGLE):
+    for i in range(1, n):
         out = (out ^ (out >> np.uint64(31))) * np.uint64(_MIX1) + h[i : i + last]
     return (out ^ (out >> np.uint64(29))) * np.uint64(_MIX2)
 
 
+def shingle_run(text: bytes | None) -> np.ndarray:
+    """The hashes of the text's shingles, in order."""
+    return grams(word_run(text))
+
+
 def _positions(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
 
@@ -103,7 +123,7 @@ def _positions(hashes: np.ndarray) -> np.ndarray:
 def bands_needed(n: int, length: int, threshold: float) -> int:
     """Bands that retrieve a window with ``threshold`` of a template's n shingles, but for a chance of ``MISS``."""
     held = math.ceil(threshold * n - 1e-9)
-    return math.ceil(math.log(MISS) / math.log1p(-held / (2 * length + n - held)))
+    return math.ceil(math.log(MISS) / math.log1p(-held / (WINDOW * length + n - held)))
 
 
 class Scanner:
@@ -112,7 +132,15 @@ class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.names = sorted(templates)
-        self.sets = [np.unique(shingle_run(templates[n].encode())) for n in self.names]
+        runs = {n: word_run(templates[n].encode()) for n in self.names}
+        #: Of each length below a shingle's: its templates by hash.
+        self.short: dict[int, dict[int, str]] = defaultdict(dict)
+        for n, words in runs.items():
+            if 0 < len(words) < SHINGLE:
+                self.short[len(words)].setdefault(int(grams(words, len(words))[0]), n)
+        #: Of each template: its shingles in order, and as a set.
+        self.orders = [grams(runs[n]) for n in self.names]
+        self.sets = [np.unique(x) for x in self.orders]
         classes = defaultdict(list)
         for t, s in enumerate(self.sets):
             if len(s):
@@ -133,45 +161,73 @@ class Scanner:
         step = max(longest, step // longest * longest)
         for base in range(0, len(run) if self.classes else 0, step):
             # the blocks at the base of the next part close this part's last windows
-            blocks, length = _slices(self.width)[_positions(run[base : base + step + longest])], 1
+            part = run[base : base + step + (WINDOW - 1) * longest]
+            blocks, length = _slices(self.width)[_positions(part)], 1
             while True:
                 if length in self.classes:
                     members, signatures, marks = self.classes[length]
                     own = blocks[:, : signatures.shape[1]]
-                    windows = np.minimum(own[:-1], own[1:]) if len(own) > 1 else own
+                    windows = own[: step // length].copy()
+                    for k in range(1, WINDOW):
+                        later = own[k : k + len(windows)]
+                        np.minimum(windows[: len(later)], later, out=windows[: len(later)])
                     for w in np.flatnonzero(marks[windows].any(axis=1)).tolist():
                         for t in np.flatnonzero((signatures == windows[w]).any(axis=1)).tolist():
                             start = base + w * length
-                            yield members[t], start, min(len(run), start + 2 * length)
+                            yield members[t], start, min(len(run), start + WINDOW * length)
                 if length == longest:
                     break
                 odd = blocks[len(blocks) // 2 * 2 :]
                 blocks, length = np.concatenate([np.minimum(blocks[0:-1:2], blocks[1::2]), odd]), 2 * length
 
+    def occurrences(self, t: int, part: np.ndarray) -> list[tuple[float, int, int]]:
+        """Containment, first shingle and number of words of the occurrences of template ``t`` in a window."""
+        wanted, order = self.sets[t], self.orders[t]
+        at = np.flatnonzero(np.isin(part, wanted))
+        share = lambda i: len(np.unique(part[i])) / len(wanted)
+        if not len(at) or share(at) < self.threshold:
+            return []
+        sort = np.argsort(order, kind="stable")
+        places = sort[np.searchsorted(order[sort], part[at])]  # where in the template a shingle stands first
+        again = np.flatnonzero(places[1:] <= places[:-1]) + 1
+        pieces = [i for i in np.split(at, again) if share(i) >= self.threshold] or [at]
+        return [(share(i), int(i[0]), int(i[-1] - i[0]) + SHINGLE) for i in pieces]
+
     def scan_all(self, texts: Sequence[bytes | None]) -> list[list[tuple[str, float, int, int]]]:
-        """Per text the name, containment, first word and number of words of each template's best window."""
-        runs = [shingle_run(t) for t in texts]
+        """Per text the name, containment, first word and number of words of each occurrence of a template."""
+        words = [word_run(t) for t in texts]
+        runs = [grams(w) for w in words]
         ends = np.cumsum([len(r) for r in runs])
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        found: list[set[tuple[str, float, int, int]]] = [set() for _ in texts]
         for t, start, end in self.retrieved(np.concatenate(runs) if runs else np.empty(0, np.uint64)):
-            wanted = self.sets[t]
             i = int(np.searchsorted(ends, start, side="right"))
             while i < len(runs) and ends[i] - len(runs[i]) < end:
                 offset = int(ends[i]) - len(runs[i])
                 first = max(start - offset, 0)
-                part = runs[i][first : end - offset]
-                held = np.isin(part, wanted)
-                share = len(np.unique(part[held])) / len(wanted)
-                if share >= self.threshold and (t not in best[i] or (-share, first) < (-best[i][t][0], best[i][t][1])):
-                    at = np.flatnonzero(held)
-                    best[i][t] = (share, first + int(at[0]), int(at[-1] - at[0]) + SHINGLE)
+                found[i].update((self.names[t], share, first + at, n) for share, at, n in self.occurrences(t, runs[i][first : end - offset]))
                 i += 1
-        return [[(self.names[t], *b[t]) for t in sorted(b)] for b in best]
+        for i, w in enumerate(words):
+            for k, names in self.short.items():
+                hashes = grams(w, k)
+                for at in np.flatnonzero(np.isin(hashes, np.array(list(names), np.uint64))).tolist():
+                    found[i].add((names[int(hashes[at])], 1.0, at, k))
+        return [disjoint(f) for f in found]
 
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
         return self.scan_all([text])[0]
 
 
+def disjoint(found: set[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Of overlapping occurrences of one template the one of the highest containment, then the first and shortest."""
+    kept: dict[str, list[tuple[int, int, float]]] = defaultdict(list)  # by first word
+    for name, share, first, n in sorted(found, key=lambda h: (-h[1], h[2], h[3])):
+        i = bisect(kept[name], (first, math.inf))
+        clear = (i == 0 or sum(kept[name][i - 1][:2]) <= first) and (i == len(kept[name]) or first + n <= kept[name][i][0])
+        if clear:
+            kept[name].insert(i, (first, n, share))
+    return sorted(((name, share, first, n) for name, hits in kept.items() for first, n, share in hits), key=lambda h: (h[2], h[0]))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id, license, containment, first_word, n_words``."""
     templates = TEMPLATES if templates is None else templates
