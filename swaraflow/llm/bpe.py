@@ -9,12 +9,14 @@ are encoded one by one.  Texts of one chunk take the same steps in one go, and a
 text in which some overlap has no common boundary (a run of thousands of equal
 characters, say) is pre-tokenised whole.  Decoding concatenates the ids' bytes.
 
-Long texts are encoded once per distinct content; everything that meets in one
-task belongs to one text.
+The documents are read once: that pass encodes the texts of one chunk and cuts the
+others, in one go over each.  Long texts are encoded once per distinct content;
+everything that meets in one task belongs to one text.
 
 Defined results: a null text is an empty one (no ids); bytes that aren't UTF-8
-are read as U+FFFD; repeated rows are each returned; columns other than the id
-and text are ignored; an empty table gives an empty table.
+are read as U+FFFD; equal texts have equal results; repeated rows are each
+returned; columns other than the id and text are ignored, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -121,31 +123,50 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id: str = "do
 def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     if not 2 * LOOK_AHEAD < overlap <= chunk:
         raise ValueError("the overlap must exceed the look-ahead and be a chunk at most")
-    docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
     results = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids binary"
     names = [x.split()[0] for x in results.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.binary(),)
 
-    def emitted(c: Codec, key: pa.Array, name: str, found: Iterator[bytes]) -> pa.RecordBatch:
-        if not digest:
-            return pa.RecordBatch.from_arrays([key, pa.array(list(found), pa.binary())], names=[name, *names])
-        columns = list(zip(*(_digest(ids, c.decode(ids)) for ids in found), strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([key, *(pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=[name, *names])
+    def columns(c: Codec, found: Iterator[bytes | None]) -> list[pa.Array]:
+        """The result columns of encoded texts; nulls where there is none."""
+        rows = [(None,) * len(names) if ids is None else _digest(ids, c.decode(ids)) if digest else (ids,) for ids in found]
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
-    def whole(batches: Iterator[pa.RecordBatch], name: str = "id") -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of short texts; of a long one a row with its key, and its chunks."""
         c = codec(vocabulary, pattern)
-        for batch in sliced(batches):
-            yield emitted(c, batch.column(0), name, (c.encode(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)))
-
-    def whole_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return whole(batches, "key")
+        for batch in sliced(batches, 64):
+            encoded: list[bytes | None] = []
+            keys: list[str | None] = []
+            cuts: list[tuple[str, int, bool, bytes]] = []
+            for raw in batch.column(1):
+                whole = raw.as_py().decode("utf-8", "replace")
+                if len(whole) <= chunk:
+                    encoded.append(c.encode(whole))
+                    keys.append(None)
+                    continue
+                key = hashlib.sha256(whole.encode()).hexdigest()
+                encoded.append(None)
+                keys.append(key)
+                starts = range(0, max(1, len(whole) - overlap), chunk)
+                cuts += [(key, k, at == starts[-1], whole[at : at + chunk + overlap].encode()) for k, at in enumerate(starts)]
+            n, m = len(batch), len(cuts)
+            key, k, last, part = zip(*cuts, strict=True) if cuts else ((),) * 4
+            found = columns(c, iter([*encoded, *[None] * m]))
+            ids = pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]) if m else batch.column(0)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([*keys, *key], pa.string()), pa.array([*[None] * n, *k], pa.int32()), pa.array([*[None] * n, *last], pa.bool_()), pa.array([*[None] * n, *part], pa.binary()), *found],
+                names=["id", "key", "k", "last", "part", *names],
+            )
 
     def pretokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in sliced(batches, 16):
             rows = [batch.column(i) for i in range(batch.num_columns)]
-            texts = [t.decode("utf-8", "replace") for t in rows[3].to_pylist()]
+            texts = [t.decode("utf-8") for t in rows[3].to_pylist()]
             bounds = [trusted(c.boundaries(t), len(t), last) for t, last in zip(texts, rows[2].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*rows, pa.array(bounds, pa.list_(pa.int32()))], names=["key", "k", "last", "part", "bounds"])
 
@@ -160,34 +181,36 @@ def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str,
                     out.append(None)
                     continue
                 stop = bounds[-1] if after is None else end + chunk
-                out.append(c.encode_at(part.decode("utf-8", "replace"), [b for b in bounds if first <= b <= stop]))
+                out.append(c.encode_at(part.decode("utf-8"), [b for b in bounds if first <= b <= stop]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "k", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in sliced(batches, 16):
-            yield emitted(c, batch.column(0), "key", (b"".join(x.as_py()) for x in batch.column(1)))
-
-    length = F.length("text")
-    short = docs.filter(length <= chunk).select("id", F.col("text").cast("binary")).mapInArrow(whole, f"id {kind}, {results}")
-
-    long = docs.filter(length > chunk).withColumn("key", F.sha2("text", 256))
-    contents = long.groupBy("key").agg(F.first("text").alias("text"))  # equal keys have equal texts
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), length - overlap - 1), F.lit(chunk))
-    cut = contents.select("key", "text", F.posexplode(starts).alias("k", "start")).select(
-        "key", "k", (F.col("start") + chunk + overlap >= length).alias("last"), F.expr(f"substring(text, start + 1, {chunk + overlap})").cast("binary").alias("part")
-    )
-    cut = cut.filter("k = 0 or length(part) > 0")
-    parts = cut.mapInArrow(pretokenised, "key string, k int, last boolean, part binary, bounds array<int>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(c, (b"".join(x.as_py()) for x in batch.column(1)))], names=["key", *names])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary, pattern)
+        for batch in sliced(batches, 4):
+            texts = ([p.decode("utf-8") for p in x.as_py()] for x in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(c, (c.encode("".join([*(p[:chunk] for p in x[:-1]), x[-1]])) for x in texts))], names=["key", *names])
+
+    rows = materialize(docs.mapInArrow(read, f"id {kind}, key string, k int, last boolean, part binary, {results}"), "bpe-texts")
+    short = rows.filter("key is null").select("id", *names)
+    long = rows.filter("key is not null and k is null").select("id", "key")
+    # equal keys have equal texts, so first() is the same whichever row it takes
+    cuts = rows.filter("k is not null").groupBy("key", "k").agg(F.first("last").alias("last"), F.first("part").alias("part"))
+    parts = cuts.mapInArrow(pretokenised, "key string, k int, last boolean, part binary, bounds array<int>")
     order = Window.partitionBy("key").orderBy("k")
-    parts = parts.select("key", "k", "part", "bounds", F.lag("bounds").over(order).alias("before"), F.lead("bounds").over(order).alias("after"))
-    pieces = parts.mapInArrow(encoded, "key string, k int, ids binary")
-    found = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("ids", F.lit(b"")).alias("ids"))))["ids"].alias("ids"), F.bool_or(F.col("ids").isNull()).alias("open"))
-    found = materialize(found, "long-texts")
+    # two neighbours overlap from the cut on
+    before, after = F.lag(F.filter("bounds", lambda b: b >= chunk)).over(order), F.lead(F.filter("bounds", lambda b: b <= overlap)).over(order)
+    pieces = parts.select("key", "k", "part", "bounds", before.alias("before"), after.alias("after")).mapInArrow(encoded, "key string, k int, ids binary")
+    in_order = lambda c: F.sort_array(F.collect_list(F.struct("k", c)))  # noqa: E731  of one text
+    found = pieces.groupBy("key").agg(in_order(F.coalesce("ids", F.lit(b"")).alias("ids"))["ids"].alias("ids"), F.bool_or(F.col("ids").isNull()).alias("open"))
+    found = materialize(found, "bpe-pieces")
     stitched = found.filter("not open").select("key", "ids").mapInArrow(joined, f"key string, {results}")
     unresolved = found.filter("open").select("key")
     if not unresolved.isEmpty():
-        rest = contents.join(unresolved, "key", "left_semi").select("key", F.col("text").cast("binary"))
-        stitched = stitched.union(rest.mapInArrow(whole_by_key, f"key string, {results}"))
-    return short.unionByName(long.select("id", "key").join(stitched, "key").select("id", *names)).withColumnRenamed("id", id)
-
+        rest = rows.filter("k is not null").join(unresolved, "key", "left_semi").dropDuplicates(["key", "k"]).groupBy("key").agg(in_order("part")["part"].alias("parts"))
+        stitched = stitched.union(rest.mapInArrow(whole, f"key string, {results}"))
+    return short.unionByName(long.join(stitched, "key").select("id", *names)).withColumnRenamed("id", id)
