@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, id: str = "do
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     joined = texts.join(F.broadcast(rows), "id")  # the bound keeps this side to a few hundred kilobytes
     return materialize(joined.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
+
+
+def calibrating(id: str = "id"):
+    """The fifth of the training rows that calibrates and teaches nothing else, by a hash of the id."""
+    return F.crc32(F.concat(F.lit("calibrate"), F.col(id).cast("string"))) % 5 == 0
+
+
+def both_classes(y: np.ndarray, least: int = 1) -> bool:
+    return min((y > 0).sum(), (y <= 0).sum()) >= least

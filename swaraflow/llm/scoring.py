@@ -9,16 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a slice: a worker holds the texts of one slice as Python objects.
+SLICE = 256
 
-def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray], text: str = "text", name: str = "score") -> DataFrame:
-    """``docs``, all its columns kept, with a double column ``name``; an older one of that name gives way."""
-    docs = docs.drop(name)
-    columns = docs.columns
+
+def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray], text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
+    """``docs``, all its columns kept, with a double column ``name``; an older one of that name gives way.
+
+    The text crosses to Python once, as bytes, and back only if it is kept.
+    """
+    columns = [c for c in docs.columns if c != name or c == text]
+    at = columns.index(text)
+    back = [c for c in columns if c != name and (keep_text or c != text)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = score(batch.column(len(columns)).to_pylist()) if len(batch) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(values, pa.float64())], names=[*columns, name])
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+            values = score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in back), pa.array(values, pa.float64())], names=[*back, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col(text).cast("binary").alias("__bytes")).mapInArrow(scored, schema)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    schema = ", ".join([*(f"`{c}` {'binary' if c == text else kinds[c].simpleString()}" for c in back), f"`{name}` double"])
+    sent = docs.select(*(F.col(f"`{c}`").cast("binary") if c == text else F.col(f"`{c}`") for c in columns)).toDF(*columns)
+    found = sent.mapInArrow(scored, schema)
+    return found.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c == text else F.col(f"`{c}`") for c in back), F.col(f"`{name}`"))

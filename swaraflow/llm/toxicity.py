@@ -5,18 +5,20 @@ learned from labelled rows), lexicon words near a second-person word, capitals,
 exclamation and other punctuation, and words obfuscated by digits or signs.
 
 The lexicon and the trees are learned from a bounded sample of labelled rows
-(``labelled.BOUND``); a fifth of it, by hash of the id, is kept from the trees
-and calibrates them.  Without two classes of labels every score is the share of
-toxic labels (0 where there are none).
-
-Defined results: null texts score as empty ones; equal texts score alike;
-further columns pass through; an empty table gives an empty table.
+(``labelled.BOUND``); a fifth of it, by hash of the id, is kept from both and
+calibrates the trees (all of it teaches and calibrates where one of the parts has
+labels of one kind only).  Without two classes of labels every score is the share
+of toxic labels (0 where there are none).
+
+Defined results: null texts score as empty ones; equal texts score alike, so ties
+stay ties; repeated rows are each scored, and count once among the labelled ones;
+further columns pass through, but one with the name of the score gives way; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .labelled import BOUND, training_rows
-from .scoring import with_score
+from .labelled import BOUND, both_classes, calibrating, training_rows
+from .scoring import SLICE, with_score
 from .words import LETTERS_ONLY, LOWER, OBFUSCATED
 
 # fixed values: common English insults, and second-person words of the corpus' languages
@@ -99,8 +101,8 @@ _YOU = frozenset(w.encode() for w in SECOND_PERSON)
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[y > 0].update(set(plain_words(text or b"")))
+        for y, text in zip(batch.column(0), batch.column(1), strict=True):
+            counts[y.as_py() > 0].update(set(plain_words(text.as_py() or b"")))
     words = list(counts[0] | counts[1])
     yield pa.RecordBatch.from_arrays(
         [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "clean", "toxic"]
@@ -136,28 +138,29 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id: str = "doc_id", text: str = "text", bound: int = BOUND) -> ToxicityModel:
     rows = training_rows(docs, labels, target, id, text, bound)
-    lexicon = learn_lexicon(rows)
+    marked = rows.select(F.col("id").cast("string").alias("id"), "y", calibrating().alias("held")).collect()
+    parts = [np.array([r["y"] for r in marked if r["held"] == held]) for held in (False, True)]
+    apart = all(map(both_classes, parts))
+    lexicon = learn_lexicon(rows.filter(~calibrating()) if apart else rows)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = pa.array(lexicon.matrix(batch.column(2).to_pylist()).reshape(-1))
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+            flat = pa.array(lexicon.matrix(batch.column(3).to_pylist()).reshape(-1))
             offsets = pa.array(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "y", "held", "x"])
 
-    got = rows.select(F.col("id").cast("string"), "y", F.col("text").cast("binary")).mapInArrow(measured, "id string, y int, x array<double>").collect()
+    columns = rows.select(F.col("id").cast("string"), "y", calibrating().alias("held"), F.col("text").cast("binary"))
+    got = columns.mapInArrow(measured, "id string, y int, held boolean, x array<double>").collect()
     got.sort(key=lambda r: r["id"])
     y = np.array([r["y"] > 0 for r in got], float)
-    if len(set(y.tolist())) < 2:
+    if not both_classes(y):
         return ToxicityModel(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
     x = np.array([r["x"] for r in got], float)
-    held = np.array([zlib.crc32(b"calibrate" + r["id"].encode()) % 5 == 0 for r in got])
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.ones(len(y), bool)
-        trees = BoostedTrees().fit(x, y)
-    else:
-        trees = BoostedTrees().fit(x[~held], y[~held])
+    held = np.array([r["held"] for r in got]) if apart else np.ones(len(y), bool)
+    taught = ~held if apart else held
+    trees = BoostedTrees().fit(x[taught], y[taught])
     return ToxicityModel(lexicon, trees, Isotonic().fit(trees.raw(x[held]), y[held]))
 
 
-def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score") -> DataFrame:
-    return with_score(docs, model.score, text, name)
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
+    return with_score(docs, model.score, text, name, keep_text)
