@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize
+from .store import materialize, scratch
 from .words import LOWER
 
 SHINGLE = 5
@@ -226,7 +226,11 @@ def _maybe_among(rows: DataFrame, wanted: DataFrame, name: str = "id") -> DataFr
 
 def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The edges whose full shingle sets reach ``threshold``."""
-    edges = materialize(edges, "candidates")
+    with scratch(edges.sparkSession):
+        return _verified(materialize(edges, "candidates"), nodes, docs, threshold)
+
+
+def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
     wanted = materialize(ends.join(nodes.select("fp", "rep"), "fp").select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = _maybe_among(docs, wanted).join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
@@ -236,7 +240,7 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: f
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
     percent = round(100 * threshold)
     both = edges.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return materialize(both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    return materialize(both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links", outlive=True)
 
 
 def _tiled(open_: DataFrame, threshold: float) -> DataFrame:

@@ -42,13 +42,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _scored(toxicity.with_toxicity(docs, model), TOXIC_FROM)
+    return _scored(toxicity.with_toxicity(docs, model, keep_text=False), TOXIC_FROM)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _scored(quality.with_quality(docs, model), GOOD_FROM)
+    return _scored(quality.with_quality(docs, model, keep_text=False), GOOD_FROM)
 
 
 def _scored(scored: DataFrame, limit: float) -> DataFrame:

@@ -34,7 +34,7 @@ select doc_id, n_chars, edited_sha256, {_fill(_PRINT, s="s1", l="l1")} as finger
 from trees"""
 
 MIX = f"""
-with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORDS}')) as size, md5('1:' || coalesce(doc_id::varchar, '')) as draw from documents),
+with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORDS}')) as size, md5('1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as draw from documents),
 sources as (select source, count(*) as rows, sum(size)::bigint as source_size, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3)::int + 1]::double as weight from sizes group by source),
 caps as (select *, {mixing.SHARE}::double * sum(source_size) over () as mix, {mixing.MOST}.0::double * source_size as cap from sources),
 levels as (select *, cap / weight <= (mix - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as capped from caps),
