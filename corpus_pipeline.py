@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``; all but the last return the
 columns of ``documents``.
+
+Defined results: null and empty texts score as empty ones, are nobody's copy and
+have no words to mix, so the mix leaves them out; rows with null ids are judged by
+id and text like all others; of rows that share id and text the near-dedup stage
+keeps one; ties of scores are decided by the limits alone, ties of ids by text;
+columns besides those of ``documents`` pass through all stages but the last,
+whatever their names (one called as a stage's own internal column, ``__...``,
+excepted); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from pyspark.sql import functions as F
 
 from swaraflow.llm import bpe, mixing, neardup, quality, toxicity
 from swaraflow.llm.queries import GOOD_FROM, TOXIC_FROM, VOCABULARY, table
-from swaraflow.llm.store import materialize
+from swaraflow.llm.store import materialize, scratch
 
 #: Least similarity of the 5-word shingle sets of near copies; ``op8_minhash_near_dedup`` has its own, 0.85.
 NEAR_FROM = 0.8
@@ -60,5 +68,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), outlive=True)
     return docs
