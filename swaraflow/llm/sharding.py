@@ -2,8 +2,10 @@
 
 Each dimension is quantised to a few bits: a category by its place in a
 dictionary of the frequent values in order (values beyond the dictionary share
-the cells after it, by a checksum), a size by its binary exponent.  The cell's
-place on the Hilbert curve orders the documents, and equal runs of that order are
+the cells after it, by a checksum), a size by a log scale from the least size to
+the greatest.  Either is spread over all cells of its axis, so that no dimension
+is left to the curve's finest turns.  The cell's place on the Hilbert curve orders
+the documents, and equal runs of that order are
 the shards.  Neighbours on the curve differ in one coordinate by one, so a shard
 covers narrow ranges of all dimensions and a reader can skip most files for a
 filter on any of them (:func:`shard_ranges`).
@@ -22,6 +24,7 @@ ignored, whatever their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -80,17 +83,23 @@ def dictionary(rows: DataFrame, category: str, bits: int = BITS) -> tuple[list,
     return sorted((r[category] for r in top[: cells - tail]), key=lambda v: (v is not None, v)), tail
 
 
-def quantised_category(value: Column, values: Sequence, tail: int) -> Column:
-    cell = F.pmod(F.crc32(F.coalesce(value.cast("string"), F.lit(""))), F.lit(max(1, tail))).cast("int") + len(values)
+def quantised_category(value: Column, values: Sequence, tail: int, bits: int = BITS) -> Column:
+    cells = (1 << bits) - tail
+    cell = F.pmod(F.crc32(F.coalesce(value.cast("string"), F.lit(""))), F.lit(max(1, tail))).cast("int") + cells
     for i, v in enumerate(values):
-        cell = F.when(value.isNull() if v is None else value == F.lit(v), F.lit(i)).otherwise(cell)
+        cell = F.when(value.isNull() if v is None else value == F.lit(v), F.lit(i * cells // len(values))).otherwise(cell)
     return cell
 
 
-def quantised_number(value: Column, bits: int = BITS) -> Column:
-    """The binary exponent of a count (5 bits hold all that a text can have), clipped."""
-    exponent = F.floor(F.log2(F.greatest(F.coalesce(value, F.lit(0)), F.lit(1)).cast("double")))
-    return F.least(exponent, F.lit((1 << bits) - 1)).cast("int")
+def size_steps(least: int, most: int, bits: int = BITS) -> list[int]:
+    """The least size of each cell but the first; even on a log scale, whole numbers."""
+    cells = 1 << bits
+    return sorted({math.ceil(least * (most / least) ** (k / cells)) for k in range(1, cells)}) if most > least else []
+
+
+def quantised_number(value: Column, steps: Sequence[int]) -> Column:
+    """How many of the steps a number has reached."""
+    return F.size(F.filter(F.lit(list(steps)), lambda s: s <= value)) if steps else F.lit(0)
 
 
 def curve_place(coordinates: Sequence[Column], bits: int = BITS) -> Column:
@@ -115,8 +124,9 @@ def hilbert_shards(docs: DataFrame, shards: int, id: str = "doc_id", text: str =
     rows = docs.select(F.col(id).alias("id"), size.alias("size"), F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"), *(F.col(c).alias(n) for c, n in zip(categories, named, strict=True)))
     rows = materialize(rows, "shard-sizes")
     axes = [f"q{i}" for i in range(len(categories) + 1)]
-    cells = [quantised_category(F.col(n), *dictionary(rows, n, bits)) for n in named]
-    rows = rows.withColumns(dict(zip(axes, [*cells, quantised_number(F.col("size"), bits)], strict=True)))
+    cells = [quantised_category(F.col(n), *dictionary(rows, n, bits), bits) for n in named]
+    ends = rows.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
+    rows = rows.withColumns(dict(zip(axes, [*cells, quantised_number(F.col("size"), size_steps(ends["least"] or 1, ends["most"] or 1, bits))], strict=True)))
     rows = rows.withColumn("place", curve_place([F.col(a) for a in axes], bits)).withColumn("mix", F.xxhash64("id", "text_crc32", "size"))
     equal = ["place", "mix", "id", "text_crc32", "size", *axes, *named]
     # equal rows are one group, cut into chunks: neither a hot key nor a hot group meets in one task

@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -19,18 +22,30 @@ def test_curve_visits_neighbours(dims, bits):
     assert all(sum(abs(a - b) for a, b in zip(order[i], order[i + 1], strict=True)) == 1 for i in range(len(order) - 1))
 
 
-def brute_shards(rows, shards):
+def brute_cells(values, bits=5):
+    """Cell by value: all in order if they fit, else the most frequent in order and a checksum for the others."""
+    cells, counts = 1 << bits, Counter(values)
+    by_value = lambda v: (v is not None, v)
+    frequent = sorted(counts, key=lambda v: (-counts[v], by_value(v)))
+    tail = 0 if len(frequent) <= cells else cells // 4
+    known = sorted(frequent[: cells - tail], key=by_value)
+    return {v: known.index(v) * (cells - tail) // len(known) if v in known else cells - tail + zlib.crc32((v or "").encode()) % tail for v in counts}
+
+
+def brute_shards(rows):
+    langs, sources = (brute_cells([r[k] for r in rows]) for k in (2, 3))
+    sizes = [len((r[1] or "").encode()) + 1 for r in rows]
+    steps = {math.ceil(min(sizes) * (max(sizes) / min(sizes)) ** (k / 32)) for k in range(1, 32)}
     keyed = []
-    for i, text, lang, source, _ in rows:
-        size = len((text or "").encode()) + 1
-        point = [zlib.crc32((lang or "").encode()) % 16, zlib.crc32((source or "").encode()) % 16, min(15, size.bit_length() - 1)]
-        keyed.append((sharding.hilbert_index(point, 4), i, size, zlib.crc32((text or "").encode())))
+    for (i, text, lang, source, _), size in zip(rows, sizes, strict=True):
+        point = [langs[lang], sources[source], sum(s <= size for s in steps)]
+        keyed.append((sharding.hilbert_index(point, 5), i, size, zlib.crc32((text or "").encode())))
     return keyed
 
 
 def test_shards(spark, docs, rows):
     got = sharding.hilbert_shards(docs, 7).collect()
-    want = {i: (size, crc, place) for place, i, size, crc in brute_shards(rows, 7)}
+    want = {i: (size, crc, place) for place, i, size, crc in brute_shards(rows)}
     assert {r["doc_id"]: (r["size"], r["text_crc32"], r["place"]) for r in got} == want
     counts = Counter(r["shard"] for r in got)
     assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
@@ -38,20 +53,59 @@ def test_shards(spark, docs, rows):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
     ranked = [r["place"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
     assert ranked == sorted(ranked)
-    assert sorted(map(tuple, sharding.hilbert_shards(docs.repartition(5), 7).collect())) == sorted(map(tuple, got))
-    ranges = sharding.shard_ranges(sharding.hilbert_shards(docs, 7)).collect()
-    assert sum(r["rows"] for r in ranges) == len(rows) and all(r["least_q0"] <= r["most_q0"] for r in ranges)
+    assert sorted(map(str, sharding.hilbert_shards(docs.repartition(5), 7).collect())) == sorted(map(str, got))
+
+
+def test_shards_prune_filters(spark):
+    """Files that a reader must open for a filter on one dimension, against as many files of rows dealt at random."""
+    rng = random.Random(3)
+    langs, sources = ["de", "en", "es", "fr"], [f"src{i}" for i in range(20)]
+    data = [(i, "x" * int(2 ** rng.uniform(2, 13)), rng.choice(langs), rng.choice(sources)) for i in range(6000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    sharded = sharding.hilbert_shards(df, 64)
+    ranges = sharding.shard_ranges(sharded).collect()
+    assert sum(r["rows"] for r in ranges) == 6000 and sum(r["bytes"] for r in ranges) == sum(len(t) + 1 for _, t, _, _ in data)
+    held = defaultdict(list)
+    for r in sharded.collect():
+        held[r["shard"]].append(r)
+    for r in ranges:
+        for c in ("size", "c0", "c1", "q2"):
+            assert (r[f"least_{c}"], r[f"most_{c}"]) == (min(x[c] for x in held[r["shard"]]), max(x[c] for x in held[r["shard"]]))
+    opened = lambda column, low, high: sum(r[f"least_{column}"] <= high and r[f"most_{column}"] >= low for r in ranges)
+    # at random, each of 64 files of 94 rows holds every language, nearly every source's range and both ends of the sizes
+    assert sum(opened("c0", x, x) for x in langs) <= 0.6 * 4 * 64
+    assert sum(opened("c1", x, x) for x in sources) <= 0.6 * 20 * 64
+    assert opened("size", 4097, 1 << 30) <= 0.6 * 64 and opened("size", 0, 16) <= 0.6 * 64
+
+
+def test_values_beyond_the_dictionary_share_cells(spark):
+    data = [(i, "t", f"v{i % 50:02d}" if i % 3 else "hot", None) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = sharding.hilbert_shards(df, 4).collect()
+    cells = brute_cells([r[2] for r in data])
+    assert all(r["q0"] == cells[r["c0"]] for r in got) and max(cells.values()) < 32
+    assert {r["q1"] for r in got} == {0}
 
 
 def test_shards_of_odd_tables(spark, docs, empty):
     assert sharding.hilbert_shards(empty, 16).count() == 0
-    twice = docs.union(docs).withColumn("size", F.lit("clash")).withColumn("shard", F.lit(-1))
+    twice = docs.union(docs).withColumn("size", F.lit("clash")).withColumn("shard", F.lit(-1)).withColumn("place", F.lit("x")).withColumn("rows", F.lit("y"))
     got = sharding.hilbert_shards(twice, 16).collect()
     assert len(got) == 240 and Counter(r["shard"] for r in got) == Counter({s: 15 for s in range(16)})
     few = sharding.hilbert_shards(docs.limit(3), 16).collect()
     assert len({r["shard"] for r in few}) == 3 and all(r["slot"] == 0 for r in few)
 
 
+def test_equal_rows_are_cut_into_chunks(spark):
+    """A third of the rows with null ids and one text: several chunks, every slot once."""
+    data = [(None, "same", "en", "s")] * 100 + [(i, f"t{i}", "en", "s") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = sharding.hilbert_shards(df, 3, chunk=7).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(3) for k in range(100)]
+    assert sum(r["doc_id"] is None for r in got) == 100
+    assert sorted(map(str, sharding.hilbert_shards(df.repartition(3), 3, chunk=7).collect())) == sorted(map(str, got))
+
+
 # -- op9: mixing -------------------------------------------------------------------------------------
 
 
@@ -101,14 +155,14 @@ def test_sainte_lague_by_hand(spark, seats):
 
 def test_mixed_documents(spark, docs, rows):
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(docs).collect()}
-    mixed = mixing.mixed_documents(docs.withColumn("taken", F.lit("kept")))
-    assert mixed.columns == [*docs.columns, "taken"]
+    mixed = mixing.mixed_documents(docs.withColumn("taken", F.lit("kept")).withColumn("shard", F.lit("kept")).withColumn("draw", F.lit("kept")))
+    assert mixed.columns == [*docs.columns, "taken", "shard", "draw"]
     words = Counter()
     for r in mixed.collect():
         full = rows[r["doc_id"]][1]
-        assert full.startswith(r["text"])
+        assert full.startswith(r["text"]) and (r["taken"], r["shard"], r["draw"]) == ("kept",) * 3
         words[r["doc_id"]] += len(r["text"].encode().split())
-    # the pipeline seeds by id and text, so single documents may differ from the mix by id; sums per source don't
+    # the pipeline seeds by a key of id and text, so single documents may differ from the mix by id; sums per source don't
     assert sum(words.values()) == pytest.approx(sum(t for t, _ in taken.values()), abs=200) and all(n <= 2 * taken[i][1] for i, n in words.items())
 
 
@@ -116,22 +170,54 @@ def test_mix_of_odd_tables(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     wordless = docs.filter("doc_id in (7, 8, 9)")
     assert [r["taken"] for r in mixing.mix(wordless).collect()] == [0, 0, 0] and mixing.mixed_documents(wordless).count() == 0
-    twice = mixing.mix(docs.union(docs).withColumn("size", F.lit("clash"))).collect()
+    twice = mixing.mix(docs.union(docs).withColumn("size", F.lit("clash")).withColumn("copies", F.lit("clash"))).collect()
     assert len(twice) == 240 and all(r["taken"] <= 2 * r["size"] for r in twice)
 
 
+def test_mix_of_a_hot_key(spark):
+    """Null ids hold half of the rows, most of them with one text: chunks are dealt apart, nothing is lost."""
+    data = [(None, "a b c d e", "hot")] * 300 + [(None, f"w{i} x y", "hot") for i in range(100)] + [(i, "p q r s t u v", "cold") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(df, chunk=16).collect()
+    assert len(got) == 800 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    sizes = Counter()
+    taken = Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    target = brute_targets(sizes)
+    assert sizes == {"hot": 1800, "cold": 2800} and all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in sizes)
+    assert len({r["shard"] for r in got if r["source"] == "hot" and r["size"] == 5}) > 1
+
+
 # -- op10: Merkle fingerprints -----------------------------------------------------------------------
 
 
-def brute_fingerprint(text):
-    import hashlib
-    import re
+def brute_tree(text):
+    """By hand, character by character: pieces, sections of pieces, digests."""
+    cuts, pieces, run = set("\n.!?kvzjxq"), [], ""
+    for i, c in enumerate(text):
+        run += c
+        body = sum(x not in cuts for x in run)
+        ahead = text[i + 1] if i + 1 < len(text) else None
+        if ahead is None or (c in cuts and ahead not in cuts) or (body == 96 and c not in cuts and ahead not in cuts):
+            pieces.append(run)
+            run = ""
+    assert "".join(pieces) == text
+    sections, section = [], []
+    for k, p in enumerate(pieces):
+        section.append(hashlib.md5(p.encode()).hexdigest())
+        if "\n\n" in p or k == len(pieces) - 1:
+            sections.append(section)
+            section = []
+    return sections
+
 
-    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    leaves = [[md5(p)[:8] for p in re.findall(r"[^\n.!?]{1,32}[\n.!?]*|[\n.!?]+", s)] for s in re.split(r"\n\n+", text) if s]
-    sections = [md5("".join(s))[:8] for s in leaves]
-    root = md5("".join(sections) + "|" + md5(text))
-    return root + "".join(f" {d}:{''.join(s)}" for d, s in zip(sections, leaves, strict=True)), {x for s in leaves for x in s}
+def brute_fingerprint(text):
+    leaves = brute_tree(text)
+    sections = [hashlib.md5(("section" + "".join(s)).encode()).hexdigest() for s in leaves]
+    root = hashlib.md5(("root" + "".join(sections)).encode()).hexdigest()
+    return root + "".join(f" {d[:8]}:{''.join(x[:8] for x in s)}" for d, s in zip(sections, leaves, strict=True)), {x for s in leaves for x in s}
 
 
 def alike(a, b):
@@ -139,8 +225,6 @@ def alike(a, b):
 
 
 def test_fingerprints(spark, docs, rows):
-    import hashlib
-
     got = {r["doc_id"]: r for r in merkle.fingerprints(docs).collect()}
     texts = [r[1] or "" for r in rows]
     for i, t in enumerate(texts):
@@ -155,31 +239,84 @@ def test_fingerprints(spark, docs, rows):
 
 
 def test_fingerprints_tell_texts_apart(spark):
-    texts = ["a\n\nb", "a\n\n\nb", "a\nb", "", "\n\n", "ab. c", "ab.  c", "é" * 100, "é" * 99]
+    texts = ["a\n\nb", "a\n\n\nb", "a\nb", "b\n\na", "", "\n\n", "ab. c", "ab.  c", "é" * 100, "é" * 99, "x" * 300, "日" * 500]
     got = merkle.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert len({r["fingerprint"] for r in got}) == len(texts)
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: brute_fingerprint(t)[0] for i, t in enumerate(texts)}
+    assert len({r["fingerprint"][:32] for r in got}) == len(texts)
+
+
+def test_an_insertion_changes_few_leaves(spark):
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefghilmnoprstu kv") for _ in range(6000))  # no sentence, no line break
+    a, b = (set(brute_fingerprint(t)[1]) for t in (line, line[:50] + "INSERTED" + line[50:]))
+    assert len(a & b) >= len(a) - 3 and len(a) > 100
+
+
+@pytest.mark.parametrize("text_a, text_b, want", [
+    ("one. two.\n\nthree. four.", "one. two.\n\nthree. five.", [(1, "edited", 1, 1)]),
+    ("A.\n\nB.\n\nC.", "A.\n\nB.\n\nC.", []),
+    ("A.\n\nB.\n\nC.\n\n", "B.\n\nA.\n\nC.\n\n", [(0, "moved", 0, 0), (1, "moved", 0, 0)]),
+    ("a\n\nb", "a\n\n\nb", [(0, "edited", 0, 0)]),
+    ("A.\n\nC.", "A.\n\nB.\n\nC.", [(1, "missing", 0, -1)]),
+    ("A.\n\nB.\n\nC.", "A.\n\nC.", [(1, "edited", 0, 0)]),
+    ("X.\n\nX.\n\n", "X.\n\n", [(1, "edited", 0, 0)]),
+    ("one. two. three.", "one. three.", [(0, "edited", 1, 1)]),
+    ("one. three.", "one. two. three.", [(0, "edited", 1, 0)]),
+    ("", "a", [(0, "missing", 0, -1)]),
+])
+def test_edits_are_located(spark, text_a, text_b, want):
+    df = spark.createDataFrame([(text_a, text_b)], "a string, b string")
+    trees = df.select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    row = trees.select(merkle.edited_branches(F.col("a"), F.col("b")).alias("x"), (merkle.root(F.col("a")) == merkle.root(F.col("b"))).alias("same")).first()
+    assert [tuple(s) for s in row["x"]] == want and row["same"] == (text_a == text_b)
 
 
 def test_next_document_across_buckets(spark):
     rng = random.Random(2)
-    ids = sorted(rng.sample(range(-(10**12), 10**12), 700) + list(range(300)))
+    ids = sorted(rng.sample(range(-(10**12), 10**12), 700) + list(range(300)) + [2**63 - 1, -(2**63), 2**63 - 2])
     rows = [(i, f"t{i}") for i in ids]
     rng.shuffle(rows)
-    got = {r["id"]: r["next_text"] for r in merkle.with_next(spark.createDataFrame(rows, "id long, text string")).collect()}
-    assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+    for size in (16, 4096):
+        got = {r["id"]: r["next_text"] for r in merkle.with_next(spark.createDataFrame(rows, "id long, text string"), bucket_rows=size).collect()}
+        assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
+def test_next_document_of_strings(spark):
+    rng = random.Random(6)
+    ids = sorted({f"doc-{rng.randrange(10**9):09d}" for _ in range(500)} | {"doc-", "doc-é", "doc-zz"}, key=str.encode)
+    rows = [(i, "t" + i) for i in ids]
+    rng.shuffle(rows)
+    got = {r["id"]: r["next_text"] for r in merkle.with_next(spark.createDataFrame(rows, "id string, text string"), bucket_rows=20).collect()}
+    assert got == {i: "t" + ids[(k + 1) % len(ids)] for k, i in enumerate(ids)}
+    assert merkle.fingerprints(spark.createDataFrame([("only", "x")], "doc_id string, text string")).first()["near_next"] == 1.0
+
+
+def test_next_document_of_hot_ids(spark):
+    """A third of the rows without an id, a third with one id, many of them equal: the order of (id, digest) by hand."""
+    rng = random.Random(7)
+    rows = [(None, f"n{rng.randrange(40)}") for _ in range(200)] + [(5, f"f{rng.randrange(150)}") for _ in range(200)] + [(i, f"t{i}") for i in range(100, 300)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string")
+    for size in (8, 4096):
+        assert Counter((r["id"], r["text"], r["next_text"]) for r in merkle.with_next(df, bucket_rows=size).collect()) == want
+    distinct = merkle.with_next(df.distinct(), bucket_rows=8)
+    assert distinct.count() == len(set(rows))
 
 
 def test_fingerprints_of_odd_tables(spark, docs, empty):
     assert merkle.fingerprints(empty).count() == 0
     single = merkle.fingerprints(docs.filter("doc_id = 3")).first()
     assert single["near_next"] == 1.0
-    odd = spark.createDataFrame([(None, "n", 1), (5, "b", 1), (5, "a", 1), (5, "a", 1), (9, None, 1)], "doc_id long, text string, bucket int")
+    clash = docs.withColumn("bucket", F.lit("x")).withColumn("digest", F.lit("y")).withColumn("at", F.lit("z")).withColumn("id", F.lit("w")).withColumn("part", F.lit("v"))
+    assert sorted(map(str, merkle.fingerprints(clash).collect())) == sorted(map(str, merkle.fingerprints(docs).collect()))
+    odd = spark.createDataFrame([(None, None, 1), (5, "b", 1), (5, "a", 1), (9, "", 1)], "doc_id long, text string, bucket int")
+    by_digest = sorted("ab", key=lambda x: hashlib.md5(x.encode()).hexdigest())
     got = sorted((str(r["id"]), r["text"], r["next_text"]) for r in merkle.with_next(odd, "doc_id").collect())
-    assert got == [("5", "a", "a"), ("5", "a", "b"), ("5", "b", ""), ("9", "", "n"), ("None", "n", "a")]
+    assert got == sorted([("5", by_digest[0], by_digest[1]), ("5", by_digest[1], ""), ("9", "", ""), ("None", "", by_digest[0])])
 
 
-def test_edits_are_located(spark):
-    df = spark.createDataFrame([("one. two.\n\nthree. four.", "one. two.\n\nthree. five.")], "a string, b string")
-    trees = df.select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
-    found = trees.select(merkle.edited_branches(F.col("b"), F.col("a")).alias("x")).first()["x"]
-    assert [(s["section"], s["leaves"]) for s in found] == [(1, [1])]
+def test_a_piece_pattern_covers_every_text():
+    for text in ("", "\n", "abc", "q.q", "k" * 5 + "a" * 200 + "\n\n\n" + "é日😀"):
+        assert "".join(re.findall(merkle.PIECE, text)) == text
