@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .store import materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_TOKENS = 0.005, 0.9, 1.5, 2
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_TOKENS = 0.005, 0.9, 2.0, 2
 #: Segments of the path in a stratum, and tokens in one at most.
 SEGMENTS, DEPTH = 3, 6
 BLOCK, ALLOW = "=block", "=allow"
