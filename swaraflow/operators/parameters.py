@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,10 @@ def targets(spark: SparkSession, layers: int, mlp_range: tuple[int, int], attent
     return rows.withColumn("module", F.format_string("model.layers.%d.%s.%s", "layer", block, "projection"))
 
 
-def target_names(mlp_range: tuple[int, int], attention: tuple[str, ...] = ATTENTION, mlp: tuple[str, ...] = MLP) -> list[str]:
-    """Suffixes for attention, full names for the MLP layers of the range."""
-    first, last = mlp_range
-    if first > last:
-        raise ValueError(f"empty range of layers: {mlp_range}")
-    return [*attention, *(f"model.layers.{i}.mlp.{p}" for i in range(first, last + 1) for p in mlp)]
+def target_names(adapted: DataFrame, everywhere: Sequence[str] = ATTENTION) -> list[str]:
+    """What an adapter library is told to match, of the rows of :func:`targets`: a projection that is adapted in all layers by its name, others by module."""
+    named = adapted.select(F.when(F.col("projection").isin(*everywhere), F.col("projection")).otherwise(F.col("module")).alias("name"), "layer")
+    return [r["name"] for r in named.groupBy("name").agg(F.min("layer").alias("layer")).orderBy("layer", "name").collect()]
 
 
 def adapter_parameters(rows: DataFrame, hidden: int, heads: int, kv_heads: int, head_dim: int, intermediate: int, rank: int) -> DataFrame:

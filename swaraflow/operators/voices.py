@@ -5,18 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: language, its female and its male voice
-ROSTER = """
-as Prastuti Ankur, bn Ishita Sourav, brx Gwrbw Sansuma, doi Preeti Sham, gu Dhara Parth, hi Kavya Amit,
-kn Deepika Adarsh, ks Zoon Ishfaq, kok Anjali Sandeep, mai Vaidehi Madhukar, ml Lakshmi Kiran, mni Thoibi Chaoba,
-mr Anagha Chinmay, ne Srijana Sagar, or Itishree Akash, pa Kaur Manpreet, sa Bharati Aryaman, sat Phulmani Sibu,
-sd Moomal Rano, ta Anitha Arun, te Sravani Vamsi, ur Saba Zaid
-"""
-VOICES: dict[str, tuple[str, str]] = {
-    name: (language, gender)
-    for language, female, male in (x.split() for x in ROSTER.split(","))
-    for name, gender in ((female, "F"), (male, "M"))
-}
+# fixed values: name, native language and gender of the voices
+ROSTER: tuple[tuple[str, str, str], ...] = (
+    ("Prastuti", "as", "F"),
+    ("Ankur", "as", "M"),
+    ("Ishita", "bn", "F"),
+    ("Sourav", "bn", "M"),
+    ("Gwrbw", "brx", "F"),
+    ("Sansuma", "brx", "M"),
+    ("Preeti", "doi", "F"),
+    ("Sham", "doi", "M"),
+    ("Dhara", "gu", "F"),
+    ("Parth", "gu", "M"),
+    ("Kavya", "hi", "F"),
+    ("Amit", "hi", "M"),
+    ("Deepika", "kn", "F"),
+    ("Adarsh", "kn", "M"),
+    ("Zoon", "ks", "F"),
+    ("Ishfaq", "ks", "M"),
+    ("Anjali", "kok", "F"),
+    ("Sandeep", "kok", "M"),
+    ("Vaidehi", "mai", "F"),
+    ("Madhukar", "mai", "M"),
+    ("Lakshmi", "ml", "F"),
+    ("Kiran", "ml", "M"),
+    ("Thoibi", "mni", "F"),
+    ("Chaoba", "mni", "M"),
+    ("Anagha", "mr", "F"),
+    ("Chinmay", "mr", "M"),
+    ("Srijana", "ne", "F"),
+    ("Sagar", "ne", "M"),
+    ("Itishree", "or", "F"),
+    ("Akash", "or", "M"),
+    ("Kaur", "pa", "F"),
+    ("Manpreet", "pa", "M"),
+    ("Bharati", "sa", "F"),
+    ("Aryaman", "sa", "M"),
+    ("Phulmani", "sat", "F"),
+    ("Sibu", "sat", "M"),
+    ("Moomal", "sd", "F"),
+    ("Rano", "sd", "M"),
+    ("Anitha", "ta", "F"),
+    ("Arun", "ta", "M"),
+    ("Sravani", "te", "F"),
+    ("Vamsi", "te", "M"),
+    ("Saba", "ur", "F"),
+    ("Zaid", "ur", "M"),
+)
+VOICES: dict[str, tuple[str, str]] = {name: (language, gender) for name, language, gender in ROSTER}
 
 # fixed values: source -> how its rows name a voice
 ASSIGNMENT: dict[str, dict] = {
@@ -29,7 +65,7 @@ ASSIGNMENT: dict[str, dict] = {
 
 def roster(spark: SparkSession) -> DataFrame:
     """``name, language, gender`` of the 44 voices."""
-    return spark.createDataFrame([(n, *v) for n, v in VOICES.items()], "name string, language string, gender string")
+    return spark.createDataFrame(list(ROSTER), "name string, language string, gender string")
 
 
 def native_voices(language: str) -> list[str]:
