@@ -63,34 +63,45 @@ def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(values)
 
 
+_DELETED, _REPLACED = 1 << 20, 1 << 40
+
+
 def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
-    """Insertions, deletions, substitutions and hits of one minimal alignment.
+    """Insertions, deletions, substitutions and hits of one minimal alignment, in memory of one row.
 
-    Going back from the end, a match is preferred to a substitution, that to a
-    deletion, that to an insertion; the sum of the edits doesn't depend on it.
+    Each cell prefers a match to a substitution, that to a deletion, that to an
+    insertion; the sum of the edits doesn't depend on it.  The three counts of a
+    cell travel packed in one integer, so texts are held below 2^20 words a side.
     """
     n, m = len(reference), len(hypothesis)
+    if max(n, m) >= 1 << 20:
+        raise ValueError("texts of a million words and more aren't aligned")
     known = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     ref, hyp = (np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in (reference, hypothesis))
-    cost = np.empty((n + 1, m + 1), np.int64)
     across = np.arange(m + 1)
-    cost[0] = across
-    for i in range(1, n + 1):
-        row = np.minimum(cost[i - 1] + 1, np.concatenate(([i], cost[i - 1, :-1] + (hyp != ref[i - 1]))))
-        cost[i] = np.minimum.accumulate(row - across) + across
-    inserted = deleted = replaced = hits = 0
-    i, j = n, m
-    while i or j:
-        here = cost[i, j]
-        if i and j and ref[i - 1] == hyp[j - 1] and here == cost[i - 1, j - 1]:
-            hits, i, j = hits + 1, i - 1, j - 1
-        elif i and j and here == cost[i - 1, j - 1] + 1:
-            replaced, i, j = replaced + 1, i - 1, j - 1
-        elif i and here == cost[i - 1, j] + 1:
-            deleted, i = deleted + 1, i - 1
-        else:
-            inserted, j = inserted + 1, j - 1
-    return inserted, deleted, replaced, hits
+    cost, counts = across, across.copy()
+    for i, word in enumerate(ref, 1):
+        same = hyp == word
+        row = cost + 1
+        np.minimum(row[1:], cost[:-1] + ~same, out=row[1:])
+        row = np.minimum.accumulate(row - across) + across
+        made = counts + _DELETED
+        inserted = row != cost + 1
+        diagonal = row[1:] == cost[:-1] + ~same
+        made[1:] = np.where(diagonal, counts[:-1] + np.where(same, 0, _REPLACED), made[1:])
+        inserted[1:] &= ~diagonal
+        # an inserted cell counts on from the last one to its left that isn't
+        left = np.maximum.accumulate(np.where(inserted, 0, across))
+        cost, counts = row, made[left] + (across - left)
+    packed = int(counts[-1])
+    inserted, deleted, replaced = packed % _DELETED, packed // _DELETED % _DELETED, packed // _REPLACED
+    return inserted, deleted, replaced, n - deleted - replaced
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs of two arrays by position, as far as the shorter one goes: an array of structs ``left, right``."""
+    both = lambda s: F.zip_with(F.slice(s["a"], 1, s["n"]), F.slice(s["b"], 1, s["n"]), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+    return let(F.struct(a.alias("a"), b.alias("b"), F.least(F.size(a), F.size(b)).alias("n")), both)
 
 
 EDITS = StructType([StructField(n, IntegerType()) for n in ("insertions", "deletions", "substitutions", "hits", "ref_words")])

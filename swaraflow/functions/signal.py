@@ -6,13 +6,17 @@ A waveform is an ``array<float>`` of mono samples in -1..1 beside its rate.
 from __future__ import annotations
 
 import io
+import os
 import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, StructField, StructType
+
+from .text import slug
 
 FRAME_S, HOP_S = 0.025, 0.010
 FULL_SCALE, ROLLOFF = 0.999, 0.99
@@ -100,8 +104,62 @@ def pitch(samples: np.ndarray, rate: int, low: float = 65.0, high: float = 500.0
     return (float(np.mean(found)), float(np.std(found))) if found else (None, None)
 
 
-def decoded(target_rate: int, resampler: Callable[[np.ndarray, int, int], np.ndarray] = resample):
-    """Binary WAV cells -> struct ``samples, rate, native_rate``, resampled; null and broken cells give null."""
+def clamped(samples: Column) -> Column:
+    """Samples held to -1..1."""
+    return F.transform(samples, lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))
+
+
+def mel_bands(samples: np.ndarray, rate: int, bands: int = 80, width: int = 2048, hop: int = 256) -> np.ndarray:
+    """Decibels of ``bands`` triangular bands, even on the mel scale, over hopping frames: ``bands`` x frames."""
+    x = np.pad(np.asarray(samples, np.float64), width // 2)
+    count = max(1, 1 + (len(x) - width) // hop)
+    x = np.pad(x, (0, max(0, (count - 1) * hop + width - len(x))))
+    frames = np.lib.stride_tricks.sliding_window_view(x, width)[::hop][:count]
+    power = np.abs(np.fft.rfft(frames * np.hanning(width + 1)[:-1], axis=1)) ** 2
+    to_mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = 700 * (10 ** (np.linspace(0, to_mel(rate / 2), bands + 2) / 2595) - 1)
+    hz = np.fft.rfftfreq(width, 1 / rate)
+    rise, fall = ((hz - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - hz) / np.diff(edges)[1:, None])
+    return 10 * np.log10(np.maximum(0, np.minimum(rise, fall)) @ power.T + 1e-9)
+
+
+def mel_correlation(a: np.ndarray, b: np.ndarray, rate: int) -> float:
+    """Correlation of two decodes' mel bands over the frames that both have; NaN where one is constant."""
+    x, y = (mel_bands(s, rate) for s in (a, b))
+    n = min(x.shape[1], y.shape[1])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return float(np.corrcoef(x[:, :n].ravel(), y[:, :n].ravel())[0, 1])
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("first_seconds", "second_seconds", "mel_correlation")]))
+def decode_comparison(waves: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Two decodes of the same ids (``samples, samples, rate``): their durations and how alike they are; nulls where one is missing."""
+    for first, second, rates in waves:
+        rows = [(None,) * 3 if a is None or b is None else (len(a) / r, len(b) / r, mel_correlation(a, b, int(r))) for a, b, r in zip(first, second, rates, strict=True)]
+        yield pd.DataFrame(rows, columns=["first_seconds", "second_seconds", "mel_correlation"], dtype="float64")
+
+
+def write_waves(rows: DataFrame, path: str, rate: int) -> None:
+    """A WAV file for each row (``idx, text, samples`` and, for an A/B pair, ``stock_samples``), named by number and slug.
+
+    ``path`` must be a folder that all executors share.
+    """
+    pair = "stock_samples" in rows.columns
+    named = rows.select(F.format_string("%02d_%s", "idx", slug(F.col("text"))).alias("name"), "samples", *(["stock_samples"] if pair else []))
+
+    def write(found) -> None:
+        os.makedirs(path, exist_ok=True)
+        for r in found:
+            for suffix, column in (("", "samples"), ("_stock", "stock_samples"))[: 1 + pair]:
+                if r[column] is not None:
+                    with open(os.path.join(path, f"{r['name']}{suffix}.wav"), "wb") as out:
+                        out.write(encode(np.asarray(r[column]), rate))
+
+    named.foreachPartition(write)
+
+
+def decoded(target_rate: int | None, resampler: Callable[[np.ndarray, int, int], np.ndarray] = resample):
+    """Binary WAV cells -> struct ``samples, rate, native_rate``, resampled unless ``target_rate`` is None; null and broken cells give null."""
 
     @F.pandas_udf("samples array<float>, rate int, native_rate int")
     def convert(cells: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -110,18 +168,33 @@ def decoded(target_rate: int, resampler: Callable[[np.ndarray, int, int], np.nda
             for data in batch:
                 try:
                     x, rate = decode(data)
-                    rows.append((resampler(x, rate, target_rate), target_rate, rate))
+                    target = target_rate or rate
+                    rows.append((resampler(x, rate, target), target, rate))
                 except (TypeError, wave.Error, EOFError):
                     rows.append((None, None, None))
-            yield pd.DataFrame(rows, columns=["samples", "rate", "native_rate"])
+            yield pd.DataFrame(rows, columns=["samples", "rate", "native_rate"]).astype({"rate": "Int32", "native_rate": "Int32"})
 
     return convert
 
 
+@F.pandas_udf(BinaryType())
+def encoded(waves: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``samples, rate`` as WAV cells."""
+    for samples, rates in waves:
+        yield pd.Series([None if x is None else encode(np.asarray(x), int(r)) for x, r in zip(samples, rates, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def resampled(waves: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Samples at ``rate`` as samples at a target rate."""
+    for samples, rates, targets in waves:
+        yield pd.Series([None if x is None else resample(np.asarray(x, np.float32), int(r), int(t)) for x, r, t in zip(samples, rates, targets, strict=True)], dtype=object)
+
+
 @F.pandas_udf(StructType([*(StructField(n, DoubleType()) for n in ("duration_s", "snr_db", "clipping_ratio", "bandwidth_hz")), StructField("wideband", BooleanType())]))
 def clip_quality(waves: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for samples, rates in waves:
-        rows = [quality([] if x is None else x, int(r)) for x, r in zip(samples, rates, strict=True)]
+        rows = [quality([], 1) if x is None else quality(x, int(r)) for x, r in zip(samples, rates, strict=True)]
         yield pd.DataFrame(rows, columns=["duration_s", "snr_db", "clipping_ratio", "bandwidth_hz", "wideband"])
 
 
@@ -130,3 +203,10 @@ def prosody(waves: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
     for samples, rates in waves:
         rows = [(*pitch(x, int(r)), *energy_pause(x, int(r))) for x, r in zip(samples, rates, strict=True)]
         yield pd.DataFrame(rows, columns=["mean_f0", "f0_std", "energy_std", "pause_ratio"], dtype="float64")
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("energy_std", "pause_ratio")]))
+def energy_and_pauses(waves: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """:func:`energy_pause` of ``samples, rate, pause_db``."""
+    for samples, rates, limits in waves:
+        yield pd.DataFrame([energy_pause(x, int(r), float(d)) for x, r, d in zip(samples, rates, limits, strict=True)], columns=["energy_std", "pause_ratio"])

@@ -8,6 +8,8 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -32,11 +34,26 @@ def clean_text(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def cleaned(texts: pd.Series) -> pd.Series:
-    """:func:`clean_text` of a column. Python, as the JVM's Unicode tables differ and Spark has no NFC."""
+def _cleaned(texts: pd.Series) -> pd.Series:
     return texts.map(clean_text, na_action="ignore")
 
 
+#: Texts of these characters are in NFC and hold none of a category C* but line feeds.
+PLAIN = "^[\\n -~\u00a1-\u00ac\u00ae-\u02ff]*$"
+
+
+def cleaned(text: Column | str) -> Column:
+    """:func:`clean_text` of a column.
+
+    Texts of Latin letters below U+0300 take a path in the JVM.  Others go to
+    Python, as the JVM's Unicode tables differ and Spark has no NFC.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(PLAIN)
+    here = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "^[ \\n]+|[ \\n]+$", "")
+    return F.when(plain, here).otherwise(_cleaned(F.when(~plain, text)))
+
+
 def expanded_numbers(backend: Callable[[str, str], str], language: str):
     """A column function that puts each run of ASCII digits through ``backend``.
 
@@ -73,10 +90,26 @@ def latin_word_count(text: Column) -> Column:
 _LATIN = re.compile(LATIN_WORD)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())])))
-def latin_spans(texts: pd.Series) -> pd.Series:
-    """Each word with its offsets in code points. Python, as a fold over a long text would copy its spans at each word."""
-    return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m[0]} for m in _LATIN.finditer(t)], na_action="ignore")
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())]))
+
+
+@F.arrow_udf(SPANS)
+def latin_spans(texts: pa.Array) -> pa.Array:
+    """Each word with its offsets in code points.
+
+    Python, as a fold over a long text would copy its spans at each word; the
+    results of a batch are three flat arrays.
+    """
+    offsets, starts, words = [0], [], []
+    for t in texts:
+        for m in _LATIN.finditer(t.as_py() or ""):
+            starts.append(m.start())
+            words.append(m[0])
+        offsets.append(len(starts))
+    first = pa.array(starts, pa.int32())
+    text = pa.array(words, pa.string())
+    flat = pa.StructArray.from_arrays([first, pc.add(first, pc.utf8_length(text)), text], names=["start", "end", "text"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=texts.is_null())
 
 
 def script_tag(text: Column) -> Column:

@@ -6,9 +6,10 @@ by row in the scan's stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import let
@@ -197,6 +198,27 @@ def training_sequence(prompt_ids: Column, audio_ids: Column, contract: Contract,
     return let(F.struct(prompt_ids.alias("prompt"), audio_ids.alias("audio")), made)
 
 
+def prompt_and_audio(text_ids: Column, speaker_ids: Column, style_ids: Column, newline_ids: Column, audio_ids: Column, contract: Contract, stop_in_loss: bool = True) -> Column:
+    """A training sequence from its parts."""
+    return training_sequence(prompt(text_ids, speaker_ids, style_ids, newline_ids, contract), audio_ids, contract, stop_in_loss)
+
+
+def long_enough(audio_ids: Column, least: int = POSITIONS) -> Column:
+    """Whether a clip has a frame at all."""
+    return F.coalesce(F.size(audio_ids), F.lit(0)) >= least
+
+
+def examples(spark: SparkSession, rows: Iterable[tuple[list[int], list[int]]]) -> DataFrame:
+    """Compiled examples that are held in memory, as ``idx, input_ids, labels``."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, input_ids array<int>, labels array<int>")
+
+
+def same_sequence(a: Column, b: Column, base: int) -> Column:
+    """Struct ``same, tokens, frames`` of two generated sequences; ``same`` is false if one is missing."""
+    prefix = audio_prefix(a, base)
+    return F.struct(F.coalesce(a == b, F.lit(False)).alias("same"), F.size(a).alias("tokens"), frame_count(prefix).alias("frames"))
+
+
 def padded(values: Column, length: Column, pad: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(pad), F.greatest(length - F.size(values), F.lit(0))))
 

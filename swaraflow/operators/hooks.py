@@ -8,12 +8,12 @@ and task, so models load where they are used.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Tokenizer(Protocol):
@@ -32,14 +32,36 @@ class Embedder(Protocol):
     def __call__(self, samples: np.ndarray, rate: int) -> np.ndarray: ...
 
 
-def _with(rows: DataFrame, columns: str, call: Callable[[], Callable[[pd.Series], tuple]]) -> DataFrame:
+class FileTokenizer:
+    """A :class:`Tokenizer` over a raw vocabulary file (JSON of the tokenizers library)."""
+
+    unknown_id = None
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer as Raw
+
+        self.raw = Raw.from_file(path)
+
+    def id_of(self, token: str) -> int | None:
+        return self.raw.token_to_id(token)
+
+    def encode(self, text: str, add_special_tokens: bool = False) -> list[int]:
+        return self.raw.encode(text, add_special_tokens=add_special_tokens).ids
+
+    def vocabulary(self, spark: SparkSession) -> DataFrame:
+        """``token, id``, for ``functions.tokens.resolve``."""
+        return spark.createDataFrame(sorted(self.raw.get_vocab().items(), key=lambda kv: kv[1]), "token string, id int")
+
+
+def _with(rows: DataFrame, needed: Sequence[str], columns: str, start: Callable[[], Callable[..., Sequence[tuple]]]) -> DataFrame:
+    """``rows`` with what a callable returns for each batch of the needed columns, which it gets as lists."""
     names = [c.split()[0] for c in columns.split(", ")]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = call()
+        many = start()
         for batch in batches:
-            found = [one(row) for _, row in batch.iterrows()]
+            found = many(*(batch[c].tolist() for c in needed))
             for i, name in enumerate(names):
                 batch[name] = pd.Series([x[i] for x in found], index=batch.index, dtype=object)
             yield batch
@@ -48,34 +70,54 @@ def _with(rows: DataFrame, columns: str, call: Callable[[], Callable[[pd.Series]
 
 
 def tokenized(rows: DataFrame, factory: Callable[[], Tokenizer], text: str = "text") -> DataFrame:
-    def call():
+    def start():
         tokenizer = factory()
-        return lambda r: (tokenizer.encode(r[text]),)
+        return lambda texts: [(tokenizer.encode(t),) for t in texts]
 
-    return _with(rows, "text_ids array<int>", call)
+    return _with(rows, [text], "text_ids array<int>", start)
 
 
 def synthesized(rows: DataFrame, factory: Callable[[], Synthesizer]) -> DataFrame:
-    def call():
+    def start():
         speak = factory()
-        return lambda r: speak(r["text"], r["speaker"])
+        return lambda texts, speakers: [speak(*x) for x in zip(texts, speakers, strict=True)]
 
-    return _with(rows, "samples array<float>, token_ids array<int>, hit boolean", call)
+    return _with(rows, ["text", "speaker"], "samples array<float>, token_ids array<int>, hit boolean", start)
 
 
 def transcribed(rows: DataFrame, factory: Callable[[], Transcriber], rate: int, forward_language: bool = True) -> DataFrame:
-    """``forward_language=False`` leaves the language to the backend's default."""
+    """``forward_language=False`` leaves the language to the backend's default; a backend with ``transcribe_all`` gets a batch at once."""
+    forward = forward_language and "language_id" in rows.columns
 
-    def call():
+    def start():
         backend = factory()
-        return lambda r: (backend.transcribe(np.asarray(r["samples"]), rate, r.get("language_id") if forward_language else None),)
 
-    return _with(rows, "hypothesis string", call)
+        def many(samples, languages=None):
+            waves = [np.asarray(x) for x in samples]
+            languages = languages or [None] * len(waves)
+            if hasattr(backend, "transcribe_all"):
+                return [(t,) for t in backend.transcribe_all(waves, rate, languages)]
+            return [(backend.transcribe(x, rate, language),) for x, language in zip(waves, languages, strict=True)]
+
+        return many
+
+    return _with(rows, ["samples", *(["language_id"] if forward else [])], "hypothesis string", start)
 
 
 def embedded(rows: DataFrame, factory: Callable[[], Embedder], rate: int) -> DataFrame:
-    def call():
+    def start():
         embed = factory()
-        return lambda r: ([float(x) for x in embed(np.asarray(r["samples"]), rate)],)
+        return lambda samples: [([float(x) for x in embed(np.asarray(s), rate)],) for s in samples]
+
+    return _with(rows, ["samples"], "vector array<double>", start)
+
+
+def decoded_pairs(rows: DataFrame, first: Callable[[], Callable[[list[int]], np.ndarray]], second: Callable[[], Callable[[list[int]], np.ndarray]]) -> DataFrame:
+    """``rows`` (``token_ids``) decoded by two decoders, both held to -1..1: ``samples`` and ``stock_samples``."""
+
+    def start():
+        one, other = first(), second()
+        held = lambda x: np.clip(np.asarray(x, np.float32), -1.0, 1.0).tolist()
+        return lambda ids: [(held(one(list(i))), held(other(list(i)))) for i in ids]
 
-    return _with(rows, "vector array<double>", call)
+    return _with(rows, ["token_ids"], "samples array<float>, stock_samples array<float>", start)

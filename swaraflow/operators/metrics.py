@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +50,10 @@ def bootstrap(values: np.ndarray, statistic: Callable[[np.ndarray], float] = np.
 
 
 def bootstrap_ci(rows: DataFrame, by: str, value: str, order: str, seed: int = 0, **how) -> DataFrame:
-    """``by, point, low, high``. A group meets in one task: groups are evaluation buckets of tens of rows.
+    """``by, point, low, high``, resample by resample as :func:`bootstrap` draws them.
 
-    For values without such a bound use :func:`poisson_bootstrap_ci`.
+    A group meets in one task, in order: for buckets whose size is bounded, as
+    those of an evaluation are.  For others use :func:`split_bootstrap_ci`.
     """
 
     def interval(group: pd.DataFrame) -> pd.DataFrame:
@@ -60,30 +64,53 @@ def bootstrap_ci(rows: DataFrame, by: str, value: str, order: str, seed: int = 0
     return rows.select(by, value, order).groupBy(by).applyInPandas(interval, f"`{by}` {kind}, point double, low double, high double")
 
 
-def poisson_bootstrap_ci(rows: DataFrame, by: str, value: str, key: str, resamples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """The same for groups of any size: each row counts Poisson(1) times in each resample, drawn by hash of its key.
+def _poisson_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts of each row in each resample, a function of the row's 64-bit key and the seed alone."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03) + (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    unit = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    limits = np.exp(-1) * np.cumsum([1 / math.factorial(k) for k in range(10)])
+    return np.searchsorted(limits, unit, side="right").astype(np.float64)
 
-    Only sums leave a task: ``resamples`` pairs a group.
+
+def split_bootstrap_ci(rows: DataFrame, by: str, value: str, key: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``by, point, low, high`` for groups of any size: each row counts Poisson(1) times in each resample, drawn by hash of its key.
+
+    A task reduces its rows to two sums for each group and resample, so a hot group
+    is many tasks and only sums are shuffled.
     """
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), "b"), F.lit(1 << 30)) / float(1 << 30)
-    limits, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(1, 9):
-        total += term
-        limits.append(total)
-        term /= k
-    times = sum((F.when(unit >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    drawn = rows.select(by, key, value).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("times", times)
-    means = drawn.groupBy(by, "b").agg((F.sum(F.col("times") * F.col(value)) / F.greatest(F.sum("times"), F.lit(1))).alias("mean"))
-    spread = means.groupBy(by).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    points = rows.groupBy(by).agg(F.avg(value).alias("point"))
-    return points.join(spread, by).select(by, "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    kind = rows.schema[by].dataType.simpleString()
+    names = ["w", "wx"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            batch = batch[batch["x"].notna()]
+            for start in range(0, len(batch), 4096):  # a slice's weights are 4096 x resamples numbers
+                part = batch.iloc[start : start + 4096]
+                weights = _poisson_weights(part["k"].to_numpy(np.int64), resamples, seed)
+                for group, at in part.groupby("g", dropna=False, sort=False).indices.items():
+                    own, x = weights[at], part["x"].to_numpy(float)[at]
+                    held = sums.setdefault(None if group != group else group, np.zeros((2, resamples)))
+                    held += np.stack([own.sum(axis=0), x @ own])
+        if sums:
+            yield pd.DataFrame({"g": list(sums), "w": [list(s[0]) for s in sums.values()], "wx": [list(s[1]) for s in sums.values()]})
+
+    sent = rows.select(F.col(by).alias("g"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(value).cast("double").alias("x"))
+    parts = sent.mapInPandas(partial, f"g {kind}, w array<double>, wx array<double>")
+    both = F.inline(F.transform(F.arrays_zip(*names), lambda s, i: F.struct(i.alias("b"), s["w"].alias("w"), s["wx"].alias("wx"))))
+    means = parts.select("g", both).groupBy("g", "b").agg((F.sum("wx") / F.greatest(F.sum("w"), F.lit(1.0))).alias("mean"))
+    spread = means.groupBy("g").agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    points = rows.groupBy(F.col(by).alias("h")).agg(F.avg(value).alias("point"))
+    return points.join(spread, F.col("g").eqNullSafe(F.col("h"))).select(F.col("h").alias(by), "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def mean_unit_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
-    """Per group the mean of the vectors scaled to length 1 (zero vectors count as zero), as ``by, mean, n``."""
-    parts = vectors.filter(F.col(vector).isNotNull()).select(by, F.posexplode(arrays.unit_vector(F.col(vector))).alias("i", "x"))
-    sums = parts.groupBy(by, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("x")))), lambda s: s["x"]).alias("mean"), F.max("n").alias("n"))
+    """Per group the mean of the vectors scaled to length 1 (zero vectors count as zero), as ``by, mean, n``; sums are formed within tasks first."""
+    units = vectors.filter(F.col(vector).isNotNull()).select(by, array_to_vector(arrays.unit_vector(F.col(vector))).alias("v"))
+    return units.groupBy(by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"), F.count("*").alias("n"))
 
 
 def mean_pairwise_similarity(a: DataFrame, b: DataFrame, by: str, vector: str) -> DataFrame:
@@ -96,10 +123,27 @@ def mean_pairwise_similarity(a: DataFrame, b: DataFrame, by: str, vector: str) -
     return x.join(y, by, "full").select(by, or_nan(arrays.dot(F.col("mx"), F.col("my"))).alias("similarity"))
 
 
-def regressions(current: DataFrame, baseline: DataFrame, by: str = "bucket", value: str = "wer") -> DataFrame:
+def ceiling_and_floor(a: DataFrame, b: DataFrame, by: str, vector: str) -> DataFrame:
+    """Per group the mean cosine of ``a``'s vectors with ``b``'s of the same group (ceiling) and of all others (floor); NaN without any.
+
+    Linear as :func:`mean_pairwise_similarity`: the others' mean is the sum of the groups' less the group's own.
+    """
+    x, y = (mean_unit_vectors(df, by, vector).select(F.col(by).alias(f"{n}_by"), F.col("mean").alias(f"{n}_mean"), F.col("n").alias(f"{n}_n")) for df, n in ((a, "x"), (b, "y")))
+    total = y.select(F.sum("y_n").alias("all_n"), Summarizer.sum(array_to_vector(F.transform("y_mean", lambda v: v * F.col("y_n")))).alias("s")).select("all_n", vector_to_array("s").alias("all_sum"))
+    whole = total.first()  # one vector
+    n, sums = F.lit(whole["all_n"] or 0), F.lit(whole["all_sum"] or [])
+    own_n = F.coalesce("y_n", F.lit(0))
+    own = lambda s, m: s - F.coalesce(m, F.lit(0.0)) * own_n
+    others = F.transform(F.zip_with(sums, F.coalesce("y_mean", F.array().cast("array<double>")), own), lambda v: v / (n - own_n))
+    joined = x.join(y, F.col("x_by").eqNullSafe(F.col("y_by")), "left")
+    return joined.select(F.col("x_by").alias(by), or_nan(arrays.dot(F.col("x_mean"), F.col("y_mean"))).alias("ceiling"), or_nan(F.when(n > own_n, arrays.dot(F.col("x_mean"), others))).alias("floor"))
+
+
+def regressions(current: DataFrame, baseline: DataFrame, by: str = "bucket", value: str = "wer", keep: Sequence[str] = ()) -> DataFrame:
     """Relative change of each group that both have; the base counts as 1e-6 at least."""
     base = baseline.select(by, F.col(value).alias("baseline"))
-    return current.select(by, F.col(value).alias("current")).join(base, by).withColumn("regression", (F.col("current") - F.col("baseline")) / F.greatest(F.col("baseline"), F.lit(1e-6)))
+    changed = (F.col("current") - F.col("baseline")) / F.greatest(F.col("baseline"), F.lit(1e-6))
+    return current.select(*keep, by, F.col(value).alias("current")).join(base, by).withColumn("regression", changed)
 
 
 def worst(changes: DataFrame, limit: float = 0.15) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of an epoch that are sorted in one task, about.
+BUCKET_ROWS = 100_000
 WEIGHTS = {"springlab_marathi": 0.56, "rasa_marathi": 0.24, "hindi_replay": 0.15, "english_replay": 0.05}
 
 
@@ -42,6 +44,28 @@ def _checked(sizes: Mapping[str, int], weights: Mapping[str, float], batch: int)
     return {n: k for n, k in seats(batch, weights).items() if k}
 
 
+def ranked(rows: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str], buckets: int, most: dict | None = None, name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 0) within ``by`` in order of ``digest`` (hexadecimal), then ``ties``.
+
+    A group is cut by the digest's first digits into ``buckets``, the table of
+    buckets is summed up, and rows are numbered within a bucket: no group meets in
+    one task.  ``most`` maps values of ``by[0]`` to the number of places wanted of
+    each group; buckets past it are never sorted.
+    """
+    bucket = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("int")
+    cut = rows.withColumn("__bucket", bucket)
+    counts = cut.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__bucket").alias("__at"), before.alias("__before"))
+    if most is not None:
+        counts = counts.filter(F.col("__before") < F.element_at(F.create_map(*(F.lit(x) for kv in most.items() for x in kv)), F.col(f"__{by[0]}")))
+    same = F.col("__bucket") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    nth = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(digest, *ties)) - 1
+    return cut.join(counts, same).withColumn(name, (F.col("__before") + nth).cast("long")).drop("__bucket", "__at", "__before", *(f"__{c}" for c in by))
+
+
 def draws(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, batches: int, seed: int = 0) -> DataFrame:
     """``draw_no, window, source, idx`` of ``batches`` windows of exactly the composition.
 
@@ -52,14 +76,14 @@ def draws(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, f
     taken = _checked(sizes, weights, batch)
     parts = None
     for name, k in taken.items():
-        one = spark.range(batches * k).select(
-            F.lit(name).alias("source"), F.floor(F.col("id") / k).alias("window"), (F.col("id") % sizes[name]).alias("place"), F.floor(F.col("id") / sizes[name]).alias("epoch"), "id"
-        )
-        epochs = -(-batches * k // sizes[name])
-        shuffled = spark.range(epochs * sizes[name]).select(F.floor(F.col("id") / sizes[name]).alias("epoch"), (F.col("id") % sizes[name]).alias("idx"))
-        drawn = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(name), "epoch", "idx"), 256)
-        shuffled = shuffled.withColumn("place", (F.row_number().over(Window.partitionBy("epoch").orderBy(drawn, "idx")) - 1).cast("long"))
-        one = one.join(shuffled, ["epoch", "place"]).select("source", "window", "idx", "id")
+        wanted, size = batches * k, sizes[name]
+        one = spark.range(wanted).select(F.lit(name).alias("source"), F.floor(F.col("id") / k).alias("window"), (F.col("id") % size).alias("place"), F.floor(F.col("id") / size).alias("epoch"), "id")
+        epochs = -(-wanted // size)
+        pool = spark.range(epochs * size).select(F.floor(F.col("id") / size).alias("epoch"), (F.col("id") % size).alias("idx"))
+        pool = pool.withColumn("drawn", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(name), "epoch", "idx"), 256))
+        # of an only epoch that isn't used up, the buckets past the last draw aren't sorted
+        places = ranked(pool, ["epoch"], "drawn", ["idx"], max(1, -(-size // BUCKET_ROWS)), {0: wanted} if epochs == 1 else None)
+        one = one.join(places.select("epoch", "place", "idx"), ["epoch", "place"]).select("source", "window", "idx", "id")
         parts = one if parts is None else parts.unionByName(one)
     inside = F.sha2(F.concat_ws(":", F.lit(str(seed)), "window", "source", "id"), 256)
     nth = F.row_number().over(Window.partitionBy("window").orderBy(inside, "source", "id")) - 1
@@ -86,14 +110,13 @@ def replay(sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, s
         yield from window
 
 
-def indexed(pool: DataFrame, source: str, key: str) -> DataFrame:
-    """``source, idx`` (from 0, in order of ``key``) before the pool's columns."""
-    nth = F.row_number().over(Window.partitionBy(source).orderBy(key)) - 1
-    return pool.withColumn("idx", nth.cast("long"))
+def indexed(pool: DataFrame, source: str, key: str, buckets: int = 64) -> DataFrame:
+    """The pool's columns with ``idx`` (from 0), in order of a digest of ``key`` within each source."""
+    return ranked(pool.withColumn("__digest", F.sha2(F.col(key).cast("string"), 256)), [source], "__digest", [key], buckets, name="idx").drop("__digest")
 
 
 def materialized(drawn: DataFrame, pool: DataFrame) -> DataFrame:
-    """The drawn examples in order of ``draw_no``."""
+    """The drawn examples in order of ``draw_no``: what a sequential sampler reads as it stands."""
     return drawn.join(pool, ["source", "idx"]).orderBy("draw_no")
 
 

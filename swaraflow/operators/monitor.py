@@ -1,14 +1,34 @@
-"""Step-triggered comparison with the first evaluation."""
+"""Step-triggered comparison with a baseline or the first evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import regressions
 
-def alerts(series: DataFrame, every: int, limit: float = 0.15) -> DataFrame:
-    """``step, worst, alert`` of each ``every``-th step of ``step, bucket, wer``, against the first such step."""
-    due = series.filter(F.col("step") % every == 0)
-    base = F.first("wer").over(Window.partitionBy("bucket").orderBy("step"))
-    changed = due.withColumn("baseline", base).withColumn("regression", (F.col("wer") - F.col("baseline")) / F.greatest(F.col("baseline"), F.lit(1e-6)))
-    return changed.groupBy("step").agg(F.greatest(F.max("regression"), F.lit(0.0)).alias("worst")).withColumn("alert", F.col("worst") > limit)
+
+def changes(series: DataFrame, every: int, baseline: DataFrame | None = None) -> DataFrame:
+    """``step, bucket, current, baseline, regression`` of each ``every``-th step of ``step, bucket, wer``.
+
+    The baseline (``bucket, wer``) is each bucket's first such step if none is given.
+    """
+    due = series.filter((F.col("step") % every == 0) & (F.col("step") != 0 if baseline is not None else F.lit(True)))
+    if baseline is None:
+        baseline = due.groupBy("bucket").agg(F.min_by("wer", "step").alias("wer"))
+    return regressions(due, baseline, keep=["step"])
+
+
+def alerts(series: DataFrame, every: int, limit: float = 0.15, baseline: DataFrame | None = None) -> DataFrame:
+    """``step, worst, alert`` of each step that is due; an improvement everywhere is a worst of 0."""
+    found = changes(series, every, baseline).groupBy("step").agg(F.greatest(F.max("regression"), F.lit(0.0)).alias("worst"))
+    return found.withColumn("alert", F.col("worst") > limit)
+
+
+def mark(found: DataFrame, path: str) -> bool:
+    """Writes the steps that alert, if any, as the marker of a run; nothing is stopped. Whether there were any."""
+    raised = found.filter("alert")
+    if raised.isEmpty():
+        return False
+    raised.write.mode("overwrite").json(path)
+    return True

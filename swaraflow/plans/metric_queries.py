@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, signal
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import gates, metrics, mixture, monitor, panel, parameters, voices
+from ..operators import clips, gates, metrics, mixture, monitor, panel, parameters, voices
 from ..sources import manifests
 from ..sources.shared import shared_dir
 from ..streaming import ingest
@@ -101,12 +101,56 @@ def prompt_assembly(spark, folder):
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.max(F.when(F.col("pos") == 0, F.col("id"))).alias("first_id"))
 
 
-@query("select count(*) as violations, sum(n) as checksum from (select 0 as n where false)")
+@query("""
+select 'sound' as vocabulary, null as token, null::int as id, null::int as n where false
+union all select 'broken', '<|snac_100|>', 128266 + 101, 100
+union all select 'broken', '<|snac_4096|>', null, 4096
+union all select 'broken', 'word', 128266 + 5000, null""")
 def token_contract_check(spark, folder):
+    """A sound vocabulary has no violation; a broken one has an id that is shifted, a seam that is absent, and a word inside the band."""
     names = spark.createDataFrame([(t, i) for t, i in zip(K.NAMES.values(), CONTRACT.as_dict().values(), strict=True) if t != "<|snac_0|>"], "token string, id int")
     audio = spark.range(K.BAND).select(F.format_string("<|snac_%d|>", "id").alias("token"), (F.col("id") + BASE).cast("int").alias("id"))
-    vocabulary = names.union(audio)
-    return K.contract_violations(vocabulary, K.resolve(vocabulary)).agg(F.count("*").alias("violations"), F.sum("n").alias("checksum"))
+    sound = names.union(audio)
+    moved = F.when(F.col("token") == "<|snac_100|>", BASE + 101).otherwise(F.col("id")).cast("int")
+    broken = sound.filter("token <> '<|snac_4096|>'").select("token", moved.alias("id")).union(spark.createDataFrame([("word", BASE + 5000)], "token string, id int"))
+    found = [K.contract_violations(v, K.resolve(v)).withColumn("vocabulary", F.lit(n)) for n, v in (("sound", sound), ("broken", broken))]
+    return found[0].unionByName(found[1]).select("vocabulary", "token", "id", "n")
+
+
+@query("select o_orderkey, (o_orderkey % 7)::int as position, (o_orderkey % 4096)::int as code, 128266 + (o_orderkey % 7)::int * 4096 + (o_orderkey % 4096)::int as id, 128266 + (o_orderkey % 7)::int * 4096 as base from orders")
+def code_tokens(spark, folder):
+    """Position and code to id and back, and the base of each position."""
+    position, code = (F.col("o_orderkey") % 7).cast("int"), (F.col("o_orderkey") % K.CODEBOOK).cast("int")
+    rows = table(spark, folder, "orders").select("o_orderkey", position.alias("p"), K.to_token(position, code, BASE).alias("id"))
+    back = K.from_token(F.col("id"), BASE)
+    return rows.select("o_orderkey", back["position"].alias("position"), back["code"].alias("code"), "id", F.get(F.lit(list(CONTRACT.position_bases)), F.col("p")).alias("base"))
+
+
+@query(f"with {CODES_SQL} select key, true as same, count(*)::int as tokens, (count(*) // 7)::int as frames, false as other_same from stream group by 1")
+def same_sequences(spark, folder):
+    """Streams that are made twice are the same; with their last frame dropped they aren't."""
+    once, again = token_streams(spark, folder), token_streams(spark, folder).repartition(5).withColumnRenamed("ids", "twice")
+    rows = once.join(again, "key").select("key", K.same_sequence(F.col("ids"), F.col("twice"), BASE).alias("s"), K.same_sequence(F.col("ids"), F.slice("twice", 1, F.size("twice") - 7), BASE).alias("o"))
+    return rows.select("key", "s.same", "s.tokens", "s.frames", F.col("o.same").alias("other_same"))
+
+
+QUOTAS = {"even": 40, "odd": 7}
+
+
+@query(f"""
+with {CODES_SQL}, sizes as (select key, case when key % 2 = 0 then 'even' else 'odd' end as source, count(*) + 6 as n from stream group by 1, 2),
+scanned as (select *, row_number() over (partition by source order by key) as nth from sizes),
+fitting as (select *, row_number() over (partition by source order by key) as kept from scanned where nth <= 8 * case source when 'even' then 40 else 7 end and n <= 90)
+select source, key, n::int as n from fitting where kept <= case source when 'even' then 40 else 7 end""")
+def compile_quota(spark, folder):
+    """Examples of two sources: at most 90 ids long, up to a quota, out of eight times as many rows at most."""
+    none, one = F.array().cast("array<int>"), lambda x: F.array(F.lit(x))
+    rows = clips.compiled(token_streams(spark, folder), CONTRACT, F.col("ids"), none, none, one(10))
+    # a prompt without text, speaker and style has six ids; the stop is one more, and the count in SQL starts at five
+    rows = rows.withColumn("input_ids", F.slice("input_ids", 2, F.size("input_ids") - 1))
+    parts = {name: rows.filter(F.col("key") % 2 == k) for k, name in enumerate(QUOTAS)}
+    found, counts = clips.compile_plan(parts, "key", QUOTAS, 90)
+    return found.join(counts.select("source"), "source").select("source", "key", F.size("input_ids").alias("n"))
 
 
 # -- rows in sequence -------------------------------------------------------------------------------
@@ -186,7 +230,7 @@ def largest_remainder_seats(spark, folder):
 
 LANGS, LANG_WEIGHTS = ("en", "fr", "de", "es"), {"en": 0.56, "fr": 0.24, "de": 0.15, "es": 0.05}
 DRAWS_SQL = """
-pools as (select lang as source, doc_id, row_number() over (partition by lang order by doc_id) - 1 as idx, count(*) over (partition by lang) as size from documents),
+pools as (select lang as source, doc_id, row_number() over (partition by lang order by sha256(doc_id::varchar), doc_id) - 1 as idx, count(*) over (partition by lang) as size from documents),
 seats(source, k) as (values ('en', 11), ('fr', 5), ('de', 3), ('es', 1)),
 ordinals as (select source, k, size, o as id, o // k as win, o % size as place, o // size as epoch from seats join (select distinct source, size from pools) using (source), lateral (select unnest(range(50 * k)) as o)),
 shuffled as (select source, epoch, idx, row_number() over (partition by source, epoch order by sha256('7:' || source || ':' || epoch || ':' || idx), idx) - 1 as place from pools join (select distinct source, epoch from ordinals) using (source)),
@@ -253,14 +297,67 @@ def corpus_wer_by_role(spark, folder):
 @query()
 def bootstrap_ci(spark, folder):
     rows = metrics.with_edits(turns(spark, folder)).withColumn("id", F.format_string("%010d_%06d", "conv_id", "turn"))
-    return metrics.bootstrap_ci(rows, "role", "utterance_wer", "id", seed=1234)
+    return metrics.split_bootstrap_ci(rows, "role", "utterance_wer", "id", seed=1234)
 
 
-@query(f"with {TURNS_SQL}, found as (select role as bucket, count(*) as n, round(sum(edits) / sum(ref_words), 9) as wer, round(avg((turn % 4 = 0)::int), 9) as hit_rate from edited group by 1) select bucket, coalesce(n, 0) as n, wer, hit_rate from (select distinct role as bucket from conversations union all select 'nobody') left join found using (bucket)")
+@query(f"with {TURNS_SQL}, found as (select role as bucket, count(*) as n, round(sum(edits) / sum(ref_words), 9) as wer, round(avg((turn % 4 = 0)::int), 9) as hit_rate, sum(edits)::bigint as edits, sum(ref_words)::bigint as ref_words from edited group by 1) select bucket, coalesce(n, 0) as n, wer, hit_rate, edits, ref_words, case when n > 0 then true end as interval_holds_mean from (select distinct role as bucket from conversations union all select 'nobody') left join found using (bucket)")
 def panel_by_bucket(spark, folder):
     results = turns(spark, folder).select(F.format_string("%010d_%06d", "conv_id", "turn").alias("id"), F.col("role").alias("bucket"), "reference", "hypothesis", (F.col("turn") % 4 == 0).alias("hit"))
     catalogue = table(spark, folder, "conversations").select(F.col("role").alias("bucket")).distinct().union(spark.sql("select 'nobody'"))
-    return panel.wer_panel(results, catalogue).select("bucket", "n", F.round("wer", 9).alias("wer"), F.round("hit_rate", 9).alias("hit_rate"))
+    held = F.col("wer_mean_utterance").between(F.col("low"), F.col("high")) & (F.col("low") < F.col("high"))
+    return panel.wer_panel(results, catalogue).select("bucket", "n", F.round("wer", 9).alias("wer"), F.round("hit_rate", 9).alias("hit_rate"), F.expr(WRONG).alias("edits"), "ref_words", held.alias("interval_holds_mean"))
+
+
+SPEAKERS_SQL = """
+e as (select case label % 2 when 0 then 'user' else 'assistant' end as bucket, case when vec_id % 4 < 2 then 'Anagha' else 'Chinmay' end as speaker, vec_id % 2 as side, embedding::double[] as v from embeddings),
+alike as (select a.bucket, a.speaker as sa, b.speaker as sb, list_cosine_similarity(a.v, b.v) as s from e a join e b on a.bucket = b.bucket and a.side = 0 and b.side = 1),
+voiced as (select bucket, round(avg(s), 6) as speaker_similarity, round(avg(s) filter (where sa = 'Anagha' and sb = 'Anagha'), 6) as anagha, round(avg(s) filter (where sa = 'Chinmay' and sb = 'Chinmay'), 6) as chinmay from alike group by 1)"""
+
+
+@query(f"""
+with {TURNS_SQL}, {SPEAKERS_SQL}, {TYPES_SQL},
+found as (select role as bucket, count(*) as n, round(sum(edits) / sum(ref_words), 9) as wer, round(avg((turn % 4 = 0)::int), 9) as hit_rate, sum(edits)::bigint as edits from edited group by 1),
+long as (select 'marathi_longform' as bucket, count(*) as n, round(avg((user_id % 3 = 0)::int), 9) as hit_rate, round(avg({_grams_sql(3)}), 6) as rep3, round(avg(len(t) // 7), 6) as mean_frames from types),
+prosody as (select case user_id % 2 when 0 then 'user' else 'assistant' end as bucket, round(avg(case when event_type <> 'error' then value end), 6) as mean_f0 from events group by 1),
+names as (select distinct role as bucket from conversations union select 'nobody' union select 'marathi_longform')
+select bucket, coalesce(l.n, f.n, 0) as n, f.wer, coalesce(l.hit_rate, f.hit_rate) as hit_rate, f.edits, l.rep3, l.mean_frames, v.speaker_similarity, v.anagha, v.chinmay, p.mean_f0
+from names left join found f using (bucket) left join long l using (bucket) left join voiced v using (bucket) left join prosody p using (bucket)""")
+def full_panel(spark, folder):
+    """All that is known of a bucket in one row: error rate, similarity, also by voice, prosody, and long prompts."""
+    role = lambda c: F.when(F.col(c) % 2 == 0, "user").otherwise("assistant").alias("bucket")
+    results = turns(spark, folder).select(F.format_string("%010d_%06d", "conv_id", "turn").alias("id"), F.col("role").alias("bucket"), "reference", "hypothesis", (F.col("turn") % 4 == 0).alias("hit"))
+    catalogue = table(spark, folder, "conversations").select(F.col("role").alias("bucket")).distinct().union(spark.sql("select 'nobody' union select 'marathi_longform'"))
+    vectors = table(spark, folder, "embeddings").select(role("label"), F.when(F.col("vec_id") % 4 < 2, "Anagha").otherwise("Chinmay").alias("speaker"), "vec_id", F.col("embedding").alias("vector"))
+    similarity = panel.voice_breakdown(vectors.filter("vec_id % 2 = 0"), vectors.filter("vec_id % 2 = 1"))
+    measured = table(spark, folder, "events").select(role("user_id"), F.when(F.col("event_type") != "error", F.col("value")).alias("mean_f0"), *(F.lit(0.5).alias(p) for p in panel.PROSODY[1:]))
+    long = type_streams(spark, folder).select(F.lit("marathi_longform").alias("bucket"), F.col("t").alias("token_ids"), (F.col("user_id") % 3 == 0).alias("hit"))
+    found = panel.full_panel(results, catalogue, long, similarity, panel.prosody_means(measured))
+    r = lambda c, d=6: F.round(c, d).alias(c)
+    voices_ = (F.round(F.col("by_voice")[v], 6).alias(v.lower()) for v in ("Anagha", "Chinmay"))
+    return found.select("bucket", "n", r("wer", 9), r("hit_rate", 9), F.expr(WRONG).alias("edits"), F.round("repetition_rate_3gram", 6).alias("rep3"), r("mean_frames"), r("speaker_similarity"), *voices_, r("mean_f0"))
+
+
+@query("""
+with numbered as (select conv_id, turn % 2 as side, row_number() over (partition by conv_id, turn % 2 order by turn) as nth, text from conversations),
+pairs as (select a.conv_id, a.nth, a.text as reference, b.text as hypothesis from numbered a join numbered b on a.conv_id = b.conv_id and a.nth = b.nth and a.side = 0 and b.side = 1)
+select conv_id, count(*) as pairs, sum(length(reference))::bigint as reference_chars, sum(length(hypothesis))::bigint as hypothesis_chars, min(sha256(reference || hypothesis)) as least from pairs group by 1""")
+def positional_zip(spark, folder):
+    """Even turns against odd ones by position, as far as the shorter side goes."""
+    side = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("turn") % 2 == k, F.struct("turn", "text")))), lambda s: s["text"])
+    rows = table(spark, folder, "conversations").groupBy("conv_id").agg(side(0).alias("refs"), side(1).alias("hyps"))
+    pairs = rows.select("conv_id", F.inline(arrays.zipped(F.col("refs"), F.col("hyps"))))
+    return pairs.groupBy("conv_id").agg(
+        F.count("*").alias("pairs"), F.sum(F.length("left")).alias("reference_chars"), F.sum(F.length("right")).alias("hypothesis_chars"), F.min(F.sha2(F.concat("left", "right"), 256)).alias("least")
+    )
+
+
+@query(f"with {TURNS_SQL} select conv_id, turn, len(r) as ref_words, edits, greatest(len(r), len(h)) - edits >= 0 as hits_fit, true as adds_up from edited")
+def edit_kinds(spark, folder):
+    """The kinds of edits add up: hits, substitutions and deletions make the reference, hits, substitutions and insertions the hypothesis."""
+    rows = metrics.with_edits(turns(spark, folder).repartition("conv_id", "turn"))
+    words = lambda c: F.size(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "))
+    fits = (F.expr("hits + substitutions + deletions") == words("reference")) & (F.expr("hits + substitutions + insertions") == words("hypothesis"))
+    return rows.select("conv_id", "turn", "ref_words", F.expr(WRONG).alias("edits"), (F.col("hits") >= 0).alias("hits_fit"), fits.alias("adds_up"))
 
 
 @query("select event_type as bucket, round(avg(value) filter (where user_id % 2 = 0), 6) as base, round(avg(value) filter (where user_id % 2 = 1), 6) as tuned, round(avg(value) filter (where user_id % 2 = 1) - avg(value) filter (where user_id % 2 = 0), 6) as delta from events group by 1")
@@ -279,6 +376,37 @@ def regression_alert(spark, folder):
     return monitor.alerts(series, 6).withColumn("worst", F.round("worst", 6))
 
 
+CHANGES_SQL = """
+series as (select date_diff('hour', timestamp '2024-01-01', ts) as step, event_type as bucket, avg(value) as wer from events group by 1, 2),
+base as (select event_type as bucket, avg(value) as base from events group by 1),
+changed as (select step, bucket, (wer - base) / greatest(base, 1e-6) as regression from series join base using (bucket) where step % 12 = 0 and step <> 0)"""
+
+
+def _against_baseline(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
+    events = table(spark, folder, "events")
+    series = events.groupBy(hour.alias("step"), F.col("event_type").alias("bucket")).agg(F.avg("value").alias("wer"))
+    return series, events.groupBy(F.col("event_type").alias("bucket")).agg(F.avg("value").alias("wer"))
+
+
+@query(f"with {CHANGES_SQL} select count(*) as compared, round(greatest(coalesce(max(regression), 0.0), 0.0), 6) as worst, greatest(coalesce(max(regression), 0.0), 0.0) > 0.15 as alert from changed")
+def worst_regression(spark, folder):
+    series, base = _against_baseline(spark, folder)
+    changed = monitor.changes(series, 12, base)
+    return metrics.worst(changed).select("alert", F.round("worst", 6).alias("worst"), F.lit(changed.count()).alias("compared"))
+
+
+@query(f"with {CHANGES_SQL}, steps as (select step, greatest(max(regression), 0.0) as worst from changed group by 1) select step, round(worst, 6) as worst from steps where worst > 0.15")
+def alert_marker(spark, folder):
+    """The steps that a run's marker names."""
+    series, base = _against_baseline(spark, folder)
+    path = f"{shared_dir(spark)}/regression-{uuid.uuid4().hex}"
+    kind = "step bigint, worst double"
+    if not monitor.mark(monitor.alerts(series, 12, baseline=base), path):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).json(path).select("step", F.round("worst", 6).alias("worst"))
+
+
 # -- similarity --------------------------------------------------------------------------------------
 
 
@@ -299,16 +427,11 @@ def pairwise_similarity_by_label(spark, folder):
     return found.select("label", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""
-with p as (select list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, a.label as x, b.label as y from embeddings a join embeddings b on a.vec_id % 2 = 0 and b.vec_id % 2 = 1 where a.label in (0, 1) and b.label in (0, 1))
-select round(avg(s) filter (where x = 0 and y = 0), 6) as model, round(avg(s) filter (where x = 1 and y = 1), 6) as ceiling, round(avg(s) filter (where x = 0 and y = 1), 6) as floor from p""")
+@query("select a.label, round(avg(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) filter (where a.label = b.label), 6) as ceiling, round(avg(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) filter (where a.label <> b.label), 6) as floor from embeddings a join embeddings b on a.vec_id % 2 = 0 and b.vec_id % 2 = 1 group by 1")
 def ceiling_floor_similarity(spark, folder):
-    def pair(x: int, y: int, name: str) -> DataFrame:
-        a, b = (_side(spark, folder, k).filter(F.col("label") == l).select(F.lit(name).alias("g"), "embedding") for k, l in ((0, x), (1, y)))
-        return metrics.mean_pairwise_similarity(a, b, "g", "embedding")
-
-    found = pair(0, 0, "model").union(pair(1, 1, "ceiling")).union(pair(0, 1, "floor"))
-    return found.agg(*(F.round(F.max(F.when(F.col("g") == n, F.col("similarity"))), 6).alias(n) for n in ("model", "ceiling", "floor")))
+    """Of each label: likeness to its own reference vectors, and to those of all other labels."""
+    found = metrics.ceiling_and_floor(_side(spark, folder, 0), _side(spark, folder, 1), "label", "embedding")
+    return found.select("label", F.round("ceiling", 6).alias("ceiling"), F.round("floor", 6).alias("floor"))
 
 
 @query("""
@@ -326,11 +449,30 @@ with e as (select user_id, value, (row_number() over (partition by user_id order
 segments as (select user_id, pos // 8 as w, list(value order by pos) as v, max(n) as n from e where pos // 8 <= greatest(0, n // 8 - 1) group by 1, 2)
 select user_id, w::int as nth, round(list_cosine_similarity(list_resize(v, 8, 0.0), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]), 6) as similarity from segments where len(v) >= 4""")
 def tumbling_trajectory(spark, folder):
+    return _trajectory(spark, folder).withColumn("similarity", F.round("similarity", 6))
+
+
+def _trajectory(spark: SparkSession, folder: str) -> DataFrame:
     rows = _values(spark, folder)
     last = F.greatest(F.lit(0), F.expr("size(x) div 8") - 1)
     cut = rows.select("user_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("x", i * 8 + 1, 8))).alias("nth", "v")).filter(F.size("v") >= 4)
     full = F.concat("v", F.array_repeat(F.lit(0.0), 8 - F.size("v")))
-    return cut.select("user_id", "nth", F.round(arrays.cosine_similarity(full, F.array(*(F.lit(float(k)) for k in range(1, 9)))), 6).alias("similarity"))
+    return cut.select("user_id", "nth", arrays.cosine_similarity(full, F.array(*(F.lit(float(k)) for k in range(1, 9)))).alias("similarity"))
+
+
+@query(f"""
+with {TYPES_SQL}, e as (select user_id, value, (row_number() over (partition by user_id order by ts, event_id) - 1) as pos, count(*) over (partition by user_id) as n from events),
+segments as (select user_id, pos // 8 as w, list(value order by pos) as v from e where pos // 8 <= greatest(0, n // 8 - 1) group by 1, 2),
+s as (select user_id, w, list_cosine_similarity(list_resize(v, 8, 0.0), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) as c from segments where len(v) >= 4),
+drops as (select user_id, count(*) as windows, round(case when count(*) >= 2 then arg_min(c, w) - arg_max(c, w) else 0.0 end, 6) as similarity_drop from s group by 1)
+select user_id, (len(t) // 7)::int as n_frames, {_grams_sql(3)} as rep3, {_grams_sql(5)} as rep5, user_id % 3 = 0 as hit, windows::int as windows, similarity_drop from types join drops using (user_id)""")
+def longform_records(spark, folder):
+    """Each long utterance's frames, repetition, trajectory and drop."""
+    paths = _trajectory(spark, folder).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "similarity"))), lambda s: s["similarity"]).alias("similarities"))
+    rows = type_streams(spark, folder).join(paths, "user_id").select("user_id", F.col("t").alias("token_ids"), (F.col("user_id") % 3 == 0).alias("hit"), "similarities")
+    found = panel.longform_records(rows)
+    r = lambda c, n, d=9: F.round(c, d).alias(n)
+    return found.select("user_id", "n_frames", r("repetition_rate_3gram", "rep3"), r("repetition_rate_5gram", "rep5"), "hit", F.size("similarities").alias("windows"), r("similarity_drop", "similarity_drop", 6))
 
 
 # -- signals: a user's event values as samples --------------------------------------------------------
@@ -347,24 +489,58 @@ def _values(spark: SparkSession, folder: str) -> DataFrame:
 with {VALUES_SQL}, cut as (select user_id, len(x) as n, list_transform(range(0, greatest(1, len(x) - 10), 4), lambda i: sqrt(list_avg(list_transform(x[i + 1:i + 10], lambda v: v * v)) + 1e-12)) as rms from samples)
 select user_id, round(list_stddev_pop(rms), 6) as energy_std, round(list_avg(list_transform(rms, lambda r: (20 * log10(r / (list_max(rms) + 1e-12) + 1e-12) < -6.0)::int::double)), 6) as pause_ratio from cut""")
 def energy_pause(spark, folder):
-    rows = _values(spark, folder).withColumn("rms", F.transform(arrays.frames(F.col("x"), 10, 4), lambda f: F.sqrt(arrays.mean(F.transform(f, lambda v: v * v)) + 1e-12)))
-
+    rows = _values(spark, folder).select("user_id", signal.energy_and_pauses(F.col("x"), F.lit(400), F.lit(-6.0)).alias("m"))
+    return rows.select("user_id", F.round("m.energy_std", 6).alias("energy_std"), F.round("m.pause_ratio", 6).alias("pause_ratio"))
 
-    def measures(s):
-        spread = F.sqrt(arrays.mean(F.transform(s["rms"], lambda r: F.pow(r - s["centre"], F.lit(2)))))
-        low = arrays.mean(F.transform(s["rms"], lambda r: F.when(20 * F.log10(r / s["peak"] + 1e-12) < -6.0, 1.0).otherwise(0.0)))
-        return F.struct(F.round(spread, 6).alias("energy_std"), F.round(low, 6).alias("pause_ratio"))
 
-    whole = F.struct("rms", (F.array_max("rms") + 1e-12).alias("peak"), arrays.mean(F.col("rms")).alias("centre"))
-    return rows.select("user_id", arrays.let(whole, measures).alias("m")).select("user_id", "m.*")
+ROLLOFF_SQL = """
+points as (select user_id, len(x) as size, unnest(x) as v, generate_subscripts(x, 1) - 1 as i from samples),
+spectrum as (select user_id, size, k, sqrt(pow(sum(v * cos(2 * pi() * k * i / size)), 2) + pow(sum(v * sin(2 * pi() * k * i / size)), 2)) as m from points, lateral (select unnest(range(size // 2 + 1)) as k) group by 1, 2, 3),
+summed as (select *, sum(m) over (partition by user_id order by k) as upto, sum(m) over (partition by user_id) as total from spectrum),
+rolloff as (select user_id, min(k) filter (where upto >= 0.99 * total) / any_value(size) as roll from summed group by 1)"""
 
 
 @query(f"""
-with {VALUES_SQL}, cut as (select user_id, x, list_transform(range(0, greatest(1, len(x) - 10), 4), lambda i: list_avg(list_transform(x[i + 1:i + 10], lambda v: v * v)) + 1e-12) as e from samples)
-select user_id, round(len(x) / 400.0, 9) as duration_s, round(10 * log10(list_quantile_cont(e, 0.95) / list_quantile_cont(e, 0.10)), 6) as snr_db, round(list_avg(list_transform(x, lambda v: (abs(v) >= 0.999)::int::double)), 9) as clipping_ratio from cut""".replace("list_quantile_cont(e, 0.95)", "(select quantile_cont(u, 0.95) from (select unnest(e) as u))").replace("list_quantile_cont(e, 0.10)", "(select quantile_cont(u, 0.10) from (select unnest(e) as u))"))
+with {VALUES_SQL}, {ROLLOFF_SQL}, cut as (select user_id, x, roll, list_transform(range(0, greatest(1, len(x) - 10), 4), lambda i: list_avg(list_transform(x[i + 1:i + 10], lambda v: v * v)) + 1e-12) as e from samples join rolloff using (user_id))
+select user_id, round(roll * 400, 6) as bandwidth_hz, roll * 13000 >= 6000 as wideband, round(len(x) / 400.0, 9) as duration_s, round(10 * log10(list_quantile_cont(e, 0.95) / list_quantile_cont(e, 0.10)), 6) as snr_db, round(list_avg(list_transform(x, lambda v: (abs(v) >= 0.999)::int::double)), 9) as clipping_ratio from cut""".replace("list_quantile_cont(e, 0.95)", "(select quantile_cont(u, 0.95) from (select unnest(e) as u))").replace("list_quantile_cont(e, 0.10)", "(select quantile_cont(u, 0.10) from (select unnest(e) as u))"))
 def clip_quality(spark, folder):
-    rows = _values(spark, folder).select("user_id", signal.clip_quality(F.col("x"), F.lit(400)).alias("q"))
-    return rows.select("user_id", F.round("q.duration_s", 9).alias("duration_s"), F.round("q.snr_db", 6).alias("snr_db"), F.round("q.clipping_ratio", 9).alias("clipping_ratio"))
+    fast = signal.clip_quality(F.col("x"), F.lit(13_000))["wideband"]  # the same samples at a rate whose band may be wide
+    rows = _values(spark, folder).select("user_id", signal.clip_quality(F.col("x"), F.lit(400)).alias("q"), fast.alias("wideband"))
+    return rows.select(
+        "user_id", F.round("q.duration_s", 9).alias("duration_s"), F.round("q.snr_db", 6).alias("snr_db"), F.round("q.clipping_ratio", 9).alias("clipping_ratio"),
+        F.round("q.bandwidth_hz", 6).alias("bandwidth_hz"), "wideband",
+    )
+
+
+WAVES_SQL = """
+waves as (select user_id, list(value / 500.0 order by ts, event_id) as x from events group by 1),
+clips as (select user_id, text, 'users/' || user_id || '.wav' as path, len(x) as n, list_transform(range(0, greatest(1, len(x) - 10), 4), lambda i: list_avg(list_transform(x[i + 1:i + 10], lambda v: v * v)) + 1e-12) as e from waves join documents on doc_id = user_id),
+measured as (select *, 10 * log10((select quantile_cont(u, 0.95) from (select unnest(e) as u)) / (select quantile_cont(u, 0.10) from (select unnest(e) as u))) as snr from clips)"""
+
+
+@query(f"""
+with {WAVES_SQL}, judged as (select *, substr(sha256('ai4bharat/Rasa::' || path), 1, 16) as clip_key, case when n > 80 then 'eval_holdout' when not n / 400.0 between 0.14 and 0.19 then 'duration_out_of_[0.14,0.19]' end as hard_reject from measured)
+select clip_key, hard_reject, hard_reject is null as kept, case when hard_reject is null then concat_ws(',', case when snr < 6.0 then 'snr<6.0' end, 'narrowband') else '' end as soft_flags,
+  case when hard_reject is null then n / 400.0 end as duration_s, case when hard_reject is null then 2 * n end::int as samples, case when hard_reject is null then case when user_id % 2 = 0 then 'Anagha' else 'Chinmay' end end as speaker,
+  case when hard_reject is null then case when user_id % 2 = 0 then 'F' else 'M' end end as gender, case when hard_reject is null then 'Latn' end as script, case when hard_reject is null then len(regexp_extract_all(text, '{T.DIGIT}')) end::int as num_digits,
+  case when hard_reject is null then 'ai4bharat/Rasa#' || user_id end as source_id, case when hard_reject is null then substr(sha256(text), 1, 16) end as transcript_hash
+from judged""")
+def clip_pipeline(spark, folder):
+    """Source rows with WAV cells through the whole of the row pipeline: hold-out, decode, quality, resampling, voice, text, record, gate."""
+    waves = _values(spark, folder).select("user_id", F.transform("x", lambda v: (v / 500.0).cast("float")).alias("x"))
+    rows = waves.join(table(spark, folder, "documents"), F.col("doc_id") == F.col("user_id"))
+    path = F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".wav"))
+    rows = rows.select(
+        F.struct(signal.encoded(F.col("x"), F.lit(400)).alias("bytes"), path.alias("path")).alias("audio"), "text", F.when(F.col("user_id") % 2 == 0, F.lit(" female")).otherwise(F.lit("Male")).alias("gender"),
+        F.col("user_id").alias("_idx"), F.size("x").alias("n"),
+    )
+    held = rows.filter("n > 80").select(T.clip_key(F.lit("ai4bharat/Rasa"), F.col("audio.path"), F.col("_idx")).alias("clip_key"))
+    found = clips.clips(rows.drop("n"), "ai4bharat/Rasa", "CC-BY-4.0", "mr", 800, held, gates.Gates(0.14, 0.19, 6.0))
+    return found.select(
+        "clip_key", "gate.hard_reject", "gate.kept", F.array_join("gate.soft_flags", ",").alias("soft_flags"), F.col("meta.audio.duration_s").alias("duration_s"), F.when(F.col("samples").isNotNull(), F.size("samples")).alias("samples"),
+        F.col("meta.speaker.name").alias("speaker"), F.col("meta.speaker.gender").alias("gender"), F.col("meta.text.script").alias("script"), F.col("meta.text.num_digits").alias("num_digits"),
+        F.col("meta.provenance.source_id").alias("source_id"), F.col("meta.dedup.transcript_shingle_hash").alias("transcript_hash"),
+    )
 
 
 @query()
@@ -392,6 +568,15 @@ def prosody_means(spark, folder):
     return panel.prosody_means(rows).select("bucket", F.round("mean_f0", 6).alias("mean_f0"), F.round(F.col("f0_std") - F.col("energy_std"), 6).alias("delta"))
 
 
+@query("select event_id as id, case when event_type <> 'error' then value - 100 end as delta_mean_f0, value - user_id as delta_f0_std, (0.5 - 0.25)::double as delta_energy_std, null::double as delta_pause_ratio from events")
+def prosody_deltas(spark, folder):
+    rows = table(spark, folder, "events")
+    gap = F.lit(None).cast("double")
+    made = rows.select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.col("value")).alias("mean_f0"), F.col("value").alias("f0_std"), F.lit(0.5).alias("energy_std"), gap.alias("pause_ratio"))
+    real = rows.select(F.col("event_id").alias("id"), F.lit(100.0).alias("mean_f0"), F.col("user_id").cast("double").alias("f0_std"), F.lit(0.25).alias("energy_std"), F.lit(0.5).alias("pause_ratio"))
+    return panel.prosody_deltas(made, real)
+
+
 @query("select event_type as bucket, coalesce(format('{:.3f}', avg(value) filter (where event_type <> 'error')), '—') as cell, to_json({'bucket': event_type, 'n': count(*)}) as row_json from events group by 1")
 def report_cells(spark, folder):
     rows = table(spark, folder, "events").groupBy(F.col("event_type").alias("bucket")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("event_type") != "error", F.col("value"))).alias("v"))
@@ -407,11 +592,12 @@ def expected_adapter_params(spark, folder):
     return parameters.adapter_parameters(rows, hidden=3072, heads=24, kv_heads=8, head_dim=128, intermediate=8192, rank=32)
 
 
-@query("select sum(case when p_partkey % 5 = 0 then p_size else 0 end)::bigint as trainable, sum(p_size)::bigint as total, round(100.0 * sum(case when p_partkey % 5 = 0 then p_size else 0 end) / sum(p_size), 6) as percent, 0::bigint as frozen_adapters, 0::bigint as trained_base from part")
+@query("""select sum(case when p_partkey % 5 = 0 then p_size else 0 end)::bigint as trainable, sum(p_size)::bigint as total, round(100.0 * sum(case when p_partkey % 5 = 0 then p_size else 0 end) / sum(p_size), 6) as percent, 0::bigint as frozen_adapters, 0::bigint as trained_base,
+  format('trainable params: {:,} || all params: {:,} || trainable%: {:.4f}', sum(case when p_partkey % 5 = 0 then p_size else 0 end)::bigint, sum(p_size)::bigint, 100.0 * sum(case when p_partkey % 5 = 0 then p_size else 0 end) / sum(p_size)) as summary from part""")
 def freeze_report(spark, folder):
     name = F.concat(F.when(F.col("p_partkey") % 5 == 0, F.lit("lora_")).otherwise(F.lit("base_")), F.col("p_partkey").cast("string"))
     rows = parameters.frozen(table(spark, folder, "part").select(name.alias("name"), F.col("p_size").alias("numel")))
-    return parameters.freeze_report(rows).drop("summary").withColumn("percent", F.round("percent", 6))
+    return parameters.freeze_report(rows).withColumn("percent", F.round("percent", 6))
 
 
 @query("select * from (values ('Anagha', 'mr', 'F'), ('Chinmay', 'mr', 'M')) t(name, language, gender)")
@@ -436,3 +622,10 @@ def stream_ingest_gate(spark, folder):
     ingest.ingest(spark, f"{place}/in", docs.schema, gate, f"{place}/out", f"{place}/checkpoint").awaitTermination()
     out = spark.read.schema("doc_id bigint, lang string, n_chars bigint").parquet(f"{place}/out")
     return out.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang") == "en").alias("english"))
+
+
+@query("select * from (values ('q_proj', 1), ('v_proj', 1), ('up_proj', 17), ('gate_proj', 17)) t(projection, names)")
+def adapter_target_names(spark, folder):
+    """The names that an adapter library is given: two that hold for all layers, and two modules for each of 17 layers."""
+    names = spark.createDataFrame([(n,) for n in parameters.target_names(parameters.targets(spark, 28, (8, 24)))], "name string")
+    return names.groupBy(T.basename(F.translate("name", ".", "/")).alias("projection")).agg(F.count("*").cast("int").alias("names"))

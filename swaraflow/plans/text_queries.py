@@ -8,26 +8,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import gates, lookups, routing, voices
-from ..sources import manifests, scan
+from ..operators import clips, gates, lookups, routing, voices
+from ..sources import manifests, plans, scan
 from ..sources.shared import shared_dir
 from .registry import query, table
 
 LATIN_SQL = T.LATIN_WORD.replace("'", "''")
 ANCHOR, PRIMARY = routing.ANCHOR, routing.PRIMARY
 
+#: White space that a strip takes off, and the cleaning rule, in SQL.
+STRIP_SQL = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+CLEAN_SQL = r"trim(regexp_replace(regexp_replace(nfc_normalize({}), '[^\P{{C}}\n]', '', 'g'), '[ ]+', ' ', 'g'), ' ' || chr(10))"
 #: Documents in the place of clips: French and Spanish stand for the target language, German for Hindi; see the README.
 CANDIDATES_SQL = f"""
+stripped as (select * replace ({STRIP_SQL.format("text")} as text) from documents),
+normalized as (select *, {CLEAN_SQL.format("text")} as text_normalized from stripped where text <> ''),
 candidates as (
-  select doc_id, text,
+  select doc_id, text, text_normalized,
     case lang when 'en' then 'en' when 'de' then 'hi' else 'mr' end as language_id,
     case when lang in ('en', 'de') then source when doc_id % 2 = 0 then '{ANCHOR}' else '{PRIMARY}' end as source_hf_path,
+    case when doc_id % 4 < 2 then 'Anagha' else 'Chinmay' end as speaker,
     case doc_id % 5 when 0 then ' wiki ' when 1 then 'PROPER NOUN' when 2 then 'UMANG' when 3 then null else 'INDIC' end as rasa_style,
-    len(regexp_extract_all(text, '{T.DIGIT}')) as num_digits,
-    len(regexp_extract_all(text, '{LATIN_SQL}')) % 3 as num_english_words,
+    len(regexp_extract_all(text_normalized, '{T.DIGIT}')) as num_digits,
+    len(regexp_extract_all(text_normalized, '{LATIN_SQL}')) % 3 as num_english_words,
     n_chars / 12.0 as duration_s,
     substr(sha256(source || '::' || doc_id), 1, 16) as clip_key
-  from documents),
+  from normalized where text_normalized <> ''),
 routed as (
   select *, case
     when language_id = 'mr' and (num_digits > 0 or coalesce(upper(trim(rasa_style)) in ('NAMES', 'PROPER NOUN', 'PROPER_NOUN'), false)) then 'marathi_adversarial'
@@ -47,19 +53,20 @@ chosen as (select ranked.*, format('{{}}_{{:03d}}', bucket, pos) as id from rank
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents").withColumn("seconds", F.col("n_chars") / 12.0)
     target = ~F.col("lang").isin("en", "de")
     styles = {0: " wiki ", 1: "PROPER NOUN", 2: "UMANG", 4: "INDIC"}
     style: Column = F.lit(None).cast("string")
     for k, v in styles.items():
         style = F.when(F.col("doc_id") % 5 == k, F.lit(v)).otherwise(style)
-    return docs.select(
-        "doc_id", "text",
-        F.when(F.col("lang") == "en", "en").when(F.col("lang") == "de", "hi").otherwise("mr").alias("language_id"),
-        F.when(~target, F.col("source")).when(F.col("doc_id") % 2 == 0, F.lit(ANCHOR)).otherwise(F.lit(PRIMARY)).alias("source_hf_path"),
-        style.alias("rasa_style"), T.digit_count(F.col("text")).alias("num_digits"), (T.latin_word_count(F.col("text")) % 3).alias("num_english_words"),
-        (F.col("n_chars") / 12.0).alias("duration_s"), T.clip_key(F.col("source"), F.lit(None).cast("string"), F.col("doc_id")).alias("clip_key"),
-    ).withColumn("bucket", routing.routed())
+    source = F.when(~target, F.col("source")).when(F.col("doc_id") % 2 == 0, F.lit(ANCHOR)).otherwise(F.lit(PRIMARY))
+    language = F.when(F.col("lang") == "en", "en").when(F.col("lang") == "de", "hi").otherwise("mr")
+    key = T.clip_key(F.col("source"), F.lit(None).cast("string"), F.col("doc_id"))
+    speaker = F.when(F.col("doc_id") % 4 < 2, F.lit("Anagha")).otherwise(F.lit("Chinmay"))
+    rows = clips.candidates(docs, source, language, key, speaker, duration="seconds")
+    columns = ("doc_id", "text", "text_normalized", "language_id", "source_hf_path", "speaker", "num_digits", "duration_s", "clip_key")
+    # taken modulo 3, as nearly every text here has Latin words
+    return rows.select(*columns, style.alias("rasa_style"), (F.col("num_english_words") % 3).alias("num_english_words")).withColumn("bucket", routing.routed())
 
 
 def chosen(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,19 +118,32 @@ def disjointness_check(spark, folder):
     return routing.overlaps(chosen(spark, folder)).agg(F.count("*").alias("shared_keys"))
 
 
-@query(f"with {CANDIDATES_SQL}, added as (select clip_key, bucket from ranked where bucket = 'retention_rasa_marathi' and pos < 60), locked as (select clip_key, bucket from chosen) select bucket, count(*) as n from (select * from locked union all select * from added anti join locked using (clip_key)) group by 1")
+RELOCK = "retention_rasa_marathi"
+
+
+@query(f"""
+with {CANDIDATES_SQL},
+first as (select *, row_number() over (partition by bucket order by sha256('1234:' || clip_key), clip_key) - 1 as pos from routed where bucket is not null and not (speaker = 'Anagha' and bucket = '{RELOCK}')),
+locked as (select clip_key, bucket, format('{{}}_{{:03d}}', bucket, pos) as id from first join sizes using (bucket) where pos < k),
+pool as (select clip_key, bucket, row_number() over (order by sha256('17:' || clip_key), clip_key) - 1 as pos from routed where speaker = 'Anagha' and bucket = '{RELOCK}'),
+added as (select clip_key, bucket, format('{RELOCK}_{{:03d}}', pos + (select count(*) from locked where bucket = '{RELOCK}')) as id from pool where pos < 30)
+select bucket, id, clip_key from (select * from locked union all select * from added anti join locked using (clip_key))""")
 def relock_amend(spark, folder):
+    """A table locked without one speaker's items gets at most 30 of them, numbered on; amending again changes nothing."""
     rows = candidates(spark, folder)
-    locked = routing.chosen(rows).select("clip_key", "bucket")
-    added = routing.chosen(rows, {"retention_rasa_marathi": 60}).filter(F.col("bucket") == "retention_rasa_marathi").select("clip_key", "bucket")
-    once = lookups.amended(locked, added)
-    return lookups.amended(once, added).groupBy("bucket").agg(F.count("*").alias("n"))
+    mine = (F.col("speaker") == "Anagha") & (F.col("bucket") == RELOCK)
+    locked = routing.chosen(rows.filter(~F.coalesce(mine, F.lit(False)))).select("clip_key", "bucket", "id")
+    start = locked.filter(F.col("bucket") == RELOCK).count()
+    added = routing.chosen(rows.filter(mine), {RELOCK: 30}, seed=17).filter(F.col("pos") < 30)
+    added = added.select("clip_key", "bucket", F.format_string(f"{RELOCK}_%03d", F.col("pos") + start).alias("id"))
+    return lookups.amended(lookups.amended(locked, added), added).select("bucket", "id", "clip_key")
 
 
-@query("select clip_key from (select substr(sha256(source || '::' || doc_id), 1, 16) as clip_key from documents where lang = 'fr' union select substr(sha256(source || '::' || doc_id), 1, 16) from documents where doc_id % 7 = 0)")
+@query(f"with {CANDIDATES_SQL} select clip_key from (select substr(sha256(source || '::' || doc_id), 1, 16) as clip_key from documents union select clip_key from chosen union select substr(sha256('conversations::' || conv_id || '-' || turn), 1, 16) from conversations)")
 def key_union(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("clip_key", T.clip_key(F.col("source"), F.lit(""), F.col("doc_id")))
-    return lookups.key_union(docs.filter("lang = 'fr'"), docs.filter("doc_id % 7 = 0"))
+    docs = table(spark, folder, "documents").select(T.clip_key(F.col("source"), F.lit(""), F.col("doc_id")).alias("clip_key"))
+    turns = table(spark, folder, "conversations").select(T.clip_key(F.lit("conversations"), F.format_string("%d-%d", "conv_id", "turn"), F.lit(0)).alias("clip_key"))
+    return lookups.key_union(docs, chosen(spark, folder), turns)
 
 
 @query("""
@@ -162,11 +182,13 @@ select problem, count(*) as n from (select case
     when n_chars / 12.0 - 5 <= 0 then 'duration'
     when not (doc_id % 9) * 0.15 between 0 and 1 then 'clipping_ratio'
     when lang = 'en' and doc_id % 4 = 0 then 'script_language'
+    when doc_id % 7 = 5 then 'span'
     when doc_id % 10 = 3 then 'unknown_speaker'
     when doc_id % 10 = 4 then 'gender_mismatch' end as problem
   from documents) group by 1""")
 def clip_validation(spark, folder):
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end")))
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end")), F.struct((F.col("doc_id") % 2 - 1).cast("int").alias("start"), F.lit(-1).alias("end")))
+    spans = F.when(F.col("doc_id") % 7 == 5, spans).otherwise(F.slice(spans, 1, 1))
     script = F.when(F.col("doc_id") % 4 == 0, F.lit("Deva")).otherwise(F.lit("Latn"))
     speaker = F.when(F.col("doc_id") % 10 == 3, F.lit("Nobody")).otherwise(F.lit("Anagha"))
     gender = F.when(F.col("doc_id") % 10 == 4, F.lit("M"))
@@ -208,7 +230,7 @@ def script_tag(spark, folder):
 @query(r"""
 with raw as (select doc_id, text from documents union all select -1, '  a' || chr(9) || 'b   cafe' || chr(769) || '  ' union all select -2, 'x' || chr(8205) || 'y  9')
 select doc_id, sha256(clean) as normalized_sha256, length(clean) as normalized_chars
-from (select doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[^\P{C}\n]', '', 'g'), '[ ]+', ' ', 'g'), ' ' || chr(10)) as clean from raw)""")
+from (select doc_id, """ + CLEAN_SQL.format("text") + " as clean from raw)")
 def normalized_text(spark, folder):
     odd = spark.sql("select -1L, concat('  a', char(9), 'b   cafe', decode(unhex('CC81'), 'utf-8'), '  ') union all select -2L, concat('x', decode(unhex('E2808D'), 'utf-8'), 'y  9')")
     rows = table(spark, folder, "documents").select("doc_id", "text").union(odd).select("doc_id", T.cleaned("text").alias("clean"))
@@ -288,3 +310,101 @@ def greedy_pack_longform(spark, folder):
     speaker = F.when(F.col("source_hf_path") == ANCHOR, F.lit("Anagha")).otherwise(F.lit("Chinmay"))
     prompts = routing.longform(rows.select(speaker.alias("speaker"), F.col("clip_key").alias("ord"), F.col("text").alias("text_normalized")))
     return prompts.select("id", "speaker", F.sha2("text", 256).alias("text_sha256"), "target_seconds")
+
+
+@query(f"""
+with raw as (select doc_id, text from documents union all select -1, 'मला Machine Learning १० आवडते. 7' union all select -2, 'x' || chr(8205) || 'y  9'),
+clean as (select doc_id, {CLEAN_SQL.format("text")} as t from raw),
+words as (select doc_id, unnest(regexp_extract_all(t, '{LATIN_SQL}')) as w from clean), longest as (select doc_id, count(*) as n, max(length(w)) as longest from words group by 1)
+select c.doc_id, sha256(t) as text_sha256, case when regexp_matches(t, '{T.DEVANAGARI}') then 'Deva' else 'Latn' end as script, len(regexp_extract_all(t, '{T.DIGIT}')) as num_digits, coalesce(n, 0) as num_english_words,
+  coalesce(n, 0) as spans, coalesce(longest, 0) as longest_span, '{T.NORMALIZER_VERSION}' as normalizer_version, regexp_matches(t, '[0-9]') as has_todo
+from clean c left join longest l on c.doc_id = l.doc_id""")
+def normalization_record(spark, folder):
+    odd = spark.sql("select -1L, 'मला Machine Learning १० आवडते. 7' union all select -2L, concat('x', decode(unhex('E2808D'), 'utf-8'), 'y  9')")
+    rows = table(spark, folder, "documents").select("doc_id", "text").union(odd)
+    rows = rows.select("doc_id", T.normalization_record(T.cleaned("text")).alias("r")).select("doc_id", "r.*")
+    longest = F.coalesce(F.array_max(F.transform("code_switch_spans", lambda s: s["end"] - s["start"])), F.lit(0))
+    return rows.select(
+        "doc_id", F.sha2("text_normalized", 256).alias("text_sha256"), "script", "num_digits", "num_english_words", F.size("code_switch_spans").alias("spans"), longest.alias("longest_span"),
+        "normalizer_version", (F.size("todos") > 0).alias("has_todo"),
+    )
+
+
+@query(f"with {CANDIDATES_SQL} select doc_id, sha256(text) as text_sha256, sha256(text_normalized) as normalized_sha256, speaker, duration_s, clip_key from (select * from candidates) where text_normalized <> ''")
+def candidate_build(spark, folder):
+    rows = candidates(spark, folder)
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.sha2("text_normalized", 256).alias("normalized_sha256"), "speaker", "duration_s", "clip_key")
+
+
+@query(f"with {CANDIDATES_SQL} select clip_key, bucket, count(*) over () as n from (select distinct clip_key, bucket from chosen)")
+def held_out_roundtrip(spark, folder):
+    """The sorted array of held-out keys, written and read, holds the items' keys and no others."""
+    items = chosen(spark, folder).select("clip_key", "bucket")
+    path = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+    manifests.write_keys(items, path)
+    keys = manifests.read_keys(spark, path)
+    total = keys.count()
+    return keys.join(items.distinct(), "clip_key", "full").select("clip_key", "bucket", F.lit(total).cast("long").alias("n"))
+
+
+PLAN_SQL = """
+select * from (values
+  ('eval', 0, null, 'ai4bharat/Rasa', 'mr', 'test-00000-of-00007.parquet', 'audio.path,text,gender,style,duration', null, 700),
+  ('eval', 1, null, 'ai4bharat/Rasa', 'mr', 'test-00001-of-00007.parquet', 'audio.path,text,gender,style,duration', null, 700),
+  ('eval', 2, null, 'SPRINGLab/IndicTTS_Marathi', 'mr', 'train-00000-of-00004.parquet', 'audio.path,text,gender', null, 700),
+  ('eval', 3, null, 'SPRINGLab/IndicTTS_Marathi', 'mr', 'train-00003-of-00004.parquet', 'audio.path,text,gender', null, 700),
+  ('eval', 4, null, 'SPRINGLab/IndicTTS-Hindi', 'hi', 'train-00000-of-00010.parquet', 'audio.path,text', 'Amit', 700),
+  ('eval', 5, null, 'SPRINGLab/IndicTTS-English', 'en', 'train-00000-of-00028.parquet', 'audio.path,text', 'Amit', 700),
+  ('smoke', 0, null, 'SPRINGLab/IndicTTS_Marathi', 'mr', 'train-00000-of-00004.parquet', 'audio,text,gender', null, 12),
+  ('smoke', 1, null, 'ai4bharat/Rasa', 'mr', 'test-00000-of-00007.parquet', 'audio,text,gender', null, 8),
+  ('full', 0, 'springlab_marathi', 'SPRINGLab/IndicTTS_Marathi', 'mr', 'train-00000-of-00004.parquet', 'audio,text,gender', null, null),
+  ('full', 1, 'springlab_marathi', 'SPRINGLab/IndicTTS_Marathi', 'mr', 'train-00003-of-00004.parquet', 'audio,text,gender', null, null),
+  ('full', 2, 'rasa_marathi', 'ai4bharat/Rasa', 'mr', 'test-00002-of-00007.parquet', 'audio,text,gender', null, null),
+  ('full', 3, 'rasa_marathi', 'ai4bharat/Rasa', 'mr', 'test-00003-of-00007.parquet', 'audio,text,gender', null, null),
+  ('full', 4, 'rasa_marathi', 'ai4bharat/Rasa', 'mr', 'test-00004-of-00007.parquet', 'audio,text,gender', null, null),
+  ('full', 5, 'rasa_marathi', 'ai4bharat/Rasa', 'mr', 'test-00005-of-00007.parquet', 'audio,text,gender', null, null),
+  ('full', 6, 'hindi_replay', 'SPRINGLab/IndicTTS-Hindi', 'hi', 'train-00004-of-00010.parquet', 'audio,text,gender', null, null),
+  ('full', 7, 'hindi_replay', 'SPRINGLab/IndicTTS-Hindi', 'hi', 'train-00005-of-00010.parquet', 'audio,text,gender', null, null),
+  ('full', 8, 'english_replay', 'SPRINGLab/IndicTTS-English', 'en', 'train-00000-of-00028.parquet', 'audio,text', null, null)
+) t(plan, nth, pool, source, language, shard, columns, speaker, quota)"""
+
+
+@query(PLAN_SQL)
+def read_plans(spark, folder):
+    """The evaluation's, the smoke run's and the full run's reads."""
+    tables = {"eval": plans.EVAL, "smoke": plans.SMOKE, "full": plans.FULL}
+    out = None
+    for name, plan in tables.items():
+        one = scan.plan_table(spark, plan).withColumn("plan", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("plan", "nth", "pool", "source", "language", T.basename(F.col("path")).alias("shard"), F.array_join("columns", ",").alias("columns"), "speaker", "quota")
+
+
+@query("""
+select 'first' as pool, 'en' as language_id, 'documents.parquet' as shard, null as forced_speaker, count(*) as n, count(text) as texts, count(distinct _idx) as places from (select *, row_number() over () as _idx from documents)
+union all select 'second', 'mr', 'pages.parquet', 'Anagha', least(count(*), 40), 0, least(count(*), 40) from pages
+union all select 'second', 'mr', 'benchmark.parquet', null, 1, 1, 1""")
+def read_plan_scans(spark, folder):
+    """A plan of three shards of different columns, one with a limit and one with the limit 0, which gives a row."""
+    reads = [
+        scan.Read("documents", "en", f"{folder}/documents.parquet", ("doc_id", "text"), "first"),
+        scan.Read("pages", "mr", f"{folder}/pages.parquet", ("page_id", "url"), "second", "Anagha", 40),
+        scan.Read("benchmark", "mr", f"{folder}/benchmark.parquet", ("item_id", "text"), "second", None, 0),
+    ]
+    rows = scan.read_plan(spark, reads)
+    return rows.groupBy("pool", "language_id", "shard", "forced_speaker").agg(F.count("*").alias("n"), F.count("text").alias("texts"), F.count_distinct("_idx").alias("places"))
+
+
+@query("""
+with asked(name) as (values ('src0'), ('src1'), ('nowhere'), ('elsewhere'))
+select name from asked where name not in (select source from documents)""")
+def unknown_sources(spark, folder):
+    asked = spark.createDataFrame([("src0",), ("src1",), ("nowhere",), ("elsewhere",)], "name string")
+    return lookups.unknown_names(asked, table(spark, folder, "documents").select(F.col("source").alias("name")), "name")
+
+
+@query(f"with {CANDIDATES_SQL} select bucket, id, pos from chosen where bucket in ('retention_hindi', 'retention_english') and pos < 12")
+def retention_first_items(spark, folder):
+    """The items that an evaluation during training looks at: the first twelve of each retention bucket."""
+    items = chosen(spark, folder).filter(F.col("bucket").isin("retention_hindi", "retention_english"))
+    return clips.first_items(items, "bucket", "id", 12).select("bucket", "id", "pos")

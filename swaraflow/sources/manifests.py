@@ -30,8 +30,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_keys(keys: DataFrame, path: str, key: str = "clip_key") -> None:
-    """Sorted distinct keys, one JSON record a line."""
-    keys.select(key).distinct().orderBy(key).write.mode("overwrite").json(path)
+    """One JSON document: the sorted array of distinct keys. Held-out keys are as many as the evaluation's items."""
+    array = keys.filter(F.col(key).isNotNull()).agg(F.to_json(F.sort_array(F.collect_set(key))).alias("value"))
+    array.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_keys(spark: SparkSession, path: str, key: str = "clip_key") -> DataFrame:
+    """The keys of :func:`write_keys`, or of any file that is one JSON array of strings."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "array<string>")).alias(key)).distinct()
 
 
 def write_audit(results: DataFrame, path: str) -> None:

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """The columns asked for (``audio.path`` reads that leaf only) and ``_idx``, a row's place in its file."""
+    """The columns asked for (``audio.path`` reads that leaf only) and ``_idx``, a row's place in its file.
+
+    ``max_rows`` is looked at after a row, as in the surveyed system: 0 gives one row.
+    """
     rows = spark.read.parquet(path)
     picked = [F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns] if columns else [F.col(c) for c in rows.columns]
     out = rows.select(*picked, F.col("_metadata.row_index").alias("_idx"))
-    return out if max_rows is None else out.limit(max_rows)
+    return out if max_rows is None else out.limit(max(1, max_rows))
 
 
 def shard_path(source: Column, shard: Column, directories: dict[str, str]) -> Column:
@@ -39,6 +42,12 @@ class Read:
     limit: int | None = None
 
 
+def plan_table(spark: SparkSession, plan: Sequence[Read]) -> DataFrame:
+    """A plan as a table, a row for each read in order."""
+    rows = [(i, r.pool, r.source, r.language, r.path, list(r.columns), r.speaker, r.limit) for i, r in enumerate(plan)]
+    return spark.createDataFrame(rows, "nth int, pool string, source string, language string, path string, columns array<string>, speaker string, quota int")
+
+
 def read_plan(spark: SparkSession, plan: Sequence[Read]) -> DataFrame:
     """All shards of a plan by name, each tagged; columns that a shard lacks are null."""
     out = None

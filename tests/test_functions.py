@@ -202,3 +202,50 @@ def test_decode_resample(spark):
         signal.decode(b"none")
     got = spark.createDataFrame([(bytearray(data),), (bytearray(b"none"),), (None,)], "b binary").select(signal.decoded(24000)("b").alias("d")).collect()
     assert [r["d"]["samples"] and len(r["d"]["samples"]) for r in got] == [2400, None, None] and got[0]["d"]["native_rate"] == 48000
+
+
+def test_edit_counts_equal_a_whole_table():
+    """Against the full table of costs, traced back by the same preferences; and a long pair in little memory."""
+    import random
+    import tracemalloc
+
+    def traced(ref, hyp):
+        cost = [[i + j if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+        for i in range(1, len(ref) + 1):
+            for j in range(1, len(hyp) + 1):
+                cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]))
+        kinds, (i, j) = [0, 0, 0, 0], (len(ref), len(hyp))
+        while i or j:
+            same = i and j and ref[i - 1] == hyp[j - 1]
+            if i and j and cost[i][j] == cost[i - 1][j - 1] + (not same):
+                kinds[3 if same else 2] += 1
+                i, j = i - 1, j - 1
+            elif i and cost[i][j] == cost[i - 1][j] + 1:
+                kinds[1] += 1
+                i -= 1
+            else:
+                kinds[0] += 1
+                j -= 1
+        return tuple(kinds)
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        assert arrays.edit_counts(a, b) == traced(a, b)
+    words = [str(rng.randrange(50)) for _ in range(4000)]
+    tracemalloc.start()
+    assert arrays.edit_counts(words, words[:2000] + ["x"] + words[2000:]) == (1, 0, 0, 4000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_plain_texts_are_cleaned_in_the_jvm_alike(spark):
+    texts = ["  a  b ", "\n x \n", "é  \n ü ", "\u00ad", "a\u0301", "\u00a0 b", "x\ty", "", "ok", "日本  x", "\u200bz", "ʿ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["c"] for r in rows.select("i", T.cleaned("t").alias("c")).collect()}
+    assert got == {i: T.clean_text(t) for i, t in enumerate(texts)}
+
+
+def test_zip_stops_at_the_shorter_side(spark):
+    df = spark.sql("select array(1, 2, 3) as a, array('x', 'y') as b")
+    assert [tuple(p) for p in df.select(arrays.zipped(F.col("a"), F.col("b")).alias("z")).first()["z"]] == [(1, "x"), (2, "y")]

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swaraflow.operators import gates, hooks, lookups, metrics, mixture, monitor, panel, parameters, routing, voices
-from swaraflow.sources import manifests, scan
+from swaraflow.functions import signal, tokens
+from swaraflow.operators import clips, gates, hooks, lookups, metrics, mixture, monitor, panel, parameters, routing, voices
+from swaraflow.sources import config, manifests, plans, scan, shared
 from swaraflow.streaming import ingest
 
 CAND = "clip_key string, language_id string, source_hf_path string, rasa_style string, num_digits int, num_english_words int, speaker string, text string"
@@ -154,8 +155,16 @@ def test_bootstrap(spark):
     got = metrics.bootstrap_ci(rows, "bucket", "v", "id", seed=1).first()
     assert (got["low"], got["high"]) == (pytest.approx(low), pytest.approx(high))
     wide = spark.range(2000).select(F.lit("b").alias("bucket"), "id", (F.col("id") % 10 / 10).alias("v"))
-    p = metrics.poisson_bootstrap_ci(wide, "bucket", "v", "id").first()
-    assert p["low"] < p["point"] < p["high"] and p["high"] - p["low"] == pytest.approx(4 * 0.287 / math.sqrt(2000), rel=0.3)
+    p = metrics.split_bootstrap_ci(wide, "bucket", "v", "id").first()
+    assert p["low"] < p["point"] < p["high"] and p["high"] - p["low"] == pytest.approx(3.92 * 0.287 / math.sqrt(2000), rel=0.15)
+    # the same sums by hand, whatever the partitioning
+    keys = np.array([r[0] for r in wide.select(F.xxhash64(F.col("id").cast("string"))).collect()], np.int64)
+    weights, x = metrics._poisson_weights(keys, 1000, 0), np.arange(2000) % 10 / 10
+    means = (x @ weights) / weights.sum(axis=0)
+    assert (p["low"], p["high"]) == (pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5))) and abs(weights.mean() - 1) < 0.01
+    odd = spark.createDataFrame([(None, 1, 0.5), ("x", 2, None), ("x", 3, 0.25)], "bucket string, id int, v double")
+    got = {r["bucket"]: r for r in metrics.split_bootstrap_ci(odd, "bucket", "v", "id").collect()}
+    assert got[None]["point"] == 0.5 and got["x"]["point"] == 0.25 and metrics.split_bootstrap_ci(odd.limit(0), "bucket", "v", "id").count() == 0
 
 
 def test_wer_panel(spark):
@@ -165,7 +174,28 @@ def test_wer_panel(spark):
     assert (got["a"]["wer"], got["a"]["wer_mean_utterance"], got["a"]["ref_words"], got["a"]["hit_rate"]) == (pytest.approx(2 / 7), 0.25, 7, 0.5)
     assert got["b"]["wer_mean_utterance"] == 0.0 and got["c"]["n"] == 0 and got["c"]["wer"] is None
     page = panel.report(panel.wer_panel(results, results.select("bucket").distinct()), title="<t>")
-    assert "&lt;t&gt;" in page and "0.286" in page and "Long prompts" not in page
+    assert "&lt;t&gt;" in page and "<td>0.286</td>" in page and "Long prompts" not in page and page.count("<tr>") == 3
+    exact = {r["bucket"]: r for r in panel.wer_panel(results, results.select("bucket").distinct(), seed=1, bounded=True).collect()}
+    assert (exact["a"]["low"], exact["a"]["high"]) == tuple(pytest.approx(x) for x in metrics.bootstrap(np.array([0.5, 0.0]), seed=1)[1:])
+
+
+def test_full_panel_and_its_sinks(spark, tmp_path):
+    results = spark.createDataFrame([("1", "a", "x y", "x z", True)], "id string, bucket string, reference string, hypothesis string, hit boolean")
+    names = spark.createDataFrame([("a",), ("empty",), (routing.LONGFORM,)], "bucket string")
+    vectors = spark.createDataFrame([("a", "A", [1.0, 0.0]), ("a", "C", [0.0, 1.0])], "bucket string, speaker string, vector array<double>")
+    long = spark.createDataFrame([(routing.LONGFORM, [7] * 14, True), (routing.LONGFORM, [1, 2, 3, 4, 5, 6, 7], False)], "bucket string, token_ids array<int>, hit boolean")
+    prosody = spark.createDataFrame([("a", 1.0, None, 2.0, 0.0)], "bucket string, mean_f0 double, f0_std double, energy_std double, pause_ratio double")
+    whole = panel.full_panel(results, names, long, panel.voice_breakdown(vectors, vectors), panel.prosody_means(prosody))
+    got = {r["bucket"]: r for r in whole.collect()}
+    assert (got["a"]["wer"], got["a"]["by_voice"], got["a"]["energy_std"], got["a"]["hit_rate"]) == (0.5, {"A": 1.0, "C": 1.0}, 2.0, 1.0)
+    assert (got["empty"]["n"], got[routing.LONGFORM]["n"], got[routing.LONGFORM]["hit_rate"], got[routing.LONGFORM]["mean_frames"]) == (0, 2, 0.5, 1.5)
+    panel.write_json(whole, str(tmp_path / "panel"))
+    (part,) = (tmp_path / "panel").glob("part-*")
+    assert json.loads(part.read_text())["buckets"]["a"]["substitutions"] == 1
+    page = panel.report(whole, panel.longform_panel(long))
+    assert "A 1.000, C 1.000" in page and "Long prompts" in page and "<th>repetition_rate_3gram</th>" in page
+    records = panel.longform_records(long.withColumn("similarities", F.when(F.col("hit"), F.array(F.lit(0.9), F.lit(0.5), F.lit(0.6))).otherwise(F.array(F.lit(0.3))))).collect()
+    assert sorted((r["n_frames"], round(r["similarity_drop"], 9)) for r in records) == [(1, 0.0), (2, 0.3)]
 
 
 def test_similarity_needs_no_pairs(spark):
@@ -185,13 +215,18 @@ def test_voice_breakdown_only_for_several(spark):
     assert got["m"]["by_voice"] == {"A": 1.0, "C": 1.0} and got["m"]["speaker_similarity"] == pytest.approx(0.5) and got["s"]["by_voice"] is None
 
 
-def test_regressions(spark):
+def test_regressions(spark, tmp_path):
     frame = lambda d: spark.createDataFrame(list(d.items()), "bucket string, wer double")
     changed = metrics.regressions(frame({"a": 0.3, "b": 0.1, "new": 9.0}), frame({"a": 0.2, "b": 0.2}))
     assert {r["bucket"]: round(r["regression"], 6) for r in changed.collect()} == {"a": 0.5, "b": -0.5}
     assert tuple(metrics.worst(changed).first()) == (pytest.approx(0.5), True) and tuple(metrics.worst(changed.limit(0)).first()) == (0.0, False)
     series = spark.createDataFrame([(s, "a", w) for s, w in ((0, 0.2), (5, 9.0), (10, 0.22), (20, 0.3))], "step int, bucket string, wer double")
     assert {r["step"]: r["alert"] for r in monitor.alerts(series, 10).collect()} == {0: False, 10: False, 20: True}
+    given = monitor.alerts(series, 10, baseline=frame({"a": 0.1}))
+    assert {r["step"]: round(r["worst"], 6) for r in given.collect()} == {10: 1.2, 20: 2.0}
+    marker = str(tmp_path / "marker")
+    assert monitor.mark(given, marker) and sorted(r["step"] for r in spark.read.json(marker).collect()) == [10, 20]
+    assert not monitor.mark(given.limit(0), str(tmp_path / "none")) and not os.path.exists(tmp_path / "none")
 
 
 def test_prosody_skips_missing(spark):
@@ -204,7 +239,8 @@ def test_prosody_skips_missing(spark):
 def test_parameters(spark):
     rows = parameters.targets(spark, 28, (8, 24))
     got = parameters.adapter_parameters(rows, 3072, 24, 8, 128, 8192, 32)
-    assert got.agg(F.sum("parameters")).first()[0] == 21_430_272 and len(parameters.target_names((8, 24))) == 2 + 34
+    assert got.agg(F.sum("parameters")).first()[0] == 21_430_272 and len(names := parameters.target_names(rows)) == 2 + 34
+    assert {"q_proj", "v_proj", "model.layers.8.mlp.up_proj", "model.layers.24.mlp.gate_proj"} <= set(names)
     table = parameters.frozen(spark.createDataFrame([("a.lora_A", 10), ("b", 90)], "name string, numel long"))
     r = parameters.freeze_report(table).first()
     assert (r["trainable"], r["total"], r["percent"], r["frozen_adapters"], r["trained_base"]) == (10, 100, 10.0, 0, 0)
@@ -221,6 +257,10 @@ def test_manifests(spark, tmp_path):
     assert [r["manifest"] for r in manifests.read(spark, str(tmp_path / "n")).collect()] == ["x.json"]
     manifests.write_audit(spark.createDataFrame([("b", "1", "r", "h")], "bucket string, id string, reference string, hypothesis string"), str(tmp_path / "a"))
     assert os.path.isdir(tmp_path / "a" / "bucket=b")
+    keys = spark.createDataFrame([("k2",), ("k1",), ("k2",), (None,)], "clip_key string")
+    manifests.write_keys(keys, str(tmp_path / "k"))
+    (part,) = (tmp_path / "k").glob("part-*")
+    assert json.loads(part.read_text()) == ["k1", "k2"] and sorted(r[0] for r in manifests.read_keys(spark, str(tmp_path / "k")).collect()) == ["k1", "k2"]
 
 
 def test_scan_and_plan(spark, tmp_path):
@@ -262,3 +302,124 @@ def test_hooks(spark):
     got = hooks.embedded(hooks.transcribed(said, Fake, 8000), lambda: lambda x, rate: x + 1, 8000).first()
     assert (got["text_ids"], got["hypothesis"], got["vector"], got["hit"]) == ([97, 98], "2 mr", [1.0, 1.0], False)
     assert hooks.transcribed(said, Fake, 8000, forward_language=False).first()["hypothesis"] == "2 None"
+
+
+def test_decoder_pairs(spark):
+    rows = spark.createDataFrame([([1, 2, 3],)], "token_ids array<int>")
+    pairs = hooks.decoded_pairs(rows, lambda: lambda ids: np.sin(np.arange(4000) / 9) * 2, lambda: lambda ids: np.sin(np.arange(3000) / 9))
+    got = pairs.select(F.array_max("samples").alias("top"), signal.decode_comparison("samples", "stock_samples", F.lit(8000)).alias("c")).first()
+    assert got["top"] == 1.0 and (got["c"]["first_seconds"], got["c"]["second_seconds"]) == (0.5, 0.375) and 0.3 < got["c"]["mel_correlation"] <= 1
+    x = np.random.default_rng(1).normal(size=8000)
+    assert signal.mel_correlation(x, x, 8000) == pytest.approx(1.0)
+
+
+def test_waves_are_written_by_slug(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "Hello, World!", [0.0, 0.5], [0.1]), (1, "??", [0.25], None)], "idx int, text string, samples array<double>, stock_samples array<double>")
+    signal.write_waves(rows, str(tmp_path), 8000)
+    assert sorted(os.listdir(tmp_path)) == ["00_hello_world.wav", "00_hello_world_stock.wav", "01_utt.wav"]
+    assert signal.decode((tmp_path / "00_hello_world.wav").read_bytes())[0].tolist() == pytest.approx([0.0, 0.5], abs=1e-4)
+
+
+def test_candidates_drop_what_is_empty(spark):
+    rows = spark.createDataFrame([(1, "  two  words \n", 2.0), (2, " \t ", 1.0), (3, None, 1.0), (4, "\u200b", 1.0), (5, "d 7", None)], "i int, text string, d double")
+    got = clips.candidates(rows, F.lit("s"), F.lit("mr"), F.lit("k"), F.lit("Anagha"), duration="d").orderBy("i").collect()
+    assert [(r["i"], r["text"], r["text_normalized"], r["duration_s"], r["num_digits"], r["num_english_words"]) for r in got] == [(1, "two  words", "two words", 2.0, 0, 2), (5, "d 7", "d 7", 0.0, 1, 1)]
+
+
+def test_clip_pipeline(spark):
+    tone = lambda seconds, rate=8000: signal.encode(0.5 * np.sin(np.arange(int(seconds * rate)) * 0.2), rate)
+    rows = [(0, tone(1.0), "a.wav", "मला  10 words", "Female"), (1, tone(0.1), "b.wav", "short", "male"), (2, tone(1.0), "held.wav", "x", "male"), (3, tone(1.0), None, " ", "male"), (4, b"broken", "e.wav", "x", "male")]
+    df = spark.createDataFrame([((b, p), t, g, i) for i, b, p, t, g in rows], "audio struct<bytes: binary, path: string>, text string, gender string, _idx int")
+    keyed = lambda p: df.sparkSession.range(1).select(clips.T.clip_key(F.lit(routing.ANCHOR), F.lit(p), F.lit(0)).alias("clip_key"))
+    got = {r["gate"]["hard_reject"]: r for r in clips.clips(df, routing.ANCHOR, "CC-BY-4.0", "mr", 16_000, keyed("held.wav")).collect() if r["gate"]["hard_reject"] != "duration_out_of_[0.5,20.0]"}
+    assert set(got) == {None, "eval_holdout", "empty_normalized_text"} and got["eval_holdout"]["meta"] is None and got["eval_holdout"]["samples"] is None
+    meta = got[None]["meta"]
+    assert (meta["speaker"]["name"], meta["speaker"]["gender"], meta["text"]["script"], meta["text"]["num_digits"], meta["transcript"]["text_normalized"]) == ("Anagha", "F", "Deva", 2, "मला 10 words")
+    assert (meta["provenance"]["source_id"], meta["audio"]["sample_rate"], meta["audio"]["duration_s"], len(got[None]["samples"])) == (f"{routing.ANCHOR}#0", 16_000, 1.0, 16_000)
+    assert got[None]["gate"]["soft_flags"] == ["snr<15.0", "narrowband"]
+    rejected = clips.clips(df, routing.ANCHOR, "unknown", "mr", 8000).collect()
+    assert len(rejected) == 5 and {r["gate"]["hard_reject"] for r in rejected} == {"license_unknown"}
+
+
+def test_compiled_examples_and_quotas(spark):
+    c = tokens.Contract()
+    rows = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 4 == 0, 6).otherwise(7 * (F.col("id") % 3 + 1)).cast("int")), lambda i: F.lit(c.snac_base) + ((i - 1) % 7) * 4096).alias("audio"))
+    none, one = F.array().cast("array<int>"), F.array(F.lit(10))
+    made = clips.compiled(rows, c, F.col("audio"), none, none, one)
+    assert made.count() == 30 and made.filter("size(input_ids) <> size(labels)").count() == 0  # a clip without a whole frame gives no example
+    got = [r["id"] for r in clips.within_quota(made, "id", 3, 7 + 14, scan_factor=2).collect()]
+    assert got == [1, 3, 6]  # of the first six examples 1 2 3 5 6 7 those of one or two frames
+    both, counts = clips.compile_plan({"p": made, "q": made.limit(0)}, "id", {"p": 2, "q": 2}, 100)
+    assert both.count() == 2 and {r["source"]: r["n"] for r in counts.collect()} == {"p": 2, "q": 0}
+    held = tokens.examples(spark, [([1, 2], [-100, 2])]).first()
+    assert (held["idx"], held["input_ids"], held["labels"]) == (0, [1, 2], [-100, 2])
+
+
+def test_codes_out_of_range_are_errors(spark):
+    for position, code in ((7, 0), (-1, 0), (0, 4096)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.range(1).select(tokens.to_token(F.lit(position), F.lit(code), 100)).collect()
+
+
+def test_places_are_ranked_without_one_task(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    got = mixture.ranked(rows, ["g"], "d", ["id"], 16).collect()
+    for g in range(3):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["d"])
+        assert [r["place"] for r in own] == list(range(1000))
+    few = mixture.ranked(rows.filter("g = 0"), ["g"], "d", ["id"], 16, {0: 10}).collect()
+    assert len(few) < 200 and {r["id"]: r["place"] for r in got if r["g"] == 0 and r["place"] < 10} == {r["id"]: r["place"] for r in few if r["place"] < 10}
+
+
+def test_config(tmp_path):
+    for name, text in {"base": "root: /r\nmodels: ${root}/m\nsizes: {a: 3, b: '${sizes.a}'}\n", "train": "x: [1, '${y}']\ny: 2.5\n", "data": "sources: {p: {hf_path: s/one}, q: {hf_path: s/two, role: r}}\n", "lora": ""}.items():
+        (tmp_path / f"{name}.yaml").write_text(text)
+    got = config.composed(str(tmp_path))
+    assert got == {"base": {"root": "/r", "models": "/r/m", "sizes": {"a": 3, "b": 3}}, "train": {"x": [1, 2.5], "y": 2.5}, "data": got["data"], "lora": {}}
+    assert config.source_config(got["data"]["sources"], "s/two")["role"] == "r"
+    with pytest.raises(KeyError):
+        config.source_config(got["data"]["sources"], "s/three")
+    for bad in ({"a": "${b}"}, {"a": "${a}"}):
+        with pytest.raises((KeyError, ValueError)):
+            config.resolved(bad, bad)
+    config.seed_all(7)
+    state = config.captured()
+    first = (np.random.rand(), math.floor(np.random.rand() * 100))
+    config.restored(state)
+    assert (np.random.rand(), math.floor(np.random.rand() * 100)) == first
+    config.write_snapshot(got, str(tmp_path / "run"))
+    assert json.loads((tmp_path / "run" / "rng_present.json").read_text()) == {"python": True, "numpy": True} and "models: /r/m" in (tmp_path / "run" / "config_snapshot.yaml").read_text()
+
+
+def test_plans_and_the_row_cap(spark, tmp_path):
+    assert (len(plans.EVAL), len(plans.SMOKE), len(plans.FULL)) == (6, 2, 9) and {r.pool for r in plans.FULL} == set(mixture.WEIGHTS)
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert [scan.scan(spark, str(tmp_path / "t"), max_rows=n).count() for n in (None, 0, 1, 3)] == [5, 1, 1, 3]
+
+
+def test_the_shared_folder_must_be_set_on_a_cluster(spark):
+    assert shared.shared_dir(spark)
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Elsewhere)
+
+
+def test_file_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    raw = Tokenizer(WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    raw.pre_tokenizer = Whitespace()
+    raw.save(str(tmp_path / "t.json"))
+    t = hooks.FileTokenizer(str(tmp_path / "t.json"))
+    assert (t.encode("b a c"), t.id_of("b"), t.id_of("zz")) == ([1, 0, 2], 1, None)
+    assert {r["token"]: r["id"] for r in t.vocabulary(spark).collect()} == {"a": 0, "b": 1, "?": 2}
