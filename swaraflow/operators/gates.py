@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .voices import speaker_problem
@@ -68,11 +68,17 @@ def assert_valid(clips: DataFrame, problem: Column) -> DataFrame:
     return clips.withColumn("__ok", F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("invalid clip: "), problem)).cast("boolean")).otherwise(F.lit(True))).filter("__ok").drop("__ok")
 
 
-def preflight(quality: DataFrame, source: str = "source", least_snr: float = 20.0, least_wideband: float = 0.9) -> DataFrame:
+def preflight(quality: DataFrame, source: str = "source", least_snr: float = 20.0, least_wideband: float = 0.9, sample: int | None = None, key: str = "clip_key") -> DataFrame:
     """Per source the median SNR, the wide-band share, and whether a full run may start.
 
-    The surveyed system only declares this switch; here it works.
+    With ``sample``, of so many clips of each source, drawn by hash of their key; at
+    most that many of a source leave a task.  The surveyed system only declares this
+    switch; here it works.
     """
+    if sample is not None:
+        drawn = F.sha2(F.col(key).cast("string"), 256)
+        nth = F.row_number().over(Window.partitionBy(source).orderBy(drawn, key))
+        quality = quality.withColumn("__nth", nth).filter(F.col("__nth") <= sample).drop("__nth")
     return quality.groupBy(source).agg(F.percentile("snr_db", 0.5).alias("median_snr"), F.avg(F.col("wideband").cast("double")).alias("wideband_fraction")).withColumn(
         "passes", (F.col("median_snr") >= least_snr) & (F.col("wideband_fraction") >= least_wideband)
     )

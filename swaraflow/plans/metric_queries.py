@@ -153,6 +153,17 @@ def compile_quota(spark, folder):
     return found.join(counts.select("source"), "source").select("source", "key", F.size("input_ids").alias("n"))
 
 
+@query("""
+select * from (values ('begin_of_text', 128000), ('eot_id', 128009), ('start_of_human', 128259), ('end_of_human', 128260), ('start_of_ai', 128261), ('end_of_ai', 128262), ('start_of_speech', 128257), ('end_of_speech', 128258),
+  ('speaker_open', 156938), ('speaker_close', 156939), ('style_open', 156940), ('style_close', 156941), ('snac_base', 128266), ('first_audio', 128266), ('past_audio', 156938)) t(name, id)""")
+def contract_ids(spark, folder):
+    """The contract as it is resolved from a vocabulary, and the bounds of its band."""
+    vocabulary = spark.createDataFrame([(K.NAMES[k], v) for k, v in CONTRACT.as_dict().items()], "token string, id int")
+    found = K.resolve(vocabulary)
+    low, high = found.band
+    return spark.createDataFrame([*found.as_dict().items(), ("first_audio", low), ("past_audio", high)], "name string, id int")
+
+
 # -- rows in sequence -------------------------------------------------------------------------------
 
 
@@ -360,6 +371,47 @@ def edit_kinds(spark, folder):
     return rows.select("conv_id", "turn", "ref_words", F.expr(WRONG).alias("edits"), (F.col("hits") >= 0).alias("hits_fit"), fits.alias("adds_up"))
 
 
+@query(f"""
+with {TURNS_SQL}, firsts as (select *, row_number() over (partition by role order by conv_id, turn) as nth from edited)
+select role, count(*) as n, round(sum(edits) / sum(ref_words), 9) as wer, sum(edits)::bigint as edits from firsts where nth <= 12 group by 1""")
+def retention_wer(spark, folder):
+    """The error rate that a run watches: of the first twelve items of each group."""
+    rows = turns(spark, folder).withColumn("ord", F.struct("conv_id", "turn"))
+    found = metrics.corpus_wer(metrics.with_edits(clips.first_items(rows, "role", "ord", 12).drop("ord")), "role")
+    return found.select("role", "n", F.round("wer", 9).alias("wer"), F.expr(WRONG).alias("edits"))
+
+
+@query(f"""
+with {TURNS_SQL}, found as (select role as bucket, count(*) as n, sum(edits) / sum(ref_words) as wer, avg((turn % 4 = 0)::int) as hit_rate from edited group by 1)
+select bucket, coalesce(n, 0)::varchar as n, coalesce(format('{{:.3f}}', wer), '—') as wer, coalesce(format('{{:.2f}}', hit_rate), '—') as hit_rate
+from (select distinct role as bucket from conversations union all select 'nobody') left join found using (bucket)""")
+def report_table(spark, folder):
+    """The panel's cells as the page shows them."""
+    results = turns(spark, folder).select(F.format_string("%010d_%06d", "conv_id", "turn").alias("id"), F.col("role").alias("bucket"), "reference", "hypothesis", (F.col("turn") % 4 == 0).alias("hit"))
+    catalogue = table(spark, folder, "conversations").select(F.col("role").alias("bucket")).distinct().union(spark.sql("select 'nobody'"))
+    return panel.display(panel.wer_panel(results, catalogue), panel.WER_COLUMNS).select("bucket", "n", "wer", "hit_rate")
+
+
+@query(f"with {TURNS_SQL} select role as bucket, count(*) as n, min(sha256(reference || '|' || hypothesis)) as least from pairs group by 1")
+def audit_roundtrip(spark, folder):
+    """References and hypotheses by bucket, as they are read back from the audit files."""
+    rows = turns(spark, folder).select(F.col("role").alias("bucket"), F.format_string("%d_%d", "conv_id", "turn").alias("id"), "reference", "hypothesis")
+    path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    manifests.write_audit(rows, path)
+    found = spark.read.schema("id string, reference string, hypothesis string, bucket string").json(path)
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.sha2(F.concat_ws("|", "reference", "hypothesis"), 256)).alias("least"))
+
+
+@query("select event_type as bucket, count(*) as n, round(avg(case when event_type <> 'error' then value end), 6) as wer from events group by 1")
+def panel_json_roundtrip(spark, folder):
+    """A panel as one JSON document, read back a row for each bucket; a figure that is missing is missing there too."""
+    rows = table(spark, folder, "events").groupBy(F.col("event_type").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("event_type") != "error", F.col("value"))), 6).alias("wer"))
+    path = f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}"
+    panel.write_json(rows, path)
+    whole = spark.read.schema("buckets map<string, struct<n: bigint, wer: double>>").json(path)
+    return whole.select(F.explode("buckets").alias("bucket", "r")).select("bucket", "r.n", "r.wer")
+
+
 @query("select event_type as bucket, round(avg(value) filter (where user_id % 2 = 0), 6) as base, round(avg(value) filter (where user_id % 2 = 1), 6) as tuned, round(avg(value) filter (where user_id % 2 = 1) - avg(value) filter (where user_id % 2 = 0), 6) as delta from events group by 1")
 def base_vs_tuned_delta(spark, folder):
     part = lambda k: table(spark, folder, "events").filter(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("bucket")).agg(F.avg("value").alias("wer"))
@@ -543,6 +595,15 @@ def clip_pipeline(spark, folder):
     )
 
 
+@query(f"with {VALUES_SQL} select user_id, round(list_sum(list_transform(x, lambda v: greatest(least((v - 250) / 200, 1.0), -1.0))), 6) as total, len(list_filter(x, lambda v: abs((v - 250) / 200) > 1)) as held from samples")
+def clamped_samples(spark, folder):
+    """Samples beyond full scale are held to it."""
+    rows = _values(spark, folder).select("user_id", F.transform("x", lambda v: (v - 250) / 200).alias("x"))
+    clamped = signal.clamped(F.col("x"))
+    moved = F.size(F.filter(F.arrays_zip(clamped.alias("a"), F.col("x").alias("b")), lambda p: p["a"] != p["b"]))
+    return rows.select("user_id", F.round(F.aggregate(clamped, F.lit(0.0), lambda s, v: s + v), 6).alias("total"), moved.cast("long").alias("held"))
+
+
 @query()
 def prosody_measures(spark, folder):
     return _values(spark, folder).select("user_id", signal.prosody(F.col("x"), F.lit(400)).alias("p")).select("user_id", "p.*")
@@ -562,6 +623,18 @@ def preflight_switch(spark, folder):
     return found.withColumn("median_snr", F.round("median_snr", 6)).withColumn("wideband_fraction", F.round("wideband_fraction", 6))
 
 
+@query("""
+with drawn as (select *, row_number() over (partition by source order by sha256(doc_id::varchar), doc_id) as nth from documents)
+select source, round(median(n_chars / 100.0), 6) as median_snr, round(avg(coalesce((toxic = 0)::int, 1)), 6) as wideband_fraction, median(n_chars / 100.0) >= 15.0 and avg(coalesce((toxic = 0)::int, 1)) >= 0.9 as passes
+from drawn left join labels using (doc_id) where nth <= 64 group by 1""")
+def preflight_sample(spark, folder):
+    """The switch as it is declared: 64 clips of each source."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    rows = rows.select("doc_id", "source", (F.col("n_chars") / 100.0).alias("snr_db"), F.coalesce(F.col("toxic") == 0, F.lit(True)).alias("wideband"))
+    found = gates.preflight(rows, least_snr=15.0, sample=64, key="doc_id")
+    return found.withColumn("median_snr", F.round("median_snr", 6)).withColumn("wideband_fraction", F.round("wideband_fraction", 6))
+
+
 @query("select event_type as bucket, round(coalesce(avg(case when event_type = 'error' then null else value end), 'nan'::double), 6) as mean_f0, round(avg(value) - avg(value * 0.5), 6) as delta from events group by 1")
 def prosody_means(spark, folder):
     rows = table(spark, folder, "events").select(F.col("event_type").alias("bucket"), F.when(F.col("event_type") != "error", F.col("value")).alias("mean_f0"), F.col("value").alias("f0_std"), (F.col("value") * 0.5).alias("energy_std"), F.lit(0.5).alias("pause_ratio"))

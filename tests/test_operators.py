@@ -423,3 +423,15 @@ def test_file_tokenizer(spark, tmp_path):
     t = hooks.FileTokenizer(str(tmp_path / "t.json"))
     assert (t.encode("b a c"), t.id_of("b"), t.id_of("zz")) == ([1, 0, 2], 1, None)
     assert {r["token"]: r["id"] for r in t.vocabulary(spark).collect()} == {"a": 0, "b": 1, "?": 2}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from swaraflow.__main__ import main
+
+    main(["list"])
+    assert "route_topk_items (SQL)" in capsys.readouterr().out
+    spark.range(3).select(F.col("id").alias("event_id"), F.lit("x").alias("event_type")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    main(["run", "ordinal_scan", str(tmp_path), str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", str(tmp_path)])
