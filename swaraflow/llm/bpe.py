@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,6 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import trimmed
 from .store import materialize
 
 CHUNK = 32_768
@@ -130,18 +131,23 @@ def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str,
     names = [x.split()[0] for x in results.split(", ")]
     kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.binary(),)
 
-    def columns(c: Codec, found: Iterator[bytes | None]) -> list[pa.Array]:
+    def columns(c: Codec, found: Iterable[bytes | None]) -> list[pa.Array]:
         """The result columns of encoded texts; nulls where there is none."""
         rows = [(None,) * len(names) if ids is None else _digest(ids, c.decode(ids)) if digest else (ids,) for ids in found]
         return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of short texts; of a long one a row with its key, and its chunks."""
+        """Results of short texts; of a long one a row with its key, then its chunks, some at a time."""
         c = codec(vocabulary, pattern)
+
+        def rows(ids: pa.Array, encoded: list[bytes | None], cuts: list[tuple]) -> pa.RecordBatch:
+            key, k, last, part = zip(*cuts, strict=True) if cuts else ((),) * 4
+            kept = [ids, pa.array(key, pa.string()), pa.array(k, pa.int32()), pa.array(last, pa.bool_()), pa.array(part, pa.binary())]
+            return pa.RecordBatch.from_arrays([*kept, *columns(c, encoded)], names=["id", "key", "k", "last", "part", *names])
+
         for batch in sliced(batches, 64):
             encoded: list[bytes | None] = []
             keys: list[str | None] = []
-            cuts: list[tuple[str, int, bool, bytes]] = []
             for raw in batch.column(1):
                 whole = raw.as_py().decode("utf-8", "replace")
                 if len(whole) <= chunk:
@@ -152,15 +158,10 @@ def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str,
                 encoded.append(None)
                 keys.append(key)
                 starts = range(0, max(1, len(whole) - overlap), chunk)
-                cuts += [(key, k, at == starts[-1], whole[at : at + chunk + overlap].encode()) for k, at in enumerate(starts)]
-            n, m = len(batch), len(cuts)
-            key, k, last, part = zip(*cuts, strict=True) if cuts else ((),) * 4
-            found = columns(c, iter([*encoded, *[None] * m]))
-            ids = pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]) if m else batch.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([*keys, *key], pa.string()), pa.array([*[None] * n, *k], pa.int32()), pa.array([*[None] * n, *last], pa.bool_()), pa.array([*[None] * n, *part], pa.binary()), *found],
-                names=["id", "key", "k", "last", "part", *names],
-            )
+                for first in range(0, len(starts), 16):
+                    cuts = [(key, k, k == len(starts) - 1, whole[starts[k] : starts[k] + chunk + overlap].encode()) for k in range(first, min(first + 16, len(starts)))]
+                    yield rows(pa.nulls(len(cuts), batch.column(0).type), [None] * len(cuts), cuts)
+            yield rows(batch.column(0), encoded, [(key, None, None, None) for key in keys])
 
     def pretokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -195,22 +196,22 @@ def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id: str, text: str,
             texts = ([p.decode("utf-8") for p in x.as_py()] for x in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(c, (c.encode("".join([*(p[:chunk] for p in x[:-1]), x[-1]])) for x in texts))], names=["key", *names])
 
-    rows = materialize(docs.mapInArrow(read, f"id {kind}, key string, k int, last boolean, part binary, {results}"), "bpe-texts")
+    rows = materialize(docs.mapInArrow(trimmed(read), f"id {kind}, key string, k int, last boolean, part binary, {results}"), "bpe-texts")
     short = rows.filter("key is null").select("id", *names)
     long = rows.filter("key is not null and k is null").select("id", "key")
     # equal keys have equal texts, so first() is the same whichever row it takes
     cuts = rows.filter("k is not null").groupBy("key", "k").agg(F.first("last").alias("last"), F.first("part").alias("part"))
-    parts = cuts.mapInArrow(pretokenised, "key string, k int, last boolean, part binary, bounds array<int>")
+    parts = cuts.mapInArrow(trimmed(pretokenised), "key string, k int, last boolean, part binary, bounds array<int>")
     order = Window.partitionBy("key").orderBy("k")
     # two neighbours overlap from the cut on
     before, after = F.lag(F.filter("bounds", lambda b: b >= chunk)).over(order), F.lead(F.filter("bounds", lambda b: b <= overlap)).over(order)
-    pieces = parts.select("key", "k", "part", "bounds", before.alias("before"), after.alias("after")).mapInArrow(encoded, "key string, k int, ids binary")
+    pieces = parts.select("key", "k", "part", "bounds", before.alias("before"), after.alias("after")).mapInArrow(trimmed(encoded), "key string, k int, ids binary")
     in_order = lambda c: F.sort_array(F.collect_list(F.struct("k", c)))  # noqa: E731  of one text
     found = pieces.groupBy("key").agg(in_order(F.coalesce("ids", F.lit(b"")).alias("ids"))["ids"].alias("ids"), F.bool_or(F.col("ids").isNull()).alias("open"))
     found = materialize(found, "bpe-pieces")
-    stitched = found.filter("not open").select("key", "ids").mapInArrow(joined, f"key string, {results}")
+    stitched = found.filter("not open").select("key", "ids").mapInArrow(trimmed(joined), f"key string, {results}")
     unresolved = found.filter("open").select("key")
     if not unresolved.isEmpty():
         rest = rows.filter("k is not null").join(unresolved, "key", "left_semi").dropDuplicates(["key", "k"]).groupBy("key").agg(in_order("part")["part"].alias("parts"))
-        stitched = stitched.union(rest.mapInArrow(whole, f"key string, {results}"))
+        stitched = stitched.union(rest.mapInArrow(trimmed(whole), f"key string, {results}"))
     return short.unionByName(long.join(stitched, "key").select("id", *names)).withColumnRenamed("id", id)

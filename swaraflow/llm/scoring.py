@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import trimmed
+
 #: Rows of a slice: a worker holds the texts of one slice as Python objects.
 SLICE = 256
 
@@ -30,5 +32,5 @@ def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {'binary' if c == text else kinds[c].simpleString()}" for c in back), f"`{name}` double"])
     sent = docs.select(*(F.col(f"`{c}`").cast("binary") if c == text else F.col(f"`{c}`") for c in columns)).toDF(*columns)
-    found = sent.mapInArrow(scored, schema)
+    found = sent.mapInArrow(trimmed(scored), schema)
     return found.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c == text else F.col(f"`{c}`") for c in back), F.col(f"`{name}`"))
