@@ -34,9 +34,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, id: str = "do
     return materialize(joined.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
 
 
+def calibration_part(id: str = "id"):
+    """One of five parts of the training rows, by a hash of the id."""
+    return (F.crc32(F.concat(F.lit("calibrate"), F.col(id).cast("string"))) % 5).cast("int")
+
+
 def calibrating(id: str = "id"):
-    """The fifth of the training rows that calibrates and teaches nothing else, by a hash of the id."""
-    return F.crc32(F.concat(F.lit("calibrate"), F.col(id).cast("string"))) % 5 == 0
+    """The part that calibrates and teaches nothing else."""
+    return calibration_part(id) == 0
 
 
 def both_classes(y: np.ndarray, least: int = 1) -> bool:

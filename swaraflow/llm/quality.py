@@ -6,10 +6,11 @@ diagonal of the pooled one, so that a statistic which is constant within a class
 can't make it singular.  A score is the difference of the two Mahalanobis
 log densities, computed from Cholesky factors inverted once per fit, mapped to
 0..1 by a logistic curve.  All is fitted to a bounded sample of labelled rows
-(``labelled.BOUND``); a fifth of it, by hash of the id, fits the curve and nothing
-else (all of it fits both where one of the parts has fewer than two rows of a
-class).  With fewer than two rows of a class in all every score is the share of
-good labels (1 where there are none, so that nothing is dropped).
+(``labelled.BOUND``).  The curve is fitted to ratios that each fifth of the rows,
+by hash of the id, gets from densities of the other four, so no row is calibrated
+by itself (by itself where a part has fewer than two rows of a class).  With fewer
+than two rows of a class in all every score is the share of good labels (1 where
+there are none, so that nothing is dropped).
 
 Defined results: null texts score as empty ones; equal texts score alike, so ties
 stay ties; repeated rows are each scored, and count once among the labelled ones;
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .labelled import BOUND, both_classes, calibrating, training_rows
+from .labelled import BOUND, both_classes, calibration_part, training_rows
 from .scoring import SLICE, with_score
 
 STATISTICS = ("log_words", "word_length", "symbol_rate", "duplicate_lines", "repeated_runs", "same_as_previous", "distinct_share", "top_share", "capitals", "shouts", "digits", "line_words")
@@ -97,16 +98,10 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def fit_matrix(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, shrinkage: float = SHRINKAGE) -> QualityModel:
-    """``held`` marks the rows that fit the curve alone."""
-    if not both_classes(y, 2):
-        return QualityModel(None, None, None, share=float(y.mean()) if len(y) else 1.0)
-    if held is None or not (both_classes(y[held], 2) and both_classes(y[~held], 2)):
-        held, taught = np.ones(len(y), bool), np.ones(len(y), bool)
-    else:
-        taught = ~held
-    parts = [x[taught & (y == k)] for k in (0, 1)]
-    spread = np.maximum(sum(np.cov(p.T, bias=True) * len(p) for p in parts).diagonal() / taught.sum(), 1e-4)
+def densities(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE) -> QualityModel:
+    """The two classes' means, and inverse Cholesky factors and log determinants of their shrunk covariances."""
+    parts = [x[y == k] for k in (0, 1)]
+    spread = np.maximum(sum(np.cov(p.T, bias=True) * len(p) for p in parts).diagonal() / len(x), 1e-4)
     means, factors, dets = [], [], []
     for p in parts:
         c = (1 - shrinkage) * np.cov(p.T, bias=True) + shrinkage * np.diag(spread)
@@ -114,24 +109,36 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, shr
         means.append(p.mean(axis=0))
         factors.append(np.linalg.inv(low))
         dets.append(2 * np.log(low.diagonal()).sum())
-    model = QualityModel(np.array(means), np.array(factors), np.array(dets))
-    slope, offset = _logistic(model.log_ratio(x[held]), y[held])
-    return QualityModel(model.means, model.factors, model.log_dets, slope, offset)
+    return QualityModel(np.array(means), np.array(factors), np.array(dets))
+
+
+def fit_matrix(x: np.ndarray, y: np.ndarray, part: np.ndarray, shrinkage: float = SHRINKAGE) -> QualityModel:
+    """``part`` numbers the parts of the rows."""
+    if not both_classes(y, 2):
+        return QualityModel(None, None, None, share=float(y.mean()) if len(y) else 1.0)
+    model = densities(x, y, shrinkage)
+    ratio = model.log_ratio(x)
+    parts = np.unique(part)
+    if len(parts) > 1 and all(both_classes(y[part != k], 2) for k in parts):
+        for k in parts:
+            ratio[part == k] = densities(x[part != k], y[part != k], shrinkage).log_ratio(x[part == k])
+    slope, offset = _logistic(ratio, y)
+    return replace(model, slope=slope, offset=offset)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
         flat = pa.array(matrix(batch.column(3).to_pylist()).reshape(-1))
         offsets = pa.array(np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "y", "held", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "y", "part", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id: str = "doc_id", text: str = "text", bound: int = BOUND) -> QualityModel:
-    rows = training_rows(docs, labels, target, id, text, bound).select(F.col("id").cast("string"), "y", calibrating().alias("held"), F.col("text").cast("binary"))
-    got = rows.mapInArrow(_measured, "id string, y int, held boolean, x array<double>").collect()
+    rows = training_rows(docs, labels, target, id, text, bound).select(F.col("id").cast("string"), "y", calibration_part().alias("part"), F.col("text").cast("binary"))
+    got = rows.mapInArrow(_measured, "id string, y int, part int, x array<double>").collect()
     got.sort(key=lambda r: r["id"])
     x = np.array([r["x"] for r in got], float).reshape(-1, len(STATISTICS))
-    return fit_matrix(x, np.array([r["y"] > 0 for r in got], float), np.array([r["held"] for r in got], bool))
+    return fit_matrix(x, np.array([r["y"] > 0 for r in got], float), np.array([r["part"] for r in got], int))
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:

@@ -386,18 +386,27 @@ def test_quality_scores_are_density_differences(docs, rows, labels):
     """Means, shrunk covariances, log densities and curve from their definitions."""
     model = quality.fit(docs, labels)
     known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
-    taught = {i: y for i, y in known.items() if zlib.crc32(b"calibrate" + str(i).encode()) % 5 and rows[i][1] is not None}
+    known = {i: y for i, y in known.items() if rows[i][1] is not None}
     x = {i: np.array(quality.statistics(t.encode() if t is not None else None)) for i, t, *_ in rows}
-    parts = [np.array([x[i] for i, y in taught.items() if y == k]) for k in (0, 1)]
-    pooled = sum(((p - p.mean(0)) ** 2).sum(0) for p in parts) / len(taught)
-    densities = []
-    for p in parts:
-        cov = 0.7 * (p - p.mean(0)).T @ (p - p.mean(0)) / len(p) + 0.3 * np.diag(np.maximum(pooled, 1e-4))
-        densities.append(lambda v, m=p.mean(0), c=cov: -0.5 * ((v - m) @ np.linalg.solve(c, v - m) + np.linalg.slogdet(c)[1]))
+
+    def log_ratio(taught):
+        parts = [np.array([x[i] for i, y in taught.items() if y == k]) for k in (0, 1)]
+        pooled = sum(((p - p.mean(0)) ** 2).sum(0) for p in parts) / len(taught)
+        found = []
+        for p in parts:
+            cov = 0.7 * (p - p.mean(0)).T @ (p - p.mean(0)) / len(p) + 0.3 * np.diag(np.maximum(pooled, 1e-4))
+            found.append(lambda v, m=p.mean(0), c=cov: -0.5 * ((v - m) @ np.linalg.solve(c, v - m) + np.linalg.slogdet(c)[1]))
+        return lambda v: np.clip(found[1](v) - found[0](v), -60, 60)
+
+    whole = log_ratio(known)
     for i, t, *_ in rows:
-        want = np.clip(densities[1](x[i]) - densities[0](x[i]), -60, 60)
+        want = whole(x[i])
         score = model.score([t.encode() if t is not None else None])[0]
         assert model.log_ratio(x[i][None])[0] == pytest.approx(want, abs=1e-6) and score == pytest.approx(1 / (1 + math.exp(-(model.slope * want + model.offset))))
+    # the curve is fitted to ratios of rows that the densities haven't seen
+    part = {i: zlib.crc32(b"calibrate" + str(i).encode()) % 5 for i in known}
+    unseen = np.array([log_ratio({j: y for j, y in known.items() if part[j] != part[i]})(x[i]) for i in known])
+    assert (model.slope, model.offset) == pytest.approx(quality._logistic(unseen, np.array(list(known.values()), float)), abs=1e-4)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
