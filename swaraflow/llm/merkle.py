@@ -48,8 +48,8 @@ from .store import materialize
 CUTS = r"\n.!?kvzjxq"
 MOST = 96
 PIECE = f"[^{CUTS}]{{1,{MOST}}}[{CUTS}]*|[{CUTS}]+"
-#: Quantiles of the ids; rows of a bucket, about; buckets at most, so that their heads are a broadcast of bounded size.
-QUANTILES, BUCKET_ROWS, MOST_BUCKETS = 128, 4096, 262_144
+#: Quantiles of the ids; even cuts between two of them, at least; rows of a bucket, about; buckets at most, so that their heads are a broadcast of bounded size.
+QUANTILES, CUTS_BETWEEN, BUCKET_ROWS, MOST_BUCKETS = 128, 16, 4096, 262_144
 
 
 def _short(value: Column) -> Column:
@@ -197,7 +197,7 @@ def with_next(docs: DataFrame, id: str = "id", text: str = "text", bucket_rows:
     spans = {r["part"]: r for r in keys.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min("at").alias("low"), F.max("at").alias("high"), F.min("id").eqNullSafe(F.max("id")).alias("same")).collect()}
     known = sorted(spans)
     of = lambda values: F.element_at(F.create_map(*(F.lit(x) for k in known for x in (k, values[k]))), F.col("part"))
-    even = {k: max(1, -(-spans[k]["rows"] // bucket_rows)) for k in known}
+    even = {k: max(CUTS_BETWEEN, -(-spans[k]["rows"] // bucket_rows)) for k in known}
     flat = {k: spans[k]["same"] for k in known}
     within = F.floor((F.col("at") - of({k: float(spans[k]["low"] or 0) for k in known})) / of({k: max(1e-300, float(spans[k]["high"] or 0) - float(spans[k]["low"] or 0)) for k in known}) * of(even))
     by_digest = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32) * of(even))
