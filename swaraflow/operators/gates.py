@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import percentiles
 from .voices import speaker_problem
 
 
@@ -79,6 +80,7 @@ def preflight(quality: DataFrame, source: str = "source", least_snr: float = 20.
         drawn = F.sha2(F.col(key).cast("string"), 256)
         nth = F.row_number().over(Window.partitionBy(source).orderBy(drawn, key))
         quality = quality.withColumn("__nth", nth).filter(F.col("__nth") <= sample).drop("__nth")
-    return quality.groupBy(source).agg(F.percentile("snr_db", 0.5).alias("median_snr"), F.avg(F.col("wideband").cast("double")).alias("wideband_fraction")).withColumn(
-        "passes", (F.col("median_snr") >= least_snr) & (F.col("wideband_fraction") >= least_wideband)
-    )
+    shares = quality.groupBy(F.col(source).alias("__source")).agg(F.avg(F.col("wideband").cast("double")).alias("wideband_fraction"))
+    found = shares.join(percentiles(quality, source, "snr_db", (0.5,)), F.col("__source").eqNullSafe(F.col(source)), "left")
+    found = found.select(F.col("__source").alias(source), F.col("q")[0].alias("median_snr"), "wideband_fraction")
+    return found.withColumn("passes", F.coalesce((F.col("median_snr") >= least_snr) & (F.col("wideband_fraction") >= least_wideband), F.lit(False)))

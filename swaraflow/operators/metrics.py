@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -155,9 +155,36 @@ def compared(base: DataFrame, tuned: DataFrame, by: str = "bucket", value: str =
     return base.select(by, F.col(value).alias("base")).join(tuned.select(by, F.col(value).alias("tuned")), by).withColumn("delta", F.col("tuned") - F.col("base"))
 
 
+def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float], cuts: int = 256) -> DataFrame:
+    """``by, q``: exact percentiles of each group, interpolated between neighbours, as an array in order of ``shares``.
+
+    No group meets in one task: equal values are counted together, a group is cut at
+    approximate quantiles, only the parts that hold a wanted rank are looked at,
+    and ranks are counted within a part.  Nulls don't count; a group of nulls has no row.
+    """
+    held = rows.filter(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+    marks = ", ".join(str(k / cuts) for k in range(1, cuts))
+    groups = held.groupBy("g").agg(F.count("*").alias("total"), F.expr(f"percentile_approx(v, array({marks}), {4 * cuts})").alias("marks"))
+    groups = groups.select(F.col("g").alias("of"), "total", F.array_distinct("marks").alias("marks"))
+    same = F.col("g").eqNullSafe(F.col("of"))
+    counts = held.groupBy("g", "v").agg(F.count("*").alias("n")).join(groups, same).withColumn("part", F.size(F.filter("marks", lambda m: m <= F.col("v")))).drop("of", "marks")
+    parts = counts.groupBy("g", "part", "total").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.array(*(F.lit(float(q)) * (F.col("total") - 1) for q in shares))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p), F.ceil(p)))))
+    parts = parts.withColumn("before", before).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).filter(F.size("ranks") > 0)
+    parts = parts.select(F.col("g").alias("of"), F.col("part").alias("at"), "before", "ranks")
+    within = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    found = counts.join(parts, same & (F.col("part") == F.col("at"))).withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    found = found.select("g", "total", "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("n")))).alias("rank"))
+    known = found.groupBy("g").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    value_at = lambda r: F.element_at("at", r)
+    mixed = F.transform(places, lambda p: value_at(F.floor(p)) + (p - F.floor(p)) * (value_at(F.ceil(p)) - value_at(F.floor(p))))
+    return known.select(F.col("g").alias(by), mixed.alias("q"))
+
+
 def profile(rows: DataFrame, by: str, value: str, flag: Column) -> DataFrame:
     """Mean, 10th and 90th percentile, least, most, and the share of flagged rows."""
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
-    return rows.groupBy(by).agg(F.avg(value).alias("mean"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(flag.cast("double")).alias("flagged")).select(
-        by, "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "least", "most", "flagged"
-    )
+    whole = rows.groupBy(F.col(by).alias("of")).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(flag.cast("double")).alias("flagged"))
+    found = whole.join(percentiles(rows, by, value, (0.1, 0.9)), F.col("of").eqNullSafe(F.col(by)), "left")
+    return found.select(F.col("of").alias(by), "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "least", "most", "flagged")

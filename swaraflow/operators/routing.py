@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,8 +64,14 @@ def longform(items: DataFrame, target_s: float = LONGFORM_S, count: int = LONGFO
     A prompt closes when it holds the target's characters and is kept at 60 % of
     them; ``count`` prompts are kept over all speakers, in order of speaker. The
     state that resets is what a window sum can't express, hence the fold.
+
+    Empty texts don't count. Each other text adds a character at least, so
+    ``count`` prompts are full after ``count * target`` texts: no more than these
+    leave a task, whatever a speaker has.
     """
     target = target_s * rate
+    nth = F.row_number().over(Window.partitionBy("speaker").orderBy("ord", "text_normalized"))
+    items = items.select("speaker", "ord", "text_normalized").filter("text_normalized <> ''").withColumn("nth", nth).filter(F.col("nth") <= count * math.ceil(target))
     texts = items.groupBy("speaker").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text_normalized"))), lambda x: x["text_normalized"]).alias("texts"))
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("open"), F.lit(0).alias("chars"), F.array().cast("array<struct<text:string,chars:int>>").alias("closed"))

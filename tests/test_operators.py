@@ -229,6 +229,18 @@ def test_regressions(spark, tmp_path):
     assert not monitor.mark(given.limit(0), str(tmp_path / "none")) and not os.path.exists(tmp_path / "none")
 
 
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", float(x)) for x in rng.normal(size=900)] + [("ties", float(x)) for x in rng.integers(0, 4, 500)] + [("one", 7.0), (None, 1.0), (None, 2.0), ("a", None), ("nulls", None)]
+    rows = spark.createDataFrame(data, "g string, v double").repartition(5)
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = {r["g"]: r["q"] for r in metrics.percentiles(rows, "g", "v", shares, cuts=16).collect()}
+    assert set(got) == {"a", "ties", "one", None}
+    for g, q in got.items():
+        assert q == pytest.approx(np.percentile([v for k, v in data if k == g and v is not None], [100 * s for s in shares]).tolist())
+    assert metrics.percentiles(rows.limit(0), "g", "v", shares).count() == 0
+
+
 def test_prosody_skips_missing(spark):
     rows = spark.createDataFrame([("1", "b", 1.0, None, 2.0, 0.0), ("2", "b", None, None, 4.0, 1.0)], "id string, bucket string, mean_f0 double, f0_std double, energy_std double, pause_ratio double")
     got = panel.prosody_means(rows).first()
