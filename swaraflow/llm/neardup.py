@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash, banding and exact verification.
 
-Signature.  A shingle's 64-bit hash is placed in a universe of 2^20 positions by
+Signature.  A shingle's 64-bit hash is placed in a universe of 2^22 positions by
 a first permutation; a second permutation of the universe, shifted circularly by
 k, gives coordinate k of the signature.  With the permuted universe laid out as
 one wrapped array, all coordinates of a shingle are one contiguous slice, so
@@ -22,10 +22,12 @@ its group, so links are found in two steps that lose no component:
    sketch and length bounds, once per pair.  Both sides of a band are cut into
    tiles of ``TILE`` nodes, so that a hot band is many tasks.
 
-Every link is confirmed on the full shingle sets before it counts.  Only the
-texts of candidates are shuffled: a table of bits of fixed size (``SLOTS``),
-broadcast at any size of the input, drops nearly all others in the scan, and an
-exact join drops the rest.
+Every link is confirmed on the full shingle sets before it counts.  Only bands
+that several nodes share and the texts of candidates are shuffled: a table of bits
+of fixed size (``SLOTS``), broadcast at any size of the input, drops nearly all
+others in the scan, and an exact join drops the rest.  (The bits tell apart some
+millions of values; beyond that they let more and more pass, up to all, and what
+is left to the join grows, but not the broadcast.)
 
 What stays quadratic: nodes of one band that all lie in different components, as
 each of them may link with each; they are compared by sketch, tile by tile.
@@ -51,19 +53,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import trimmed
 from .store import materialize, scratch
 from .words import LOWER
 
 SHINGLE = 5
 #: Least similarity of near copies; ``op8_minhash_near_dedup`` asks for 0.85.
 THRESHOLD = 0.8
-UNIVERSE_BITS = 20
+UNIVERSE_BITS = 22
 COORDINATES = 768
 MOST_ROWS = 8
 MISS, SKETCH_MISS = 1.1e-5, 1e-4
 PLANE = COORDINATES // 64
 #: Words of the table of bits (64 each), and nodes on a side of a tile of the second step.
-SLOTS, TILE = 1 << 20, 1024
+SLOTS, TILE = 1 << 17, 1024
 SEED = 20240229
 _M64 = (1 << 64) - 1
 _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -100,7 +103,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash; a bounded memo, refilled when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -215,8 +218,8 @@ def _alike(a: str, b: str, threshold: float) -> Column:
 def _maybe_among(rows: DataFrame, wanted: DataFrame, name: str = "id") -> DataFrame:
     """``rows`` without most of those whose ``name`` isn't in ``wanted``.
 
-    Ids are hashed to one of ``64 * SLOTS`` bits; the broadcast side is at most
-    ``SLOTS`` words, whatever the number of ids.
+    Values are hashed to one of ``64 * SLOTS`` bits; the broadcast side is at most
+    ``SLOTS`` words, whatever the number of values.
     """
     slot, bit = F.pmod(F.xxhash64(name), F.lit(SLOTS)), F.pmod(F.shiftright(F.xxhash64(name), 32), F.lit(64)).cast("int")
     bits = wanted.select(slot.alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
@@ -234,7 +237,7 @@ def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
     wanted = materialize(ends.join(nodes.select("fp", "rep"), "fp").select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = _maybe_among(docs, wanted).join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets, "fp binary, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(trimmed(_full_sets), "fp binary, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "shingle-sets")
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
@@ -271,7 +274,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     kind = docs.schema["id"].dataType.simpleString()
     n_bands, n_rows = banding(round(100 * threshold) / 100)
     sketches = materialize(
-        docs.mapInArrow(lambda batches: _sketched(batches, n_bands, n_rows), f"id {kind}, n bigint, fp binary, bands array<bigint>, sketch array<bigint>"), "sketches"
+        docs.mapInArrow(trimmed(lambda batches: _sketched(batches, n_bands, n_rows)), f"id {kind}, n bigint, fp binary, bands array<bigint>, sketch array<bigint>"), "sketches"
     )
     # equal sets have equal bands and sketches, so first() is the same whichever row it takes
     nodes = materialize(
@@ -279,8 +282,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
         "nodes",
     )
     keyed = nodes.select(F.explode("bands").alias("band"), "fp")
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(keyed.join(sizes, "band"), "shared-bands")
+    sizes = materialize(keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band-sizes")
+    shared = materialize(_maybe_among(keyed, sizes, "band").join(sizes, "band"), "shared-bands")
 
     company = shared.groupBy("fp").agg(F.sum("size").alias("company"))
     leads = shared.join(company, "fp").groupBy("band").agg(F.max(F.struct("company", "fp"))["fp"].alias("a"))
@@ -298,9 +301,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 
-    member = nodes.select("fp", "rep").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member = member.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    # each table is written before it is joined, so that a hot component or text is a skewed join of two plain tables
+    linked = materialize(nodes.select("fp", "rep").join(roots, F.col("fp") == F.col("node")).select("fp", "rep", "root"), "linked-nodes")
+    least = materialize(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
+    named = linked.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    found = nodes.select("fp", "rep").join(named, F.col("fp") == F.col("of"), "left")
+    member = materialize(found.select(F.col("fp").alias("of"), F.coalesce("component_id", "rep").alias("component_id")), "members")
     return (
         sketches.select("id", "n", "fp")
         .join(member, F.col("fp") == F.col("of"), "left")
