@@ -8,6 +8,7 @@ and task, so models load where they are used.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -32,6 +33,28 @@ class Embedder(Protocol):
     def __call__(self, samples: np.ndarray, rate: int) -> np.ndarray: ...
 
 
+class Generator(Protocol):
+    def __call__(self, prompt_ids: list[int], most: int) -> list[int]: ...
+
+
+class Encoder(Protocol):
+    """Samples to three streams of N, 2N and 4N codes."""
+
+    def __call__(self, samples: np.ndarray) -> tuple[list[int], list[int], list[int]]: ...
+
+
+class Decoder(Protocol):
+    def __call__(self, token_ids: list[int]) -> np.ndarray: ...
+
+
+def loaded(name: str) -> Callable:
+    """The callable ``package.module:attribute``, as a factory that a worker imports where it runs."""
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"{name!r} isn't of the form package.module:attribute")
+    return getattr(importlib.import_module(module), attribute)
+
+
 class FileTokenizer:
     """A :class:`Tokenizer` over a raw vocabulary file (JSON of the tokenizers library)."""
 
@@ -112,6 +135,42 @@ def embedded(rows: DataFrame, factory: Callable[[], Embedder], rate: int) -> Dat
     return _with(rows, ["samples"], "vector array<double>", start)
 
 
+def generated(rows: DataFrame, factory: Callable[[], Generator], most: int, stop: int | None = None) -> DataFrame:
+    """``rows`` (``prompt_ids``) with the new ids, without the stop token, and whether the limit ended them."""
+
+    def start():
+        go_on = factory()
+
+        def one(prompt: list[int]) -> tuple[list[int], bool]:
+            ids = list(go_on(list(prompt), most))[:most]
+            ended = stop is not None and stop in ids
+            return (ids[: ids.index(stop)] if ended else ids), not ended and len(ids) >= most
+
+        return lambda prompts: [one(p) for p in prompts]
+
+    return _with(rows, ["prompt_ids"], "token_ids array<int>, hit boolean", start)
+
+
+def coded(rows: DataFrame, factory: Callable[[], Encoder]) -> DataFrame:
+    """``rows`` (``samples``) with a codec's three streams, for ``functions.tokens.interleaved``."""
+
+    def start():
+        encode = factory()
+        return lambda samples: [tuple([int(c) for c in stream] for stream in encode(np.asarray(x, np.float32))) for x in samples]
+
+    return _with(rows, ["samples"], "c0 array<int>, c1 array<int>, c2 array<int>", start)
+
+
+def decoded(rows: DataFrame, factory: Callable[[], Decoder]) -> DataFrame:
+    """``rows`` (``token_ids``) with their waveform, held to -1..1."""
+
+    def start():
+        decode = factory()
+        return lambda ids: [(np.clip(np.asarray(decode(list(i)), np.float32), -1.0, 1.0).tolist(),) for i in ids]
+
+    return _with(rows, ["token_ids"], "samples array<float>", start)
+
+
 def decoded_pairs(rows: DataFrame, first: Callable[[], Callable[[list[int]], np.ndarray]], second: Callable[[], Callable[[list[int]], np.ndarray]]) -> DataFrame:
     """``rows`` (``token_ids``) decoded by two decoders, both held to -1..1: ``samples`` and ``stock_samples``."""
 

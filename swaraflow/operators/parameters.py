@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,20 @@ from pyspark.sql import functions as F
 ATTENTION, MLP = ("q_proj", "v_proj"), ("up_proj", "gate_proj")
 
 
+@dataclass(frozen=True)
+class Adapter:
+    """What an adapter library needs to know besides the names of :func:`target_names`."""
+
+    rank: int = 32
+    alpha: int = 64
+    dropout: float = 0.05
+    mlp_range: tuple[int, int] = (8, 24)
+
+    def settings(self, spark: SparkSession, layers: int) -> dict:
+        names = target_names(targets(spark, layers, self.mlp_range))
+        return {"r": self.rank, "lora_alpha": self.alpha, "lora_dropout": self.dropout, "bias": "none", "target_modules": names}
+
+
 def targets(spark: SparkSession, layers: int, mlp_range: tuple[int, int], attention: tuple[str, ...] = ATTENTION, mlp: tuple[str, ...] = MLP) -> DataFrame:
     """``layer, projection, module`` of all adapted projections: attention in all layers, MLP in a range of them."""
     first, last = mlp_range

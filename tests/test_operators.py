@@ -447,3 +447,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     with pytest.raises(SystemExit):
         main(["run", "nothing", str(tmp_path)])
+
+
+def test_model_side_hooks(spark):
+    c = tokens.Contract()
+    prompts = spark.createDataFrame([([1, 2, 3],), ([4],)], "prompt_ids array<int>")
+    made = hooks.generated(prompts, lambda: lambda prompt, most: [c.snac_base] * 7 + [c.end_of_speech] if len(prompt) == 3 else [c.snac_base] * most, 9, c.end_of_speech)
+    assert [(len(r["token_ids"]), r["hit"]) for r in made.orderBy(F.desc(F.size("prompt_ids"))).collect()] == [(7, False), (9, True)]
+    waves = hooks.decoded(made, lambda: lambda ids: np.full(len(ids), 3.0))
+    assert {tuple(r["samples"]) for r in waves.collect()} == {(1.0,) * 7, (1.0,) * 9}
+    coded = hooks.coded(waves, lambda: lambda x: ([1, 2], [1, 2, 3, 4], list(range(8))))
+    ids = coded.select(tokens.interleaved(F.col("c0"), F.col("c1"), F.col("c2"), c.snac_base).alias("ids")).first()["ids"]
+    assert len(ids) == 14 and ids[0] == c.snac_base + 1
+    assert hooks.loaded("math:sqrt")(4) == 2.0
+    with pytest.raises(ValueError):
+        hooks.loaded("math")
+
+
+class Deaf:
+    def transcribe(self, samples, rate, language=None):
+        return "the cat" if len(samples) == 3 else "nothing"
+
+
+def test_an_evaluation_of_nothing_but_itself(spark):
+    items = spark.createDataFrame([("b", f"{i:02d}", "the cat", "the cat", "A") for i in range(3)] + [("c", "00", "other", "other words", "A")], "bucket string, id string, text string, text_normalized string, speaker string")
+    watch = monitor.evaluation(items, lambda: lambda text, speaker: ([0.0] * (3 if text == "the cat" else 5), [1], False), Deaf, 8000, most=2)
+    assert watch() == {"b": 0.0, "c": 1.0} == watch()
+
+
+def test_adapter_settings(spark):
+    got = parameters.Adapter().settings(spark, 28)
+    assert (got["r"], got["lora_alpha"], len(got["target_modules"])) == (32, 64, 36)
