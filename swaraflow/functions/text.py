@@ -50,7 +50,8 @@ def cleaned(text: Column | str) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     plain = text.rlike(PLAIN)
-    here = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "^[ \\n]+|[ \\n]+$", "")
+    single = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+    here = F.btrim(single, F.lit(" \n"))
     return F.when(plain, here).otherwise(_cleaned(F.when(~plain, text)))
 
 

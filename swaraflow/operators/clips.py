@@ -23,7 +23,7 @@ def candidates(rows: DataFrame, source: Column, language: Column, key: Column, s
     Adds ``source_hf_path, language_id, speaker, text`` (stripped), ``text_normalized,
     num_digits, num_english_words, duration_s`` (0 where unknown) and ``clip_key``.
     """
-    stripped = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+    stripped = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     seconds = F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) if duration else F.lit(0.0)
     out = rows.withColumns({"source_hf_path": source, "language_id": language, "speaker": speaker, "clip_key": key, "duration_s": seconds})
     out = out.withColumn("text", stripped).filter(F.col("text") != "").withColumn("text_normalized", T.cleaned(F.col("text"))).filter(F.col("text_normalized") != "")
