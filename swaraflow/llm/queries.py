@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, sharding, sql, toxicity, url_rules
+from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, ranking, sharding, sql, toxicity, url_rules
 
 SHARDS = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -74,14 +74,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_hilbert_sharding, op2_host_quality_rules, op3_url_association_rules, op4_license_scan, op5_toxicity,
-        op6_quality_classifier, op7_byte_bpe, op8_minhash_near_dedup, op9_source_mixing, op10_document_fingerprints,
+        op6_quality_classifier, op7_byte_bpe, op8_minhash_near_dedup, op9_source_mixing, op10_document_fingerprints, op11_ranked_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others SQL lacks a space-filling curve, FP-growth, MinHash windows, fitted models or a tokenizer."""
-    return {"op2_host_quality_rules": sql.HOST_RULES, "op8_minhash_near_dedup": sql.NEAR, "op9_source_mixing": sql.MIX, "op10_document_fingerprints": sql.FINGERPRINTS}
+    return {"op2_host_quality_rules": sql.HOST_RULES, "op8_minhash_near_dedup": sql.NEAR, "op9_source_mixing": sql.MIX, "op10_document_fingerprints": sql.FINGERPRINTS, "op11_ranked_search": sql.RANKED}

@@ -105,3 +105,17 @@ reach as (select x, y from both_ways union select r.x, b.y from reach r join bot
 roots as (select x, min(y) as root from reach group by 1)
 select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id, coalesce(root, d.doc_id) >= d.doc_id as kept
 from documents d left join sizes s on d.doc_id = s.doc_id left join roots r on d.doc_id = r.x"""
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""
+with texts as (select row_number() over () as row, doc_id, {_TERMS} as t from documents),
+counted as (select row, doc_id, len(t)::bigint as n, t from texts where len(t) > 0),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as terms from counted),
+asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+postings as (select row, doc_id, any_value(n) as n, term, count(*)::bigint as tf from (select row, doc_id, n, unnest(t) as term from counted) where term in (select term from asked) group by row, doc_id, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from postings group by term), corpus),
+impacts as (select row, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)) as impact from postings, corpus),
+scores as (select item_id, row, doc_id, sum(w * impact)::bigint as score from impacts join weights using (term) join asked using (term) group by item_id, row, doc_id),
+ranked as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls first))::int as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 50"""
