@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, ranking, sharding, sql, toxicity, url_rules
+from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, ranking, sharding, sql, tokenfiles, toxicity, url_rules
 
 SHARDS = 16
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 TOXIC_FROM, GOOD_FROM, COPIES_FROM = 0.5, 0.3, 0.85
 
 
@@ -78,10 +78,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return tokenfiles.read_tokens(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_hilbert_sharding, op2_host_quality_rules, op3_url_association_rules, op4_license_scan, op5_toxicity,
-        op6_quality_classifier, op7_byte_bpe, op8_minhash_near_dedup, op9_source_mixing, op10_document_fingerprints, op11_ranked_search,
+        op6_quality_classifier, op7_byte_bpe, op8_minhash_near_dedup, op9_source_mixing, op10_document_fingerprints, op11_ranked_search, op12_token_files,
     )
     return {f.__name__: f for f in found}
 
