@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, ranking, sharding, sql, tokenfiles, toxicity, url_rules
+from . import bpe, host_rules, labelled, licenses, merkle, mixing, neardup, quality, ranking, sharding, sql, tokenfiles, toxicity, turn_trie, url_rules
 
 SHARDS = 16
 VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -83,14 +83,19 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie_nodes(turn_trie.branched_paths(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_hilbert_sharding, op2_host_quality_rules, op3_url_association_rules, op4_license_scan, op5_toxicity,
         op6_quality_classifier, op7_byte_bpe, op8_minhash_near_dedup, op9_source_mixing, op10_document_fingerprints, op11_ranked_search, op12_token_files,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others SQL lacks a space-filling curve, FP-growth, MinHash windows, fitted models or a tokenizer."""
-    return {"op2_host_quality_rules": sql.HOST_RULES, "op8_minhash_near_dedup": sql.NEAR, "op9_source_mixing": sql.MIX, "op10_document_fingerprints": sql.FINGERPRINTS, "op11_ranked_search": sql.RANKED}
+    return {"op2_host_quality_rules": sql.HOST_RULES, "op8_minhash_near_dedup": sql.NEAR, "op9_source_mixing": sql.MIX, "op10_document_fingerprints": sql.FINGERPRINTS, "op11_ranked_search": sql.RANKED, "op13_conversation_trie": sql.TRIE}

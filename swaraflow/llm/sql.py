@@ -119,3 +119,23 @@ impacts as (select row, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50
 scores as (select item_id, row, doc_id, sum(w * impact)::bigint as score from impacts join weights using (term) join asked using (term) group by item_id, row, doc_id),
 ranked as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls first))::int as rank, doc_id, score from scores where score > 0)
 select * from ranked where rank <= 50"""
+
+# the checksum of a short ASCII string, bit by bit
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({s}, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+TRIE = f"""
+with turns as (select conv_id as c, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t from conversations where conv_id is not null),
+own as (select c, list(t order by turn nulls first, t.role, md5(len(t.role) || ':' || t.role || t.text)) as s from turns group by c),
+heads as (select o.c, o.s, d.s as donor, ({_fill(_CRC32, s="o.c::varchar")} % 4)::int as h from own o left join own d on d.c = o.c - o.c % 20),
+built as (select c, list_concat(coalesce(donor[1:h], []), s[h + 1:]) as s from heads),
+members as (select c, d, s[1:d] as p, d = len(s) as ends from (select c, s, unnest(range(len(s) + 1)) as d from built)),
+nodes as (
+  select p, any_value(d) as depth, min(c) as conv_id, count(*) as n_convs, len(regexp_extract_all(coalesce(any_value(p)[-1].text, ''), '[^\\x20\\x09-\\x0D]+')) as words,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256
+  from members group by p),
+families as (select p[1:depth - 1] as p, count(*) as n_children from nodes where depth > 0 group by 1),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join families f on n.p = f.p),
+above as (select p[1:k] as p, case when n_children = 0 then 1 else 0 end as leaf, (n_convs - 1) * words as saved from (select *, unnest(range(depth + 1)) as k from full_nodes)),
+sums as (select p, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from above group by p)
+select n.conv_id, n.depth::bigint as depth, u.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children, n_leaves, saved_tokens, n.ends_sha256
+from full_nodes n join sums s on n.p = s.p left join nodes u on n.depth > 0 and u.p = n.p[1:n.depth - 1]"""

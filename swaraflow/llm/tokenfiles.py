@@ -3,7 +3,7 @@ r"""Token ids in binary files of independent zstandard frames with a seek table.
 A file is a row of zstandard frames, each with a checksum of its content.  A frame
 holds ids of one document only (a long one has several), so a reader decompresses
 just what it is asked for.  Two skippable frames follow, which plain decoders pass
-over: the index (an Arrow stream of ``id, n`` and, as metadata, the bytes of an id),
+over: the index (an Arrow stream of ``id, n`` and, as metadata, the bytes of an id and the ids of a full frame),
 and the seek table in the public seekable format: compressed size, size and checksum
 (low 32 bits of XXH64) of each frame, their number, a flag, a magic number.
 
@@ -144,22 +144,18 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def frames_of(n: int) -> int:
-    return max(1, -(-n // FRAME_IDS))
-
-
 class FrameWriter:
-    """Writes one file to an open stream; ``ids`` of the documents must be of the Arrow type ``kind``."""
+    """Writes one file to an open stream; the documents' own ids are of the Arrow type ``kind``."""
 
-    def __init__(self, out, kind: pa.DataType, id_bytes: int):
-        self.out, self.kind, self.id_bytes = out, kind, id_bytes
+    def __init__(self, out, kind: pa.DataType, id_bytes: int, frame_ids: int = FRAME_IDS):
+        self.out, self.kind, self.id_bytes, self.frame_ids = out, kind, id_bytes, frame_ids
         self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         self.ids, self.sizes, self.table, self.bytes = [], [], [], 0
 
     def add(self, id, encoded: bytes) -> None:
         ids = np.frombuffer(encoded, "<u4")
-        for first in range(0, max(1, len(ids)), FRAME_IDS):
-            raw = ids[first : first + FRAME_IDS].astype(f"<u{self.id_bytes}").tobytes()
+        for first in range(0, max(1, len(ids)), self.frame_ids):
+            raw = ids[first : first + self.frame_ids].astype(f"<u{self.id_bytes}").tobytes()
             frame = self.compressor.compress(raw)
             self.out.write(frame)
             self.table.append(ENTRY.pack(len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -169,7 +165,7 @@ class FrameWriter:
 
     def finish(self) -> None:
         rows = pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind), pa.array(self.sizes, pa.int64())], names=["id", "n"])
-        rows = rows.replace_schema_metadata({"id_bytes": str(self.id_bytes)})
+        rows = rows.replace_schema_metadata({"id_bytes": str(self.id_bytes), "frame_ids": str(self.frame_ids)})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as stream:
             stream.write_batch(rows)
@@ -195,10 +191,10 @@ class TokenFile:
         source.seek(begin)
         with pa.ipc.open_stream(source.read(at - HEADER.size - begin)) as stream:
             self.rows = stream.read_all()
-        self.width = int(self.rows.schema.metadata[b"id_bytes"])
+        self.width, frame_ids = (int(self.rows.schema.metadata[x]) for x in (b"id_bytes", b"frame_ids"))
         self.sizes = self.rows.column("n").to_numpy()
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.frames = np.concatenate([[0], np.cumsum(np.maximum(1, -(-self.sizes // FRAME_IDS)))])
+        self.frames = np.concatenate([[0], np.cumsum(np.maximum(1, -(-self.sizes // frame_ids)))])
         self.decompressor = zstandard.ZstdDecompressor()
 
     def ids(self, k: int) -> bytes:
@@ -215,7 +211,7 @@ class TokenFile:
         return b"".join(parts)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str = "doc_id", text: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str = "doc_id", text: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Writes the files to ``folder`` (a new one in the shared folder) and returns their table: ``part, nth, file, docs, ids, bytes, first``.
 
     ``folder`` must be one that Arrow opens on all executors; ``first`` is the number of ids before the file.
@@ -245,7 +241,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str
                     if writer is None:
                         name = f"part-{part:06d}-{nth:03d}-{uuid.uuid4().hex}.zst"
                         out = store.open_output_stream(f"{base}/{name}", compression=None)  # else the ending .zst decides
-                        writer = FrameWriter(out, batch.column(0).type, width)
+                        writer = FrameWriter(out, batch.column(0).type, width, frame_ids)
                     writer.add(key.as_py(), known.encode(raw.as_py().decode("utf-8", "replace")) + end)
                     if writer.bytes >= file_bytes:
                         yield close()
