@@ -30,12 +30,14 @@ gives no files and no rows.  A document has 2^29 ids at most.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,52 +62,39 @@ ENTRY, FOOTER, HEADER = struct.Struct("<III"), struct.Struct("<IBI"), struct.Str
 
 #: A space between two characters that aren't white space begins a piece, whatever stands around.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-MEMO = 200_000
+#: Words remembered in each of two generations.
+MEMO = 400_000
 
 
 class _Unsafe(Exception):
     """What stands between two spaces begins or ends with white space."""
 
 
-def _bounded(memo: dict, key: str, value: bytes) -> bytes:
-    if len(key) <= 64:
-        if len(memo) >= MEMO:
-            memo.clear()
-        memo[key] = value
-    return value
-
-
-def _alphabet() -> dict[int, int]:
+def _alphabet() -> str:
     """How byte-level tokenizers write bytes: printable ones of Latin-1 as they are, the others from U+0100 on."""
-    odd = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x)]
-    return {x: 256 + i for i, x in enumerate(odd)}
-
-
-class _Pieces(dict):
-    """Piece -> its ids."""
-
-    def __init__(self, model):
-        self.tokens, self.alphabet = model.tokenize, _alphabet()
-
-    def __missing__(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.alphabet)
-        return _bounded(self, piece, array("I", [t.id for t in self.tokens(written)]).tobytes())
+    plain = [33 <= x <= 126 or 161 <= x <= 172 or 174 <= x for x in range(256)]
+    return "".join(chr(x) if plain[x] else chr(256 + plain[:x].count(False)) for x in range(256))
 
 
 class _Words(dict):
-    """Word -> its ids after a space."""
+    """Word -> its ids after a space; what isn't here is looked for among the ``older`` ones, then encoded."""
 
-    def __init__(self, pieces: _Pieces, plain):
-        self.pieces, self.plain = pieces, plain
+    def __init__(self, known: Encoder, older: dict[str, bytes]):
+        self.known, self.older = known, older
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.rstrip(".,;:!?")
-        if letters.isalpha():  # and then marks, if any: a piece each
-            ids = self.pieces[" " + letters]
-            return _bounded(self, word, ids if letters == word else ids + self.pieces[word[len(letters) :]])
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        return _bounded(self, word, self.plain(" " + word))
+        ids = self.older.get(word)
+        if ids is None:
+            letters = word.rstrip(".,;:!?")
+            if letters.isalpha():  # and then marks, if any: a piece each
+                ids = self.known.piece(" " + word) if letters == word else self[letters] + self.known.marks(word[len(letters) :])
+            elif not word or word[0].isspace() or word[-1].isspace():
+                raise _Unsafe
+            else:
+                ids = self.known.across_lines(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -116,27 +105,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        kind = self.tokenizer.pre_tokenizer
-        self.by_words = self.tokenizer.normalizer is None and isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
-        self.pieces = _Pieces(self.tokenizer.model)
-        self.words = _Words(self.pieces, self._plain)
+        self.pieces, self.tokens = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
+        self.by_words = self.tokenizer.normalizer is None and isinstance(self.pieces, pre_tokenizers.ByteLevel) and self.pieces.use_regex and not self.pieces.add_prefix_space
+        self.alphabet, self.words = _alphabet(), _Words(self, {})
+        self.marks = lru_cache(1024)(self.piece)
         self.size = self.tokenizer.get_vocab_size()
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join([self.pieces[text[i:j]] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece."""
+        written, _ = charmap_decode(piece.encode(), "strict", self.alphabet)
+        return array("I", [t.id for t in self.tokens(written)]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text whose ends no white space could join to others."""
+        return b"".join([self.piece(text[i:j]) for _, (i, j) in self.pieces.pre_tokenize_str(text)])
+
+    def across_lines(self, word: str) -> bytes:
+        """The ids of a space and what follows up to the next; a single line feed is a piece of its own."""
+        before, feed, after = word.partition("\n")
+        if not feed or before[-1].isspace() or after[0].isspace():
+            return self.plain(" " + word)
+        letters = after.rstrip(".,;:!?")
+        if not letters.isalpha():
+            return self.words[before] + self.marks(feed) + self.plain(after)
+        return self.words[before] + self.marks(feed) + self.piece(letters) + (self.marks(after[len(letters) :]) if letters != after else b"")
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.words) > MEMO:
+            self.words = _Words(self, dict(self.words))
         first, *words = text.split(" ")
         try:
             if first[-1:].isspace() or not first:
                 raise _Unsafe
-            return self._plain(first) + b"".join(map(self.words.__getitem__, words))
+            return self.plain(first) + b"".join(map(self.words.__getitem__, words))
         except _Unsafe:
             first, *words = SAFE_SPACE.split(text)
-            last = [self._plain(" " + words.pop())] if words else []  # may end with white space
-            return b"".join([self._plain(first), *map(self.words.__getitem__, words), *last])
+            last = [self.plain(" " + words.pop())] if words else []  # may end with white space
+            return b"".join([self.plain(first), *map(self.words.__getitem__, words), *last])
 
 
 @cache
@@ -223,6 +230,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str
 
     def write(batches: Batches) -> Batches:
         known, part, nth = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        gc.set_threshold(200_000)  # tokens of words make many small objects, none of them in cycles
         end, width = np.array([end_id], "<u4").tobytes(), 2 if max(known.size, end_id + 1) <= 1 << 16 else 4
         store, base = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
