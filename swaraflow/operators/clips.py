@@ -13,8 +13,8 @@ from ..functions import tokens as K
 from . import gates, voices
 
 HELD_OUT = "eval_holdout"
-#: Rows that are scanned for each example that is wanted.
-SCAN_FACTOR = 8
+# fixed values: what counts as white space at the ends of a text
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def candidates(rows: DataFrame, source: Column, language: Column, key: Column, speaker: Column, text: str = "text", duration: str | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def candidates(rows: DataFrame, source: Column, language: Column, key: Column, s
     Adds ``source_hf_path, language_id, speaker, text`` (stripped), ``text_normalized,
     num_digits, num_english_words, duration_s`` (0 where unknown) and ``clip_key``.
     """
-    stripped = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    stripped = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
     seconds = F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) if duration else F.lit(0.0)
     out = rows.withColumns({"source_hf_path": source, "language_id": language, "speaker": speaker, "clip_key": key, "duration_s": seconds})
     out = out.withColumn("text", stripped).filter(F.col("text") != "").withColumn("text_normalized", T.cleaned(F.col("text"))).filter(F.col("text_normalized") != "")
@@ -83,28 +83,6 @@ def compiled(kept: DataFrame, contract: K.Contract, audio_ids: Column, text_ids:
     return rows.select(*kept.columns, "__example.*")
 
 
-def within_quota(examples: DataFrame, order: str, quota: int, longest: int, scan_factor: int = SCAN_FACTOR) -> DataFrame:
-    """The first ``quota`` examples of at most ``longest`` ids, of the first ``quota * scan_factor`` rows in order.
-
-    Both limits are top-k by ``order``, so no more than these rows leave a task.
-    """
-    scanned = examples.orderBy(order).limit(quota * scan_factor)
-    return scanned.filter(F.size("input_ids") <= longest).orderBy(order).limit(quota)
-
-
-def compile_plan(parts: dict[str, DataFrame], order: str, quotas: dict[str, int], longest: int) -> tuple[DataFrame, DataFrame]:
-    """All sources' examples within their quotas, tagged with ``source``; and how many each gave (0 too)."""
-    out = None
-    for name, part in parts.items():
-        one = within_quota(part, order, quotas[name], longest).withColumn("source", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("the plan is empty")
-    names = out.sparkSession.createDataFrame([(n,) for n in parts], "source string")
-    counts = names.join(out.groupBy("source").agg(F.count("*").alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
-    return out, counts
-
-
 def first_items(items: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The first ``most`` items of each group."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(order))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an epoch that are sorted in one task, about.
-BUCKET_ROWS = 100_000
+from .permutation import permuted
+
 WEIGHTS = {"springlab_marathi": 0.56, "rasa_marathi": 0.24, "hindi_replay": 0.15, "english_replay": 0.05}
 
 
@@ -39,26 +38,23 @@ def seats_of(weights: DataFrame, size: int) -> DataFrame:
 def _checked(sizes: Mapping[str, int], weights: Mapping[str, float], batch: int) -> dict[str, int]:
     if missing := set(weights) - set(sizes):
         raise ValueError(f"weights for unknown sources: {sorted(missing)}")
-    if empty := [n for n in weights if not sizes[n]]:
+    if empty := [n for n, w in weights.items() if w > 0 and not sizes[n]]:
         raise ValueError(f"sources without examples: {empty}")
     return {n: k for n, k in seats(batch, weights).items() if k}
 
 
-def ranked(rows: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str], buckets: int, most: dict | None = None, name: str = "place") -> DataFrame:
+def ranked(rows: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str], buckets: int, name: str = "place") -> DataFrame:
     """``rows`` with their place (from 0) within ``by`` in order of ``digest`` (hexadecimal), then ``ties``.
 
     A group is cut by the digest's first digits into ``buckets``, the table of
     buckets is summed up, and rows are numbered within a bucket: no group meets in
-    one task.  ``most`` maps values of ``by[0]`` to the number of places wanted of
-    each group; buckets past it are never sorted.
+    one task.
     """
     bucket = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("int")
     cut = rows.withColumn("__bucket", bucket)
     counts = cut.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__bucket").alias("__at"), before.alias("__before"))
-    if most is not None:
-        counts = counts.filter(F.col("__before") < F.element_at(F.create_map(*(F.lit(x) for kv in most.items() for x in kv)), F.col(f"__{by[0]}")))
     same = F.col("__bucket") == F.col("__at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
@@ -66,48 +62,36 @@ def ranked(rows: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str],
     return cut.join(counts, same).withColumn(name, (F.col("__before") + nth).cast("long")).drop("__bucket", "__at", "__before", *(f"__{c}" for c in by))
 
 
-def draws(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, batches: int, seed: int = 0) -> DataFrame:
-    """``draw_no, window, source, idx`` of ``batches`` windows of exactly the composition.
+def with_draws(ordinals: DataFrame, sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, seed: int = 0, ordinal: str = "draw_no") -> DataFrame:
+    """``ordinals`` with ``window, source, idx`` of each draw number, as far as they go.
 
-    A source's examples are used up in an order drawn by hash before any comes
-    again (epochs); places within a window are drawn by hash too.  Everything
-    is a function of the ordinal, so the table is built in parallel.
+    Every ``batch`` numbers are a window of exactly the composition, in an order that
+    is permuted by window.  A source's examples are used up before any comes again:
+    its draws are numbered through, and each epoch is a keyed permutation of them.
+    Nothing but the number is needed, so there is no sort, no join and no shuffle, and
+    a stream of numbers is as good as a table.
     """
     taken = _checked(sizes, weights, batch)
-    parts = None
+    quotient = lambda x, n: ((x - x % n) / n).cast("long")
+    number = F.col(ordinal)
+    out = ordinals.withColumn("window", quotient(number, batch))
+    out = out.withColumn("__seat", permuted(number % batch, batch, F.concat_ws(":", F.lit(f"{seed}:batch"), F.col("window").cast("string"))))
+    source = idx = None
+    first = 0
     for name, k in taken.items():
-        wanted, size = batches * k, sizes[name]
-        one = spark.range(wanted).select(F.lit(name).alias("source"), F.floor(F.col("id") / k).alias("window"), (F.col("id") % size).alias("place"), F.floor(F.col("id") / size).alias("epoch"), "id")
-        epochs = -(-wanted // size)
-        pool = spark.range(epochs * size).select(F.floor(F.col("id") / size).alias("epoch"), (F.col("id") % size).alias("idx"))
-        pool = pool.withColumn("drawn", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(name), "epoch", "idx"), 256))
-        # of an only epoch that isn't used up, the buckets past the last draw aren't sorted
-        places = ranked(pool, ["epoch"], "drawn", ["idx"], max(1, -(-size // BUCKET_ROWS)), {0: wanted} if epochs == 1 else None)
-        one = one.join(places.select("epoch", "place", "idx"), ["epoch", "place"]).select("source", "window", "idx", "id")
-        parts = one if parts is None else parts.unionByName(one)
-    inside = F.sha2(F.concat_ws(":", F.lit(str(seed)), "window", "source", "id"), 256)
-    nth = F.row_number().over(Window.partitionBy("window").orderBy(inside, "source", "id")) - 1
-    return parts.select((F.col("window") * batch + nth).alias("draw_no"), "window", "source", "idx")
-
-
-def replay(sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, seed: int = 0) -> Iterator[tuple[str, int]]:
-    """An endless stream with the same guarantees from a sequential generator, for small runs on the driver."""
-    taken = _checked(sizes, weights, batch)
-    epoch = dict.fromkeys(taken, -1)
-    queue: dict[str, list[int]] = {n: [] for n in taken}
-    inside = random.Random(seed)
-    while True:
-        window: list[tuple[str, int]] = []
-        for name, k in taken.items():
-            for _ in range(k):
-                if not queue[name]:
-                    epoch[name] += 1
-                    order = list(range(sizes[name]))
-                    random.Random(f"{seed}:{name}:{epoch[name]}").shuffle(order)
-                    queue[name] = order[::-1]
-                window.append((name, queue[name].pop()))
-        inside.shuffle(window)
-        yield from window
+        here = F.col("__seat") < first + k
+        nth = F.col("window") * k + F.col("__seat") - first
+        key = F.concat_ws(":", F.lit(f"{seed}:{name}"), quotient(nth, sizes[name]).cast("string"))
+        place = permuted(nth % sizes[name], sizes[name], key)
+        source = F.when(here, F.lit(name)) if source is None else source.when(here, F.lit(name))
+        idx = F.when(here, place) if idx is None else idx.when(here, place)
+        first += k
+    return out.withColumns({"source": source, "idx": idx}).drop("__seat")
+
+
+def draws(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, batches: int, seed: int = 0) -> DataFrame:
+    """``draw_no, window, source, idx`` of ``batches`` windows."""
+    return with_draws(spark.range(batch * batches).withColumnRenamed("id", "draw_no"), sizes, weights, batch, seed)
 
 
 def indexed(pool: DataFrame, source: str, key: str, buckets: int = 64) -> DataFrame:

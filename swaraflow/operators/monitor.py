@@ -13,13 +13,14 @@ from .metrics import corpus_wer, regressions, with_edits
 
 
 def changes(series: DataFrame, every: int, baseline: DataFrame | None = None) -> DataFrame:
-    """``step, bucket, current, baseline, regression`` of each ``every``-th step of ``step, bucket, wer``.
+    """``step, bucket, current, baseline, regression`` of each ``every``-th step of ``step, bucket, wer``; step 0 is never due.
 
-    The baseline (``bucket, wer``) is each bucket's first such step if none is given.
+    The baseline (``bucket, wer``) is the first such step if none is given; buckets that it lacks have no change.
     """
-    due = series.filter((F.col("step") % every == 0) & (F.col("step") != 0 if baseline is not None else F.lit(True)))
+    due = series.filter((F.col("step") % every == 0) & (F.col("step") != 0))
     if baseline is None:
-        baseline = due.groupBy("bucket").agg(F.min_by("wer", "step").alias("wer"))
+        first = due.agg(F.min("step").alias("__first"))
+        baseline = due.join(F.broadcast(first), F.col("step") == F.col("__first")).select("bucket", "wer")
     return regressions(due, baseline, keep=["step"])
 
 

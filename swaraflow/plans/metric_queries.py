@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays, signal
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import clips, gates, metrics, mixture, monitor, panel, parameters, voices
+from ..operators import clips, gates, metrics, mixture, monitor, panel, parameters, permutation, quota, voices
 from ..sources import manifests
 from ..sources.shared import shared_dir
-from ..streaming import ingest
+from ..sources.tables import new_place, written
+from ..streaming import ingest, monitoring
 from .registry import query, table
 
 CONTRACT = K.Contract()
@@ -138,19 +139,41 @@ QUOTAS = {"even": 40, "odd": 7}
 
 
 @query(f"""
-with {CODES_SQL}, sizes as (select key, case when key % 2 = 0 then 'even' else 'odd' end as source, count(*) + 6 as n from stream group by 1, 2),
+with {CODES_SQL}, sizes as (select key, case when key % 2 = 0 then 'even' else 'odd' end as source, count(*) + 7 as n from stream group by 1, 2),
 scanned as (select *, row_number() over (partition by source order by key) as nth from sizes),
 fitting as (select *, row_number() over (partition by source order by key) as kept from scanned where nth <= 8 * case source when 'even' then 40 else 7 end and n <= 90)
 select source, key, n::int as n from fitting where kept <= case source when 'even' then 40 else 7 end""")
 def compile_quota(spark, folder):
     """Examples of two sources: at most 90 ids long, up to a quota, out of eight times as many rows at most."""
     none, one = F.array().cast("array<int>"), lambda x: F.array(F.lit(x))
-    rows = clips.compiled(token_streams(spark, folder), CONTRACT, F.col("ids"), none, none, one(10))
-    # a prompt without text, speaker and style has six ids; the stop is one more, and the count in SQL starts at five
-    rows = rows.withColumn("input_ids", F.slice("input_ids", 2, F.size("input_ids") - 1))
-    parts = {name: rows.filter(F.col("key") % 2 == k) for k, name in enumerate(QUOTAS)}
-    found, counts = clips.compile_plan(parts, "key", QUOTAS, 90)
-    return found.join(counts.select("source"), "source").select("source", "key", F.size("input_ids").alias("n"))
+    compile = lambda rows: clips.compiled(rows, CONTRACT, F.col("ids"), none, none, one(10))
+    rows = token_streams(spark, folder)
+    parts = {name: quota.whole(rows.filter(F.col("key") % 2 == k), "key") for k, name in enumerate(QUOTAS)}
+    found, _ = quota.compile_plan(parts, compile, QUOTAS, 90)
+    return found.select("source", "key", F.size("input_ids").alias("n"))
+
+
+DOC_QUOTAS, DOC_LONGEST, DOC_SHARD = {"en": 60, "fr": 25, "de": 10, "es": 100_000}, 7 * 12 + 7, 64
+
+
+@query(f"""
+with quotas(lang, quota) as (values {", ".join(f"('{n}', {k})" for n, k in DOC_QUOTAS.items())}),
+rows as (select d.lang, quota, doc_id, n_chars // 200 as frames, row_number() over (partition by d.lang order by doc_id) as nth from documents d join quotas using (lang)),
+fitting as (select *, row_number() over (partition by lang order by doc_id) as kept from rows where nth <= 8 * quota and frames > 0 and 7 * frames + 7 <= {DOC_LONGEST}),
+counts as (select lang, count(*) as n from fitting where kept <= quota group by 1)
+select lang as source, doc_id, (7 * frames + 7)::int as n, n as found from fitting join counts using (lang) where kept <= quota""")
+def quota_early_stop(spark, folder):
+    """Documents as clips, in shards of {DOC_SHARD} ids: texts of less than a frame and examples that are too long fill part of the cap; one quota is more than there is."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", F.floor(F.col("doc_id") / DOC_SHARD).cast("int").alias("shard"))
+    last = docs.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
+    frames = F.floor(F.col("n_chars") / 200).cast("int")
+    audio = F.when(frames > 0, F.transform(F.sequence(F.lit(0), 7 * frames - 1), lambda i: BASE + i % 7 * K.CODEBOOK)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    compile = lambda rows: clips.compiled(rows, CONTRACT, audio, none, none, none)
+    opened = lambda name: lambda first, stop: docs.filter((F.col("lang") == name) & F.col("shard").between(first, stop - 1))
+    sources = {name: quota.Shards(opened(name), last + 1, "doc_id") for name in DOC_QUOTAS}
+    found, report = quota.compile_plan(sources, compile, DOC_QUOTAS, DOC_LONGEST)
+    return found.join(report, "source").select("source", "doc_id", F.size("input_ids").alias("n"), F.col("n").alias("found"))
 
 
 @query("""
@@ -240,12 +263,12 @@ def largest_remainder_seats(spark, folder):
 
 
 LANGS, LANG_WEIGHTS = ("en", "fr", "de", "es"), {"en": 0.56, "fr": 0.24, "de": 0.15, "es": 0.05}
-DRAWS_SQL = """
+DRAWS_SQL = f"""
 pools as (select lang as source, doc_id, row_number() over (partition by lang order by sha256(doc_id::varchar), doc_id) - 1 as idx, count(*) over (partition by lang) as size from documents),
-seats(source, k) as (values ('en', 11), ('fr', 5), ('de', 3), ('es', 1)),
-ordinals as (select source, k, size, o as id, o // k as win, o % size as place, o // size as epoch from seats join (select distinct source, size from pools) using (source), lateral (select unnest(range(50 * k)) as o)),
-shuffled as (select source, epoch, idx, row_number() over (partition by source, epoch order by sha256('7:' || source || ':' || epoch || ':' || idx), idx) - 1 as place from pools join (select distinct source, epoch from ordinals) using (source)),
-drawn as (select source, win, idx, id, row_number() over (partition by win order by sha256('7:' || win || ':' || source || ':' || id), source, id) - 1 as nth from ordinals join shuffled using (source, epoch, place))"""
+seats(source, k, first) as (values ('en', 11, 0), ('fr', 5, 11), ('de', 3, 16), ('es', 1, 19)),
+numbers as (select o as draw_no, o // 20 as win, {permutation.sql("o % 20", "20", "('7:batch:' || (o // 20))")} as seat from (select unnest(range(1000)) as o)),
+ordinals as (select draw_no, win, s.source, size, win * k + seat - first as nth from numbers join seats s on seat >= first and seat < first + k join (select distinct source, size from pools) z on s.source = z.source),
+drawn as (select draw_no, win, source, {permutation.sql("nth % size", "size", "('7:' || source || ':' || (nth // size))")} as idx from ordinals)"""
 
 
 def _drawn(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +277,7 @@ def _drawn(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mixture.draws(spark, sizes, LANG_WEIGHTS, 20, 50, seed=7), pool
 
 
-@query(f"with {DRAWS_SQL} select win * 20 + nth as draw_no, drawn.source, doc_id from drawn join pools on drawn.source = pools.source and drawn.idx = pools.idx")
+@query(f"with {DRAWS_SQL} select draw_no, drawn.source, doc_id from drawn join pools on drawn.source = pools.source and drawn.idx = pools.idx")
 def mixture_draws_by_hash(spark, folder):
     drawn, pool = _drawn(spark, folder)
     return mixture.materialized(drawn, pool).select("draw_no", "source", "doc_id")
@@ -420,8 +443,9 @@ def base_vs_tuned_delta(spark, folder):
 
 @query("""
 with series as (select date_diff('hour', timestamp '2024-01-01', ts) as step, event_type as bucket, avg(value) as wer from events group by 1, 2),
-due as (select *, first_value(wer) over (partition by bucket order by step) as base from series where step % 6 = 0)
-select step, round(greatest(max((wer - base) / greatest(base, 1e-6)), 0.0), 6) as worst, greatest(max((wer - base) / greatest(base, 1e-6)), 0.0) > 0.15 as alert from due group by 1""")
+due as (select * from series where step % 6 = 0 and step <> 0),
+base as (select bucket, wer as base from due where step = (select min(step) from due))
+select step, round(greatest(max((wer - base) / greatest(base, 1e-6)), 0.0), 6) as worst, greatest(max((wer - base) / greatest(base, 1e-6)), 0.0) > 0.15 as alert from due join base using (bucket) group by 1""")
 def regression_alert(spark, folder):
     hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
     series = table(spark, folder, "events").groupBy(hour.alias("step"), F.col("event_type").alias("bucket")).agg(F.avg("value").alias("wer"))
@@ -697,6 +721,34 @@ def stream_ingest_gate(spark, folder):
     return out.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang") == "en").alias("english"))
 
 
+@query("""
+with series as (select user_id % 3 as run, date_diff('hour', timestamp '2024-01-01', ts) as step, event_type as bucket, avg(value) as wer from events group by 1, 2, 3),
+due as (select * from series where step % 6 = 0 and step <> 0),
+base as (select run, bucket, wer as base from due d where step = (select min(step) from due where run = d.run)),
+compared as (select run, step, bucket, wer, (wer - base) / greatest(base, 1e-6) as regression from due left join base using (run, bucket)),
+steps as (select run, step, greatest(coalesce(max(regression), 0.0), 0.0) as worst from compared group by 1, 2)
+select run::varchar as run, step, bucket, round(wer, 6) as wer, round(regression, 6) as regression, round(worst, 6) as worst, worst > 0.15 as alert, worst > 0.15 as marked from compared join steps using (run, step)""")
+def monitor_records(spark, folder):
+    """Three runs' evaluations as a stream that is stopped and started again over its checkpoint; a record for each due step."""
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
+    events = table(spark, folder, "events").withColumns({"run": (F.col("user_id") % 3).cast("string"), "step": hour})
+    series = written(monitoring.evaluations(events.groupBy("run", "step", F.col("event_type").alias("bucket")).agg(F.avg("value").alias("wer"))), "evaluations")
+    place, half = new_place(spark, "monitor"), series.agg((F.max("step") / 2).cast("long")).first()[0] or 0
+    for part in (F.col("step") <= half, F.col("step") > half):
+        series.filter(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(series.schema).parquet(f"{place}/in")
+        monitoring.watch(stream, f"{place}/records", f"{place}/marker", f"{place}/checkpoint", 6).awaitTermination()
+    kind = "run string, step bigint, wer map<string, double>, relative_regression map<string, double>, worst double, alert boolean"
+    kept, raised = (spark.read.schema(kind).json(f"{place}/{x}/*") if x == "records" or _any_file(spark, f"{place}/{x}") else spark.createDataFrame([], kind) for x in ("records", "marker"))
+    rows = kept.select("run", "step", "worst", "alert", "relative_regression", F.explode("wer").alias("bucket", "wer")).join(raised.select("run", "step", F.lit(True).alias("marked")), ["run", "step"], "left")
+    return rows.select("run", "step", "bucket", F.round("wer", 6).alias("wer"), F.round(F.try_element_at("relative_regression", F.col("bucket")), 6).alias("regression"), F.round("worst", 6).alias("worst"), "alert", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+def _any_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 @query("select * from (values ('q_proj', 1), ('v_proj', 1), ('up_proj', 17), ('gate_proj', 17)) t(projection, names)")
 def adapter_target_names(spark, folder):
     """The names that an adapter library is given: two that hold for all layers, and two modules for each of 17 layers."""

@@ -6,14 +6,14 @@ form share them; a checkpoint gives restarts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.metrics import regressions, worst
+from ..operators import mixture
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
@@ -22,22 +22,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType, transform: Call
     return transform(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def watch(stream: DataFrame, baseline: DataFrame, alerts: str, checkpoint: str, limit: float = 0.15, every: int = 1) -> StreamingQuery:
-    """Appends a row to ``alerts`` for each step (``step, bucket, wer``) whose worst regression is over the limit.
-
-    It alerts and doesn't stop anything, as in the surveyed system.
-    """
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        changed = regressions(batch.filter(F.col("step") % every == 0), baseline)
-        found = worst(changed, limit).withColumn("batch", F.lit(batch_id)).filter("alert")
-        found.write.mode("append").json(alerts)
-
-    return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def draw_stream(spark: SparkSession, drawn: DataFrame, rows_per_second: int = 100) -> DataFrame:
-    """An endless stream over a table of draws: the rate source's ordinal, modulo the table, joined to it."""
-    n = drawn.count()
+def draw_stream(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, float], batch: int, seed: int = 0, rows_per_second: int = 100) -> DataFrame:
+    """An endless stream of draws ``draw_no, window, source, idx``: the rate source's ordinal, permuted."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return ticks.withColumn("draw_no", F.col("value") % n).join(drawn, "draw_no")
+    return mixture.with_draws(ticks.select(F.col("value").alias("draw_no")), sizes, weights, batch, seed)

@@ -1,7 +1,6 @@
 import json
 import math
 import os
-from itertools import islice
 
 import numpy as np
 import pytest
@@ -115,27 +114,6 @@ def test_seats(size, want):
     assert list(mixture.seats(size, mixture.WEIGHTS).values()) == want
 
 
-def test_mixture(spark):
-    sizes = dict(zip(mixture.WEIGHTS, (50, 30, 20, 10), strict=True))
-    got = mixture.draws(spark, sizes, mixture.WEIGHTS, 25, 10, seed=3).collect()
-    assert sorted(r["draw_no"] for r in got) == list(range(250))
-    for w in range(10):
-        assert [sum(r["window"] == w and r["source"] == n for r in got) for n in sizes] == [14, 6, 4, 1]
-    for name, n in sizes.items():
-        used = [r["idx"] for r in sorted(got, key=lambda r: r["draw_no"]) if r["source"] == name]
-        counts = [used.count(i) for i in range(n)]
-        assert max(counts) - min(counts) <= 1  # nothing comes again before all have come
-    again = mixture.draws(spark, sizes, mixture.WEIGHTS, 25, 10, seed=3).collect()
-    other = mixture.draws(spark, sizes, mixture.WEIGHTS, 25, 10, seed=4).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, got)) != sorted(map(tuple, other))
-    for bad in ({**sizes, "rasa_marathi": 0}, {"springlab_marathi": 4}):
-        with pytest.raises(ValueError):
-            mixture.draws(spark, bad, mixture.WEIGHTS, 25, 1)
-    stream = list(islice(mixture.replay(sizes, mixture.WEIGHTS, 25, 1), 250))
-    assert stream == list(islice(mixture.replay(sizes, mixture.WEIGHTS, 25, 1), 250))
-    assert [sum(s == n for s, _ in stream[25:50]) for n in sizes] == [14, 6, 4, 1]
-
-
 def test_quotas(spark):
     plan = spark.createDataFrame([("p", c) for c in "abc"], "pool string, entry string")
     got = mixture.quotas(plan, spark.createDataFrame([("p", 7)], "pool string, target long")).orderBy("entry").collect()
@@ -221,7 +199,8 @@ def test_regressions(spark, tmp_path):
     assert {r["bucket"]: round(r["regression"], 6) for r in changed.collect()} == {"a": 0.5, "b": -0.5}
     assert tuple(metrics.worst(changed).first()) == (pytest.approx(0.5), True) and tuple(metrics.worst(changed.limit(0)).first()) == (0.0, False)
     series = spark.createDataFrame([(s, "a", w) for s, w in ((0, 0.2), (5, 9.0), (10, 0.22), (20, 0.3))], "step int, bucket string, wer double")
-    assert {r["step"]: r["alert"] for r in monitor.alerts(series, 10).collect()} == {0: False, 10: False, 20: True}
+    assert {r["step"]: r["alert"] for r in monitor.alerts(series, 10).collect()} == {10: False, 20: True}  # step 0 is never due
+    assert monitor.alerts(series.filter("step > 5"), 10).filter("step = 20").first()["worst"] == pytest.approx((0.3 - 0.22) / 0.22)
     given = monitor.alerts(series, 10, baseline=frame({"a": 0.1}))
     assert {r["step"]: round(r["worst"], 6) for r in given.collect()} == {10: 1.2, 20: 2.0}
     marker = str(tmp_path / "marker")
@@ -294,10 +273,6 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ingest.ingest(spark, str(tmp_path / "in"), docs.schema, gate, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r["id"] for r in gate(docs).collect())
-    spark.createDataFrame([(10, "a", 0.5)], "step int, bucket string, wer double").write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("step int, bucket string, wer double").parquet(str(tmp_path / "e"))
-    ingest.watch(stream, spark.createDataFrame([("a", 0.2)], "bucket string, wer double"), str(tmp_path / "alerts"), str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.json(str(tmp_path / "alerts")).first()["worst"] == pytest.approx(1.5)
 
 
 class Fake:
@@ -359,10 +334,6 @@ def test_compiled_examples_and_quotas(spark):
     none, one = F.array().cast("array<int>"), F.array(F.lit(10))
     made = clips.compiled(rows, c, F.col("audio"), none, none, one)
     assert made.count() == 30 and made.filter("size(input_ids) <> size(labels)").count() == 0  # a clip without a whole frame gives no example
-    got = [r["id"] for r in clips.within_quota(made, "id", 3, 7 + 14, scan_factor=2).collect()]
-    assert got == [1, 3, 6]  # of the first six examples 1 2 3 5 6 7 those of one or two frames
-    both, counts = clips.compile_plan({"p": made, "q": made.limit(0)}, "id", {"p": 2, "q": 2}, 100)
-    assert both.count() == 2 and {r["source"]: r["n"] for r in counts.collect()} == {"p": 2, "q": 0}
     held = tokens.examples(spark, [([1, 2], [-100, 2])]).first()
     assert (held["idx"], held["input_ids"], held["labels"]) == (0, [1, 2], [-100, 2])
 
@@ -379,8 +350,6 @@ def test_places_are_ranked_without_one_task(spark):
     for g in range(3):
         own = sorted((r for r in got if r["g"] == g), key=lambda r: r["d"])
         assert [r["place"] for r in own] == list(range(1000))
-    few = mixture.ranked(rows.filter("g = 0"), ["g"], "d", ["id"], 16, {0: 10}).collect()
-    assert len(few) < 200 and {r["id"]: r["place"] for r in got if r["g"] == 0 and r["place"] < 10} == {r["id"]: r["place"] for r in few if r["place"] < 10}
 
 
 def test_config(tmp_path):
