@@ -6,7 +6,6 @@ A waveform is an ``array<float>`` of mono samples in -1..1 beside its rate.
 from __future__ import annotations
 
 import io
-import os
 import wave
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, StructField, StructType
 
+from ..sources.committed import publish
 from .text import slug
 
 FRAME_S, HOP_S = 0.025, 0.010
@@ -139,23 +139,16 @@ def decode_comparison(waves: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -
         yield pd.DataFrame(rows, columns=["first_seconds", "second_seconds", "mel_correlation"], dtype="float64")
 
 
-def write_waves(rows: DataFrame, path: str, rate: int) -> None:
+def write_waves(rows: DataFrame, path: str, rate: int, overwrite: bool = False) -> None:
     """A WAV file for each row (``idx, text, samples`` and, for an A/B pair, ``stock_samples``), named by number and slug.
 
-    ``path`` must be a folder that all executors share.
+    All files of a folder appear together or not at all; a null waveform has none.
     """
-    pair = "stock_samples" in rows.columns
-    named = rows.select(F.format_string("%02d_%s", "idx", slug(F.col("text"))).alias("name"), "samples", *(["stock_samples"] if pair else []))
-
-    def write(found) -> None:
-        os.makedirs(path, exist_ok=True)
-        for r in found:
-            for suffix, column in (("", "samples"), ("_stock", "stock_samples"))[: 1 + pair]:
-                if r[column] is not None:
-                    with open(os.path.join(path, f"{r['name']}{suffix}.wav"), "wb") as out:
-                        out.write(encode(np.asarray(r[column]), rate))
-
-    named.foreachPartition(write)
+    named = rows.withColumn("name", F.format_string("%02d_%s", "idx", slug(F.col("text"))))
+    pairs = [("", "samples"), *([("_stock", "stock_samples")] if "stock_samples" in rows.columns else [])]
+    waves = F.explode(F.array(*(F.struct(F.concat("name", F.lit(f"{suffix}.wav")).alias("path"), F.col(c).alias("samples")) for suffix, c in pairs)))
+    files = named.select(waves.alias("w")).filter("w.samples is not null").select("w.path", encoded(F.col("w.samples"), F.lit(rate)).alias("content"))
+    publish(files, path, overwrite)
 
 
 def decoded(target_rate: int | None, resampler: Callable[[np.ndarray, int, int], np.ndarray] = resample):

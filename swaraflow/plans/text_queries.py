@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clips, gates, lookups, routing, voices
-from ..sources import manifests, plans, scan
+from ..sources import keyed, manifests, plans, scan
 from ..sources.shared import shared_dir
+from ..sources.tables import new_place, written
 from .registry import query, table
 
 LATIN_SQL = T.LATIN_WORD.replace("'", "''")
@@ -107,9 +108,13 @@ def needed_semi_join(spark, folder):
 
 @query(f"with {CANDIDATES_SQL} select c.id, d.doc_id is not null as found, d.n_chars from (select id, case when pos % 3 = 0 then null else clip_key end as clip_key from chosen) c left join (select substr(sha256(source || '::' || doc_id), 1, 16) as clip_key, doc_id, n_chars from documents) d on c.clip_key = d.clip_key")
 def reference_lookup(spark, folder):
+    """Lookup in a table that is written for it: the needed keys reach the scan, which skips row groups."""
     items = chosen(spark, folder).select("id", F.when(F.col("pos") % 3 != 0, F.col("clip_key")).alias("clip_key"))
     docs = table(spark, folder, "documents")
-    clips = docs.select(T.clip_key(F.col("source"), F.lit(None).cast("string"), F.col("doc_id")).alias("clip_key"), "n_chars")
+    path = new_place(spark, "reference")
+    keyed.write_keyed(docs.select(T.clip_key(F.col("source"), F.lit(None).cast("string"), F.col("doc_id")).alias("clip_key"), "n_chars"), "clip_key", path, row_group_bytes=64 << 10, page_bytes=8 << 10)
+    items = written(items, "wanted")
+    clips = keyed.lookup(spark, path, items, "clip_key", ["n_chars"])
     return lookups.with_reference(items, clips, ["clip_key"], "n_chars").select("id", F.col("n_chars").isNotNull().alias("found"), "n_chars")
 
 
@@ -289,11 +294,27 @@ def ordinal_scan(spark, folder):
 def manifest_roundtrip(spark, folder):
     items = chosen(spark, folder).select("bucket", "id", "clip_key", F.sha2("text", 256).alias("text_sha256"))
     header = spark.createDataFrame([(n, retained) for n, (_, _, retained) in routing.catalogue().items()], "bucket string, is_retention boolean")
-    path = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    path = new_place(spark, "manifests")
     manifests.write(items, header, path)
     return manifests.read(spark, path).select("manifest", "id", "clip_key", "text_sha256")
 
 
+@query(f"""with {CANDIDATES_SQL}, counts as (select bucket, count(*) as n from chosen group by 1)
+select b.bucket, coalesce(n, 0)::bigint as n, (select count(distinct clip_key) from chosen) as keys, 7::bigint as seed, coalesce(n, 0)::bigint as in_file from (select unnest([{", ".join(f"'{n}'" for n in routing.catalogue())}]) as bucket) b left join counts using (bucket)""")
+def manifest_lock(spark, folder):
+    """Bucket files, key file and summary of a lock, written twice as one commit, and what they say."""
+    items = written(chosen(spark, folder).select("bucket", "id", "clip_key", "text"), "items")
+    header = spark.createDataFrame([(n, retained) for n, (_, _, retained) in routing.catalogue().items()], "bucket string, is_retention boolean")
+    path = new_place(spark, "lock")
+    manifests.write(items.limit(1), header, path)
+    manifests.write(items, header, path, seed=7, overwrite=True)
+    told = manifests.read_summary(spark, path).select("seed", "held_out_clip_keys", F.explode("buckets").alias("bucket", "n"))
+    in_file = manifests.read(spark, path).groupBy(F.col("manifest").alias("bucket")).agg(F.count("*").alias("in_file"))
+    keys = manifests.read_keys(spark, f"{path}/{manifests.KEYS}").agg(F.count("*").alias("keys"))
+    rows = told.join(in_file, "bucket", "left").join(keys, F.col("keys") == F.col("held_out_clip_keys"))  # the file has as many keys as the summary says
+    return rows.select("bucket", "n", "keys", "seed", F.coalesce("in_file", F.lit(0)).alias("in_file"))
+
+
 @query(f"""
 with recursive {CANDIDATES_SQL},
 texts as (select case when source_hf_path = '{ANCHOR}' then 'Anagha' else 'Chinmay' end as speaker, text, row_number() over (partition by source_hf_path order by clip_key) as nth from chosen where language_id = 'mr'),

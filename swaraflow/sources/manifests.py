@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .committed import publish
+from .tables import written
+
+# fixed values: names of the files of a lock
+KEYS, SUMMARY = "held_out_clip_keys.json", "_summary.json"
+
 
 def documents(items: DataFrame, header: DataFrame) -> DataFrame:
     """One row per bucket of ``header``: its columns, ``count`` and the items in order of id."""
@@ -14,9 +20,34 @@ def documents(items: DataFrame, header: DataFrame) -> DataFrame:
     return header.join(grouped, "bucket", "left").withColumn("items", F.coalesce("items", F.array().cast(kind))).withColumn("count", F.size("items"))
 
 
-def write(items: DataFrame, header: DataFrame, path: str) -> None:
-    """A folder per bucket with one JSON document; a bucket is tens of items."""
-    documents(items, header).withColumn("name", F.col("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("name").json(path)
+def write(items: DataFrame, header: DataFrame, path: str, keys: DataFrame | None = None, seed: int = 0, key: str = "clip_key", overwrite: bool = False) -> None:
+    """All files of a lock, which appear together or not at all.
+
+    A pretty-printed ``<bucket>.json`` for each bucket, ``held_out_clip_keys.json``
+    with the sorted distinct keys (of the items, or ``keys``), and ``_summary.json``
+    with the counts and the seed.  A bucket is tens of items.
+    """
+    pretty = lambda c: F.encode(F.to_json(c, {"pretty": "true", "ignoreNullFields": "false"}), "UTF-8").alias("content")
+    items = written(items, "manifest-items")  # read for the buckets, the keys and the counts
+    buckets = documents(items, header)
+    held = (items if keys is None else keys).filter(F.col(key).isNotNull()).agg(F.sort_array(F.collect_set(key)).alias("keys"))
+    counts = buckets.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "count")))).alias("buckets"))
+    summary = counts.crossJoin(held.select(F.size("keys").alias("held_out_clip_keys"))).select(F.struct(F.lit(seed).alias("seed"), "buckets", "held_out_clip_keys").alias("s"))  # a row and a row
+    files = buckets.select(F.concat("bucket", F.lit(".json")).alias("path"), pretty(F.struct(*buckets.columns)))
+    files = files.unionByName(held.select(F.lit(KEYS).alias("path"), pretty(F.col("keys")))).unionByName(summary.select(F.lit(SUMMARY).alias("path"), pretty(F.col("s"))))
+    publish(files, path, overwrite)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``seed, buckets, held_out_clip_keys`` of a lock: one small document, whose name Spark's own readers pass over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SUMMARY}")
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    told = F.from_json(F.lit(text), "seed long, buckets map<string, long>, held_out_clip_keys long")
+    return spark.range(1).select(told.alias("s")).select("s.*")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

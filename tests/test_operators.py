@@ -302,9 +302,9 @@ def test_decoder_pairs(spark):
 
 def test_waves_are_written_by_slug(spark, tmp_path):
     rows = spark.createDataFrame([(0, "Hello, World!", [0.0, 0.5], [0.1]), (1, "??", [0.25], None)], "idx int, text string, samples array<double>, stock_samples array<double>")
-    signal.write_waves(rows, str(tmp_path), 8000)
-    assert sorted(os.listdir(tmp_path)) == ["00_hello_world.wav", "00_hello_world_stock.wav", "01_utt.wav"]
-    assert signal.decode((tmp_path / "00_hello_world.wav").read_bytes())[0].tolist() == pytest.approx([0.0, 0.5], abs=1e-4)
+    signal.write_waves(rows, str(tmp_path / "waves"), 8000)
+    assert sorted(os.listdir(tmp_path / "waves")) == ["00_hello_world.wav", "00_hello_world_stock.wav", "01_utt.wav"]
+    assert signal.decode((tmp_path / "waves/00_hello_world.wav").read_bytes())[0].tolist() == pytest.approx([0.0, 0.5], abs=1e-4)
 
 
 def test_candidates_drop_what_is_empty(spark):
