@@ -1,19 +1,22 @@
-"""Document fingerprints: a Merkle tree over sections and pieces of paragraphs.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and content-defined pieces.
 
-A text is cut into pieces that together are the whole text, separators included.
-A piece ends after a run of *cut characters*: line feeds (so a paragraph ends a
-piece), sentence marks and a few rare letters, so that a long paragraph has
-branches too; without one it ends after ``MOST`` characters.  Cuts depend on what
-stands around them, so an insertion changes the pieces it touches and no later
-ones.  A section ends with the piece that holds a blank line.
+A paragraph ends with its line feeds, a section with a paragraph that ends in a blank
+line.  A paragraph is cut into pieces by content: a piece ends where the low four bits
+of its last six bytes, in any one of the four planes of bits, read 101100.  That holds
+for about one place in sixteen in any script or alphabet of two characters or more, and
+depends on nothing but these bytes; a piece has 16 bytes at least and 96 at most.  So an
+insertion changes the pieces that it touches, and cuts fall into step soon after it.
+Pieces are bytes: they may end within a character.
 
-A leaf is the digest of a piece, a section the digest of its leaves, the root the
-digest of the sections, all of 128 bits.  The fingerprint writes the tree out:
+A leaf is the digest of a piece, a paragraph that of its leaves, a section that of its
+paragraphs, the root that of the sections, all of 128 bits.  The fingerprint writes the
+tree out:
 
-    root [ section:leaf leaf ...]*    (root 32, all others 8 hexadecimal digits)
+    root [ section [/paragraph:leaf leaf ...]*]*    (root 32, all others 8 hexadecimal digits)
 
 Equal roots mean equal texts; the branches that differ locate edits
-(:func:`edited_branches`); the share of common leaves is the likeness.
+(:func:`edited_branches`); the share of common leaves, as written in the fingerprints,
+is the likeness.
 
 The next document (by id, then by digest of the text) is found without a global
 sort or a join of texts: ids are mapped to numbers that keep their order, cut into
@@ -44,10 +47,18 @@ from pyspark.sql.types import BinaryType, IntegralType, NumericType, StringType
 
 from .store import materialize
 
-# fixed values: the characters that a piece ends with, and the longest run without one
-CUTS = r"\n.!?kvzjxq"
-MOST = 96
-PIECE = f"[^{CUTS}]{{1,{MOST}}}[{CUTS}]*|[{CUTS}]+"
+PARAGRAPH = r"[^\n]*\n+|[^\n]+"
+LEAST, MOST, BITS = 16, 96, "101100"
+
+
+def _piece() -> str:
+    """The pattern of a piece in hexadecimal digits, two for each byte."""
+    planes = ([("[" + "".join(f"{d:X}" for d in range(16) if (d >> b & 1) == bit) + "]") for bit in (0, 1)] for b in range(4))
+    tails = "|".join("".join("." + plane[int(bit)] for bit in BITS) for plane in planes)
+    return f"(?:..){{{LEAST - len(BITS)},{MOST - len(BITS)}}}?(?:{tails})|(?:..){{1,{MOST}}}"
+
+
+PIECE = _piece()
 #: Quantiles of the ids; even cuts between two of them, at least; rows of a bucket, about; buckets at most, so that their heads are a broadcast of bounded size.
 QUANTILES, CUTS_BETWEEN, BUCKET_ROWS, MOST_BUCKETS = 128, 16, 4096, 262_144
 
@@ -56,26 +67,33 @@ def _short(value: Column) -> Column:
     return F.substring(value, 1, 8)
 
 
-def _section(leaves: Column) -> Column:
-    return F.md5(F.concat(F.lit("section"), F.array_join(leaves, "")))
+def _node(kind: str, children: Column) -> Column:
+    return F.md5(F.concat(F.lit(kind), F.array_join(children, "")))
 
 
 def tree(text: Column) -> Column:
-    """Struct ``leaves`` (the digests of each section's pieces) and ``sections`` (their digests); both empty for an empty text."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    marked = F.transform(pieces, lambda p: F.struct(F.md5(p).alias("leaf"), F.contains(p, F.lit("\n\n")).alias("last")))
+    """Struct ``leaves`` (8 digits of each, by paragraph), ``paragraphs`` and ``sections`` (their digests) and ``ends`` (each section's last paragraph); all empty for an empty text."""
+
+    def paragraph(p: Column) -> Column:
+        digests = F.transform(F.regexp_extract_all(F.hex(p), F.lit(PIECE), F.lit(0)), F.md5)
+        return _let(digests, lambda d: F.struct(F.transform(d, _short).alias("leaves"), _node("paragraph", d).alias("digest"), F.endswith(p, F.lit("\n\n")).alias("last")))
 
-    def cut(marked: Column) -> Column:
-        n = F.size(marked)
-        numbered = F.transform(marked, lambda m, i: F.when(m["last"] | (i == n - 1), i))
-        return F.struct(marked.alias("pieces"), F.filter(numbered, lambda i: i.isNotNull()).alias("ends"))
+    def cut(made: Column) -> Column:
+        n = F.size(made)
+        ends = F.filter(F.transform(made, lambda m, i: F.when(m["last"] | (i == n - 1), i)), lambda i: i.isNotNull())
+        return F.struct(F.transform(made, lambda m: m["leaves"]).alias("leaves"), F.transform(made, lambda m: m["digest"]).alias("paragraphs"), ends.alias("ends"))
 
-    def gather(s: Column) -> Column:
-        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(s["ends"], k - 1) + 1)
-        return F.transform(s["ends"], lambda e, k: F.transform(F.slice(s["pieces"], start(k) + 1, e - start(k) + 1), lambda m: m["leaf"]))
+    def sections(s: Column) -> Column:
+        of = F.transform(s["ends"], lambda e, k: _node("section", F.slice(s["paragraphs"], _first(s["ends"], k) + 1, e - _first(s["ends"], k) + 1)))
+        return F.struct(s["leaves"].alias("leaves"), s["paragraphs"].alias("paragraphs"), of.alias("sections"), s["ends"].alias("ends"))
 
-    leaves = _let(_let(marked, cut), gather)
-    return _let(leaves, lambda x: F.struct(x.alias("leaves"), F.transform(x, _section).alias("sections")))
+    paragraphs = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), paragraph)
+    return _let(_let(paragraphs, cut), sections)
+
+
+def _first(ends: Column, k: Column) -> Column:
+    """The first paragraph of section ``k``."""
+    return F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
 
 
 def _let(value: Column, body) -> Column:
@@ -84,12 +102,16 @@ def _let(value: Column, body) -> Column:
 
 
 def root(tree: Column) -> Column:
-    return F.md5(F.concat(F.lit("root"), F.array_join(tree["sections"], "")))
+    return _node("root", tree["sections"])
 
 
 def fingerprint(tree: Column) -> Column:
-    written = F.zip_with(tree["sections"], tree["leaves"], lambda d, x: F.concat(F.lit(" "), _short(d), F.lit(":"), F.array_join(F.transform(x, _short), "")))
-    return F.concat(root(tree), F.array_join(written, ""))
+    paragraphs = F.zip_with(tree["paragraphs"], tree["leaves"], lambda d, x: F.concat(F.lit("/"), _short(d), F.lit(":"), F.array_join(x, "")))
+
+    def write(s: Column) -> Column:
+        return F.transform(s["ends"], lambda e, k: F.concat(F.lit(" "), _short(F.get(s["sections"], k)), F.array_join(F.slice(s["written"], _first(s["ends"], k) + 1, e - _first(s["ends"], k) + 1), "")))
+
+    return F.concat(root(tree), F.array_join(_let(F.struct(tree["ends"].alias("ends"), tree["sections"].alias("sections"), paragraphs.alias("written")), write), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,36 +138,39 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def edited_branches(a: Column, b: Column) -> Column:
-    """Where tree ``a`` differs from ``b``, by place: an array of structs ``section, kind, first_leaf, last_leaf``; empty for equal roots.
-
-    Sections between the common start and end of both trees count from 0.  ``kind``
-    is ``moved`` where ``b`` holds the same section in that span but at another
-    place, ``edited`` where it doesn't, and then the leaves are those between the
-    common start and end of the section and its counterpart in ``b`` (all of them
-    where it has none; ``last_leaf`` is ``first_leaf - 1`` where something was only
-    inserted in ``b``).  Sections that only ``b`` has give one ``missing`` entry at
-    the place where they would stand.
+    """Where tree ``a`` differs from ``b``, by place: an array of structs ``section, paragraph, kind, first_leaf, last_leaf``; empty for equal roots.
+
+    Sections and paragraphs count from 0 through the whole text; the paragraphs are
+    those between the common start and end of both trees.  ``kind`` is ``moved`` where
+    ``b`` holds the same paragraph in that span but at another place, ``edited`` where
+    it doesn't, and then the leaves are those between the common start and end of the
+    paragraph and its counterpart in ``b`` (all of them where it has none; ``last_leaf``
+    is ``first_leaf - 1`` where something was only inserted in ``b``).  Paragraphs that
+    only ``b`` has give one ``missing`` entry at the place where they would stand.
+    Texts that differ in the grouping of equal paragraphs alone can't be: a paragraph
+    holds its line feeds.
     """
 
     def within(s: Column) -> Column:
         d, own, other = s["d"], s["a"], s["b"]
-        theirs = F.slice(other["sections"], d["first"] + 1, d["other"])
+        theirs = F.slice(other["paragraphs"], d["first"] + 1, d["other"])
+        section = lambda i: F.size(F.filter(own["ends"], lambda e: e < i)).alias("section")
 
         def one(i: Column) -> Column:
-            moved = F.array_contains(theirs, F.get(own["sections"], i))
+            moved = F.array_contains(theirs, F.get(own["paragraphs"], i))
             leaves = F.get(own["leaves"], i)
             there = i - d["first"] < d["other"]
             span = _differing(leaves, F.coalesce(F.when(there, F.get(other["leaves"], i)), F.array().cast("array<string>")))
-            edited = _let(span, lambda x: F.struct(i.alias("section"), F.lit("edited").alias("kind"), x["first"].alias("first_leaf"), (x["stop"] - 1).alias("last_leaf")))
-            whole = F.struct(i.alias("section"), F.lit("moved").alias("kind"), F.lit(0).alias("first_leaf"), (F.size(leaves) - 1).alias("last_leaf"))
+            edited = _let(span, lambda x: F.struct(section(i), i.alias("paragraph"), F.lit("edited").alias("kind"), x["first"].alias("first_leaf"), (x["stop"] - 1).alias("last_leaf")))
+            whole = F.struct(section(i), i.alias("paragraph"), F.lit("moved").alias("kind"), F.lit(0).alias("first_leaf"), (F.size(leaves) - 1).alias("last_leaf"))
             return F.when(moved, whole).otherwise(edited)
 
         spans = F.filter(F.sequence(d["first"], F.greatest(d["stop"], d["first"])), lambda i: i < d["stop"])
-        missing = F.struct(d["first"].alias("section"), F.lit("missing").alias("kind"), F.lit(0).alias("first_leaf"), F.lit(-1).alias("last_leaf"))
+        missing = F.struct(section(d["first"]), d["first"].alias("paragraph"), F.lit("missing").alias("kind"), F.lit(0).alias("first_leaf"), F.lit(-1).alias("last_leaf"))
         # a stands for the spans of both, so a plain insertion has no span here
         return F.when((d["stop"] == d["first"]) & (d["other"] > 0), F.array(missing)).otherwise(F.transform(spans, one))
 
-    both = F.struct(a.alias("a"), b.alias("b"), _differing(a["sections"], b["sections"]).alias("d"))
+    both = F.struct(a.alias("a"), b.alias("b"), _differing(a["paragraphs"], b["paragraphs"]).alias("d"))
     return _let(both, within)
 
 

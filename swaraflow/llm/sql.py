@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from . import host_rules, merkle, mixing
 
-_PIECES = "regexp_extract_all({t}, '" + merkle.PIECE + "')"
-_ENDS = "list_filter(range(1, len({p}) + 1), lambda i: contains({p}[i], chr(10) || chr(10)) or i = len({p}))"
-_LEAVES = "list_transform(range(1, len({e}) + 1), lambda k: list_transform({p}[(case when k = 1 then 1 else {e}[k - 1] + 1 end):{e}[k]], lambda x: md5(x)))"
-_SECTIONS = "list_transform({l}, lambda x: md5('section' || array_to_string(x, '')))"
+# each paragraph as the digests of its pieces; p: those of a text
+_PARAGRAPHS = "list_transform(regexp_extract_all({t}, '" + merkle.PARAGRAPH + "'), lambda x: {'l': list_transform(regexp_extract_all(hex(x), '" + merkle.PIECE + "'), lambda y: md5(y)), 'last': suffix(x, chr(10) || chr(10))})"
+_ENDS = "list_filter(range(1, len({p}) + 1), lambda i: {p}[i].last or i = len({p}))"
+_DIGESTS = "list_transform({p}, lambda x: md5('paragraph' || coalesce(array_to_string(x.l, ''), '')))"
+_SECTIONS = "list_transform(range(1, len({e}) + 1), lambda k: md5('section' || array_to_string({d}[(case when k = 1 then 1 else {e}[k - 1] + 1 end):{e}[k]], '')))"
+_WRITTEN = "list_transform(range(1, len({p}) + 1), lambda i: '/' || substr({d}[i], 1, 8) || ':' || array_to_string(list_transform({p}[i].l, lambda y: substr(y, 1, 8)), ''))"
 _PRINT = (
     "md5('root' || coalesce(array_to_string({s}, ''), '')) || coalesce(array_to_string(list_transform(range(1, len({s}) + 1), "
-    "lambda k: ' ' || substr({s}[k], 1, 8) || ':' || array_to_string(list_transform({l}[k], lambda x: substr(x, 1, 8)), '')), ''), '')"
+    "lambda k: ' ' || substr({s}[k], 1, 8) || array_to_string({w}[(case when k = 1 then 1 else {e}[k - 1] + 1 end):{e}[k]], '')), ''), '')"
 )
+_LEAVES = "list_distinct(flatten(list_transform({p}, lambda x: list_transform(x.l, lambda y: substr(y, 1, 8)))))"
 _NEAR = "case when len({a}) + len({b}) = 0 then 1.0::double else 2.0::double * len(list_intersect({a}, {b})) / (len({a}) + len({b})) end"
 
 
@@ -25,11 +28,11 @@ FINGERPRINTS = f"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
 pairs as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as after from texts window w as (order by doc_id nulls first, md5(text))),
 edits as (select *, substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2) as edited from pairs),
-cut as (select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_fill(_PIECES, t="text")} as p1, {_fill(_PIECES, t="edited")} as p2, {_fill(_PIECES, t="after")} as p3 from edits),
-ends as (select *, {_fill(_ENDS, p="p1")} as e1, {_fill(_ENDS, p="p2")} as e2, {_fill(_ENDS, p="p3")} as e3 from cut),
-leaves as (select doc_id, n_chars, edited_sha256, {_fill(_LEAVES, p="p1", e="e1")} as l1, {_fill(_LEAVES, p="p2", e="e2")} as l2, {_fill(_LEAVES, p="p3", e="e3")} as l3 from ends),
-trees as (select *, {_fill(_SECTIONS, l="l1")} as s1, {_fill(_SECTIONS, l="l2")} as s2, list_distinct(flatten(l1)) as a, list_distinct(flatten(l2)) as b, list_distinct(flatten(l3)) as c from leaves)
-select doc_id, n_chars, edited_sha256, {_fill(_PRINT, s="s1", l="l1")} as fingerprint, {_fill(_PRINT, s="s2", l="l2")} as edited_fingerprint,
+cut as (select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_fill(_PARAGRAPHS, t="text")} as p1, {_fill(_PARAGRAPHS, t="edited")} as p2, {_fill(_PARAGRAPHS, t="after")} as p3 from edits),
+digests as (select *, {_fill(_ENDS, p="p1")} as e1, {_fill(_DIGESTS, p="p1")} as d1, {_fill(_ENDS, p="p2")} as e2, {_fill(_DIGESTS, p="p2")} as d2 from cut),
+trees as (select *, {_fill(_SECTIONS, e="e1", d="d1")} as s1, {_fill(_WRITTEN, p="p1", d="d1")} as w1, {_fill(_SECTIONS, e="e2", d="d2")} as s2, {_fill(_WRITTEN, p="p2", d="d2")} as w2,
+  {_fill(_LEAVES, p="p1")} as a, {_fill(_LEAVES, p="p2")} as b, {_fill(_LEAVES, p="p3")} as c from digests)
+select doc_id, n_chars, edited_sha256, {_fill(_PRINT, s="s1", w="w1", e="e1")} as fingerprint, {_fill(_PRINT, s="s2", w="w2", e="e2")} as edited_fingerprint,
   {_fill(_NEAR, a="a", b="b")} as near_edited, {_fill(_NEAR, a="a", b="c")} as near_next
 from trees"""
 

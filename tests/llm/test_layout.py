@@ -193,31 +193,42 @@ def test_mix_of_a_hot_key(spark):
 # -- op10: Merkle fingerprints -----------------------------------------------------------------------
 
 
+def brute_pieces(data):
+    """By hand, byte by byte."""
+    pieces, start = [], 0
+    while start < len(data):
+        for end in range(start + 16, min(start + 96, len(data)) + 1):
+            if any([x >> plane & 1 for x in data[end - 6 : end]] == [1, 0, 1, 1, 0, 0] for plane in range(4)):
+                break
+        else:
+            end = min(start + 96, len(data))
+        pieces.append(data[start:end])
+        start = end
+    return pieces
+
+
 def brute_tree(text):
-    """By hand, character by character: pieces, sections of pieces, digests."""
-    cuts, pieces, run = set("\n.!?kvzjxq"), [], ""
-    for i, c in enumerate(text):
-        run += c
-        body = sum(x not in cuts for x in run)
-        ahead = text[i + 1] if i + 1 < len(text) else None
-        if ahead is None or (c in cuts and ahead not in cuts) or (body == 96 and c not in cuts and ahead not in cuts):
-            pieces.append(run)
-            run = ""
-    assert "".join(pieces) == text
+    """Sections of paragraphs of leaves, as digests."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
     sections, section = [], []
-    for k, p in enumerate(pieces):
-        section.append(hashlib.md5(p.encode()).hexdigest())
-        if "\n\n" in p or k == len(pieces) - 1:
+    paragraphs = re.findall(r"[^\n]*\n+|[^\n]+", text)
+    for k, p in enumerate(paragraphs):
+        section.append([digest(x.hex().upper()) for x in brute_pieces(p.encode())])
+        if p.endswith("\n\n") or k == len(paragraphs) - 1:
             sections.append(section)
             section = []
     return sections
 
 
 def brute_fingerprint(text):
-    leaves = brute_tree(text)
-    sections = [hashlib.md5(("section" + "".join(s)).encode()).hexdigest() for s in leaves]
-    root = hashlib.md5(("root" + "".join(sections)).encode()).hexdigest()
-    return root + "".join(f" {d[:8]}:{''.join(x[:8] for x in s)}" for d, s in zip(sections, leaves, strict=True)), {x for s in leaves for x in s}
+    digest = lambda kind, parts: hashlib.md5((kind + "".join(parts)).encode()).hexdigest()
+    tree = brute_tree(text)
+    written, tops = "", []
+    for section in tree:
+        digests = [digest("paragraph", p) for p in section]
+        tops.append(digest("section", digests))
+        written += f" {tops[-1][:8]}" + "".join(f"/{d[:8]}:{''.join(x[:8] for x in p)}" for d, p in zip(digests, section, strict=True))
+    return digest("root", tops) + written, {x[:8] for s in tree for p in s for x in p}
 
 
 def alike(a, b):
@@ -245,24 +256,41 @@ def test_fingerprints_tell_texts_apart(spark):
     assert len({r["fingerprint"][:32] for r in got}) == len(texts)
 
 
-def test_an_insertion_changes_few_leaves(spark):
+SCRIPTS = {
+    "latin": "abcdefghilmnoprstu kv", "one_case": "ab", "digits": "0123456789abcdef", "bits": "01", "bases": "ACGT", "devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह ािीुूेैोौ्", "cjk": "".join(chr(c) for c in range(0x4E00, 0x5E00, 7)),
+    "cyrillic": "абвгдежзийклмнопрстуфхцчшщ ", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي ", "emoji": "😀😁😂🤣😃😄😅😆",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_an_insertion_changes_few_leaves_in_any_script(spark, script):
     rng = random.Random(5)
-    line = "".join(rng.choice("abcdefghilmnoprstu kv") for _ in range(6000))  # no sentence, no line break
-    a, b = (set(brute_fingerprint(t)[1]) for t in (line, line[:50] + "INSERTED" + line[50:]))
-    assert len(a & b) >= len(a) - 3 and len(a) > 100
+    line = "".join(rng.choice(SCRIPTS[script]) for _ in range(20_000))  # no sentence, no line break
+    for place in (0, 50, 11_111):
+        changed = line[:place] + "X" + line[place:]
+        a, b = (brute_fingerprint(t)[1] for t in (line, changed))
+        assert alike(a, b) > 0.95 and len(a) > 400
+    rows = spark.createDataFrame([(line, changed)], "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    row = rows.select(merkle.edited_branches(F.col("a"), F.col("b")).alias("x"), merkle.likeness(merkle.leaf_set(F.col("a")), merkle.leaf_set(F.col("b"))).alias("l"), F.size(F.col("a.leaves")[0]).alias("n")).first()
+    (branch,) = row["x"]
+    assert row["l"] == pytest.approx(alike(a, b)) and (branch["section"], branch["paragraph"], branch["kind"]) == (0, 0, "edited")
+    at = len(line[:11_111].encode()) / len(line.encode()) * row["n"]  # the leaves around the place, about
+    assert branch["first_leaf"] - 60 < at < branch["last_leaf"] + 60 and branch["last_leaf"] - branch["first_leaf"] < 12
+
+
+LONG = "The first of all sentences stands here. " * 3
 
 
 @pytest.mark.parametrize("text_a, text_b, want", [
-    ("one. two.\n\nthree. four.", "one. two.\n\nthree. five.", [(1, "edited", 1, 1)]),
     ("A.\n\nB.\n\nC.", "A.\n\nB.\n\nC.", []),
-    ("A.\n\nB.\n\nC.\n\n", "B.\n\nA.\n\nC.\n\n", [(0, "moved", 0, 0), (1, "moved", 0, 0)]),
-    ("a\n\nb", "a\n\n\nb", [(0, "edited", 0, 0)]),
-    ("A.\n\nC.", "A.\n\nB.\n\nC.", [(1, "missing", 0, -1)]),
-    ("A.\n\nB.\n\nC.", "A.\n\nC.", [(1, "edited", 0, 0)]),
-    ("X.\n\nX.\n\n", "X.\n\n", [(1, "edited", 0, 0)]),
-    ("one. two. three.", "one. three.", [(0, "edited", 1, 1)]),
-    ("one. three.", "one. two. three.", [(0, "edited", 1, 0)]),
-    ("", "a", [(0, "missing", 0, -1)]),
+    ("A.\n\nB.\n\nC.\n\n", "B.\n\nA.\n\nC.\n\n", [(0, 0, "moved", 0, 0), (1, 1, "moved", 0, 0)]),
+    ("a\n\nb", "a\n\n\nb", [(0, 0, "edited", 0, 0)]),
+    ("A.\n\nC.", "A.\n\nB.\n\nC.", [(1, 1, "missing", 0, -1)]),
+    ("A.\n\nB.\n\nC.", "A.\n\nC.", [(1, 1, "edited", 0, 0)]),
+    ("X.\n\nX.\n\n", "X.\n\n", [(1, 1, "edited", 0, 0)]),
+    ("a\nb\n\nc\nd", "a\nb\n\nx\nd", [(1, 2, "edited", 0, 0)]),
+    ("a\n" + LONG + "end\nb", "a\n" + LONG + "END\nb", [(0, 1, "edited", len(brute_pieces((LONG + "end\n").encode())) - 1, len(brute_pieces((LONG + "end\n").encode())) - 1)]),
+    ("", "a", [(0, 0, "missing", 0, -1)]),
 ])
 def test_edits_are_located(spark, text_a, text_b, want):
     df = spark.createDataFrame([(text_a, text_b)], "a string, b string")
@@ -319,4 +347,6 @@ def test_fingerprints_of_odd_tables(spark, docs, empty):
 
 def test_a_piece_pattern_covers_every_text():
     for text in ("", "\n", "abc", "q.q", "k" * 5 + "a" * 200 + "\n\n\n" + "é日😀"):
-        assert "".join(re.findall(merkle.PIECE, text)) == text
+        pieces = [p for x in re.findall(merkle.PARAGRAPH, text) for p in re.findall(merkle.PIECE, x.encode().hex().upper())]
+        assert bytes.fromhex("".join(pieces)).decode() == text
+        assert pieces == [p.hex().upper() for x in re.findall(merkle.PARAGRAPH, text) for p in brute_pieces(x.encode())]
