@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .names import unlike
 from .store import materialize
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -72,7 +73,7 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, 512) for b in batches for i in range(0, max(1, len(b)), 512)):
-        at = batch.schema.get_field_index("__text")
+        at = batch.num_columns - 1  # the text comes last
         columns = list(zip(*(measure(t.as_py()) for t in batch.column(at)), strict=True)) or [()] * len(MEASURES)
         kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
         names = [n for i, n in enumerate(batch.schema.names) if i != at]
@@ -83,7 +84,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures in place of the text."""
     rest = docs.drop(text, *MEASURES, *ADDED)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), *(f"{m} bigint" for m in MEASURES)])
-    return docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text).cast("binary").alias("__text")).mapInArrow(_measured, schema)
+    (sent,) = unlike(rest, "text")
+    return docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text).cast("binary").alias(sent)).mapInArrow(_measured, schema)
 
 
 def fit_prior(docs: int, failed: int, hosts: int, docs_squared: float, failed_squared: float) -> tuple[float, float]:
@@ -139,12 +141,13 @@ def judge(docs: DataFrame, host: str = "host", text: str = "text", rules: Mappin
     hard, soft = fails({r: x.hard for r, x in rules.items()}), fails({r: x.soft for r, x in rules.items()})
     any_failed = F.array_contains(F.array(*base.values(), *hard), True)
     tested = rows.select(host, any_failed.alias("any_failed"), *(s.alias(f"soft_{r}") for r, s in zip(rules, soft, strict=True)))
-    verdicts = host_verdicts(tested, host, rules).withColumnRenamed(host, "__host")
+    (of,) = unlike(rows, "host")
+    verdicts = host_verdicts(tested, host, rules).withColumnRenamed(host, of)
     limited = fails({r: F.col(f"limit_{r}") for r in rules})
     failed = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in [*base.items(), *zip(rules, limited, strict=True)])), lambda x: x.isNotNull())
     return (
-        rows.join(verdicts, F.col(host).eqNullSafe(F.col("__host")), "left")
-        .drop("__host")
+        rows.join(verdicts, F.col(host).eqNullSafe(F.col(of)), "left")
+        .drop(of)
         .withColumn("failed_rules", failed)
         .withColumn("base_failed", F.arrays_overlap("failed_rules", F.array(*map(F.lit, BASE))))
         .withColumn("kept", (F.size("failed_rules") == 0) & ~F.col("host_dropped"))

@@ -229,8 +229,9 @@ def disjoint(found: set[tuple[str, float, int, int]]) -> list[tuple[str, float,
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id, license, containment, first_word, n_words``."""
+    """``id, license, containment, first_word, n_words``; an id column called like one of the others comes as ``<its name>_id``."""
     templates = TEMPLATES if templates is None else templates
+    back = f"{id}_id" if id.casefold() in ("license", "containment", "first_word", "n_words") else id
     kind = docs.schema[id].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +242,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (batch.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64())
             values = [[x.as_py() for x in columns[0]], *columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[id, "license", "containment", "first_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[back, "license", "containment", "first_word", "n_words"])
 
-    return docs.select(F.col(id), F.col(text).cast("binary")).mapInArrow(scanned, f"`{id}` {kind}, license string, containment double, first_word bigint, n_words bigint")
+    return docs.select(F.col(id), F.col(text).cast("binary")).mapInArrow(scanned, f"`{back}` {kind}, license string, containment double, first_word bigint, n_words bigint")

@@ -32,6 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import unlike
 from .store import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -125,9 +126,10 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     id and text take the same number of words, the mean of theirs.
     """
     key = F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
-    takes = mix(docs.select(key.alias("__id"), text, source), "__id", text, source, **how).groupBy("__id").agg(F.first("size").alias("__size"), F.floor(F.avg("taken")).cast("long").alias("__taken"))
-    takes = materialize(takes.filter("__taken > 0"), "mix-takes")
-    rows = docs.withColumn("__id", key).join(takes, "__id").withColumn("__part", F.col("__taken") % F.col("__size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORDS), F.lit(0)), 1, F.col("__part").cast("int")), "")
-    texts = F.concat(F.array_repeat(F.col(text), F.expr("cast(__taken div __size as int)")), F.when(F.col("__part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    return rows.withColumn("__texts", texts).withColumn(text, F.explode("__texts")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, size, taken, part, parts = unlike(docs, "id", "size", "taken", "part", "texts")
+    takes = mix(docs.select(key.alias(own), text, source), own, text, source, **how).groupBy(own).agg(F.first("size").alias(size), F.floor(F.avg("taken")).cast("long").alias(taken))
+    takes = materialize(takes.filter(F.col(taken) > 0), "mix-takes")
+    rows = docs.withColumn(own, key).join(takes, own).withColumn(part, F.col(taken) % F.col(size))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORDS), F.lit(0)), 1, F.col(part).cast("int")), "")
+    texts = F.concat(F.array_repeat(F.col(text), F.expr(f"cast(`{taken}` div `{size}` as int)")), F.when(F.col(part) > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn(parts, texts).withColumn(text, F.explode(parts)).select(*(F.col(f"`{c}`") for c in docs.columns))

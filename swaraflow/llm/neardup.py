@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .memory import trimmed
+from .names import unlike
 from .store import materialize, scratch
 from .words import LOWER
 
@@ -96,7 +97,6 @@ def sketch_limit(threshold: float) -> int:
 
 
 BANDS, ROWS = banding(0.85)
-KEY = "__near_key"
 
 
 class _WordHashes(dict):
@@ -328,11 +328,12 @@ def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "te
     key = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("sum"))
     judged = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", threshold)
     judged = materialize(judged.groupBy("key", "kept").agg(F.count("*").alias("rows")), "near-duplicates")
-    of = lambda rows: rows.select(F.col("key").alias(KEY))
-    keyed = docs.drop(KEY).withColumn(KEY, key)
-    left = keyed.join(of(judged.filter("not kept")), KEY, "left_anti")
+    (own,) = unlike(docs, "near_key")
+    of = lambda rows: rows.select(F.col("key").alias(own))
+    keyed = docs.withColumn(own, key)
+    left = keyed.join(of(judged.filter("not kept")), own, "left_anti")
     often = of(judged.filter("kept and rows > 1"))
     if not often.isEmpty():
-        repeated = left.join(often, KEY, "left_semi").dropDuplicates([KEY])
-        left = left.join(often, KEY, "left_anti").unionByName(repeated)
+        repeated = left.join(often, own, "left_semi").dropDuplicates([own])
+        left = left.join(often, own, "left_anti").unionByName(repeated)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import trimmed
+from .names import giving_way
 
 #: Rows of a slice: a worker holds the texts of one slice as Python objects.
 SLICE = 256
 
 
 def with_score(docs: DataFrame, score: Callable[[list[bytes | None]], np.ndarray], text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
-    """``docs``, all its columns kept, with a double column ``name``; an older one of that name gives way.
+    """``docs``, all its columns kept, with a double column ``name``; an older one of that name, in whatever case, gives way.
 
     The text crosses to Python once, as bytes, and back only if it is kept.
     """
-    columns = [c for c in docs.columns if c != name or c == text]
+    stay = giving_way(docs.columns, [name])
+    text = next((c for c in docs.columns if c == text), None) or next(c for c in docs.columns if c.casefold() == text.casefold())
+    columns = [c for c in docs.columns if c in stay or c == text]
     at = columns.index(text)
-    back = [c for c in columns if c != name and (keep_text or c != text)]
+    back = [c for c in stay if keep_text or c != text]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):

@@ -110,7 +110,8 @@ def curve_place(coordinates: Sequence[Column], bits: int = BITS) -> Column:
     cell = F.lit(0)
     for c in coordinates:
         cell = cell * (1 << bits) + c
-    return F.element_at(F.lit(table), cell + 1)
+    # one literal that Spark parses once: as an array of literals it would take the driver a call for each cell
+    return F.element_at(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>"), cell + 1)
 
 
 def hilbert_shards(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", categories: Sequence[str] = ("lang", "source"), bits: int = BITS, chunk: int = PIECE_ROWS) -> DataFrame:

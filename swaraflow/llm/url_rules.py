@@ -39,6 +39,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import giving_way, unlike
 from .store import materialize
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_TOKENS = 0.005, 0.9, 2.0, 2
@@ -145,7 +146,8 @@ def matches(tokens: Column, rules: Sequence[tuple[str, ...]]) -> Column:
     for rule in rules:
         index.setdefault(rule[0], []).append(rule[1:])
     filed = F.create_map(*(x for t, rest in sorted(index.items()) for x in (F.lit(t), F.array(*(F.array(*(F.lit(w) for w in r)).cast("array<string>") for r in rest)))))
-    return F.exists(tokens, lambda t: F.coalesce(F.exists(F.element_at(filed, t), lambda rest: F.size(F.array_except(rest, tokens)) == 0), F.lit(False)))
+    known = F.filter(tokens, lambda t: t.isin(sorted(index)))  # by hash; the map is searched for few tokens only
+    return F.exists(known, lambda t: F.coalesce(F.exists(F.element_at(filed, t), lambda rest: F.size(F.array_except(rest, tokens)) == 0), F.lit(False)))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, **limits) -> DataFrame:
@@ -155,16 +157,16 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     that an explicit rule names, with its verdict.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    rule, verdict = explicit_rule(F.col("__host"), F.col("__path"), rules)
-    added = {"__host": host, "__path": path}
-    judged = pages.withColumns(added).withColumns({"__rule": rule, "__explicit": verdict, "__strata": strata(F.col("__host"), F.col("__path"))})
-    facts = materialize(judged.select(F.col("__strata").alias("strata"), F.col("__explicit").alias("label")), "url-strata")
+    h, p, r, e, s, m = unlike(pages, "host", "path", "rule", "explicit", "strata", "mined")
+    rule, verdict = explicit_rule(F.col(h), F.col(p), rules)
+    judged = pages.withColumns({h: host, p: path}).withColumns({r: rule, e: verdict, s: strata(F.col(h), F.col(p))})
+    facts = materialize(judged.select(F.col(s).alias("strata"), F.col(e).alias("label")), "url-strata")
     if labels is None:
         learned = facts.filter(F.col("label").isNotNull())
     else:
         learned = labels.select(strata(host_of(F.col("url")), path_of(F.col("url"))).alias("strata"), "label")
-    mined = matches(F.flatten("__strata"), mine(learned, facts, **limits))
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ADDED]
-    judged = judged.withColumn("__mined", mined)
-    final = F.coalesce("__explicit", F.when(F.col("__mined"), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), final.alias("verdict"), F.col("__mined").alias("mined"))
+    mined = matches(F.flatten(s), mine(learned, facts, **limits))
+    kept = [F.col(f"`{c}`") for c in giving_way(pages.columns, ADDED)]
+    judged = judged.withColumn(m, mined)
+    final = F.coalesce(e, F.when(F.col(m), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), final.alias("verdict"), F.col(m).alias("mined"))
