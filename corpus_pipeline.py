@@ -9,8 +9,7 @@ have no words to mix, so the mix leaves them out; rows with null ids are judged
 id and text like all others; of rows that share id and text the near-dedup stage
 keeps one; ties of scores are decided by the limits alone, ties of ids by text;
 columns besides those of ``documents`` pass through all stages but the last,
-whatever their names (one called as a stage's own internal column, ``__...``,
-excepted); an empty table gives an empty table.
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swaraflow.llm import bpe, mixing, neardup, quality, toxicity
+from swaraflow.llm.names import unlike
 from swaraflow.llm.queries import GOOD_FROM, TOXIC_FROM, VOCABULARY, table
 from swaraflow.llm.store import materialize, scratch
 
@@ -31,12 +31,14 @@ NEAR_FROM = 0.8
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, name="__toxic").filter(F.col("__toxic") < TOXIC_FROM).drop("__toxic")
+    (score,) = unlike(docs, "toxic")
+    return toxicity.with_toxicity(docs, model, name=score).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_quality(docs, model, name="__good").filter(F.col("__good") >= GOOD_FROM).drop("__good")
+    (score,) = unlike(docs, "good")
+    return quality.with_quality(docs, model, name=score).filter(F.col(score) >= GOOD_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
