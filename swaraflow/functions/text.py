@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -42,14 +43,51 @@ def _cleaned(texts: pd.Series) -> pd.Series:
 PLAIN = "^[\\n -~\u00a1-\u00ac\u00ae-\u02ff]*$"
 
 
+def _ranges(points: Iterable[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
+
+
+def _class(points: Iterable[int], block: int = 0x800) -> str:
+    """A character class for the JVM; blocks with ranges of their own inside, so that few ranges are tried for each character."""
+    blocks: dict[int, list[int]] = {}
+    for p in points:
+        blocks.setdefault(p // block, []).append(p)
+    span = lambda a, b: f"\\x{{{a:X}}}-\\x{{{b:X}}}"
+    return "".join(f"[{span(k * block, (k + 1) * block - 1)}&&[{''.join(span(*r) for r in _ranges(own))}]]" for k, own in sorted(blocks.items()))
+
+
+@cache
+def unsettled() -> str:
+    """A pattern that texts in need of Python hold: everything but settled texts.
+
+    A settled text is in NFC by the quick check, holds nothing of a category C* but
+    line feeds, and no white space but spaces and line feeds.  The tables are those of
+    this Python's Unicode version: characters that composition leaves alone and that
+    can't be the second of a composed pair, without a combining class, or with one and
+    not next to another such.
+    """
+    points = [p for p in range(0x30000) if not 0xD800 <= p < 0xE000]
+    pairs = (unicodedata.decomposition(chr(p)).split() for p in points)
+    seconds = {int(d[1], 16) for d in pairs if len(d) == 2 and d[0][0] != "<"} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # and Hangul's vowels and finals
+    quiet = [p for p in points if chr(p) in " \n" or not (unicodedata.category(chr(p))[0] == "C" or chr(p).isspace() or p in seconds or unicodedata.normalize("NFC", chr(p)) != chr(p))]
+    marks = [p for p in quiet if unicodedata.combining(chr(p))]
+    return f"[^{_class(quiet)}]|[{_class(marks)}]{{2}}"
+
+
 def cleaned(text: Column | str) -> Column:
     """:func:`clean_text` of a column.
 
-    Texts of Latin letters below U+0300 take a path in the JVM.  Others go to
-    Python, as the JVM's Unicode tables differ and Spark has no NFC.
+    Settled texts (:func:`unsettled`) of any script take a path in the JVM; Latin
+    letters below U+0300 are looked for first.  Others go to Python, as Spark has no NFC.
     """
     text = F.col(text) if isinstance(text, str) else text
-    plain = text.rlike(PLAIN)
+    plain = text.rlike(PLAIN) | ~text.rlike(unsettled())
     single = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
     here = F.btrim(single, F.lit(" \n"))
     return F.when(plain, here).otherwise(_cleaned(F.when(~plain, text)))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, signal
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import clips, gates, metrics, mixture, monitor, panel, parameters, permutation, quota, voices
+from ..operators import batches, clips, gates, metrics, mixture, monitor, panel, parameters, permutation, quota, voices, windows
 from ..sources import manifests
 from ..sources.shared import shared_dir
 from ..sources.tables import new_place, written
@@ -283,6 +284,23 @@ def mixture_draws_by_hash(spark, folder):
     return mixture.materialized(drawn, pool).select("draw_no", "source", "doc_id")
 
 
+@query(f"""
+with {DRAWS_SQL}, examples as (select draw_no, draw_no // 8 as batch, p.doc_id, p.doc_id % 50 + 1 as n from drawn d join pools p on d.source = p.source and d.idx = p.idx),
+sized as (select *, max(n) over (partition by batch) as width from examples)
+select batch, draw_no, width::int as width, n::int as attended, (n * (doc_id % 1000) + n * (n - 1) // 2 + (width - n) * 128263)::bigint as ids, (width - n + 1)::int as ignored from sized""")
+def collated_batches(spark, folder):
+    """Drawn examples as batches of eight in Arrow shards, read back by their table."""
+    drawn, pool = _drawn(spark, folder)
+    n = (F.col("doc_id") % 50 + 1).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.col("doc_id") % 1000).cast("int") + i)
+    examples = drawn.join(pool, ["source", "idx"]).select("draw_no", ids.alias("input_ids"), F.concat(F.array(F.lit(K.IGNORED)), F.slice(ids, 2, n - 1)).alias("labels"))
+    index = batches.write_batches(batches.collated(examples, 8, 128263), shard_bytes=64 << 10)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return batches.read_batches(index).select(
+        "batch", "draw_no", F.size("input_ids").alias("width"), total("attention_mask").cast("int").alias("attended"), total("input_ids").alias("ids"), F.size(F.filter("labels", lambda x: x == K.IGNORED)).alias("ignored")
+    )
+
+
 @query(f"with {DRAWS_SQL}, p as (select source, count(*) as draws, count(distinct idx) as clips from drawn group by 1) select sum(draws) as draws, sum(clips) as unique_clips, round(13.294, 6) as loss, round(13.294 / 4, 6) as loss_per_step, string_agg(source || '=' || clips, ', ' order by source) as pools from p")
 def run_log(spark, folder):
     drawn, _ = _drawn(spark, folder)
@@ -528,12 +546,15 @@ def tumbling_trajectory(spark, folder):
     return _trajectory(spark, folder).withColumn("similarity", F.round("similarity", 6))
 
 
+def _ramp() -> windows.Model:
+    """Stands for a model: a window's values, filled up with zeros."""
+    return lambda found, rate: [np.pad(w, (0, rate - len(w))) for w in found]
+
+
 def _trajectory(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _values(spark, folder)
-    last = F.greatest(F.lit(0), F.expr("size(x) div 8") - 1)
-    cut = rows.select("user_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("x", i * 8 + 1, 8))).alias("nth", "v")).filter(F.size("v") >= 4)
-    full = F.concat("v", F.array_repeat(F.lit(0.0), 8 - F.size("v")))
-    return cut.select("user_id", "nth", arrays.cosine_similarity(full, F.array(*(F.lit(float(k)) for k in range(1, 9)))).alias("similarity"))
+    rows = _values(spark, folder).select("user_id", F.col("x").cast("array<double>").alias("samples"), F.array(*(F.lit(float(k)) for k in range(1, 9))).alias("reference"))
+    found = windows.similarity_trajectory(rows, _ramp, 8, 1.0, 0.5, batch=64)
+    return found.select("user_id", F.posexplode("similarities").alias("nth", "similarity"))
 
 
 @query(f"""
