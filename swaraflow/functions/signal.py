@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, StructField, StructType
 
 from ..sources.committed import publish
+from .pitch import track
 from .text import slug
 
 FRAME_S, HOP_S = 0.025, 0.010
 FULL_SCALE, ROLLOFF = 0.999, 0.99
 WIDEBAND_HZ, PAUSE_DB = 6000.0, -35.0
+#: Resampling: zero crossings of the filter on each side, its window's shape, and the share of the lower half rate that passes.
+CROSSINGS, KAISER, ROLL_OFF = 64, 14.0, 0.945
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
@@ -48,12 +52,32 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+@cache
+def phases(up: int, down: int) -> np.ndarray:
+    """The filter taps of each of ``up`` phases: a sinc under a Kaiser window, cut off below the lower half rate; a row sums to 1."""
+    cutoff = ROLL_OFF * min(1.0, up / down)
+    reach = int(np.ceil(CROSSINGS / cutoff))
+    at = np.arange(1 - reach, reach + 1)[None, :] - np.arange(up)[:, None] / up
+    taps = cutoff * np.sinc(cutoff * at) * np.i0(KAISER * np.sqrt(np.clip(1 - (at / reach) ** 2, 0, 1))) / np.i0(KAISER)
+    return taps / taps.sum(axis=1, keepdims=True)
+
+
 def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation; another resampler can be passed where this one is taken."""
+    """Band-limited resampling by a polyphase filter, ceil(n * target / rate) samples; another resampler can be passed where this one is taken."""
     if rate == target or not len(samples):
         return samples
-    n = round(len(samples) * target / rate)
-    return np.interp(np.arange(n) * rate / target, np.arange(len(samples)), samples).astype(np.float32)
+    g = np.gcd(rate, target)
+    up, down = int(target // g), int(rate // g)
+    taps = phases(up, down)
+    reach = taps.shape[1] // 2
+    padded = np.pad(np.asarray(samples, np.float64), reach)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)
+    n = -(-len(samples) * up // down)
+    out = np.empty(n, np.float32)
+    for first in range(0, n, 8192):
+        at = np.arange(first, min(first + 8192, n)) * down
+        out[first : first + len(at)] = np.einsum("ij,ij->i", windows[at // up + 1], taps[at % up])
+    return out
 
 
 def _frames(x: np.ndarray, rate: int, seconds: float = FRAME_S, hop: float = HOP_S) -> list[np.ndarray]:
@@ -85,23 +109,11 @@ def energy_pause(samples: np.ndarray, rate: int, pause_db: float = PAUSE_DB) ->
     return float(rms.std()), float(np.mean(level < pause_db))
 
 
-def pitch(samples: np.ndarray, rate: int, low: float = 65.0, high: float = 500.0, voiced: float = 0.3) -> tuple[float | None, float | None]:
-    """Mean and deviation of the pitch over voiced frames by autocorrelation; null without voiced frames.
-
-    A substitute for a probabilistic tracker: close on clean voices, not equal to it.
-    """
-    found = []
-    for f in _frames(np.asarray(samples, np.float64), rate, 0.05, 0.01):
-        f = f - f.mean() if len(f) else f
-        power = np.dot(f, f)
-        if len(f) < max(3, rate / low) or power < 1e-8:
-            continue
-        r = np.fft.irfft(np.abs(np.fft.rfft(f, 2 * len(f))) ** 2)[: len(f)] / power
-        first, last = max(1, int(rate / high)), min(int(rate / low), len(f) - 1)
-        lag = first + int(r[first : last + 1].argmax())
-        if r[lag] >= voiced:
-            found.append(rate / lag)
-    return (float(np.mean(found)), float(np.std(found))) if found else (None, None)
+def pitch(samples: np.ndarray, rate: int) -> tuple[float | None, float | None]:
+    """Mean and deviation of the pitch over voiced frames, by a probabilistic tracker; null without voiced frames."""
+    found = track(samples, rate)
+    found = found[np.isfinite(found)]
+    return (float(found.mean()), float(found.std())) if len(found) else (None, None)
 
 
 def clamped(samples: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, signal
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import batches, clips, gates, metrics, mixture, monitor, panel, parameters, permutation, quota, voices, windows
+from ..operators import batches, clips, gates, metrics, mixture, monitor, panel, parameters, permutation, profiles, quota, voices, windows
 from ..sources import manifests
 from ..sources.shared import shared_dir
 from ..sources.tables import new_place, written
@@ -640,6 +640,19 @@ def clip_pipeline(spark, folder):
     )
 
 
+@query("""
+select lang, count(*) as n, round(avg(n_chars), 6) as mean, quantile_disc(n_chars, 0.1)::double as p10, quantile_disc(n_chars, 0.9)::double as p90, min(n_chars)::double as least, max(n_chars)::double as most,
+  round(avg((n_chars < 200)::int), 6) as flagged from documents where n_chars is not null group by 1""")
+def incremental_profile(spark, folder):
+    """Profiles of sources' shards, one of which comes later, and one twice."""
+    docs = table(spark, folder, "documents").select(F.coalesce("source", F.lit("none")).alias("shard"), "lang", "n_chars")
+    last, path = docs.agg(F.max("shard")).first()[0] or "none", new_place(spark, "profiles")
+    for part in (docs.filter(F.col("shard") != last), docs.filter(F.col("shard") == last), docs.filter(F.col("shard") == last)):
+        profiles.add(part, path, "shard", "lang", "n_chars", F.col("n_chars") < 200)
+    found = profiles.profile(spark, path, "lang")
+    return found.select("lang", "n", F.round("mean", 6).alias("mean"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "least", "most", F.round("flagged", 6).alias("flagged"))
+
+
 @query(f"with {VALUES_SQL} select user_id, round(list_sum(list_transform(x, lambda v: greatest(least((v - 250) / 200, 1.0), -1.0))), 6) as total, len(list_filter(x, lambda v: abs((v - 250) / 200) > 1)) as held from samples")
 def clamped_samples(spark, folder):
     """Samples beyond full scale are held to it."""
