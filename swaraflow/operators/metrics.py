@@ -65,7 +65,7 @@ def bootstrap_ci(rows: DataFrame, by: str, value: str, order: str, seed: int = 0
 
 
 def _poisson_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts of each row in each resample, a function of the row's 64-bit key and the seed alone."""
+    """Poisson(1) counts of each row in each resample, a function of the row's 60-bit key and the seed alone."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03) + (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -98,7 +98,8 @@ def split_bootstrap_ci(rows: DataFrame, by: str, value: str, key: str, resamples
         if sums:
             yield pd.DataFrame({"g": list(sums), "w": [list(s[0]) for s in sums.values()], "wx": [list(s[1]) for s in sums.values()]})
 
-    sent = rows.select(F.col(by).alias("g"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(value).cast("double").alias("x"))
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")  # which SQL engines have, too
+    sent = rows.select(F.col(by).alias("g"), digest.alias("k"), F.col(value).cast("double").alias("x"))
     parts = sent.mapInPandas(partial, f"g {kind}, w array<double>, wx array<double>")
     both = F.inline(F.transform(F.arrays_zip(*names), lambda s, i: F.struct(i.alias("b"), s["w"].alias("w"), s["wx"].alias("wx"))))
     means = parts.select("g", both).groupBy("g", "b").agg((F.sum("wx") / F.greatest(F.sum("w"), F.lit(1.0))).alias("mean"))

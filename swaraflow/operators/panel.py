@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.text import shown
+from ..sources.tables import written
 from .metrics import bootstrap_ci, corpus_wer, mean_pairwise_similarity, or_nan, split_bootstrap_ci, with_edits
 from .routing import LONGFORM
 
@@ -24,8 +25,9 @@ def wer_panel(results: DataFrame, catalogue: DataFrame, seed: int = 0, bounded:
     with n = 0.  The interval is split over tasks; with ``bounded`` buckets it is
     the one of :func:`metrics.bootstrap`, each bucket in one task.
     """
-    edited = with_edits(results)
-    hits = results.groupBy("bucket").agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    # aligned once: what is read again are the counts of each pair, without its texts
+    edited = written(with_edits(results.select("id", "bucket", "reference", "hypothesis", "hit")).drop("reference", "hypothesis"), "edits")
+    hits = edited.groupBy("bucket").agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))
     interval = bootstrap_ci if bounded else split_bootstrap_ci
     intervals = interval(edited, "bucket", "utterance_wer", "id", seed=seed).select("bucket", "low", "high")
     found = corpus_wer(edited, "bucket").join(hits, "bucket").join(intervals, "bucket")
@@ -92,12 +94,20 @@ def longform_records(results: DataFrame) -> DataFrame:
     return out.withColumn("similarity_drop", trajectory_drop(F.col("similarities"))) if "similarities" in results.columns else out
 
 
-def write_json(panel: DataFrame, path: str) -> None:
-    """One JSON document with a record for each bucket, under ``buckets``; nulls are left out."""
+def _buckets(panel: DataFrame) -> DataFrame:
     record = F.struct(*(F.col(c) for c in panel.columns if c != "bucket"))
     found = panel.agg(F.map_from_entries(F.collect_list(F.struct("bucket", record.alias("r")))).alias("m"))
-    whole = found.select(F.map_from_entries(F.transform(F.sort_array(F.map_keys("m")), lambda k: F.struct(k.alias("bucket"), F.element_at("m", k).alias("r")))).alias("buckets"))
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    return found.select(F.map_from_entries(F.transform(F.sort_array(F.map_keys("m")), lambda k: F.struct(k.alias("bucket"), F.element_at("m", k).alias("r")))).alias("buckets"))
+
+
+def write_json(panel: DataFrame, path: str) -> None:
+    """One JSON document with a record for each bucket, under ``buckets``; nulls are left out."""
+    _buckets(panel).coalesce(1).write.mode("overwrite").json(path)
+
+
+def as_json(panel: DataFrame) -> DataFrame:
+    """The same, pretty-printed, as the one row ``document``."""
+    return _buckets(panel).select(F.to_json(F.struct("buckets"), {"pretty": "true"}).alias("document"))
 
 
 #: Heading -> the number of decimals of a column's cells; columns not named are left out of the page.

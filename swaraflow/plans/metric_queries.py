@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -346,10 +347,30 @@ def corpus_wer_by_role(spark, folder):
     return found.select("role", "n", F.round("wer", 9).alias("wer"), F.round("wer_mean_utterance", 9).alias("wer_mean_utterance"), F.expr(WRONG).alias("edits"))
 
 
-@query()
+def _mixed_sql(x: str, shift: int, factor: int) -> str:
+    """A step of the mixing of 64-bit integers."""
+    return f"(xor({x}, {x} >> {shift}) * {factor}::uhugeint) % 18446744073709551616::uhugeint"
+
+
+#: The weights' limits: the distribution of Poisson(1) counts.
+LIMITS = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+@query(f"""
+with {TURNS_SQL}, scored as (select role, case when len(r) = 0 then 0.0 else edits / len(r) end as x, ('0x' || substr(md5(format('{{:010d}}_{{:06d}}', conv_id, turn)), 1, 15))::bigint::uhugeint as k from edited),
+drawn as (select role, x, b, (k + 1234::uhugeint * 15111065706836454659::uhugeint + b::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint as m from scored, (select unnest(range(1, 1001)) as b)),
+first as (select role, x, b, {_mixed_sql("m", 30, 13787848793156543929)} as m from drawn),
+second as (select role, x, b, {_mixed_sql("m", 27, 10723151780598845931)} as m from first),
+unit as (select role, x, b, (xor(m, m >> 31) >> 11)::double / 9007199254740992 as u from second),
+weights as (select role, x, b, {" + ".join(f"(u >= {x!r})::int" for x in LIMITS)} as w from unit),
+means as (select role, b, sum(w * x) / greatest(sum(w), 1) as mean from weights group by 1, 2)
+select role, round(any_value(point), 9) as point, round(quantile_cont(mean, 0.025), 9) as low, round(quantile_cont(mean, 0.975), 9) as high from means join (select role, avg(x) as point from scored group by 1) using (role) group by role""")
 def bootstrap_ci(spark, folder):
+    """The interval of the mean error rate: weights from a digest of each row, which SQL draws, too."""
     rows = metrics.with_edits(turns(spark, folder)).withColumn("id", F.format_string("%010d_%06d", "conv_id", "turn"))
-    return metrics.split_bootstrap_ci(rows, "role", "utterance_wer", "id", seed=1234)
+    rows = written(rows.select("role", "id", "utterance_wer"), "edits")
+    found = metrics.split_bootstrap_ci(rows, "role", "utterance_wer", "id", seed=1234)
+    return found.select("role", *(F.round(c, 9).alias(c) for c in ("point", "low", "high")))
 
 
 @query(f"with {TURNS_SQL}, found as (select role as bucket, count(*) as n, round(sum(edits) / sum(ref_words), 9) as wer, round(avg((turn % 4 = 0)::int), 9) as hit_rate, sum(edits)::bigint as edits, sum(ref_words)::bigint as ref_words from edited group by 1) select bucket, coalesce(n, 0) as n, wer, hit_rate, edits, ref_words, case when n > 0 then true end as interval_holds_mean from (select distinct role as bucket from conversations union all select 'nobody') left join found using (bucket)")

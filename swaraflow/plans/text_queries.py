@@ -74,6 +74,11 @@ def chosen(spark: SparkSession, folder: str) -> DataFrame:
     return routing.chosen(candidates(spark, folder))
 
 
+def routed_once(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """What a query that reads the candidates twice needs of them, cleaned and routed in one pass; texts aren't kept."""
+    return written(candidates(spark, folder).select("doc_id", "clip_key", "bucket", "speaker", "source_hf_path", "num_digits", *more), "routed")
+
+
 @query(f"with {CANDIDATES_SQL}, names as (select bucket from sizes union all select 'marathi_longform') select names.bucket, count(chosen.bucket) as n from names left join chosen using (bucket) group by 1")
 def route_documents_summary(spark, folder):
     return routing.summary(chosen(spark, folder))
@@ -96,14 +101,15 @@ def held_out_keys(spark, folder):
 
 @query(f"with {CANDIDATES_SQL} select source_hf_path, count(*) as n, sum(num_digits) as digits from routed anti join chosen using (clip_key) group by 1")
 def heldout_anti_join(spark, folder):
-    left = lookups.without_held_out(candidates(spark, folder), chosen(spark, folder))
+    rows = routed_once(spark, folder)
+    left = lookups.without_held_out(rows, routing.chosen(rows))
     return left.groupBy("source_hf_path").agg(F.count("*").alias("n"), F.sum("num_digits").alias("digits"))
 
 
 @query(f"with {CANDIDATES_SQL} select doc_id, clip_key, sha256(text) as text_sha256 from routed semi join chosen using (clip_key)")
 def needed_semi_join(spark, folder):
-    rows = lookups.needed_only(candidates(spark, folder), chosen(spark, folder), ["clip_key"])
-    return rows.select("doc_id", "clip_key", F.sha2("text", 256).alias("text_sha256"))
+    rows = routed_once(spark, folder, F.sha2("text", 256).alias("text_sha256"))
+    return lookups.needed_only(rows, routing.chosen(rows), ["clip_key"]).select("doc_id", "clip_key", "text_sha256")
 
 
 @query(f"with {CANDIDATES_SQL} select c.id, d.doc_id is not null as found, d.n_chars from (select id, case when pos % 3 = 0 then null else clip_key end as clip_key from chosen) c left join (select substr(sha256(source || '::' || doc_id), 1, 16) as clip_key, doc_id, n_chars from documents) d on c.clip_key = d.clip_key")
@@ -135,7 +141,7 @@ added as (select clip_key, bucket, format('{RELOCK}_{{:03d}}', pos + (select cou
 select bucket, id, clip_key from (select * from locked union all select * from added anti join locked using (clip_key))""")
 def relock_amend(spark, folder):
     """A table locked without one speaker's items gets at most 30 of them, numbered on; amending again changes nothing."""
-    rows = candidates(spark, folder)
+    rows = routed_once(spark, folder)
     mine = (F.col("speaker") == "Anagha") & (F.col("bucket") == RELOCK)
     locked = routing.chosen(rows.filter(~F.coalesce(mine, F.lit(False)))).select("clip_key", "bucket", "id")
     start = locked.filter(F.col("bucket") == RELOCK).count()
@@ -255,10 +261,12 @@ def speaker_lookup(spark, folder):
 
 @query("""
 with roster(name, language) as (values ('Kavya', 'hi'), ('Amit', 'hi'), ('Anagha', 'mr'), ('Chinmay', 'mr'))
-select name, d.lang, count(*) as n from documents d join roster on roster.language = case lang when 'de' then 'hi' when 'fr' then 'mr' end group by 1, 2""")
+select name, d.lang, count(*) as n from documents d join roster on roster.language = case lang when 'de' then 'hi' when 'en' then 'en' else 'mr' end group by 1, 2
+union all select null, lang, count(*) from documents where lang = 'en' group by 2""")
 def roster_language_join(spark, folder):
-    docs = table(spark, folder, "documents").select("lang", F.when(F.col("lang") == "de", "hi").when(F.col("lang") == "fr", "mr").alias("language"))
-    return docs.join(voices.roster(spark), "language").groupBy("name", "lang").agg(F.count("*").alias("n"))
+    """Each language's documents by the voices of that language; one without a voice stays, with none."""
+    docs = table(spark, folder, "documents").select("lang", F.when(F.col("lang") == "de", "hi").when(F.col("lang") == "en", "en").otherwise("mr").alias("language"))
+    return docs.join(voices.roster(spark), "language", "left").groupBy("name", "lang").agg(F.count("*").alias("n"))
 
 
 @query("select sha256(text) as text_sha256, count(*) as copies, min(doc_id) as first_doc from documents group by text having count(*) > 1")

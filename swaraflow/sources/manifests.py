@@ -60,6 +60,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("bucket").alias("manifest"), F.inline("items"))
 
 
+def buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The names of all buckets of a lock, those without items, too."""
+    return read_summary(spark, path).select(F.explode(F.map_keys("buckets")).alias("bucket"))
+
+
 def write_keys(keys: DataFrame, path: str, key: str = "clip_key") -> None:
     """One JSON document: the sorted array of distinct keys. Held-out keys are as many as the evaluation's items."""
     array = keys.filter(F.col(key).isNotNull()).agg(F.to_json(F.sort_array(F.collect_set(key))).alias("value"))
