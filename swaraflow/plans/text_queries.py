@@ -308,7 +308,7 @@ def manifest_roundtrip(spark, folder):
 
 
 @query(f"""with {CANDIDATES_SQL}, counts as (select bucket, count(*) as n from chosen group by 1)
-select b.bucket, coalesce(n, 0)::bigint as n, (select count(distinct clip_key) from chosen) as keys, 7::bigint as seed, coalesce(n, 0)::bigint as in_file from (select unnest([{", ".join(f"'{n}'" for n in routing.catalogue())}]) as bucket) b left join counts using (bucket)""")
+select b.bucket, coalesce(n, 0)::bigint as n, (select count(distinct clip_key) from chosen) as keys, 7::bigint as seed, coalesce(n, 0)::bigint as in_file from sizes b left join counts using (bucket)""")
 def manifest_lock(spark, folder):
     """Bucket files, key file and summary of a lock, written twice as one commit, and what they say."""
     items = written(chosen(spark, folder).select("bucket", "id", "clip_key", "text"), "items")

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -39,3 +41,10 @@ def test_query(spark, sql, name):
     want = sql.sql(registry.SQL[name])
     at = [want.columns.index(c) for c in columns]
     assert sorted(want.columns) == columns and got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_the_register_needs_no_session():
+    """Queries and their SQL are listed before there is a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0 and told.stdout.endswith("True\n"), told.stderr[-500:]
