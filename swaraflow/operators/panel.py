@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import html
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.text import shown
+from ..sources.committed import put
 from ..sources.tables import written
 from .metrics import bootstrap_ci, corpus_wer, mean_pairwise_similarity, or_nan, split_bootstrap_ci, with_edits
 from .routing import LONGFORM
@@ -155,4 +155,4 @@ def report(wer: DataFrame, longform: DataFrame | None = None, title: str = "Eval
 
 
 def write_report(path: str, *args, **how) -> None:
-    Path(path).write_text(report(*args, **how), encoding="utf-8")
+    put(path, report(*args, **how))

@@ -36,6 +36,16 @@ def _exists(store, path: str) -> bool:
     return store.get_file_info(path).type != FileType.NotFound
 
 
+def put(path: str, text: str) -> None:
+    """Writes one small document from the driver to any store that Arrow opens; it appears whole."""
+    store, at = _store(path)
+    store.create_dir(posixpath.dirname(at), recursive=True)
+    new = f"{at}.new-{uuid.uuid4().hex}"
+    with store.open_output_stream(new, compression=None) as out:
+        out.write(text.encode())
+    store.move(new, at)
+
+
 @dataclass
 class Attempt(WriterCommitMessage):
     folder: str

@@ -14,6 +14,8 @@ from typing import Any
 import numpy as np
 import yaml
 
+from .committed import put
+
 _REFERENCE = re.compile(r"\$\{([^}]+)\}")
 
 
@@ -83,8 +85,6 @@ def restored(state: RandomState) -> None:
 
 def write_snapshot(config: Mapping, folder: str) -> None:
     """The exact configuration of a run, and which generators' states there are."""
-    place = Path(folder)
-    place.mkdir(parents=True, exist_ok=True)
-    (place / "config_snapshot.yaml").write_text(yaml.safe_dump(dict(config), sort_keys=False), encoding="utf-8")
     state = captured()
-    (place / "rng_present.json").write_text(json.dumps({n: getattr(state, n) is not None for n in ("python", "numpy")}), encoding="utf-8")
+    put(f"{folder}/config_snapshot.yaml", yaml.safe_dump(dict(config), sort_keys=False))
+    put(f"{folder}/rng_present.json", json.dumps({n: getattr(state, n) is not None for n in ("python", "numpy")}))
