@@ -230,6 +230,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str
 
     def write(batches: Batches) -> Batches:
         known, part, nth = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        collected = gc.get_threshold()
         gc.set_threshold(200_000)  # tokens of words make many small objects, none of them in cycles
         end, width = np.array([end_id], "<u4").tobytes(), 2 if max(known.size, end_id + 1) <= 1 << 16 else 4
         store, base = pa.fs.FileSystem.from_uri(folder)
@@ -259,6 +260,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id: str
                 yield close()
                 out = writer = None
         finally:
+            gc.set_threshold(*collected)
             if out is not None:
                 out.close()
                 store.delete_file(f"{base}/{name}")
