@@ -52,7 +52,7 @@ ADDED = ("host", "path", "rule", "verdict", "mined")
 RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
