@@ -9,18 +9,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """The columns asked for (``audio.path`` reads that leaf only) and ``_idx``, a row's place in its file.
+    """The columns asked for (``audio.path`` reads that leaf only) and ``_idx``, a row's place in the shard.
 
-    ``max_rows`` is looked at after a row, as in the surveyed system: 0 gives one row.
+    A shard that is a folder counts on from file to file, in order of their names: the
+    rows before each file come from a table with a row for each file, which reads no
+    column.  ``max_rows`` is looked at after a row, as in the surveyed system: 0 gives one row.
     """
     rows = spark.read.parquet(path)
     picked = [F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns] if columns else [F.col(c) for c in rows.columns]
-    out = rows.select(*picked, F.col("_metadata.row_index").alias("_idx"))
+    place = F.col("_metadata.row_index")
+    if len(rows.inputFiles()) > 1:
+        files = rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = rows.select(*picked, place.alias("__at"), F.col("_metadata.file_path").alias("__file")).join(F.broadcast(files.select("__file", before.alias("__before"))), "__file")
+        out = placed.withColumn("_idx", F.col("__before") + F.col("__at")).drop("__file", "__before", "__at")
+    else:
+        out = rows.select(*picked, place.alias("_idx"))
     return out if max_rows is None else out.limit(max(1, max_rows))
 
 

@@ -267,6 +267,17 @@ def test_scan_and_plan(spark, tmp_path):
         scan.read_plan(spark, [])
 
 
+def test_places_in_a_shard_of_several_files(spark, tmp_path):
+    """A folder's rows are numbered through, not anew in each file."""
+    rows = spark.range(0, 50, 1, 5).select("id", F.struct(F.lit(b"x").alias("bytes"), F.col("id").cast("string").alias("path")).alias("audio"))
+    rows.write.parquet(str(tmp_path / "s"))
+    found = scan.scan(spark, str(tmp_path / "s"), ["id", "audio.path"])
+    assert found.columns == ["id", "path", "_idx"] and sorted(map(tuple, found.collect())) == [(i, str(i), i) for i in range(50)]
+    assert "bytes" not in found._jdf.queryExecution().executedPlan().toString()
+    got = scan.read_plan(spark, [scan.Read("a", "mr", str(tmp_path / "s"), ("id",)), scan.Read("b", "mr", str(tmp_path / "s"), ("id",), limit=12)])
+    assert {(r[0], r[1], r[2]) for r in got.groupBy("source_hf_path").agg(F.count("*"), F.count_distinct("_idx")).collect()} == {("a", 50, 50), ("b", 12, 12)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.range(40).select("id", (F.col("id") % 7).alias("v"))
     docs.repartition(4).write.parquet(str(tmp_path / "in"))
