@@ -1,8 +1,11 @@
 import math
 import random
+import re
+import tracemalloc
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +39,29 @@ CASES = [
 ]
 
 
+def test_python_holds_a_slice_not_a_batch():
+    """Texts of 16 MB in one batch: what the functions hold beside it stays far below, and the parts add up to the batch."""
+    batch = pa.array([None, "", *("word’s e-mail  मला\t x9y. " * 600 for _ in range(900))])
+    assert batch.nbytes > 16 << 20
+    tracemalloc.start()
+    spans = words = 0
+    for part in T.latin_spans.func(iter([batch])):
+        spans, words = spans + len(part), words + len(part.flatten())
+    cleaned = sum(len(part) for part in T._cleaned.func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (spans, words, cleaned) == (902, 900 * 600 * 4, 902) and peak < 60 << 20
+
+
+def test_spans_equal_the_pattern():
+    rng = random.Random(1)
+    texts = [None, "", "a’", "’b", *("".join(rng.choice("abZ'’.- 9\n‘é€मे😀@[`{") for _ in range(rng.randrange(30))) for _ in range(5000))]
+    want = [None if t is None else [(m.start(), m.end(), m[0]) for m in re.finditer(T.LATIN_WORD, t)] for t in texts]
+    for start, n in ((0, len(texts)), (3, 1000), (0, 2), (5, 0)):
+        (got,) = T.latin_spans.func(iter([pa.array(texts).slice(start, n)]))
+        assert [x if x is None else [tuple(w.values()) for w in x] for x in got.to_pylist()] == want[start : start + n]
+
+
 def test_normalization(spark):
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, raw string").withColumn("clean", T.cleaned("raw"))
     got = rows.select("i", T.normalization_record(F.col("clean")).alias("n")).orderBy("i").collect()
