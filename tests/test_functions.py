@@ -275,3 +275,33 @@ def test_plain_texts_are_cleaned_in_the_jvm_alike(spark):
 def test_zip_stops_at_the_shorter_side(spark):
     df = spark.sql("select array(1, 2, 3) as a, array('x', 'y') as b")
     assert [tuple(p) for p in df.select(arrays.zipped(F.col("a"), F.col("b")).alias("z")).first()["z"]] == [(1, "x"), (2, "y")]
+
+
+def one_by_one(reference, hypothesis):
+    """The same preferences, cell by cell: cost, insertions, deletions, substitutions."""
+    above = [(j, j, 0, 0) for j in range(len(hypothesis) + 1)]
+    for word in reference:
+        row = [(above[0][0] + 1, above[0][1], above[0][2] + 1, above[0][3])]
+        for j, other in enumerate(hypothesis):
+            slant, up, left = above[j], above[j + 1], row[j]
+            ways = [(slant[0] + (word != other), slant[1], slant[2], slant[3] + (word != other)), (up[0] + 1, up[1], up[2] + 1, up[3]), (left[0] + 1, left[1] + 1, left[2], left[3])]
+            row.append(min(ways, key=lambda w: w[0]))
+        above = row
+    return above[-1][1:]
+
+
+def test_alignments_of_many_pairs_at_once(monkeypatch):
+    """Tables that are filled together say what each says alone; a long reference beside many empty pairs isn't padded out."""
+    rng = random.Random(3)
+    words = lambda most: [rng.choice("abcdef") for _ in range(rng.randrange(most))]
+    pairs = [(words(20), words(20)) for _ in range(400)] + [([], []), (["a"], []), ([], ["a"]), (words(90), words(3))]
+    want = [(*found, len(r) - found[1] - found[2]) for (r, h) in pairs for found in [one_by_one(r, h)]]
+    for cells in (1, 50, 1 << 14):
+        monkeypatch.setattr(arrays, "CELLS", cells)
+        assert [tuple(x) for x in arrays.edit_table(pairs).tolist()] == want
+    tracemalloc.start()
+    got = arrays.edit_table([([], [])] * 5000 + [(["a"] * 50_000, [])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:5000].sum() == 0 and got[-1].tolist() == [0, 50_000, 0, 0] and peak < 50 << 20
+    assert arrays.edit_table([]).shape == (0, 4)
