@@ -2,8 +2,10 @@ import hashlib
 import json
 import math
 import os
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +461,17 @@ def test_an_evaluation_of_nothing_but_itself(spark):
 def test_adapter_settings(spark):
     got = parameters.Adapter().settings(spark, 28)
     assert (got["r"], got["lora_alpha"], len(got["target_modules"])) == (32, 64, 36)
+
+
+def test_weights_are_drawn_for_few_rows_at_once(spark, monkeypatch):
+    """What a worker holds of 10,000 rows x 1,000 resamples is a small part of them."""
+    rows = spark.createDataFrame([("a", "1", 0.5)], "bucket string, id string, x double")
+    taken, plain = [], type(rows).mapInPandas
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, f, *how: taken.append(f) or plain(self, f, *how))
+    metrics.split_bootstrap_ci(rows, "bucket", "x", "id")
+    batch = pd.DataFrame({"g": ["a", "b"] * 5000, "k": np.arange(10_000), "x": np.ones(10_000)})
+    tracemalloc.start()
+    (sums,) = taken[0](iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and sums["w"].map(sum).sum() == pytest.approx(10_000 * 1000, rel=0.01) and [list(a) for a in sums["w"]] == [list(a) for a in sums["wx"]]
