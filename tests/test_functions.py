@@ -305,3 +305,11 @@ def test_alignments_of_many_pairs_at_once(monkeypatch):
     tracemalloc.stop()
     assert got[:5000].sum() == 0 and got[-1].tolist() == [0, 50_000, 0, 0] and peak < 50 << 20
     assert arrays.edit_table([]).shape == (0, 4)
+
+
+def test_loud_waves_fit_pcm(spark):
+    loud, soft = [0.1, -1.4, 0.7, 1.0], [0.1, -0.998]
+    assert one(spark, signal.fitted(F.col("x")), x=soft) == soft
+    got = np.array(one(spark, signal.fitted(F.col("x")), x=loud))
+    assert got * 1.4 / 0.99 == pytest.approx(np.array(loud)) and signal.quality(signal.decode(signal.encode(got, 8000))[0], 8000)[2] == 0.0
+    assert one(spark, F.coalesce(F.size(signal.fitted(F.filter("x", lambda v: v > 9))), F.lit(-1)), x=soft) == 0

@@ -2,10 +2,12 @@
 
 import math
 import os
+import random
 import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -43,6 +45,25 @@ def test_query(spark, sql, name):
     assert sorted(want.columns) == columns and got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_loud_clips_equal_their_sql(spark, tmp_path):
+    """Events above the scale of the clips' WAV cells, which would be cut there."""
+    rng = random.Random(5)
+    values = [[rng.uniform(1, 400) for _ in range(60 + u)] for u in range(12)]
+    for own in values[::2]:
+        own[3], own[17], own[40] = 499.9, 560.2, 1200.0
+    rows = [(1000 * u + i, 1_000_000 * i, u, "click", v) for u, own in enumerate(values) for i, v in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_micros("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(u, f"text {u}") for u in range(12)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    for t in ("events", "documents"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES["clip_pipeline"](spark, str(tmp_path))
+    want = c.sql(registry.SQL["clip_pipeline"])
+    at = [want.columns.index(n) for n in df.columns]
+    got = sorted(tuple(map(plain, r)) for r in df.collect())
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall()) and sum("True" in r for r in got) == 12
+
+
 def test_the_register_needs_no_session():
     """Queries and their SQL are listed before there is a session."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
