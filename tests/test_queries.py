@@ -64,6 +64,24 @@ def test_loud_clips_equal_their_sql(spark, tmp_path):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall()) and sum("True" in r for r in got) == 12
 
 
+def test_a_stream_is_read_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A table of many parts reaches the stream in as many files, unshuffled; a small one in four."""
+    for parts, want in ((9, 9), (1, 4)):
+        place = str(tmp_path / f"t{parts}")
+        spark.range(0, 900, 1, parts).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("en").alias("lang"), (F.col("id") + 1).alias("n_chars")).write.parquet(f"{place}/documents.parquet")
+        seen = []
+        plain_ingest = metric_queries.ingest.ingest
+        monkeypatch.setattr(metric_queries.ingest, "ingest", lambda session, source, *rest: seen.append((len(session.read.parquet(source).inputFiles()), rest[-1])) or plain_ingest(session, source, *rest))
+        # each file a part of its own, as a large table's are
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+        try:
+            row = metric_queries.stream_ingest_gate(spark, place).first()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        monkeypatch.undo()
+        assert seen == [(want, math.ceil(want / 4))] and (row["n"], row["chars"]) == (541, sum(range(360, 901)))
+
+
 def test_the_register_needs_no_session():
     """Queries and their SQL are listed before there is a session."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
