@@ -327,6 +327,13 @@ def test_candidates_drop_what_is_empty(spark):
     assert [(r["i"], r["text"], r["text_normalized"], r["duration_s"], r["num_digits"], r["num_english_words"]) for r in got] == [(1, "two  words", "two words", 2.0, 0, 2), (5, "d 7", "d 7", 0.0, 1, 1)]
 
 
+def test_candidates_are_cleaned_once(spark):
+    """The filter on normalized texts takes no second pass, nor a second Python worker for each task."""
+    rows = spark.createDataFrame([(1, " a\u200b b ", 2.0)], "i int, text string, d double")
+    found = clips.candidates(rows, F.lit("s"), F.lit("mr"), F.lit("k"), F.lit("Anagha"), duration="d").select("i", "num_digits", "text_normalized")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and found.first()["text_normalized"] == "a b"
+
+
 def test_clip_pipeline(spark):
     tone = lambda seconds, rate=8000: signal.encode(0.5 * np.sin(np.arange(int(seconds * rate)) * 0.2), rate)
     rows = [(0, tone(1.0), "a.wav", "मला  10 words", "Female"), (1, tone(0.1), "b.wav", "short", "male"), (2, tone(1.0), "held.wav", "x", "male"), (3, tone(1.0), None, " ", "male"), (4, b"broken", "e.wav", "x", "male")]
